@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, urls
-from .tables import table
+from . import chat, language, mixing, toxicity, urls
+from .tables import held_out, table
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, ~held_out(F.col("doc_id"), 5, 0))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "offending")
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +38,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, ~held_out(F.col("doc_id"), 4, 2))
+    out = language.identify(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.train(urls.labelled_urls(spark))
     return urls.judge(table(spark, sf_dir, "pages"), model).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_formatting, op7_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op5_chat_formatting, op7_mixing, op9_language, op10_url_filter)}
