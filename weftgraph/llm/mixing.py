@@ -11,6 +11,8 @@ from .tables import WORD, written
 
 #: Quality weights that a document can have, from poor to good.
 LEVELS = (0.25, 0.5, 0.75, 1.0)
+#: So many sources at most are sent to all executors, about 150 bytes each.
+BROADCAST_ROWS = 20_000
 
 
 def text_quality(text: Column, size: Column) -> Column:
@@ -86,6 +88,9 @@ def mix(
     targets = targets.withColumn("ranges", F.ceil(F.col("rows") / bucket_rows)).withColumnRenamed("source", "of_source")
 
     below = sum((F.col(f"graded_{k}") * (1 - F.exp(-q * F.col("key"))) for k, q in enumerate(LEVELS, 1)), F.lit(0.0)) / F.col("rows")
+    targets = written(targets)
+    if targets.count() <= BROADCAST_ROWS:
+        targets = F.broadcast(targets)  # beyond that, adaptive execution splits the hot sources of the join
     placed = rows.join(targets, rows.source.eqNullSafe(targets.of_source))
     placed = placed.withColumn("range", F.least(F.floor(below * F.col("ranges")), F.col("ranges") - 1))
     placed = placed.select(*extra, "doc_id", "source", "size", "key", "source_size", "target", "epochs", "budget", "range", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("unnamed"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, toxicity, urls
+from . import chat, language, leaks, mixing, near, toxicity, urls
 from .tables import held_out, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, ~held_out(F.col("doc_id"), 5, 0))
@@ -38,6 +42,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each passage within an item's edit budget: doc_id, item_id, distance, first, last."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leaks.find(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs, ~held_out(F.col("doc_id"), 4, 2))
@@ -50,4 +61,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), model).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_chat_formatting, op7_mixing, op9_language, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op4_toxicity, op5_chat_formatting, op7_mixing, op8_decontamination, op9_language, op10_url_filter)}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
-from .words import LOWER, NOT_LETTER, Words, code_points, map_blocks
+from .words import LOWER, NOT_LETTER, Words, code_points, extend, map_blocks
 
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6)
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", prefix: str = ""
     sentence. All columns of docs are kept; ``prefix`` avoids clashes with them.
     """
 
-    def work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    def work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         first, bounds, sentence, feature = _by_sentence(data, offsets, model.hashes)
         weights = model.weights[feature] if len(feature) else np.zeros(0)
         z = np.clip(model.bias + np.bincount(sentence, weights, len(first)), -30, 30)
@@ -168,8 +168,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", prefix: str = ""
                 k = int(np.searchsorted(offsets, first[s], "right")) - 1
                 if lengths[k]:
                     spans[k].append({"first": int(point[first[s]] - point[offsets[k]]), "last": int(point[min(last[s], offsets[k + 1])] - point[offsets[k]]), "score": float(p[s])})
-        more = [pa.array(whole), pa.array((whole >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])))]
-        return pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, prefix + "score", prefix + "predicted", prefix + "offending"])
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
+        return [pa.array(whole), pa.array((whole >= 0.5).astype(np.int32)), pa.array(spans, kind)]
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return map_blocks(docs, text, work, ", ".join([*kinds, f"`{prefix}score` double", f"`{prefix}predicted` int", f"`{prefix}offending` array<struct<first: bigint, last: bigint, score: double>>"]))
+    return extend(docs, text, work, {prefix + "score": "double", prefix + "predicted": "int", prefix + "offending": "array<struct<first: bigint, last: bigint, score: double>>"})

@@ -126,6 +126,16 @@ def map_blocks(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, np.ndar
     return df.mapInArrow(run, schema)
 
 
+def extend(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], list[pa.Array]], fields: dict[str, str]) -> DataFrame:
+    """``df`` with more columns, which ``work`` makes from each block; fields: names and Spark types."""
+
+    def run(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, *work(rows, data, offsets)], [*rows.schema.names, *fields])
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields} | fields
+    return map_blocks(df, text, run, ", ".join(f"`{k}` {v}" for k, v in kinds.items()))
+
+
 def summed(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values[offsets[i]:offsets[i + 1]]; 0 where that is empty."""
     sums = np.zeros(len(values) + 1, np.float64)
