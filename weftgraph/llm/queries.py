@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, leaks, mixing, near, toxicity, urls
+from . import chat, language, leaks, mixing, near, neighbours, private, toxicity, urls
 from .tables import held_out, table
 
 
@@ -13,6 +13,21 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = private.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("private", lambda x: (x["kind"] == kind) & ~x["added"])).cast("long")
+
+    counts = {f"n_{k}": count(k) for k in private.KINDS}
+    spans = {"base_sha256": F.sha2(private.digest(F.col("private"), False), 256), "spans": private.digest(F.col("private"), True)}
+    return out.withColumns(counts | spans).select("doc_id", *counts, *spans)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, ~held_out(F.col("doc_id"), 5, 0))
@@ -61,4 +76,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), model).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op4_toxicity, op5_chat_formatting, op7_mixing, op8_decontamination, op9_language, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_nearest_neighbours, op3_private_data, op4_toxicity, op5_chat_formatting, op7_mixing, op8_decontamination, op9_language, op10_url_filter)}

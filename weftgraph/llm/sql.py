@@ -16,6 +16,13 @@ r AS (SELECT rep AS node, rep AS seen FROM c UNION SELECT r.node, e.b FROM r JOI
 m AS (SELECT node, min(seen) AS comp FROM r GROUP BY node)
 SELECT s.doc_id, len(s.sh) AS n_shingles, coalesce(m.comp, s.doc_id) AS component_id, s.doc_id = coalesce(m.comp, s.doc_id) AS kept
 FROM s LEFT JOIN c ON list_sort(s.sh) = c.sh AND len(s.sh) > 0 LEFT JOIN m ON m.node = c.rep""",
+    "op2_nearest_neighbours": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20""",
     # Escaping is reversible, so the digests are those of the input; only the length needs the template.
     "op5_chat_formatting": """
 WITH rows AS (
