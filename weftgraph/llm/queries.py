@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, leaks, mixing, near, neighbours, private, toxicity, urls
+from . import chat, language, leaks, mixing, near, neighbours, private, repeats, toxicity, urls
 from .tables import held_out, table
 
 
@@ -53,6 +53,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -76,4 +81,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), model).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_nearest_neighbours, op3_private_data, op4_toxicity, op5_chat_formatting, op7_mixing, op8_decontamination, op9_language, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_nearest_neighbours, op3_private_data, op4_toxicity, op5_chat_formatting, op6_substring_dedup, op7_mixing, op8_decontamination, op9_language, op10_url_filter)}

@@ -39,4 +39,14 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(piece) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op6_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 18, 1))) AS s, ws FROM w),
+g AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS g FROM x),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS n FROM g) WHERE n > 1),
+k AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS pos FROM r),
+gone AS (SELECT doc_id, list(pos) AS gone, count(*) AS n FROM k GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(gone.n, 0) AS n_removed,
+  sha256(array_to_string([ws[i] FOR i IN range(1, len(ws) + 1) IF NOT coalesce(list_contains(gone.gone, i), false)], ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)""",
 }
