@@ -1,0 +1 @@
+"""Property-graph, vector and text analytics on Spark DataFrames."""
