@@ -95,7 +95,7 @@ def json_map(text: Column) -> Column:
 
 def csv_list(text: Column) -> Column:
     """The trimmed, non-empty parts between commas."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tokens_by_length(text: Column) -> Column:
