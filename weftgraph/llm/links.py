@@ -8,27 +8,30 @@ from pyspark.sql import functions as F
 from .tables import written
 
 
-def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, component) of each id in ``pairs`` (a, b); the component is its smallest id.
 
-    Alternates the large-star and small-star steps (Kiveris et al., 2014): each round hangs
-    the larger and then the smaller neighbours of every node on the smallest, until nothing
-    changes; that takes about log2 of the longest path. Each round is written to the shared
-    folder. Self links and repeated pairs are allowed; null ids are left out.
+    In each round every node points to the one of itself and its neighbours with the
+    smallest hash, and the pairs are contracted along these pointers, until none is left. As
+    the order is random, a round takes away a share of the nodes of any path, so about log of
+    the longest path rounds are needed. Each round is written to the shared folder. Self
+    links and repeated pairs are allowed; null ids are left out.
     """
-    links = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    for _ in range(most_rounds):
+    links = written(pairs.where("a <> b").select("a", "b").distinct())
+    rounds = []
+    while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
-        links = written(small.where("a <> b").distinct())
-        after = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components need more than {most_rounds} rounds")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        best = both.groupBy("a").agg(F.min(F.xxhash64("b")).alias("least"), F.min_by("b", F.xxhash64("b")).alias("b"))
+        pointers = written(best.select(F.col("a").alias("node"), F.when(F.xxhash64("a") < F.col("least"), F.col("a")).otherwise(F.col("b")).alias("to")))
+        rounds.append(pointers)
+        moved = links.join(pointers.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(pointers.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        links = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    if not rounds:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = rounds.pop()
+    for pointers in reversed(rounds):
+        later = labels.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        labels = pointers.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    labels = written(labels) if rounds else labels
+    least = written(labels.groupBy("to").agg(F.min(F.least("node", "to")).alias("component")))
+    return labels.join(least, "to").select("node", "component")

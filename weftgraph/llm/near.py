@@ -4,11 +4,11 @@
    signature of BANDS * ROWS MinHash values (16 bits each). Texts with equal sets are one
    class, of which only the smallest id goes on.
 2. Classes that agree in a whole band are candidates. In each crowded band key, all are first
-   compared with the smallest id only; what that links is one component and needs no further
-   comparison. Keys that still hold several components are compared with a few leaders
-   chosen by hash, and what then remains across components in a key is compared in full.
-   So no group is expanded into all its pairs, and no candidate link between components is
-   left out.
+   compared with its hub only, the class with most company over all its keys; what that links
+   is one component and needs no further comparison. In keys that still hold several
+   components, classes of different components are compared in tiles: chunks of bounded size
+   against each other, exactly and at once, and only links leave a tile. So no group is
+   expanded into its pairs, and no candidate link between components is left out.
 3. A candidate pair's signatures are compared in batches; after each, the pair is dropped if
    the posterior probability of a similarity at the threshold is below MISS.
 4. Survivors are confirmed on the full shingle sets.
@@ -31,6 +31,8 @@ from .words import LOWER, Words, map_blocks, mixed, run_hashes
 BANDS, ROWS = 32, 6
 BATCH = 32
 MISS = 1e-6
+#: Shingles that a chunk of classes holds, if no single class has more.
+TILE_SHINGLES = 50_000
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32) | np.uint32(1)
 
 
@@ -103,13 +105,44 @@ def _likely(percent: int, miss: float):
     return run
 
 
+def _tiles(percent: int):
+    def parts(column, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rows = column[k].values
+        lists = rows.field("shingles")
+        return rows.field("rep").to_numpy(), rows.field("component").to_numpy(), lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between different components in each tile."""
+        for batch in batches:
+            a, b = [], []
+            for k in range(batch.num_rows):
+                (rep, comp, flat, size), (rep2, comp2, flat2, size2) = (parts(batch.column(c), k) for c in ("rows", "others"))
+                open_pairs = comp[:, None] != comp2
+                if not open_pairs.any():
+                    continue
+                common = np.intersect1d(flat, flat2)
+                left, right = (np.zeros((len(n), len(common)), np.float32) for n in (size, size2))
+                for matrix, values, n in ((left, flat, size), (right, flat2, size2)):
+                    at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+                    hit = common[at] == values if len(common) else np.zeros(len(values), bool)
+                    matrix[np.repeat(np.arange(len(n)), n)[hit], at[hit]] = 1
+                shared = left @ right.T
+                x, y = np.nonzero(open_pairs & (100 * shared >= percent * (size[:, None] + size2 - shared)))
+                a.append(np.minimum(rep[x], rep2[y]))
+                b.append(np.maximum(rep[x], rep2[y]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
 class _Confirmer:
     """Tells which candidate pairs are links; holds the tables that this takes."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, crowded: DataFrame, shingle: int, percent: int, miss: float) -> None:
         self.percent, self.miss = percent, miss
         reps = crowded.select("rep").distinct()
-        self.signatures = written(classes.join(reps, "rep", "left_semi").select("rep", "signature"))
+        self.signatures = classes.select("rep", "signature")
 
         def sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
             own = shingle_sets(data, offsets, shingle)
@@ -120,10 +153,26 @@ class _Confirmer:
         mine = docs.join(reps, docs["doc_id"] == reps["rep"], "left_semi")
         self.sets = written(map_blocks(mine, "text", sets, "rep long, shingles array<bigint>"))
 
+    def across(self, placed: DataFrame) -> DataFrame:
+        """Links between components among the classes of each key (key, rep, component).
+
+        The classes of a key are dealt to chunks of about TILE_SHINGLES; each pair of chunks
+        is a tile, in which one product of 0/1 matrices gives all intersections. Only links
+        leave a tile.
+        """
+        sized = self.sets.select("rep", "shingles", F.size("shingles").cast("long").alias("size"))
+        rows = placed.join(sized, "rep")
+        totals = rows.groupBy("key").agg(F.ceil(F.sum("size") / TILE_SHINGLES).alias("chunks"))
+        dealt = rows.join(totals, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+        packed = written(dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct("rep", "component", "shingles")).alias("rows")))
+        other = packed.select("key", F.col("chunk").alias("its"), F.col("rows").alias("others"))
+        tiles = packed.join(other, "key").where("chunk <= its").select("rows", "others")
+        return written(tiles.mapInArrow(_tiles(self.percent), "a long, b long").distinct())
+
     def links(self, pairs: DataFrame) -> DataFrame:
         a = self.signatures.select(F.col("rep").alias("a"), F.col("signature").alias("of_a"))
         b = self.signatures.select(F.col("rep").alias("b"), F.col("signature").alias("of_b"))
-        likely = written(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(_likely(self.percent, self.miss), "a long, b long"))
+        likely = written(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(_likely(self.percent, self.miss), "a long, b long").distinct())
         a = self.sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a"))
         b = self.sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b"))
         both = likely.join(a, "a").join(b, "b")
@@ -131,7 +180,7 @@ class _Confirmer:
         return written(both.where(100 * shared >= self.percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, miss: float = MISS, leader_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document's set are its distinct
@@ -157,39 +206,39 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, mis
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = written(map_blocks(docs, "text", sketch, "doc_id long, n_shingles long, set_a long, set_b long, signature binary"))
     full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    least = written(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    classes = full.withColumnRenamed("doc_id", "rep").join(least, ["set_a", "set_b", "rep"], "left_semi").select("rep", "signature").distinct()
-    classes = written(classes)
+    first = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
+    classes = written(first.select("set_a", "set_b", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature")))
 
-    keyed = classes.mapInArrow(_band_rows, "key long, rep long")
-    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1").select("key", "leader")
+    keyed = classes.select("rep", "signature").mapInArrow(_band_rows, "key long, rep long")
+    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = written(keyed.join(crowds, "key"))
     confirm = _Confirmer(docs, classes, crowded, shingle, percent, miss)
-    links = confirm.links(crowded.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
-    # rows of a document id with several texts are one document
-    several = full.join(least, ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    several = several.join(classes.select(F.col("rep").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-    links = links.unionByName(written(several))
+    degrees = crowded.groupBy("rep").agg(F.sum("n").alias("degree"))
+    hubs = crowded.join(degrees, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("id"))).alias("hub"))
+    hubs = written(hubs.select("key", (-F.col("hub.id")).alias("leader")))
+    links = confirm.links(crowded.join(hubs, "key").where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct())
+    # a document id with several texts is one node, whose classes are linked
+    several = full.select("doc_id", "set_a", "set_b").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = written(several.select("doc_id"))
+    if not several.isEmpty():
+        named = full.join(several, "doc_id").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
+        links = links.unionByName(written(named.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()))
 
     of = written(components(links))
-    for k in range(leader_rounds + 1):
-        placed = crowded.select("key", "rep").join(of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        chosen = F.xxhash64("key", "rep", F.lit(k))
-        still = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), chosen).alias("leader")).where("low < high")
-        mine = written(placed.join(still.select("key", "leader"), "key"))
-        if mine.isEmpty():
-            break
-        if k < leader_rounds:
-            pairs = mine.where("component <> leader.component").select(F.least("leader.rep", "rep").alias("a"), F.greatest("leader.rep", "rep").alias("b"))
-        else:
-            other = mine.select("key", F.col("rep").alias("b"), F.col("component").alias("its"))
-            pairs = mine.select("key", F.col("rep").alias("a"), "component").join(other, "key").where("component < its").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = confirm.links(pairs.distinct())
+    placed = crowded.select("key", "rep").join(of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = F.bit_xor(F.xxhash64("rep")), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)"))
+    still = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), members[0].alias("one"), members[1].alias("two")).where("low < high")
+    still = written(still.groupBy("one", "two").agg(F.min("key").alias("key")).select("key"))
+    if not still.isEmpty():
+        found = confirm.across(placed.join(still, "key"))
         if not found.isEmpty():
-            links = links.unionByName(found)
-            of = written(components(links))
+            at = of.unionByName(found.select(F.col("a").alias("node"), F.col("a").alias("component"))).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("component")))
+            at = at.groupBy("node").agg(F.min("component").alias("component"))
+            ends = found.join(at.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(at.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+            joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
+            of = written(at.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
-    named = written(least.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component")))
+    named = written(classes.select("set_a", "set_b", "rep").join(of.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component")))
     out = sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
