@@ -7,6 +7,6 @@ __all__ = ["SQL", "all_queries"]
 
 def all_queries() -> dict[str, Query]:
     """Every registered query by name; importing the modules registers them."""
-    from . import graph_queries, retrieval_queries, state_queries, text_queries  # noqa: F401
+    from . import graph_queries, retrieval_queries, state_queries, text_queries, view_queries  # noqa: F401
 
     return QUERIES
