@@ -160,10 +160,9 @@ class _Confirmer:
         is a tile, in which one product of 0/1 matrices gives all intersections. Only links
         leave a tile.
         """
-        sized = self.sets.select("rep", "shingles", F.size("shingles").cast("long").alias("size"))
-        rows = placed.join(sized, "rep")
-        totals = rows.groupBy("key").agg(F.ceil(F.sum("size") / TILE_SHINGLES).alias("chunks"))
-        dealt = rows.join(totals, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+        sized = self.sets.select("rep", F.size("shingles").cast("long").alias("size"))
+        totals = written(placed.join(sized, "rep").groupBy("key").agg(F.ceil(F.sum("size") / TILE_SHINGLES).alias("chunks")))
+        dealt = placed.join(self.sets, "rep").join(totals, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
         packed = written(dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct("rep", "component", "shingles")).alias("rows")))
         other = packed.select("key", F.col("chunk").alias("its"), F.col("rows").alias("others"))
         tiles = packed.join(other, "key").where("chunk <= its").select("rows", "others")

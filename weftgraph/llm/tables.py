@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One word of a text: a longest run without ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from weftgraph.sources.tables import shared_folder, table, written
 
+__all__ = ["WORD", "held_out", "shared_folder", "table", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, with no lineage behind it.
-
-    Any executor can be lost after this call without recomputing what led here, and
-    every reader sees the same rows even if ``df`` had an unstable order.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: One word of a text: a longest run without ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
