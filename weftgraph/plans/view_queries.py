@@ -160,7 +160,7 @@ def x3_json_text(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.to_json(scalars.json_map(F.col("props"))).alias("json"))
 
 
-@query("SELECT event_id, CAST(epoch(ts) AS BIGINT) AS seconds, ts >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 1 HOUR AS fresh, round(greatest(0.0, least(100.0, value)), 4) AS clamped FROM events")
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, ts >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 1 HOUR AS fresh, round(greatest(0.0, least(100.0, value)), 4) AS clamped FROM events")
 def x14_x15_time_and_clamp(spark, sf_dir):
     """Epoch seconds, expiry after an hour, values within bounds."""
     fresh = F.col("ts") >= F.to_timestamp(F.lit("2024-01-15 00:00:00")) - F.expr("INTERVAL 1 HOUR")
