@@ -12,17 +12,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_fallback: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    application = spark.sparkContext.applicationId
+    if application not in _fallback:
+        _fallback[application] = tempfile.mkdtemp(prefix="weftgraph-")
+    return _fallback[application]
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, with no lineage behind it."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{_own_tables(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _own_tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that ``written`` left for this application; results that read them are gone too."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_tables(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
