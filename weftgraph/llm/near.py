@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, mis
     classes = written(first.select("set_a", "set_b", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature")))
 
     keyed = classes.select("rep", "signature").mapInArrow(_band_rows, "key long, rep long")
-    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowds = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     crowded = written(keyed.join(crowds, "key"))
     confirm = _Confirmer(docs, classes, crowded, shingle, percent, miss)
     degrees = crowded.groupBy("rep").agg(F.sum("n").alias("degree"))
