@@ -167,3 +167,34 @@ def lexical_scores(docs: DataFrame, terms: Sequence[str], text: str, key: str) -
     total = docs.agg(F.count(F.lit(1)).alias("docs"))
     weight = F.log(1 + F.col("docs") / F.col("having"))
     return counts.join(F.broadcast(having.join(total)), "term").groupBy(key).agg(F.sum(F.col("n") * weight).alias("score"))
+
+
+#: Where a question names a repository, in the order in which they are tried.
+REPOSITORY_PATTERNS = (
+    r"^([a-zA-Z0-9_\-]+)\s+",
+    r"\bin\s+([a-zA-Z0-9_\-]+)",
+    r"\bfrom\s+([a-zA-Z0-9_\-]+)",
+    r"\bfor\s+([a-zA-Z0-9_\-]+)",
+    r"\b([a-zA-Z0-9_\-]+)\s+repository",
+    r"\b([a-zA-Z0-9_\-]+)\s+repo\b",
+)
+
+
+def asked_repository(questions: DataFrame, text: str, repositories: DataFrame, key: str) -> DataFrame:
+    """key and repo_id: the first name by pattern that is a known repository (any case); the only
+    repository if there is just one; null otherwise."""
+    names = F.array(*(F.lower(F.regexp_extract(text, p, 1)) for p in REPOSITORY_PATTERNS))
+    known = repositories.select("repo_id", F.lower("repo_id").alias("name")).distinct()
+    tried = questions.select(key, F.posexplode(names).alias("rank", "name")).where("name <> ''").join(known, "name")
+    found = tried.groupBy(key).agg(F.min_by("repo_id", "rank").alias("found"))
+    only = repositories.select("repo_id").distinct().agg(F.when(F.count(F.lit(1)) == 1, F.min("repo_id")).alias("only"))
+    return questions.select(key).join(found, key, "left").join(F.broadcast(only)).select(key, F.coalesce("found", "only").alias("repo_id"))
+
+
+def start_symbols(*ranked: DataFrame) -> DataFrame:
+    """id and rank: of several lists of ids, those of earlier lists first, each id once."""
+    every = None
+    for k, part in enumerate(ranked):
+        part = part.select("id", F.lit(k).alias("rank"))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("id").agg(F.min("rank").alias("rank"))

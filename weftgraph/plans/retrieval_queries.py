@@ -170,3 +170,20 @@ def v12_packets(spark, sf_dir):
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("chunk_id", "edge_type").orderBy("name", "dst"))).where("n <= 5")
     listed = F.array_sort(F.collect_list(F.struct("n", "name")))
     return rows.groupBy("chunk_id", "edge_type").agg(F.array_join(F.transform(listed, lambda x: x["name"]), ",").alias("names"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source END AS repo_id FROM documents")
+def l19_asked_repository(spark, sf_dir):
+    """Every other question names its repository, the rest one that is not there."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise("elsewhere")
+    asked_for = docs.select("doc_id", F.concat(F.lit("What happens in "), name, F.lit(" when it starts?")).alias("question"))
+    return retrieval.asked_repository(asked_for, "question", docs.select(F.col("source").alias("repo_id")), "doc_id")
+
+
+@query(f"WITH {SCORED}, v AS (SELECT chunk_id AS id FROM s ORDER BY score DESC, chunk_id LIMIT 20) SELECT id, CAST(min(rank) AS INTEGER) AS rank FROM (SELECT v.id, 0 AS rank FROM v JOIN g_symbols y ON y.id = v.id UNION ALL SELECT id, 1 FROM g_symbols WHERE name = 'red plate' UNION ALL SELECT id, 2 FROM g_symbols WHERE regexp_matches(name, '(^| )ring( |$)')) GROUP BY id")
+def r15_start_symbols(spark, sf_dir):
+    """From the nearest chunks, then from names, then from terms."""
+    symbols = derived.symbols(spark, sf_dir).select("id", "name")
+    near = retrieval.similar(derived.chunks(spark, sf_dir), asked(spark, sf_dir), 20).select(F.col("chunk_id").alias("id"))
+    return retrieval.start_symbols(near.join(symbols, "id", "left_semi"), symbols.where("name = 'red plate'"), symbols.where(F.array_contains(F.split("name", " "), "ring")))
