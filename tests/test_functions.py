@@ -42,6 +42,11 @@ def test_scalars(spark):
     assert value(spark, scalars.without_tags(lit("<p>a<b>b</b>\n c</p>"))) == "a b c"
 
 
+@pytest.mark.parametrize(("path", "want"), [("a/../b", True), ("../b", False), ("a/../../b", False), ("/etc", False), ("./a//b", True)])
+def test_inside(spark, path, want):
+    assert value(spark, scalars.inside(F.lit(path))) is want
+
+
 def test_similarity(spark):
     a, b, zero = (F.array(*map(F.lit, x)) for x in ((1.0, 0.0), (1.0, 1.0), (0.0, 0.0)))
     assert value(spark, vectors.cosine(a, b)) == pytest.approx(2**-0.5)

@@ -70,6 +70,19 @@ def hidden(path: Column) -> Column:
     return path.rlike(r"(^|/)\.[^/]")
 
 
+def inside(path: Column) -> Column:
+    """Whether a relative path stays below its root: not absolute, and never more ``..`` than folders."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("ok"))
+    step = F.aggregate(
+        parts,
+        start,
+        lambda now, x: F.struct((now["depth"] + F.when(x == "..", -1).otherwise(1)).alias("depth"), (now["ok"] & ~((x == "..") & (now["depth"] == 0))).alias("ok")),
+        lambda now: now["ok"],
+    )
+    return ~path.startswith("/") & step
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

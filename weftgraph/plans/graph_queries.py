@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import graph
 from weftgraph.sources import derived
-from weftgraph.sources.tables import table
 
 from .registry import query
 
@@ -264,11 +263,18 @@ def g4_hotspots_in_folder(spark, sf_dir):
     return nodes.join(out, "id").select("id", "name", "calls").orderBy(F.desc("calls"), "id").limit(50)
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS id, 'nation' AS label, n_name AS name FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT), 'region', r_name FROM region")
+@query("SELECT id, CASE WHEN kind = 'promo' THEN 'first' ELSE 'second' END AS origin, name FROM g_symbols")
 def i2_graph_union(spark, sf_dir):
-    """Union of two graphs whose nodes have labels; equal ids of one label are one node."""
-    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_nationkey").cast("long").alias("number"), F.lit("nation").alias("label"), F.col("n_name").alias("name"))
-    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_regionkey").cast("long").alias("number"), F.lit("region").alias("label"), F.col("r_name").alias("name"))
-    edges = table(spark, sf_dir, "nation").select(F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("dst"), F.lit("CONTAINS").alias("edge_type"))
-    nodes, _ = graph.union_graphs((nations, edges), (regions.unionByName(nations), edges))
-    return nodes.select(F.col("number").alias("id"), "label", "name")
+    """Union of two graphs; of equal nodes and edges the first graph's stays."""
+    symbols, edges = derived.symbols(spark, sf_dir), derived.edges(spark, sf_dir)
+    first = symbols.where("kind = 'promo'").select("id", F.lit("first").alias("origin"), "name")
+    second = symbols.select("id", F.lit("second").alias("origin"), "name")
+    nodes, _ = graph.union_graphs((first, edges), (second, edges))
+    return nodes
+
+
+@query("SELECT DISTINCT src, dst, edge_type FROM g_edges")
+def i1_edge_union(spark, sf_dir):
+    """Edges of two graphs that overlap, once each."""
+    symbols, edges = derived.symbols(spark, sf_dir).select("id"), derived.edges(spark, sf_dir)
+    return graph.union_graphs((symbols, edges.where("edge_type = 'CALLS'")), (symbols, edges))[1]

@@ -16,11 +16,11 @@ def nodes(spark, sf_dir):
     return derived.symbols(spark, sf_dir).select("id", "name", "kind")
 
 
-@query("SELECT id, CASE WHEN kind = 'promo' THEN 'new ' || name ELSE name END AS name, kind FROM g_symbols UNION ALL SELECT id + 1000000, name, 'added' FROM g_symbols WHERE kind = 'small'")
+@query("SELECT id, CASE WHEN kind = 'promo' THEN 'new ' || name ELSE name END AS name, kind FROM g_symbols UNION ALL SELECT -1 - id, name, 'added' FROM g_symbols WHERE kind = 'small'")
 def w1_upsert_nodes(spark, sf_dir):
     """New rows replace old ones by key."""
     old = nodes(spark, sf_dir)
-    new = old.where("kind = 'promo'").withColumn("name", F.concat(F.lit("new "), "name")).unionByName(old.where("kind = 'small'").select((F.col("id") + 1000000).alias("id"), "name", F.lit("added").alias("kind")))
+    new = old.where("kind = 'promo'").withColumn("name", F.concat(F.lit("new "), "name")).unionByName(old.where("kind = 'small'").select((F.lit(-1) - F.col("id")).alias("id"), "name", F.lit("added").alias("kind")))
     return state.upserted(old, new, ["id"])
 
 
@@ -84,12 +84,12 @@ def w19_promote_fields(spark, sf_dir):
     return state.promoted(table(spark, sf_dir, "events").select("event_id", "props"), "props", ["k", "other"]).drop("props")
 
 
-@query("WITH a AS (SELECT source || lang AS k, max(doc_id) AS v FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT source || lang AS k, max(doc_id) AS v FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
+@query("WITH a AS (SELECT source || lang AS k, max(doc_id) AS v FROM documents WHERE n_chars < 4000 GROUP BY 1), b AS (SELECT source || lang AS k, max(doc_id) AS v FROM documents WHERE n_chars > 1000 GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
 def i6_snapshot_diff(spark, sf_dir):
     """Two snapshots compared by key and digest."""
-    docs = table(spark, sf_dir, "documents").select(F.concat("source", "lang").alias("k"), "doc_id")
-    halves = [docs.where(F.col("doc_id") % n == 0).groupBy("k").agg(F.max("doc_id").alias("digest")) for n in (2, 3)]
-    return state.snapshot_diff(*halves, "k", "digest")
+    docs = table(spark, sf_dir, "documents").select(F.concat("source", "lang").alias("k"), "doc_id", "n_chars")
+    before, after = (docs.where(c).groupBy("k").agg(F.max("doc_id").alias("digest")) for c in ("n_chars < 4000", "n_chars > 1000"))
+    return state.snapshot_diff(before, after, "k", "digest")
 
 
 @query("SELECT user_id, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS n_purchase, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS n_error FROM events GROUP BY user_id")
@@ -232,11 +232,15 @@ def d9_fingerprints(spark, sf_dir):
     return rows.select("source", dag.fingerprint(F.col("source"), F.col("hashes")).alias("print"))
 
 
-@query("SELECT DISTINCT b.r_name AS phase FROM region a JOIN region b ON b.r_regionkey > a.r_regionkey WHERE a.r_regionkey = 1")
+@query("WITH p AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS priority FROM orders), c AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'F') SELECT DISTINCT p.k || '/' || p.priority AS phase FROM p JOIN c ON c.k = p.k AND c.priority < p.priority")
 def d10_dirty_phases(spark, sf_dir):
-    phases = table(spark, sf_dir, "region").select(F.col("r_name").alias("phase"), F.col("r_regionkey").alias("k"))
-    cascade = phases.alias("a").join(phases.alias("b"), F.col("a.k") < F.col("b.k")).select(F.col("a.phase").alias("phase"), F.col("b.phase").alias("later"))
-    return dag.dirty(phases.select("phase"), cascade, phases.where("k = 1").select("phase"))
+    """A customer's later priorities are dirty once an earlier one has changed."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("priority"), "o_orderstatus")
+    phase = F.concat_ws("/", F.col("k").cast("string"), "priority")
+    rows = orders.select("k", "priority", phase.alias("phase")).distinct()
+    after = rows.select("k", F.col("priority").alias("later_priority"), F.col("phase").alias("later"))
+    cascade = rows.join(after, "k").where("priority < later_priority").select("phase", "later")
+    return dag.dirty(rows.select("phase"), cascade, orders.where("o_orderstatus = 'F'").select(phase.alias("phase")).distinct())
 
 
 @query("SELECT o_custkey, o_orderkey, 20 - row_number() OVER w >= 0 AND 2000000 - CAST(floor(sum(floor(o_totalprice)) OVER w) AS BIGINT) >= 0 AS allowed FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)")
