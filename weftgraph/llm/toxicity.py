@@ -49,7 +49,7 @@ def _said(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([rows.column("label"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], ["label", "said"])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", train_rows: int = 8000, most_features: int = 4096, least_docs: int = 3, least_z: float = 4.0, rounds: int = 300, decay: float = 2e-3, toxic_weight: float = 3.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", train_rows: int = 20_000, most_features: int = 4096, least_docs: int = 3, least_z: float = 4.0, rounds: int = 300, decay: float = 2e-3, toxic_weight: float = 3.0) -> Model:
     """Learns from at most ``train_rows`` labelled documents, chosen by a hash of the id.
 
     Spark counts each feature's documents by label and keeps the ``most_features`` that
