@@ -160,3 +160,24 @@ def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
             spark.range(100, 100 + more).write.mode("append").parquet(f"{tmp_path}/in")
         progress.into(progress.stream(spark, f"{tmp_path}/in", "id long"), lambda df, n: seen.append(df.count()), f"{tmp_path}/at").awaitTermination()
     assert sum(seen) == 15
+
+
+def test_stream_numbers_go_on_after_a_restart(spark, tmp_path):
+    def run(first, last):
+        spark.range(first, last).select((F.col("id") % 3).alias("k"), "id").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        rows = progress.numbered(progress.stream(spark, f"{tmp_path}/in", "k long, id long"), "k", "id")
+        rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+
+    run(0, 30)
+    run(30, 45)
+    found = sorted((r["k"], r["sequence"], r["id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert found == sorted((i % 3, i // 3 + 1, i) for i in range(45))
+
+
+def test_keys_expire(spark, tmp_path):
+    times = [("a", 0), ("a", 1800), ("b", 100), ("a", 20_000), ("b", 30_000)]
+    spark.createDataFrame(times, "k string, s long").select("k", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s")).alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    rows = progress.expiring(progress.stream(spark, f"{tmp_path}/in", "k string, ts timestamp"), "k", "ts")
+    query = rows.writeStream.format("memory").queryName("expired").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r["k"], r["events"]) for r in spark.table("expired").collect()) == [("a", 1), ("a", 2), ("b", 1)]

@@ -77,3 +77,28 @@ def latest_state(events: DataFrame, key: str, order: str) -> DataFrame:
 def into(events: DataFrame, consume: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs ``consume`` on each micro-batch of what is there now; restarting goes on from the checkpoint."""
     return events.writeStream.foreachBatch(consume).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def numbered(events: DataFrame, key: str, order: str) -> DataFrame:
+    """``events`` with ``sequence``: 1, 2, 3 ... for each key, in order of arrival and, within a
+    micro-batch, of ``order``. The count of each key is the only state; each micro-batch of a key
+    goes through one task."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def number(_, frames, state: GroupState):
+        import pandas as pd
+
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        done = state.get[0] if state.exists else 0
+        rows["sequence"] = range(done + 1, done + len(rows) + 1)
+        state.update((done + len(rows),))
+        yield rows
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+    return events.groupBy(key).applyInPandasWithState(number, f"{kinds}, sequence long", "done long", "append", GroupStateTimeout.NoTimeout)
+
+
+def expiring(events: DataFrame, key: str, time: str, lifetime: str = "1 hour") -> DataFrame:
+    """One row for each key and hour-like span in which it was alive: a key lives ``lifetime`` after
+    its last event, and is given out once the watermark has passed that."""
+    return events.withWatermark(time, "0 seconds").groupBy(F.session_window(time, lifetime), key).agg(F.count(F.lit(1)).alias("events")).select(key, F.col("session_window.end").alias("expired_at"), "events")
