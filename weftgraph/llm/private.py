@@ -142,8 +142,8 @@ def accepted(found: DataFrame, *, rounds: int = 2, least_seeds: int = 5, confide
     return there.join(learnt.select("instance", "kind"), ["instance", "kind"], "left_semi").select("row", "first", "last", "kind").distinct()
 
 
-def find(docs: DataFrame, *, text: str = "text", column: str = "private", rounds: int = 2, least_seeds: int = 5, confidence: float = 0.7) -> DataFrame:
-    """``docs`` with ``column``: an array of (first, last, kind, added), by first, kind and last.
+def find(docs: DataFrame, *, text: str = "text", column: str = "private", keep_text: bool = True, rounds: int = 2, least_seeds: int = 5, confidence: float = 0.7) -> DataFrame:
+    """``docs`` (without the text, unless ``keep_text``) with ``column``: an array of (first, last, kind, added), by first, kind and last.
 
     Spans are code points, end exclusive. The rules' spans are always there; ``added`` marks
     those that patterns brought: tokens with a digit in a context where at least
@@ -157,7 +157,8 @@ def find(docs: DataFrame, *, text: str = "text", column: str = "private", rounds
         attempt = TaskContext.get().taskAttemptId()
         return _work(rows, data, offsets, state.setdefault(attempt, [0]))
 
-    passed = written(extend(docs, text, work, {row: "bigint", held: "array<struct<first: bigint, last: bigint, kind: string, instance: string, before: string, after: string>>"}))
+    passed = extend(docs, text, work, {row: "bigint", held: "array<struct<first: bigint, last: bigint, kind: string, instance: string, before: string, after: string>>"})
+    passed = written(passed if keep_text else passed.drop(text))
     more = accepted(passed.select(F.col(row).alias("row"), F.explode(held).alias("one")).select("row", "one.*"), rounds=rounds, least_seeds=least_seeds, confidence=confidence)
     more = written(more.groupBy(F.col("row").alias(f"{column}_of")).agg(F.collect_list(F.struct("first", "last", "kind", F.lit(True).alias("added"))).alias(f"{column}_added")))
     joined = passed.join(F.broadcast(more) if more.count() <= BROADCAST_ROWS else more, F.col(row) == F.col(f"{column}_of"), "left")

@@ -18,7 +18,7 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = private.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = private.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
     def count(kind: str):
         return F.size(F.filter("private", lambda x: (x["kind"] == kind) & ~x["added"])).cast("long")
