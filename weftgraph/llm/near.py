@@ -33,6 +33,8 @@ BATCH = 32
 MISS = 1e-6
 #: Shingles that a chunk of classes holds, if no single class has more.
 TILE_SHINGLES = 50_000
+#: So many shingles at a time are columns of the matrices of a tile.
+TILE_COLUMNS = 4096
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32) | np.uint32(1)
 
 
@@ -121,12 +123,18 @@ def _tiles(percent: int):
                 if not open_pairs.any():
                     continue
                 common = np.intersect1d(flat, flat2)
-                left, right = (np.zeros((len(n), len(common)), np.float32) for n in (size, size2))
-                for matrix, values, n in ((left, flat, size), (right, flat2, size2)):
+                shared = np.zeros((len(size), len(size2)), np.float32)
+                placed = []
+                for values, n in ((flat, size), (flat2, size2)):
                     at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
-                    hit = common[at] == values if len(common) else np.zeros(len(values), bool)
-                    matrix[np.repeat(np.arange(len(n)), n)[hit], at[hit]] = 1
-                shared = left @ right.T
+                    hit = np.flatnonzero(common[at] == values) if len(common) else np.zeros(0, np.int64)
+                    placed.append((np.repeat(np.arange(len(n)), n)[hit], at[hit], len(n)))
+                for lo in range(0, len(common), TILE_COLUMNS):
+                    left, right = (np.zeros((n, TILE_COLUMNS), np.float32) for _, _, n in placed)
+                    for matrix, (row, column, _) in zip((left, right), placed, strict=True):
+                        here = (column >= lo) & (column < lo + TILE_COLUMNS)
+                        matrix[row[here], column[here] - lo] = 1
+                    shared += left @ right.T
                 x, y = np.nonzero(open_pairs & (100 * shared >= percent * (size[:, None] + size2 - shared)))
                 a.append(np.minimum(rep[x], rep2[y]))
                 b.append(np.maximum(rep[x], rep2[y]))

@@ -122,6 +122,7 @@ def map_blocks(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, np.ndar
             for rows, data, offsets in blocks(batch, text):
                 if (out := work(rows, data, offsets)) is not None and out.num_rows:
                     yield out
+            batch = rows = data = offsets = out = None  # not kept while the next batch is read
 
     return df.mapInArrow(run, schema)
 
