@@ -351,6 +351,25 @@ def test_language_on_held_out_rows(spark):
     assert language.identify(odd(spark), model).count() == 10
 
 
+def test_every_language_is_learnt(spark):
+    langs = [f"x{k}" for k in range(45) for _ in range(4)]
+    texts = [" ".join(f"{chr(97 + int(x[1:]) % 26) * 2}{chr(97 + int(x[1:]) // 26)}{'aeiou'[j % 5]}" for j in range(k % 4, k % 4 + 20)) for k, x in enumerate(langs)]
+    df = docs(spark, texts, lang=langs)
+    model = language.train(df, F.lit(True), rounds=20)
+    assert set(model.family) == set(langs)
+    assert [x["lang_pred"] for x in language.identify(df, model).orderBy("doc_id").collect()] == langs
+
+
+def test_languages_of_copies_are_learnt(spark):
+    langs = ["de"] * 60 + ["fr"] * 300 + ["en"] * 50
+    texts = ["sch ung keit"] * 60 + ["eaux ment qui"] * 300 + [f"the ing {chr(97 + k % 26)}tion {chr(97 + k // 26)}her" for k in range(50)]
+    df = docs(spark, texts, lang=langs)
+    taken = [sorted(map(tuple, language.sample(df.select("lang", "text").repartition(n, "doc_id"), 3).collect())) for n in (1, 5)]
+    assert taken[0] == taken[1] and [x for x, _ in taken[0]] == ["de", "en", "en", "en", "fr"]
+    out = language.identify(df, language.train(df, F.lit(True), per_language=3)).collect()
+    assert all(x["lang_pred"] == langs[x["doc_id"]] for x in out if langs[x["doc_id"]] != "en")
+
+
 # 10 URLs
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
 from .words import map_blocks, summed
 
 #: Families of ISO 639-1 codes. A language that is not listed is its own family.
@@ -78,51 +79,77 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int, decay: float) -> tuple[np.nd
 
 
 def _counted(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    """The slots that each text has, and their shares."""
     at, counts = slots(data, offsets)
-    out = []
+    places, shares = [], []
     for k in range(rows.num_rows):
         mine = slice(offsets[k], offsets[k + 1])
         share = np.bincount(at[mine][counts[mine]], minlength=SLOTS)[:SLOTS].astype(np.float32)
-        out.append((share / max(1, share.sum())).astype(np.float16).tobytes())
-    return pa.RecordBatch.from_arrays([rows.column("lang").cast(pa.string()), pa.array(out, pa.binary())], ["lang", "shares"])
+        place = np.flatnonzero(share)
+        places.append(place.astype(np.uint16).tobytes())
+        shares.append((share[place] / max(1, share.sum())).astype(np.float16).tobytes())
+    return pa.RecordBatch.from_arrays([rows.column("lang").cast(pa.string()), pa.array(places, pa.binary()), pa.array(shares, pa.binary())], ["lang", "places", "shares"])
 
 
-def train(docs: DataFrame, usable: Column, *, per_language: int = 400, languages: int = 40, families: Mapping[str, tuple[str, ...]] = FAMILIES, rounds: int = 150, decay: float = 1e-4) -> Model:
-    """Fits the SVMs on a bounded sample of the ``usable`` rows with text and lang.
+def sample(rows: DataFrame, per_language: int) -> DataFrame:
+    """lang and text of ``per_language`` distinct texts of each lang, all where there are fewer: those with the smallest hashes.
 
-    The sample holds about ``per_language`` rows of each of the ``languages`` most common
-    languages, chosen by a hash of the row; their 3-gram shares (8 KB a row) come to the
-    driver. No usable row: a model without languages, which says ``und`` to everything.
+    Only hashes are shuffled until the texts are known. Of each language a share of the
+    hashes goes on, twice the number wanted, so that no task ranks a whole language.
+    """
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    distinct = written(hashed.select("lang", "hash").distinct())
+    counts = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    unit = F.pmod(F.xxhash64("hash"), F.lit(1 << 40)) / float(1 << 40)
+    near = distinct.join(F.broadcast(counts), "lang").where(unit < F.lit(2.0 * per_language + 100) / F.col("n"))
+    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(unit, "hash")))
+    chosen = written(ranked.where(F.col("place") <= per_language).select("lang", "hash"))
+    return hashed.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def train(docs: DataFrame, usable: Column, *, per_language: int = 400, families: Mapping[str, tuple[str, ...]] = FAMILIES, rounds: int = 150, decay: float = 1e-4) -> Model:
+    """Fits the SVMs on a sample of the ``usable`` rows with text and lang, bounded for each language.
+
+    Every lang value is learnt, from ``per_language`` of its distinct texts (see ``sample``);
+    the 3-gram shares that are not 0 come to the driver. The pairs grow with the square of
+    the number of families. No usable row: a model without languages, which says ``und`` to
+    everything.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
+    taken = map_blocks(sample(rows, per_language), "text", _counted, "lang string, places binary, shares binary").toPandas()
+    if not len(taken):
         return Model({}, (), np.zeros((0, SLOTS), np.float32), np.zeros(0, np.float32))
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))))
-    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    sample = map_blocks(rows.where(unit < share[F.col("lang")]), "text", _counted, "lang string, shares binary").limit(2 * per_language * languages).toPandas()
-    x = np.stack([np.frombuffer(s, np.float16) for s in sample["shares"]]).astype(np.float64) * SCALE if len(sample) else np.zeros((0, SLOTS))
-    lang = sample["lang"].to_numpy(dtype=object)
+    taken = taken.sort_values(["lang", "places", "shares"], ignore_index=True)
+    lang = taken["lang"].to_numpy(dtype=object)
+
+    def dense(mine: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(mine), SLOTS))
+        for k, row in enumerate(mine):
+            x[k, np.frombuffer(taken["places"][row], np.uint16)] = np.frombuffer(taken["shares"][row], np.float16).astype(np.float64) * SCALE
+        return x
+
     known = {code: name for name, codes in families.items() for code in codes}
-    family = {x: known.get(x, x) for x in sorted(r["lang"] for r in counts)}
+    family = {x: known.get(x, x) for x in sorted({*lang})}
     of = np.array([family[v] for v in lang], object)
     pairs, weights, biases = [], [], []
     for labels, names in [(of, sorted({*family.values()}))] + [(lang, sorted(x for x in family if family[x] == f)) for f in sorted({*family.values()})]:
         for a, b in combinations(names, 2):
-            mine = (labels == a) | (labels == b)
-            w, c = _svm(x[mine], np.where(labels[mine] == a, 1.0, -1.0), rounds, decay)
+            mine = np.flatnonzero((labels == a) | (labels == b))
+            w, c = _svm(dense(mine), np.where(labels[mine] == a, 1.0, -1.0), rounds, decay)
             pairs.append((a, b))
-            weights.append(w)
+            weights.append(w.astype(np.float32))
             biases.append(c)
     return Model(family, tuple(pairs), np.array(weights, np.float32).reshape(-1, SLOTS), np.array(biases, np.float32))
 
 
-def _vote(margins: np.ndarray, pairs: list[tuple[int, str, str]], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The name with most wins for each row (ties: larger sum of margins), and its weakest margin."""
-    n = len(margins)
+def _vote(margin: Callable[[int], np.ndarray], n: int, pairs: list[tuple[int, str, str]], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The name with most wins for each of n rows (ties: larger sum of margins), and its weakest margin.
+
+    ``margin`` gives one pair's margins; they are asked for once, so that never all pairs' are held.
+    """
     wins, total, least = np.zeros((len(names), n)), np.zeros((len(names), n)), np.full((len(names), n), 8.0)
     for k, a, b in pairs:
-        m = margins[:, k]
+        m = margin(k)
         for name, sign in ((a, 1), (b, -1)):
             at = names.index(name)
             wins[at] += sign * m > 0
@@ -148,15 +175,13 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
         if languages:
             at, counts = slots(data, offsets)
             length = np.maximum(1, summed(counts, offsets))
-            margins = np.empty((n, len(model.pairs)))
-            for k, w in enumerate(model.weights):
-                margins[:, k] = summed(w[at] * counts, offsets) / length * SCALE + model.biases[k]
+            margin = lambda k: summed(model.weights[k][at] * counts, offsets) / length * SCALE + model.biases[k]
             told = has_letter(data, offsets)
-            family, sure = _vote(margins, among, families)
+            family, sure = _vote(margin, n, among, families)
             for f, name in enumerate(families):
                 mine = np.flatnonzero(told & (family == f))
                 own = [x for x in languages if model.family[x] == name]
-                best, close = _vote(margins[mine], inside[name], own)
+                best, close = _vote(lambda k, mine=mine: margin(k)[mine], len(mine), inside[name], own)
                 names[mine] = np.array(own, object)[best]
                 score[mine] = 1 / (1 + np.exp(-2 * np.minimum(sure[mine], close)))
         return pa.RecordBatch.from_arrays([rows.column(doc_id), pa.array(names, pa.string()), pa.array(score)], [doc_id, "lang_pred", "score"])
