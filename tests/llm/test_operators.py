@@ -236,6 +236,21 @@ def test_repeats_of_odd_rows(spark):
     assert repeats.without_repeats(odd(spark).where("false")).count() == 0
 
 
+def test_texts_of_one_id_whose_short_hashes_agree(spark):
+    said = " ".join(f"s{k}" for k in range(30))
+    texts = [f"{said if k % 2 else ' '.join(f'u{k}x{j}' for j in range(30))} end{k}" for k in range(2000)]
+    hashed = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "pmod(xxhash64(text), 65536) AS h").collect()
+    groups = {}
+    for x in hashed:
+        groups.setdefault(x["h"], []).append(x["text"])
+    mixed = [g for g in groups.values() if len({t.startswith("s0 ") for t in g}) == 2]
+    assert mixed
+    rows = [(1, said), *((None, t) for g in mixed for t in g)]
+    out = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id IS NULL").collect()
+    assert len(out) == len(rows) - 1
+    assert sorted(x["kept_text"] for x in out) == sorted(t.removeprefix(said).strip() for _, t in rows[1:])
+
+
 def test_matching_statistics():
     r = random.Random(1)
     for _ in range(200):

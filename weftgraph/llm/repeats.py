@@ -86,17 +86,17 @@ def _passages(window: int):
                             out["place"].append(lo - int(words.bounds[k]))
                             out["passage"].append(b" ".join(data[words.first[lo] : words.last[hi - 1]].tobytes().split()))
                 if out["anchor"]:
-                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
     return run
 
 
-RANGES = "doc bigint, part int, first int, last int"
+RANGES = "doc bigint, part bigint, first int, last int"
 
 
 def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc", "part", "first", "last"])
 
 
@@ -187,21 +187,21 @@ def without_repeats(docs: DataFrame, *, window: int = 20, hot: int = 1000) -> Da
     input. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; the kept ones are joined by one space.
 
     Null and empty texts have no words. A null doc_id comes after all others. Rows that
-    repeat a doc_id with another text are ordered by a hash of it; rows that repeat both are
-    one occurrence, and each gets the same result. Other columns are not read.
+    repeat a doc_id with another text are ordered by a 64-bit hash of it; rows that repeat both
+    are one occurrence, and each gets the same result. Other columns are not read.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.withColumns({"doc": F.coalesce("doc_id", F.lit(2**63 - 1)), "part": F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")})
-    anchors = map_blocks(keyed.select("doc", "part", "text"), "text", _anchors(window), "anchor bigint, doc bigint, part int")
+    keyed = keyed.withColumns({"doc": F.coalesce("doc_id", F.lit(2**63 - 1)), "part": F.xxhash64("text")})
+    anchors = map_blocks(keyed.select("doc", "part", "text"), "text", _anchors(window), "anchor bigint, doc bigint, part bigint")
     shared = written(anchors.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > hot).alias("hot")))
     mine = anchors.join(shared, "anchor").groupBy("doc", "part").agg(F.collect_list(F.struct("anchor", "hot")).alias("shared"))
-    found = keyed.select("doc", "part", "text").join(mine, ["doc", "part"], "left").mapInArrow(_passages(window), "anchor bigint, hot boolean, doc bigint, part int, place int, passage binary")
+    found = keyed.select("doc", "part", "text").join(mine, ["doc", "part"], "left").mapInArrow(_passages(window), "anchor bigint, hot boolean, doc bigint, part bigint, place int, passage binary")
     found = written(found)
 
     cool = found.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "doc", "part", "place")
     ranges = cool.select("anchor", "doc", "part", "place", "passage").mapInArrow(_streamed(window), RANGES)
 
-    warm = found.where("hot").select("doc", "part", "place", "passage").mapInArrow(_windows(window), "one bigint, two bigint, doc bigint, part int, place int")
+    warm = found.where("hot").select("doc", "part", "place", "passage").mapInArrow(_windows(window), "one bigint, two bigint, doc bigint, part bigint, place int")
     where = F.struct("doc", "part", "place")
     least = written(warm.groupBy("one", "two").agg(F.min(where).alias("least"), F.max(where).alias("most")).where("least < most").select("one", "two", "least"))
     later = warm.join(least, ["one", "two"]).where(where > F.col("least")).select("doc", "part", F.col("place").alias("first"), (F.col("place") + window).alias("last"))
