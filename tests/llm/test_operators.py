@@ -143,6 +143,15 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert private.find(docs(spark, ["x"]).where("false")).count() == 0
 
 
+def test_learnt_identifiers_make_new_patterns(spark):
+    texts = [f"please call +1 555 010 {1000 + k} today" for k in range(60)]
+    for k in range(6):
+        texts += [f"please call 555-01{k}9-22 today", f"line 555-01{k}9-22 rings"]
+    texts += ["line 777-0001-3 rings", "other 777-0001-4 words"]
+    out = private.find(docs(spark, texts), least_seeds=5, confidence=0.6).orderBy("doc_id").collect()
+    assert [[(s["first"], s["last"], s["kind"], s["added"]) for s in x["private"]] for x in out[-2:]] == [[(5, 15, "phone", True)], []]
+
+
 # 4 toxicity
 
 

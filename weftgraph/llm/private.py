@@ -122,33 +122,42 @@ def _work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, taken: li
     return [pa.array(np.arange(base, base + rows.num_rows)), pa.array(found, pa.list_(pa.struct(FOUND)))]
 
 
-def accepted(found: DataFrame, *, rounds: int = 2, least_seeds: int = 5, confidence: float = 0.7) -> DataFrame:
-    """Spans that the patterns add: row, first, last, kind. ``found``: row, first, last, kind, instance, before, after."""
+def accepted(found: DataFrame, *, least_seeds: int = 5, confidence: float = 0.7, seed_trust: float = 0.8) -> DataFrame:
+    """Spans that the patterns add: row, first, last, kind. ``found``: row, first, last, kind, instance, before, after.
+
+    An instance keeps the kind and trust with which it was learnt, and counts as a seed from
+    ``seed_trust`` on. Votes only grow, so it ends: when no more instance is learnt.
+    """
     patterns = F.array(F.concat(F.lit("< "), "before"), F.concat(F.lit("> "), "after"), F.concat(F.lit("= "), "before", F.lit(" "), "after"))
     graph = written(found.select("row", "first", "last", "kind", "instance", F.explode(patterns).alias("pattern")))
     edges = written(graph.select("pattern", "instance", "kind").distinct())
     sizes = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("size"))
     seeds = edges.where("kind IS NOT NULL").select("instance", "kind").distinct().withColumn("trust", F.lit(1.0))
-    known, unseen = seeds, edges.where("kind IS NULL").select("pattern", "instance")
-    for _ in range(rounds):
+    known, learnt, unseen = seeds, None, edges.where("kind IS NULL").select("pattern", "instance")
+    while True:
         votes = edges.select("pattern", "instance").distinct().join(known, "instance").groupBy("pattern", "kind")
-        votes = votes.agg(F.sum("trust").alias("votes"), F.count(F.when(F.col("trust") == 1.0, 1)).alias("seeds"))
+        votes = votes.agg(F.sum("trust").alias("votes"), F.count(F.when(F.col("trust") >= seed_trust, 1)).alias("seeds"))
         trusted = votes.where(F.col("seeds") >= least_seeds).join(sizes, "pattern").withColumn("trust", F.col("votes") / (F.col("size") + 1))
         trusted = written(trusted.where(F.col("trust") >= confidence).select("pattern", "kind", "trust"))
-        learnt = unseen.join(trusted, "pattern").groupBy("instance", "kind").agg(F.max("trust").alias("trust"))
-        learnt = written(learnt.groupBy("instance").agg(F.max(F.struct("trust", "kind")).alias("best")).select("instance", "best.kind", (F.col("best.trust") * 0.999).alias("trust")))
+        best = unseen.join(trusted, "pattern").groupBy("instance").agg(F.max(F.struct("trust", "kind")).alias("best")).select("instance", "best.kind", (F.col("best.trust") * 0.999).alias("trust"))
+        fresh = written(best if learnt is None else best.join(learnt.select("instance"), "instance", "left_anti"))
+        done = fresh.isEmpty()
+        learnt = fresh if learnt is None else learnt if done else written(learnt.unionByName(fresh))
+        if done:
+            break
         known = seeds.unionByName(learnt.join(seeds.select("instance"), "instance", "left_anti").select("instance", "kind", "trust"))
     there = graph.where("kind IS NULL").drop("kind").join(trusted.select("pattern", "kind"), "pattern")
     return there.join(learnt.select("instance", "kind"), ["instance", "kind"], "left_semi").select("row", "first", "last", "kind").distinct()
 
 
-def find(docs: DataFrame, *, text: str = "text", column: str = "private", keep_text: bool = True, rounds: int = 2, least_seeds: int = 5, confidence: float = 0.7) -> DataFrame:
+def find(docs: DataFrame, *, text: str = "text", column: str = "private", keep_text: bool = True, least_seeds: int = 5, confidence: float = 0.7, seed_trust: float = 0.8) -> DataFrame:
     """``docs`` (without the text, unless ``keep_text``) with ``column``: an array of (first, last, kind, added), by first, kind and last.
 
     Spans are code points, end exclusive. The rules' spans are always there; ``added`` marks
     those that patterns brought: tokens with a digit in a context where at least
     ``least_seeds`` distinct seeds of a kind, and ``confidence`` of all distinct instances,
-    stand. Null and empty texts hold none; repeated rows hold the same; a corpus without
+    stand; what was learnt with a trust of ``seed_trust`` is a seed then. Tokens without a
+    digit are neither candidates nor counted among the instances. Null and empty texts hold none; repeated rows hold the same; a corpus without
     seeds adds nothing.
     """
     row, held = f"{column}_row", f"{column}_found"
@@ -159,7 +168,7 @@ def find(docs: DataFrame, *, text: str = "text", column: str = "private", keep_t
 
     passed = extend(docs, text, work, {row: "bigint", held: "array<struct<first: bigint, last: bigint, kind: string, instance: string, before: string, after: string>>"})
     passed = written(passed if keep_text else passed.drop(text))
-    more = accepted(passed.select(F.col(row).alias("row"), F.explode(held).alias("one")).select("row", "one.*"), rounds=rounds, least_seeds=least_seeds, confidence=confidence)
+    more = accepted(passed.select(F.col(row).alias("row"), F.explode(held).alias("one")).select("row", "one.*"), least_seeds=least_seeds, confidence=confidence, seed_trust=seed_trust)
     more = written(more.groupBy(F.col("row").alias(f"{column}_of")).agg(F.collect_list(F.struct("first", "last", "kind", F.lit(True).alias("added"))).alias(f"{column}_added")))
     joined = passed.join(F.broadcast(more) if more.count() <= BROADCAST_ROWS else more, F.col(row) == F.col(f"{column}_of"), "left")
     base = F.transform(F.filter(held, lambda x: x.kind.isNotNull()), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["kind"].alias("kind"), F.lit(False).alias("added")))
