@@ -23,11 +23,25 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group (five-word shingles, similarity 0.8).
 
-    Of rows that share a doc_id one stays; rows without an id all stay.
+    Different texts of one doc_id are documents of their own, ordered by a hash. Of rows that
+    repeat doc_id and text one stays, the first by its other columns; rows without an id all stay.
     """
-    kept = near.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("stage_id"))
-    named = docs.join(written(kept), F.col("doc_id") == F.col("stage_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    repeated = written(named.groupBy(F.col("doc_id").alias("stage_id")).count().where("count > 1").select("stage_id"))
+    if repeated.isEmpty():
+        kept = near.near_duplicates(named).where("kept").select(F.col("doc_id").alias("stage_id"))
+        return named.join(written(kept), F.col("doc_id") == F.col("stage_id"), "left_semi").unionByName(nameless)
+
+    again = named.join(repeated, F.col("doc_id") == F.col("stage_id"), "left_semi").withColumn("stage_key", F.xxhash64("doc_id", F.col("text").isNull(), "text"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    again = written(again.groupBy("stage_key").agg(F.min_by(F.struct(*docs.columns), order).alias("stage_row")).select("stage_key", "stage_row.*"))
+    once = named.join(repeated, F.col("doc_id") == F.col("stage_id"), "left_anti").withColumn("stage_key", F.col("doc_id").cast("long"))
+    rows = once.unionByName(again)
+    groups = near.near_duplicates(rows.select(F.col("stage_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("stage_key"), "component_id")
+    first = groups.join(rows.select("stage_key", "doc_id"), "stage_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "stage_key")).alias("first"))
+    kept = written(first.select(F.col("first.stage_key").alias("stage_key")))
+    return rows.join(kept, "stage_key", "left_semi").select(*docs.columns).unionByName(nameless)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,12 @@ def test_stages_on_odd_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
     assert empty.count() == 0
+
+
+def test_different_texts_of_one_id_all_stay(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(7, a, "z"), (7, b, "y"), (7, b, "x"), (7, None, "n"), (7, "", "e"), (9, a + " end", "w"), (3, c, "v"), (7, c, "u"), (8, c + " d", "t"), (None, a, "s")]
+    for n in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n)
+        out = corpus_pipeline.without_near_duplicates(spark, docs, "")
+        assert {tuple(r) for r in out.collect()} == {rows[k] for k in (0, 2, 3, 4, 6, 9)} and out.count() == 6
