@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import dropped, written
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -25,13 +25,17 @@ def components(pairs: DataFrame) -> DataFrame:
         pointers = written(best.select(F.col("a").alias("node"), F.when(F.xxhash64("a") < F.col("least"), F.col("a")).otherwise(F.col("b")).alias("to")))
         rounds.append(pointers)
         moved = links.join(pointers.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(pointers.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        links = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        dropped(links)
+        links = left
     if not rounds:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    labels = rounds.pop()
-    for pointers in reversed(rounds):
+    dropped(links)
+    labels = rounds[-1]
+    for pointers in rounds[-2::-1]:
         later = labels.select(F.col("node").alias("to"), F.col("to").alias("end"))
         labels = pointers.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
-    labels = written(labels) if rounds else labels
-    least = written(labels.groupBy("to").agg(F.min(F.least("node", "to")).alias("component")))
-    return labels.join(least, "to").select("node", "component")
+    labels = written(labels)
+    out = written(labels.join(labels.groupBy("to").agg(F.min(F.least("node", "to")).alias("component")), "to").select("node", "component"))
+    dropped(labels, *rounds)
+    return out

@@ -3,12 +3,12 @@
 1. One pass makes each text's shingle set size, a 128-bit identity of the set, and a
    signature of BANDS * ROWS MinHash values (16 bits each). Texts with equal sets are one
    class, of which only the smallest id goes on.
-2. Classes that agree in a whole band are candidates. In each crowded band key, all are first
-   compared with its hub only, the class with most company over all its keys; what that links
-   is one component and needs no further comparison. In keys that still hold several
-   components, classes of different components are compared in tiles: chunks of bounded size
-   against each other, exactly and at once, and only links leave a tile. So no group is
-   expanded into its pairs, and no candidate link between components is left out.
+2. Classes that agree in a whole band are candidates. First each is compared with the hub of
+   one of its band keys, then, in rounds, with the hub of every key that still holds several
+   components; a hub that all of its key were compared with leaves the key. What is left
+   after HUB_ROUNDS is compared in tiles: chunks of bounded size against each other, of
+   which only a spanning forest of the links goes out. So no group is expanded into its
+   pairs, and no candidate link between components is left out.
 3. A candidate pair's signatures are compared in batches; after each, the pair is dropped if
    the posterior probability of a similarity at the threshold is below MISS.
 4. Survivors are confirmed on the full shingle sets.
@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from math import comb
 
@@ -25,16 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import components
-from .tables import written
-from .words import LOWER, Words, map_blocks, mixed, run_hashes
+from .tables import dropped, written
+from .words import LOWER, Words, map_blocks, mixed, paired
 
 BANDS, ROWS = 32, 6
 BATCH = 32
 MISS = 1e-6
-#: Shingles that a chunk of classes holds, if no single class has more.
-TILE_SHINGLES = 50_000
-#: So many shingles at a time are columns of the matrices of a tile.
-TILE_COLUMNS = 4096
+HUB_ROUNDS = 3
+#: A chunk holds classes of about so many shingles, if no single class has more; small ones count as LEAST_SHINGLES.
+TILE_SHINGLES, LEAST_SHINGLES = 50_000, 64
+#: So many shingles at a time are columns of the matrices of a tile, so many pairs at a time are compared.
+TILE_COLUMNS, TILE_PAIRS = 4096, 100_000
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32) | np.uint32(1)
 
 
@@ -44,10 +46,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     hashes = words.hashes()
     grams, at = words.grams(hashes, n)
     bounds = np.searchsorted(at, words.bounds)
-    short = np.flatnonzero((np.diff(words.bounds) > 0) & (np.diff(bounds) == 0))
     out = [np.unique(grams[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    for k in short:
-        out[k] = run_hashes(hashes, words.bounds[k : k + 1], words.bounds[k + 1 : k + 2])
+    for k in np.flatnonzero((np.diff(words.bounds) > 0) & (np.diff(bounds) == 0)):
+        own, whole = hashes[words.bounds[k] : words.bounds[k + 1]], np.full(1, n, np.uint64)
+        for j in range(len(own)):
+            whole = paired(whole, own[j : j + 1])
+        out[k] = whole
     return out
 
 
@@ -85,61 +89,111 @@ def _band_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = np.stack([np.frombuffer(x, np.uint16) for x in part.column("signature").to_pylist()]).astype(np.uint64).reshape(len(part), BANDS, ROWS)
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(part), BANDS)).copy()
             for k in range(ROWS):
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
+                key = paired(key, sig[:, :, k])
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), part.column("rep").take(pa.array(np.repeat(np.arange(len(part)), BANDS)))], ["key", "rep"])
 
 
+def _bars(percent: int, miss: float) -> list[tuple[int, int]]:
+    return [(n, least_matches(n, percent, miss)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+
+def _pruned(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, bars: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (x of a, y of b) that pass every batch."""
+    same = np.zeros(len(x), np.int64)
+    for n, bar in bars:
+        same = same + (a[x, n - BATCH : n] == b[y, n - BATCH : n]).sum(axis=1)
+        stay = same >= bar
+        x, y, same = x[stay], y[stay], same[stay]
+    return x, y
+
+
 def _likely(percent: int, miss: float):
-    bars = [(n, least_matches(n, percent, miss)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+    bars = _bars(percent, miss)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 a, b = (np.stack([np.frombuffer(x, np.uint16) for x in part.column(c).to_pylist()]) for c in ("of_a", "of_b"))
-                left, same = np.arange(len(part)), np.zeros(len(part), np.int64)
-                for n, bar in bars:
-                    same = same + (a[left, n - BATCH : n] == b[left, n - BATCH : n]).sum(axis=1)
-                    stay = same >= bar
-                    left, same = left[stay], same[stay]
-                yield part.select(["a", "b"]).take(pa.array(left))
+                every = np.arange(len(part))
+                yield part.select(["a", "b"]).take(pa.array(_pruned(a, b, every, every, bars)[0]))
 
     return run
 
 
-def _tiles(percent: int):
-    def parts(column, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class _Chunk:
+    """The classes of one side of a tile."""
+
+    def __init__(self, column: pa.Array, k: int) -> None:
         rows = column[k].values
         lists = rows.field("shingles")
-        return rows.field("rep").to_numpy(), rows.field("component").to_numpy(), lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        self.rep, self.component = rows.field("rep").to_numpy(), rows.field("component").to_numpy()
+        self.signature = np.stack([np.frombuffer(x, np.uint16) for x in rows.field("signature").to_pylist()])
+        self.flat, self.size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        self.bounds = np.concatenate(([0], np.cumsum(self.size)))
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of these rows, and the place in ``rows`` of each."""
+        place = np.repeat(np.arange(len(rows)), self.size[rows])
+        inside = np.arange(len(place)) - np.repeat(np.cumsum(self.size[rows]) - self.size[rows], self.size[rows])
+        return self.flat[self.bounds[rows][place] + inside], place
+
+
+def _shared(one: _Chunk, two: _Chunk, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections of rows ``left`` of one with rows ``right`` of two, as a matrix product."""
+    (flat, row), (flat2, row2) = one.of(left), two.of(right)
+    common = np.intersect1d(flat, flat2)
+    out = np.zeros((len(left), len(right)), np.float32)
+    placed = []
+    for values, at in ((flat, row), (flat2, row2)):
+        column = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+        hit = np.flatnonzero(common[column] == values) if len(common) else np.zeros(0, np.int64)
+        placed.append((at[hit], column[hit]))
+    for lo in range(0, len(common), TILE_COLUMNS):
+        matrices = np.zeros((len(left), TILE_COLUMNS), np.float32), np.zeros((len(right), TILE_COLUMNS), np.float32)
+        for matrix, (at, column) in zip(matrices, placed, strict=True):
+            here = (column >= lo) & (column < lo + TILE_COLUMNS)
+            matrix[at[here], column[here] - lo] = 1
+        out += matrices[0] @ matrices[1].T
+    return out
+
+
+def _forest(links: Iterable[tuple[int, int]]) -> Iterator[int]:
+    """The numbers of the links that join two parts not joined before."""
+    root: dict[int, int] = {}
+    for k, ends in enumerate(links):
+        a, b = ends
+        while (up := root.get(a, a)) != a:
+            a = up
+        while (up := root.get(b, b)) != b:
+            b = up
+        if a != b:
+            root[b] = a
+            yield k
+        for x in ends:
+            root[x] = a
+
+
+def _tiles(percent: int, miss: float):
+    bars = _bars(percent, miss)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links between different components in each tile."""
+        """A spanning forest of the links between different components in each tile."""
         for batch in batches:
-            a, b = [], []
             for k in range(batch.num_rows):
-                (rep, comp, flat, size), (rep2, comp2, flat2, size2) = (parts(batch.column(c), k) for c in ("rows", "others"))
-                open_pairs = comp[:, None] != comp2
-                if not open_pairs.any():
+                one, two = (_Chunk(batch.column(c), k) for c in ("rows", "others"))
+                x, y = np.nonzero(one.component[:, None] != two.component)
+                likely = [_pruned(one.signature, two.signature, x[lo : lo + TILE_PAIRS], y[lo : lo + TILE_PAIRS], bars) for lo in range(0, len(x), TILE_PAIRS)]
+                x, y = (np.concatenate(v or [np.zeros(0, np.int64)]) for v in (list(zip(*likely, strict=True)) or ((), ())))
+                if not len(x):
                     continue
-                common = np.intersect1d(flat, flat2)
-                shared = np.zeros((len(size), len(size2)), np.float32)
-                placed = []
-                for values, n in ((flat, size), (flat2, size2)):
-                    at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
-                    hit = np.flatnonzero(common[at] == values) if len(common) else np.zeros(0, np.int64)
-                    placed.append((np.repeat(np.arange(len(n)), n)[hit], at[hit], len(n)))
-                for lo in range(0, len(common), TILE_COLUMNS):
-                    left, right = (np.zeros((n, TILE_COLUMNS), np.float32) for _, _, n in placed)
-                    for matrix, (row, column, _) in zip((left, right), placed, strict=True):
-                        here = (column >= lo) & (column < lo + TILE_COLUMNS)
-                        matrix[row[here], column[here] - lo] = 1
-                    shared += left @ right.T
-                x, y = np.nonzero(open_pairs & (100 * shared >= percent * (size[:, None] + size2 - shared)))
-                a.append(np.minimum(rep[x], rep2[y]))
-                b.append(np.maximum(rep[x], rep2[y]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                (left, at), (right, at2) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+                shared = _shared(one, two, left, right)[at, at2]
+                linked = np.flatnonzero(100 * shared >= percent * (one.size[x] + two.size[y] - shared))
+                ends = zip(one.component[x[linked]].tolist(), two.component[y[linked]].tolist(), strict=True)
+                linked = linked[np.fromiter(_forest(ends), np.int64)]
+                a, b = one.rep[x[linked]], two.rep[y[linked]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
@@ -149,7 +203,6 @@ class _Confirmer:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, crowded: DataFrame, shingle: int, percent: int, miss: float) -> None:
         self.percent, self.miss = percent, miss
-        reps = crowded.select("rep").distinct()
         self.signatures = classes.select("rep", "signature")
 
         def sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -158,6 +211,7 @@ class _Confirmer:
             flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], ["rep", "shingles"])
 
+        reps = crowded.select("rep").distinct()
         mine = docs.join(reps, docs["doc_id"] == reps["rep"], "left_semi")
         self.sets = written(map_blocks(mine, "text", sets, "rep long, shingles array<bigint>"))
 
@@ -165,26 +219,87 @@ class _Confirmer:
         """Links between components among the classes of each key (key, rep, component).
 
         The classes of a key are dealt to chunks of about TILE_SHINGLES; each pair of chunks
-        is a tile, in which one product of 0/1 matrices gives all intersections. Only links
-        leave a tile.
+        is a tile. Only links leave a tile, at most one fewer than it has components.
         """
-        sized = self.sets.select("rep", F.size("shingles").cast("long").alias("size"))
+        sized = self.sets.select("rep", F.greatest(F.size("shingles"), F.lit(LEAST_SHINGLES)).cast("long").alias("size"))
         totals = written(placed.join(sized, "rep").groupBy("key").agg(F.ceil(F.sum("size") / TILE_SHINGLES).alias("chunks")))
-        dealt = placed.join(self.sets, "rep").join(totals, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-        packed = written(dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct("rep", "component", "shingles")).alias("rows")))
+        dealt = placed.join(self.sets, "rep").join(self.signatures, "rep").join(totals, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+        packed = written(dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct("rep", "component", "signature", "shingles")).alias("rows")))
         other = packed.select("key", F.col("chunk").alias("its"), F.col("rows").alias("others"))
         tiles = packed.join(other, "key").where("chunk <= its").select("rows", "others")
-        return written(tiles.mapInArrow(_tiles(self.percent), "a long, b long").distinct())
+        found = written(tiles.mapInArrow(_tiles(self.percent, self.miss), "a long, b long").distinct())
+        dropped(totals, packed)
+        return found
 
     def links(self, pairs: DataFrame) -> DataFrame:
         a = self.signatures.select(F.col("rep").alias("a"), F.col("signature").alias("of_a"))
         b = self.signatures.select(F.col("rep").alias("b"), F.col("signature").alias("of_b"))
-        likely = written(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(_likely(self.percent, self.miss), "a long, b long").distinct())
+        likely = written(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(_likely(self.percent, self.miss), "a long, b long"))
         a = self.sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a"))
         b = self.sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b"))
         both = likely.join(a, "a").join(b, "b")
         shared = F.size(F.array_intersect("of_a", "of_b"))
-        return written(both.where(100 * shared >= self.percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"))
+        found = written(both.where(100 * shared >= self.percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"))
+        dropped(likely)
+        return found
+
+
+def _placed(rows: DataFrame, of: DataFrame | None) -> DataFrame:
+    """(key, rep) with the component of rep: itself, if it is linked with nothing."""
+    if of is None:
+        return rows.select("key", "rep", F.col("rep").alias("component"))
+    return rows.select("key", "rep").join(of.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of keys with several components, with their number; of keys with the same rows, one."""
+    same = F.bit_xor(F.xxhash64("rep")).alias("one"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("two")
+    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), *same).where("low < high")
+    keys = keys.groupBy("one", "two").agg(F.min(F.struct("key", "n")).alias("first")).select("first.key", "first.n")
+    return written(placed.join(keys, "key"))
+
+
+def _joined(of: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after more links between nodes."""
+    if of is None:
+        return components(links)
+    at = of.unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component"))).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    at = written(at.groupBy("node").agg(F.min("component").alias("component")))
+    ends = links.join(at.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(at.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    moved = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    out = written(at.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+    dropped(of, at, moved)
+    return out
+
+
+def _components(crowded: DataFrame, confirm: _Confirmer, links: DataFrame | None) -> DataFrame | None:
+    """(node, component) of all classes that are linked; ``links``: those known before. Drops ``crowded``."""
+    of = None if links is None else components(links)
+    rows = _open(_placed(crowded, of))
+    dropped(crowded)
+    for k in range(1 + HUB_ROUNDS):
+        if rows.isEmpty():
+            break
+        degrees = rows.groupBy("rep").agg(F.sum("n").alias("degree"))
+        hubs = rows.join(degrees, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("id"), "component")).alias("hub"))
+        hubs = written(hubs.select("key", F.col("hub.degree").alias("degree"), (-F.col("hub.id")).alias("leader"), F.col("hub.component").alias("its")))
+        pairs = rows.join(hubs, "key").where("component <> its")
+        if k:
+            pairs = pairs.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+        else:  # of each class only the pair with its greatest hub
+            pairs = pairs.groupBy("rep").agg(F.max(F.struct("degree", (-F.col("leader")).alias("id"))).alias("hub")).select((-F.col("hub.id")).alias("a"), F.col("rep").alias("b"))
+        found = confirm.links(pairs)
+        if not found.isEmpty():
+            of = _joined(of, found)
+        left = rows.join(hubs, "key").where("rep <> leader") if k else rows
+        again = _open(_placed(left, of))
+        dropped(rows, hubs, found)
+        rows = again
+    if not rows.isEmpty() and not (found := confirm.across(rows)).isEmpty():
+        of = _joined(of, found)
+        dropped(found)
+    dropped(rows)
+    return of
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -203,11 +318,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, mis
     def sketch(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         own = shingle_sets(data, offsets, shingle)
         sizes = np.array([len(s) for s in own], np.int64)
-        bounds = np.concatenate(([0], np.cumsum(sizes)))
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
-        one = run_hashes(flat, bounds[:-1], bounds[1:])
-        two = run_hashes(mixed(flat * np.uint64(0xD6E8FEB86659FD93)), bounds[:-1], bounds[1:])
-        rest = [pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([s.tobytes() for s in signatures(own)], pa.binary())]
+        same = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in own], np.int64).reshape(-1, 2)
+        rest = [pa.array(sizes), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array([s.tobytes() for s in signatures(own)], pa.binary())]
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), *rest], ["doc_id", "n_shingles", "set_a", "set_b", "signature"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -218,34 +330,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, mis
 
     keyed = classes.select("rep", "signature").mapInArrow(_band_rows, "key long, rep long")
     crowds = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    crowded = written(keyed.join(crowds, "key"))
+    crowded = written(keyed.join(crowds, "key").select("key", "rep"))
     confirm = _Confirmer(docs, classes, crowded, shingle, percent, miss)
-    degrees = crowded.groupBy("rep").agg(F.sum("n").alias("degree"))
-    hubs = crowded.join(degrees, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("id"))).alias("hub"))
-    hubs = written(hubs.select("key", (-F.col("hub.id")).alias("leader")))
-    links = confirm.links(crowded.join(hubs, "key").where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct())
     # a document id with several texts is one node, whose classes are linked
-    several = full.select("doc_id", "set_a", "set_b").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    several = written(several.select("doc_id"))
+    several = written(full.select("doc_id", "set_a", "set_b").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    links = None
     if not several.isEmpty():
         named = full.join(several, "doc_id").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
-        links = links.unionByName(written(named.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()))
-
-    of = written(components(links))
-    placed = crowded.select("key", "rep").join(of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    members = F.bit_xor(F.xxhash64("rep")), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)"))
-    still = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), members[0].alias("one"), members[1].alias("two")).where("low < high")
-    still = written(still.groupBy("one", "two").agg(F.min("key").alias("key")).select("key"))
-    if not still.isEmpty():
-        found = confirm.across(placed.join(still, "key"))
-        if not found.isEmpty():
-            at = of.unionByName(found.select(F.col("a").alias("node"), F.col("a").alias("component"))).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("component")))
-            at = at.groupBy("node").agg(F.min("component").alias("component"))
-            ends = found.join(at.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(at.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
-            joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
-            of = written(at.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-
-    named = written(classes.select("set_a", "set_b", "rep").join(of.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component")))
+        links = written(named.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct())
+    of = _components(crowded, confirm, links)
+    named = classes.select("set_a", "set_b", "rep")
+    if of is None:
+        named = named.withColumnRenamed("rep", "component")
+    else:
+        named = named.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
+    named = written(named)
     out = sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = written(out.select("doc_id", "n_shingles", component.alias("component_id")))
+    dropped(sketches, classes, crowds, confirm.sets, several, links, of, named)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

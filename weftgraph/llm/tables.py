@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftgraph.sources.tables import shared_folder, table, written
+from weftgraph.sources.tables import dropped, shared_folder, table, written
 
-__all__ = ["WORD", "held_out", "shared_folder", "table", "written"]
+__all__ = ["WORD", "dropped", "held_out", "shared_folder", "table", "written"]
 
 #: One word of a text: a longest run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

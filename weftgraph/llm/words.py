@@ -6,6 +6,7 @@ about half a megabyte of text at a time (or one text, if that is longer).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -23,20 +24,9 @@ NOT_LETTER = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
 #: A-Z to a-z, all else unchanged.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base modulo 2**64 and of its inverse, from 0 to n - 1."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _UNBASE)):
-            steps = np.full(max(n, BLOCK_BYTES), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -48,12 +38,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def run_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[first:last] for each pair, from prefix sums."""
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mixed((sums[last] - sums[first]) * down[first])
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of ordered pairs of hashes."""
+    b = b * _ODD[1]
+    turned = b >> np.uint64(29)
+    b <<= np.uint64(35)
+    b |= turned
+    b ^= a * _ODD[0]
+    return mixed(b)
+
+
+def byte_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[first:last] for each pair, by eight bytes at a time; long ones by BLAKE2."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    size = last - first
+    h = mixed(size.astype(np.uint64) * _ODD[0] + _ODD[1])
+    left, done = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while len(left):
+        here = np.minimum(8, size[left] - done).astype(np.uint64)
+        part = eight[first[left] + done] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * here))
+        h[left] = mixed(h[left] ^ (part * _ODD[1]))
+        done += 8
+        left = left[size[left] > done]
+    for k in np.flatnonzero(size > LONG_WORD):
+        h[k] = int.from_bytes(hashlib.blake2b(data[first[k] : last[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 class Words:
@@ -77,19 +87,30 @@ class Words:
         return len(self.first)
 
     def hashes(self) -> np.ndarray:
-        return run_hashes(_BYTES[self.data], self.first, self.last)
+        return byte_hashes(self.data, self.first, self.last)
 
     def prefixes(self, n: int) -> np.ndarray:
         """Hashes of the first n bytes of the words that are longer; 0 for others."""
-        h = run_hashes(_BYTES[self.data], self.first, np.minimum(self.first + n, self.last))
-        h[self.last - self.first <= n] = 0
-        return h
+        out, longer = np.zeros(len(self), np.uint64), np.flatnonzero(self.last - self.first > n)
+        out[longer] = byte_hashes(self.data, self.first[longer], self.first[longer] + n)
+        return out
 
     def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of n consecutive words of one text, and the number of the first word."""
+        """Hashes of n consecutive words of one text, and the number of the first word.
+
+        Those of 2, 4, 8 and so on words are pairs of the ones before; n is put together from them.
+        """
         at = np.arange(max(0, len(self) - n + 1))
         at = at[self.text[at] == self.text[at + n - 1]] if len(at) else at
-        return run_hashes(hashes, at, at + n), at
+        out, done, power, size = None, 0, hashes, 1
+        while len(at):
+            if n & size:
+                here = power[at + done]
+                out, done = here if out is None else paired(out, here), done + size
+            if done == n:
+                return out, at
+            power, size = paired(power[:-size], power[size:]), 2 * size
+        return np.zeros(0, np.uint64), at
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
