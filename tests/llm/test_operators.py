@@ -152,6 +152,28 @@ def test_learnt_identifiers_make_new_patterns(spark):
     assert [[(s["first"], s["last"], s["kind"], s["added"]) for s in x["private"]] for x in out[-2:]] == [[(5, 15, "phone", True)], []]
 
 
+def test_identifiers_without_digits_and_plain_words(spark):
+    texts = [f"write to mailbox user{k}@mail.example please" for k in range(12)]
+    texts += ["write to mailbox bob-at-mail please", "see the thing bob-at-mail here", "the +1 555 010 1000 of", *(f"of the +1 555 010 {2000 + k} of" for k in range(9)), "of the well-known of", *(f"of the word{chr(97 + k)} of" for k in range(9))]
+    out = private.find(docs(spark, texts), least_seeds=5, confidence=0.6).orderBy("doc_id").collect()
+    added = {x["doc_id"]: [(s["first"], s["last"], s["kind"]) for s in x["private"] if s["added"]] for x in out}
+    # nine words stand where nine numbers do, so "well-known" is none
+    assert {k: v for k, v in added.items() if v} == {12: [(17, 28, "email")]}
+
+
+def test_long_contexts_and_instances_are_told_apart(spark):
+    long = "x" * 200
+    texts = [f"call {long}a +1 555 010 {1000 + k} now{k}" for k in range(9)] + [f"call {long}b 555-0199-{k} yes{k}" for k in range(3)]
+    out = private.find(docs(spark, texts), least_seeds=5, confidence=0.6).orderBy("doc_id").collect()
+    assert not [s for x in out for s in x["private"] if s["added"]]
+
+
+def test_redaction_of_a_long_text_with_many_spans(spark):
+    said = " ".join(f"é{k} me{k}@mail.example" for k in range(20_000))
+    out = private.redact(private.find(docs(spark, [said, None, ""]))).orderBy("doc_id").collect()
+    assert out[0]["text"] == " ".join(f"é{k} [EMAIL]" for k in range(20_000)) and out[1]["text"] is None and out[2]["text"] == ""
+
+
 # 4 toxicity
 
 
@@ -264,11 +286,10 @@ def test_matching_statistics():
     r = random.Random(1)
     for _ in range(200):
         known = ["".join(r.choice("ab") for _ in range(r.randrange(0, 12))) for _ in range(3)]
-        automaton, text = SuffixAutomaton(), "".join(r.choice("abc") for _ in range(20))
-        for k in known:
-            automaton.add(k)
-        want = [max((n for n in range(i + 2) if any(text[i + 1 - n : i + 1] in k for k in known)), default=0) for i in range(len(text))]
-        assert list(automaton.matching(text)) == want
+        automaton = SuffixAutomaton()
+        for j, text in enumerate([*known, "".join(r.choice("abc") for _ in range(20))]):
+            want = [max(n for n in range(i + 2) if text[i + 1 - n : i + 1] in text[:i] or any(text[i + 1 - n : i + 1] in k for k in known[:j])) for i in range(len(text))]
+            assert list(automaton.add(text)) == want
 
 
 # 7 mixing

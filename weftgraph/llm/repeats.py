@@ -3,10 +3,11 @@
 The reference is the corpus itself, which no broadcast can hold. So it is cut into shards by
 content: of each window of words the k-gram with the smallest hash is its anchor, and equal
 windows have equal anchors. The windows of one anchor at one place are a short passage. All
-passages of an anchor are a reference shard; its automaton is built in (document, place)
-order while the passages stream by, and a window whose matching statistic reaches the window
-length starts earlier. Anchors in more than ``hot`` documents would make unbounded shards;
-their windows are compared by 128-bit hashes with pre-aggregated minima instead.
+passages of an anchor are a reference shard; its automaton grows in (document, place) order
+as the passages stream by, and a window whose matching statistic reaches the window length
+starts earlier. Of equal texts only the first is searched; all windows of the others start
+earlier. Anchors of more than ``hot`` passages would make unbounded shards; their windows
+are compared by two independent 64-bit hashes, with pre-aggregated minima, instead.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffix import SuffixAutomaton
-from .tables import written
-from .words import Words, blocks, extend, map_blocks, mixed
+from .tables import dropped, written
+from .words import Words, blocks, extend
 
-GRAM = 5
+GRAM = 10
 
 
 def passages(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,47 +48,39 @@ def passages(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
 
 
 def _anchors(window: int):
-    def work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        """The distinct anchors of each text."""
+    def work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        """The number of words and the anchors of each text, one for each of its passages."""
         words = Words(data, offsets)
         anchor, first, _ = passages(words, words.hashes(), window)
-        pairs = np.unique(np.stack((words.text[first].astype(np.uint64), anchor), axis=1), axis=0) if len(first) else np.zeros((0, 2), np.uint64)
-        at = pa.array(pairs[:, 0].astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64)), rows.column("doc").take(at), rows.column("part").take(at)], ["anchor", "doc", "part"])
+        cuts = np.searchsorted(words.text[first], np.arange(rows.num_rows + 1))
+        return [pa.array(np.diff(words.bounds)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(anchor.view(np.int64)))]
 
     return work
 
 
 def _passages(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The passages of each text whose anchor is elsewhere too, or twice in the text."""
+        """The passages of each text whose anchor is in ``cool`` or ``warm``."""
         for batch in batches:
             for rows, data, offsets in blocks(batch, "text"):
                 words = Words(data, offsets)
                 anchor, first, last = passages(words, words.hashes(), window)
-                out: dict[str, list] = {k: [] for k in ("anchor", "hot", "doc", "part", "place", "passage")}
-                docs, parts = rows.column("doc").to_pylist(), rows.column("part").to_pylist()
-                shared, texts = rows.column("shared"), words.text[first]
-                cuts = np.searchsorted(texts, np.arange(rows.num_rows + 1))
+                anchor, cuts = anchor.view(np.int64), np.searchsorted(words.text[first], np.arange(rows.num_rows + 1))
+                numbers, hot = [], []
                 for k in range(rows.num_rows):
                     mine = np.arange(cuts[k], cuts[k + 1])
-                    if not len(mine):
-                        continue
-                    own = anchor[mine].view(np.int64)
-                    _, which, times = np.unique(own, return_inverse=True, return_counts=True)
-                    hot = {x["anchor"]: x["hot"] for x in shared[k].as_py() or ()}
-                    for j, a, n in zip(mine.tolist(), own.tolist(), times[which].tolist(), strict=True):
-                        if n > 1 or a in hot:
-                            lo, hi = int(first[j]), int(last[j]) + window
-                            out["anchor"].append(a)
-                            out["hot"].append(hot.get(a, False))
-                            out["doc"].append(docs[k])
-                            out["part"].append(parts[k])
-                            out["place"].append(lo - int(words.bounds[k]))
-                            out["passage"].append(b" ".join(data[words.first[lo] : words.last[hi - 1]].tobytes().split()))
-                if out["anchor"]:
-                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+                    cool, warm = (np.asarray(rows.column(c)[k].as_py() or (), np.int64) for c in ("cool", "warm"))
+                    is_hot = np.isin(anchor[mine], warm)
+                    taken = is_hot | np.isin(anchor[mine], cool)
+                    numbers.append(mine[taken])
+                    hot.append(is_hot[taken])
+                numbers, hot = np.concatenate(numbers), np.concatenate(hot)
+                lo, hi = first[numbers], last[numbers] + window
+                text = words.text[lo]
+                said = [b" ".join(data[a:b].tobytes().split()) for a, b in zip(words.first[lo].tolist(), words.last[hi - 1].tolist(), strict=True)]
+                take = pa.array(text)
+                out = [pa.array(anchor[numbers]), pa.array(hot), rows.column("doc").take(take), rows.column("part").take(take), pa.array((lo - words.bounds[text]).astype(np.int32)), pa.array(said, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, ["anchor", "hot", "doc", "part", "place", "passage"])
 
     return run
 
@@ -103,35 +96,22 @@ def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 def _streamed(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Word ranges that start earlier; the rows of an anchor come together, in order."""
-        anchor, known, automaton, waiting, before = None, set(), None, None, None
+        anchor, automaton, before = None, SuffixAutomaton(), None
         for batch in batches:
             out = []
             for a, doc, part, place, passage in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "part", "place", "passage")), strict=True):
                 if a != anchor:
-                    anchor, known, automaton, waiting, before = a, set(), None, passage, (doc, part, place)
-                    known.add(passage)
-                    continue
+                    anchor, automaton, before = a, SuffixAutomaton(), None
                 if (doc, part, place) == before:  # the same row of the corpus again
                     continue
-                before, words = (doc, part, place), None
-                if passage in known:
-                    out.append((doc, part, place, place + passage.count(b" ") + 1))
-                    continue
-                if automaton is None:
-                    automaton = SuffixAutomaton()
-                    automaton.add(waiting.split(b" "))
-                words = passage.split(b" ")
-                done = -1
-                for end, length in enumerate(automaton.matching(words), 1):
+                before, done = (doc, part, place), -1
+                for end, length in enumerate(automaton.add(passage.split(b" ")), place + 1):
                     if length >= window:
-                        first = place + end - window
-                        if done >= first:
-                            out[-1] = (doc, part, out[-1][2], place + end)
+                        if done >= end - window:
+                            out[-1] = (doc, part, out[-1][2], end)
                         else:
-                            out.append((doc, part, first, place + end))
-                        done = place + end
-                automaton.add(words)
-                known.add(passage)
+                            out.append((doc, part, end - window, end))
+                        done = end
             if out:
                 yield _ranges(out)
 
@@ -142,28 +122,28 @@ def _windows(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """128-bit hashes of all windows of the passages."""
         for batch in batches:
-            joined = b"\n".join(batch.column("passage").to_pylist())
-            data = np.frombuffer(joined, np.uint8)
-            cuts = np.concatenate(([0], np.flatnonzero(data == 10) + 1, [len(data)]))
-            words = Words(data, cuts)
-            hashes = words.hashes()
-            one, at = words.grams(hashes, window)
-            two, _ = words.grams(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), window)
-            row = words.text[at]
-            place = batch.column("place").to_numpy()[row] + (at - words.bounds[row])
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("doc").take(take), batch.column("part").take(take), pa.array(place.astype(np.int32))], ["one", "two", "doc", "part", "place"])
+            for lo in range(0, batch.num_rows, 1000):
+                rows = batch.slice(lo, 1000)
+                said = rows.column("passage").to_pylist()
+                words = Words(np.frombuffer(b"\n".join(said), np.uint8), np.cumsum([0, *(len(x) + 1 for x in said[:-1]), len(said[-1])]))
+                one, at = words.grams(words.hashes(), window)
+                two, _ = words.grams(words.hashes(1), window)
+                row = words.text[at]
+                place, take = rows.column("place").to_numpy()[row] + (at - words.bounds[row]), pa.array(row)
+                out = [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), rows.column("doc").take(take), rows.column("part").take(take), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(out, ["one", "two", "doc", "part", "place"])
 
     return run
 
 
 def _kept(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     n_words, n_removed, kept, spans = [], [], [], []
-    ranges = rows.column("ranges")
+    ranges, whole = rows.column("ranges"), rows.column("whole")
     for k in range(rows.num_rows):
         words = data[offsets[k] : offsets[k + 1]].tobytes().split()
         own, left, done = [], [], 0
-        for x in sorted((x["first"], x["last"]) for x in ranges[k].as_py() or ()):
+        gone = [(0, len(words))] if whole[k].as_py() else sorted((x["first"], x["last"]) for x in ranges[k].as_py() or ())
+        for x in gone:
             if own and x[0] <= own[-1][1]:
                 own[-1][1] = max(own[-1][1], x[1])
             else:
@@ -192,21 +172,34 @@ def without_repeats(docs: DataFrame, *, window: int = 20, hot: int = 1000) -> Da
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumns({"doc": F.coalesce("doc_id", F.lit(2**63 - 1)), "part": F.xxhash64("text")})
-    anchors = map_blocks(keyed.select("doc", "part", "text"), "text", _anchors(window), "anchor bigint, doc bigint, part bigint")
-    shared = written(anchors.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > hot).alias("hot")))
-    mine = anchors.join(shared, "anchor").groupBy("doc", "part").agg(F.collect_list(F.struct("anchor", "hot")).alias("shared"))
-    found = keyed.select("doc", "part", "text").join(mine, ["doc", "part"], "left").mapInArrow(_passages(window), "anchor bigint, hot boolean, doc bigint, part bigint, place int, passage binary")
+    known = extend(keyed.select("doc", "part", F.xxhash64(F.lit(1), "text").alias("more"), "text"), "text", _anchors(window), {"n": "bigint", "anchors": "array<bigint>"})
+    known = written(known.drop("text"))
+    firsts = known.groupBy("part", "more").agg(F.min("doc").alias("owner"))
+    owned = known.where(F.col("n") >= window).join(firsts, ["part", "more"])
+    copies = written(owned.where("doc > owner").select("doc", "part").distinct())
+    anchors = written(owned.where("doc = owner").select("doc", "part", "anchors").distinct())
+    dropped(known)
+    each = anchors.select("doc", "part", F.explode("anchors").alias("anchor"))
+    shared = written(each.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > hot).alias("hot")))
+    mine = each.join(shared, "anchor").groupBy("doc", "part").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cool"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("warm"))
+    mine = written(mine)
+    dropped(anchors, shared)
+    found = keyed.select("doc", "part", "text").join(mine, ["doc", "part"]).mapInArrow(_passages(window), "anchor bigint, hot boolean, doc bigint, part bigint, place int, passage binary")
     found = written(found)
+    dropped(mine)
 
     cool = found.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "doc", "part", "place")
-    ranges = cool.select("anchor", "doc", "part", "place", "passage").mapInArrow(_streamed(window), RANGES)
+    ranges = written(cool.select("anchor", "doc", "part", "place", "passage").mapInArrow(_streamed(window), RANGES))
 
     warm = found.where("hot").select("doc", "part", "place", "passage").mapInArrow(_windows(window), "one bigint, two bigint, doc bigint, part bigint, place int")
     where = F.struct("doc", "part", "place")
     least = written(warm.groupBy("one", "two").agg(F.min(where).alias("least"), F.max(where).alias("most")).where("least < most").select("one", "two", "least"))
-    later = warm.join(least, ["one", "two"]).where(where > F.col("least")).select("doc", "part", F.col("place").alias("first"), (F.col("place") + window).alias("last"))
+    later = written(warm.join(least, ["one", "two"]).where(where > F.col("least")).select("doc", "part", F.col("place").alias("first"), (F.col("place") + window).alias("last")))
+    dropped(found, least)
 
     every = ranges.unionByName(later).groupBy("doc", "part").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    joined = keyed.join(every, ["doc", "part"], "left").select("doc_id", "text", "ranges")
+    every = written(every.withColumn("whole", F.lit(False)).unionByName(copies.withColumns({"ranges": F.lit(None).cast("array<struct<first: int, last: int>>"), "whole": F.lit(True)})))
+    dropped(ranges, later, copies)
+    joined = keyed.join(every, ["doc", "part"], "left").select("doc_id", "text", "ranges", "whole")
     fields = {"n_words": "bigint", "n_removed": "bigint", "kept_text": "string", "removed": "array<struct<first: int, last: int>>"}
-    return extend(joined, "text", _kept, fields).drop("text", "ranges")
+    return extend(joined, "text", _kept, fields).drop("text", "ranges", "whole")

@@ -1,4 +1,4 @@
-"""A suffix automaton over sequences of words, and matching statistics against it."""
+"""A suffix automaton over sequences of words, which gives matching statistics as it grows."""
 
 from __future__ import annotations
 
@@ -30,27 +30,20 @@ class SuffixAutomaton:
             at = self.link[at]
         return copy
 
-    def add(self, symbols: Iterable[Hashable]) -> None:
-        last = 0
+    def add(self, symbols: Iterable[Hashable]) -> Iterator[int]:
+        """Adds a sequence; for each position, the length of the longest string ending there that was there before."""
+        last, size = 0, 0
         for symbol in symbols:
+            size += 1
             if symbol in self.moves[last]:
                 last = self._split(last, symbol)
+                yield size
                 continue
-            now, at = self._state(self.length[last] + 1, {}, 0), last
+            now, at = self._state(size, {}, 0), last
             while at >= 0 and symbol not in self.moves[at]:
                 self.moves[at][symbol] = now
                 at = self.link[at]
             if at >= 0:
                 self.link[now] = self._split(at, symbol)
             last = now
-
-    def matching(self, symbols: Iterable[Hashable]) -> Iterator[int]:
-        """For each position, the length of the longest match that ends there."""
-        at, length = 0, 0
-        for symbol in symbols:
-            while at and symbol not in self.moves[at]:
-                at = self.link[at]
-                length = self.length[at]
-            if symbol in self.moves[at]:
-                at, length = self.moves[at][symbol], length + 1
-            yield length
+            yield self.length[self.link[now]]

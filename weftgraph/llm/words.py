@@ -48,12 +48,12 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(b)
 
 
-def byte_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[first:last] for each pair, by eight bytes at a time; long ones by BLAKE2."""
+def byte_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of data[first:last] for each pair, by eight bytes at a time; long ones by BLAKE2. Other seeds: others."""
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
     size = last - first
-    h = mixed(size.astype(np.uint64) * _ODD[0] + _ODD[1])
+    h = mixed((size.astype(np.uint64) + np.uint64(seed << 56)) * _ODD[0] + _ODD[1])
     left, done = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
     while len(left):
         here = np.minimum(8, size[left] - done).astype(np.uint64)
@@ -62,7 +62,7 @@ def byte_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
         done += 8
         left = left[size[left] > done]
     for k in np.flatnonzero(size > LONG_WORD):
-        h[k] = int.from_bytes(hashlib.blake2b(data[first[k] : last[k]].tobytes(), digest_size=8).digest(), "little")
+        h[k] = int.from_bytes(hashlib.blake2b(data[first[k] : last[k]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
     return h
 
 
@@ -86,8 +86,8 @@ class Words:
     def __len__(self) -> int:
         return len(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return byte_hashes(self.data, self.first, self.last)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return byte_hashes(self.data, self.first, self.last, seed)
 
     def prefixes(self, n: int) -> np.ndarray:
         """Hashes of the first n bytes of the words that are longer; 0 for others."""
