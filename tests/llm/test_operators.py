@@ -1,6 +1,5 @@
 """Each operator against brute force, exact round trips, or held-out accuracy; and odd inputs."""
 
-import hashlib
 import random
 import re
 
@@ -97,6 +96,16 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near.near_duplicates(odd(spark).where("false")).count() == 0
 
 
+def test_words_that_a_polynomial_hash_confuses(spark):
+    one = "a"
+    for _ in range(10):
+        one += one.translate({97: 98, 98: 97})
+    two = one.translate({97: 98, 98: 97})
+    texts = [one, two, " ".join(one), " ".join(two), one[:40], two[:40]]
+    out = near.near_duplicates(docs(spark, texts), shingle=5).collect()
+    assert {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in out} == brute_near(texts, 5, 80)
+
+
 # 2 nearest neighbours
 
 
@@ -229,6 +238,21 @@ def test_layouts_give_the_same_turns(spark):
         chat.format_chats(spark.createDataFrame([(1, "x")], "conv_id long, other string"))
 
 
+def test_a_table_of_mixed_layouts(spark):
+    schema = "conv_id long, messages array<struct<role: string, content: string>>, prompt string, completion string, instruction string, input string, output string, layout_note string"
+    say = [("user", "hi"), ("assistant", "yo<|")]
+    rows = [(1, say, None, None, None, None, None, "x"), (2, None, "hi", "yo<|", None, None, None, None), (3, None, None, None, None, None, None, None), (4, [], None, None, None, None, None, None), (5, say, None, None, None, None, None, None), (5, [("human", "two"), None], None, None, None, None, None, None), (6, None, None, None, "do", "it", "yo<|", None), (7, None, None, None, "hi", None, "yo<|", None), (8, None, "hi", None, None, None, None, None)]
+    out = chat.format_chats(spark.createDataFrame(rows, schema)).withColumns({"said": chat.parsed(F.col("formatted")), "loss": chat.under_loss(F.col("formatted"), F.col("loss_spans"))}).collect()
+    got = sorted((x["conv_id"], [tuple(s) for s in x["said"]], x["loss"]) for x in out)
+    said = [("user", "hi"), ("assistant", "yo<|")]
+    assert got == [(1, said, "yo<|"), (2, said, "yo<|"), (3, [], ""), (4, [], ""), (5, said, "yo<|"), (5, [("user", "two"), ("", "")], ""), (6, [("user", "do\n\nit"), ("assistant", "yo<|")], "yo<|"), (7, said, "yo<|"), (8, [("user", "hi")], "")]
+    both = spark.createDataFrame([(1, 0, "user", "hi", None), (1, 1, "assistant", "yo<|", None), (2, None, None, None, say)], "conv_id long, turn int, role string, text string, messages array<struct<role: string, content: string>>")
+    assert len({x["formatted"] for x in chat.format_chats(both).collect()}) == 1
+    long = [(1, [(("user", "assistant")[k % 2], "x" * (k % 5)) for k in range(3000)])]
+    x = chat.format_chats(spark.createDataFrame(long, "conv_id long, messages array<struct<role: string, content: string>>")).first()
+    assert [x["formatted"][s["first"] : s["last"]] for s in x["loss_spans"]] == [t for r, t in long[0][1] if r == "assistant"]
+
+
 # 6 repeated sequences
 
 
@@ -371,10 +395,18 @@ def test_leaks_are_those_of_brute_force(spark):
             assert edit_distance(token.findall(lower(dict(items)[m["item_id"]])), token.findall(lower(x["text"][m["first"] : m["last"]]))) == m["distance"]
         assert got == want, x["text"]
     sharded = leaks.find(df, bench, shard_bytes=200).collect()
-    assert [x["leaks"] for x in sharded] == [x["leaks"] for x in out]
+    by_id = lambda rows: sorted((x["doc_id"], x["leaks"]) for x in rows)
+    assert by_id(sharded) == by_id(out)
     assert leaks.find(odd(spark).drop("leaks"), bench).count() == 10 and leaks.find(df, bench.where("false")).where("size(leaks) > 0").count() == 0
 
 
+def test_repeated_passages_of_one_document(spark):
+    items = [(1, "word"), (2, "one two three one two three")]
+    texts = ["word " * 3000, "one two three " * 2000]
+    out = leaks.find(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    assert len(out[0]["leaks"]) == 3000 and len(out[1]["leaks"]) == 1000 and all(m["distance"] == 0 for x in out for m in x["leaks"])
+
+
 # 9 language
 
 
@@ -445,7 +477,3 @@ def test_url_model_on_unseen_hosts(spark):
     out = {x["page_id"]: x["verdict"] for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), model, ()).collect()}
     assert out == {1: "block", 2: "block", 3: "allow", 4: "allow"}
     assert urls.train(urls.labelled_urls(spark).where("label = 0"))[0] == 0.0
-
-
-def test_digest_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

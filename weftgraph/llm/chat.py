@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,13 +21,14 @@ ROLE_ESCAPES = (*ESCAPES, ("\n", MARK + "2"))
 class Layout(NamedTuple):
     """A mapping: the nested paths that it needs, and how it makes turns.
 
-    ``turns`` are (role, path) pairs, used in that order where the path is not null; or
-    ``each`` is an array path whose elements hold role and text; or both are empty, where
-    each row is one turn (conversation, turn, role and text columns in ``row``).
+    ``turns`` are a role and one or more paths each, whose values are joined by a blank
+    line; a turn of null values only is left out. Or ``each`` is an array path whose elements hold role
+    and text. Or both are empty, where each row is one turn (conversation, turn, role and
+    text columns in ``row``).
     """
 
     paths: frozenset[str]
-    turns: tuple[tuple[str, str], ...] = ()
+    turns: tuple[tuple[str, ...], ...] = ()
     each: tuple[str, str, str] | None = None
     row: tuple[str, str, str, str] | None = None
 
@@ -38,7 +40,7 @@ LAYOUTS = {
     "rows": Layout(frozenset({"conv_id", "turn", "role", "text"}), row=("conv_id", "turn", "role", "text")),
     "messages": Layout(frozenset({"messages", "messages[].role", "messages[].content"}), each=("messages", "role", "content")),
     "shared": Layout(frozenset({"conversations", "conversations[].from", "conversations[].value"}), each=("conversations", "from", "value")),
-    "instruction_input": Layout(frozenset({"instruction", "input", "output"}), turns=(("system", "instruction"), ("user", "input"), ("assistant", "output"))),
+    "instruction_input": Layout(frozenset({"instruction", "input", "output"}), turns=(("user", "instruction", "input"), ("assistant", "output"))),
     "instruction": Layout(frozenset({"instruction", "output"}), turns=(("user", "instruction"), ("assistant", "output"))),
     "prompt_completion": Layout(frozenset({"prompt", "completion"}), turns=(("user", "prompt"), ("assistant", "completion"))),
     "prompt_response": Layout(frozenset({"system", "prompt", "response"}), turns=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -60,18 +62,35 @@ def fingerprint(paths: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-def layout_of(schema: T.StructType, layouts: Mapping[str, Layout] = LAYOUTS) -> Layout:
-    """The layout whose fingerprint is that of the known paths among the schema's.
-
-    Columns that no layout names don't count, so extra ones are harmless. If several
-    layouts share the schema, the one with most paths is taken.
-    """
-    found, known = set(nested_paths(schema)), {fingerprint(x.paths): x for x in layouts.values()}
-    held = fingerprint(found & set().union(*(x.paths for x in layouts.values())))
-    fits = [known[held]] if held in known else [x for x in layouts.values() if x.paths <= found]
+def fitting(schema: T.StructType, layouts: Mapping[str, Layout] = LAYOUTS) -> list[Layout]:
+    """The layouts whose paths the schema has, those with most paths first."""
+    found = set(nested_paths(schema))
+    fits = sorted((x for x in layouts.values() if x.paths <= found), key=lambda x: (-len(x.paths), fingerprint(x.paths)))
     if not fits:
         raise ValueError(f"no layout for the paths {sorted(found)}")
-    return max(fits, key=lambda x: len(x.paths))
+    return fits
+
+
+def _column(path: str) -> str:
+    return path.split("[")[0].split(".")[0]
+
+
+def layout_in_row(fits: Sequence[Layout]) -> Column:
+    """Which of the layouts a row has: the first whose fingerprint is that of the row's own paths among its.
+
+    A path is a row's own if its column isn't null there. Without such a layout, the first
+    of which some said column isn't null; null, if there is none.
+    """
+
+    def own(x: Layout) -> Column:
+        present = F.array(*(F.when(F.col(_column(p)).isNotNull(), F.lit(p)) for p in sorted(x.paths)))
+        return F.sha2(F.array_join(present, "\n"), 256) == fingerprint(x.paths)
+
+    def partly(x: Layout) -> Column:
+        said = x.row[2:] if x.row else [x.each[0]] if x.each else [p for turn in x.turns for p in turn[1:]]
+        return reduce(lambda a, b: a | b, (F.col(p).isNotNull() for p in said))
+
+    return F.coalesce(*(F.when(test(x), k) for test in (own, partly) for k, x in enumerate(fits)))
 
 
 def escaped(text: Column, escapes: Iterable[tuple[str, str]] = ESCAPES) -> Column:
@@ -86,35 +105,59 @@ def restored(text: Column, escapes: Iterable[tuple[str, str]] = ESCAPES) -> Colu
     return text
 
 
-def turns(df: DataFrame, conv_id: str = "conv_id", layouts: Mapping[str, Layout] = LAYOUTS) -> DataFrame:
-    """Canonical turns of a table in any known layout: conv_id, turn, role, text.
-
-    Null roles and texts are empty; in the one-row layouts a null field makes no turn.
-    """
-    layout, roles = layout_of(df.schema, layouts), F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))
-    if layout.row:
-        conv, turn, role, text = map(F.col, layout.row)
-        return df.select(conv.alias("conv_id"), turn.alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+def _said(layout: Layout) -> Column:
+    """The turns of a row that is a whole conversation: an array of (role, text)."""
     if layout.each:
         array, role, text = layout.each
-        flat = df.select(F.col(conv_id).alias("conv_id"), F.posexplode(array).alias("turn", "said"))
-        name = F.coalesce(F.col("said")[role], F.lit(""))
-        return flat.select("conv_id", "turn", F.coalesce(roles[name], name).alias("role"), F.coalesce(F.col("said")[text], F.lit("")).alias("text"))
-    said = [F.struct(F.lit(k).alias("turn"), F.lit(role).alias("role"), F.col(path).cast("string").alias("text")) for k, (role, path) in enumerate(layout.turns)]
-    flat = df.select(F.col(conv_id).alias("conv_id"), F.explode(F.filter(F.array(*said), lambda x: x.text.isNotNull())).alias("said"))
-    return flat.select("conv_id", "said.*")
+        roles = F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))
 
+        def turn(x: Column) -> Column:
+            name = F.coalesce(x[role], F.lit(""))
+            return F.struct(F.coalesce(roles[name], name).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
 
-def format_chats(df: DataFrame, conv_id: str = "conv_id", layouts: Mapping[str, Layout] = LAYOUTS) -> DataFrame:
-    """conv_id, formatted and loss_spans of each conversation.
+        return F.transform(array, turn)
+    every = []
+    for role, *paths in layout.turns:
+        values = [F.col(p).cast("string") for p in paths]
+        text = values[0] if len(values) == 1 else F.when(F.coalesce(*values).isNotNull(), F.concat_ws("\n\n", *values))
+        every.append(F.struct(F.lit(role).alias("role"), text.alias("text")))
+    return F.filter(F.array(*every), lambda x: x["text"].isNotNull())
 
-    ``formatted`` marks each turn; marks inside roles and texts are escaped so that
-    ``parsed`` gives them back. ``loss_spans`` are the code point spans [first, last) of
-    the assistant texts in it. Turns go by turn number (null first), ties by role and text;
-    repeated rows are turns of their own. One shuffle, by conversation; no state beyond one
-    conversation. An empty table gives no rows; a null conversation id is one conversation.
-    """
-    said = turns(df, conv_id, layouts)
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums_before(lengths: Column, block: int = 256) -> Column:
+    """For each element the sum of those before it; by blocks, so that long arrays stay cheap."""
+
+    def total(array: Column) -> Column:
+        return F.aggregate(array, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    def starts(x: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), (F.size(x) / block).cast("int")), lambda k: total(F.slice(x, k * block + 1, block)))
+        return _let(sums, lambda s: F.transform(s, lambda _, k: total(F.slice(s, 1, k))))
+
+    return _let(lengths, lambda x: _let(starts(x), lambda first: F.transform(x, lambda _, k: F.get(first, (k / block).cast("int")) + total(F.slice(x, (k - k % block + 1).cast("int"), (k % block).cast("int"))))))
+
+
+def _of_whole_rows(df: DataFrame, conv_id: str, said: Column) -> DataFrame:
+    """Formats rows that are whole conversations; nothing is shuffled."""
+    heads = F.transform(said, lambda x: F.struct(F.concat(F.lit(START), escaped(x["role"], ROLE_ESCAPES), F.lit("\n")).alias("head"), escaped(x["text"]).alias("body"), (x["role"] == "assistant").alias("learnt")))
+    pieces = df.select(F.col(conv_id).alias("conv_id"), F.coalesce(heads, F.array()).alias("pieces"))
+    ends = len(END) + 1
+    firsts = _sums_before(F.transform("pieces", lambda x: (F.length(x["head"]) + F.length(x["body"]) + ends).cast("bigint")))
+    spans = F.zip_with("pieces", firsts, lambda x, at: F.when(x["learnt"], F.struct((at + F.length(x["head"])).alias("first"), (at + F.length(x["head"]) + F.length(x["body"])).alias("last"))))
+    return pieces.select(
+        "conv_id",
+        F.array_join(F.transform("pieces", lambda x: F.concat(x["head"], x["body"], F.lit(END + "\n"))), "").alias("formatted"),
+        F.filter(spans, lambda x: x.isNotNull()).alias("loss_spans"),
+    )
+
+
+def _of_turn_rows(said: DataFrame) -> DataFrame:
+    """Formats conversations whose turns (conv_id, turn, role, text) are rows; one shuffle, by conversation."""
     role, text = escaped(F.col("role"), ROLE_ESCAPES), escaped(F.col("text"))
     said = said.withColumns({"head": F.concat(F.lit(START), role, F.lit("\n")), "body": text})
     said = said.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
@@ -129,6 +172,37 @@ def format_chats(df: DataFrame, conv_id: str = "conv_id", layouts: Mapping[str,
     )
 
 
+def format_chats(df: DataFrame, conv_id: str = "conv_id", layouts: Mapping[str, Layout] = LAYOUTS) -> DataFrame:
+    """conv_id, formatted and loss_spans of each conversation.
+
+    Each row's layout is chosen by the fingerprint of its own nested paths (see
+    ``layout_in_row``), so a table may mix layouts. ``formatted`` marks each turn; marks
+    inside roles and texts are escaped so that ``parsed`` gives them back. ``loss_spans``
+    are the code point spans [first, last) of the assistant texts in it.
+
+    Rows that are turns: by turn number (null first), ties by role and text; repeated rows
+    are turns of their own; a null conversation id is one conversation. Rows that are whole
+    conversations give a row each, also where they repeat a conv_id; a null or empty list
+    of turns, or a row without any field of a layout, is an empty conversation ("" and no
+    span). Null roles and texts are empty; a null field of a one-row layout makes no turn.
+    An empty table gives no rows; a table that has the columns of no layout is an error.
+    """
+    fits = fitting(df.schema, layouts)
+    whole = [k for k, x in enumerate(fits) if not x.row]
+    chosen = df if len(fits) == 1 else df.withColumn("layout", layout_in_row(fits))
+    out = []
+    for k, x in enumerate(fits):
+        if x.row:
+            conv, turn, role, text = map(F.col, x.row)
+            mine = chosen if not whole else chosen.where(F.col("layout") == k)
+            out.append(_of_turn_rows(mine.select(conv.alias("conv_id"), turn.alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))))
+    if whole:
+        rest = chosen if len(whole) == len(fits) else chosen.where(F.coalesce(F.col("layout").isin(whole), F.lit(True)))
+        said = _said(fits[whole[0]]) if len(fits) == 1 else F.coalesce(*(F.when(F.col("layout") == k, _said(fits[k])) for k in whole))
+        out.append(_of_whole_rows(rest, conv_id, said))
+    return reduce(DataFrame.unionByName, out)
+
+
 def parsed(formatted: Column) -> Column:
     """The turns, as an array of (role, text), read back from formatted output."""
     segments = F.filter(F.split(formatted, r"<\|im_start\|>", -1), lambda x: x != "")

@@ -8,6 +8,7 @@ smallest distance of the whole item to a passage around it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import dropped, written
 from .words import LOWER, Words, bytes_of, code_points, extend
 
 #: Between words here: ASCII that is neither letter nor digit.
@@ -36,35 +38,49 @@ class Pieces(NamedTuple):
     places: np.ndarray
 
 
-def distances(pattern: tuple[int, ...], text: list[int]) -> list[int]:
-    """For each prefix of text, the smallest edit distance of pattern to a suffix of it (Myers, 1999)."""
+def distances(pattern: Sequence[int], text: Sequence[int], begin: int = 0) -> Iterator[int]:
+    """For each prefix of text[begin:], the smallest edit distance of pattern to a suffix of it (Myers, 1999)."""
     same: dict[int, int] = {}
     for i, x in enumerate(pattern):
         same[x] = same.get(x, 0) | 1 << i
     full, top = (1 << len(pattern)) - 1, 1 << len(pattern) - 1
-    up, down, now, out = full, 0, len(pattern), []
-    for x in text:
-        eq = same.get(x, 0)
+    up, down, now = full, 0, len(pattern)
+    for k in range(begin, len(text)):
+        eq = same.get(text[k], 0)
         vertical = eq | down
         diagonal = (((eq & up) + up) ^ up) | eq
         rises, falls = down | (full & ~(diagonal | up)), up & diagonal
         now += bool(rises & top) - bool(falls & top)
         rises, falls = rises << 1 & full, falls << 1 & full
         up, down = falls | (full & ~(vertical | rises)), rises & vertical
-        out.append(now)
-    return out
+        yield now
 
 
 def matches(item: Item, text: list[int]) -> list[tuple[int, int, int]]:
-    """Passages of text within the item's budget, as (distance, first, last), not overlapping, in order."""
-    found = distances(item.words, text)
-    if not found or min(found) > item.budget:
-        return []
-    best = min(found)
-    last = found.index(best) + 1
-    back = distances(item.words[::-1], text[:last][::-1])
-    first = last - 1 - max(k for k, d in enumerate(back) if d == best and k + 1 <= len(item.words) + best)
-    return [*matches(item, text[:first]), (best, first, last), *((d, a + last, b + last) for d, a, b in matches(item, text[last:]))]
+    """Passages of text within the item's budget, as (distance, first, last), not overlapping, in order.
+
+    From the left, a passage gives way to a better one that overlaps it; what is taken is
+    not searched again, so the work grows with the text, however many passages there are.
+    """
+    out, at, reach = [], 0, len(item.words) + item.budget
+
+    def begin(end: int, distance: int) -> int:
+        before = text[max(at, end - reach) : end][::-1]
+        return end - 1 - max(k for k, d in enumerate(distances(item.words[::-1], before)) if d == distance)
+
+    while True:
+        best = None
+        for end, d in enumerate(distances(item.words, text, at), at + 1):
+            if best is None:
+                best = (d, begin(end, d), end) if d <= item.budget else None
+            elif end > best[2] + reach:
+                break
+            elif d < best[0] and (first := begin(end, d)) < best[2]:
+                best = (d, first, end)
+        if best is None:
+            return out
+        out.append(best)
+        at = best[2]
 
 
 def prepared(rows: list[tuple[int, str]], rate: float) -> tuple[list[Item], dict[int, Pieces]]:
@@ -110,16 +126,18 @@ def find(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.2, shard_byte
     """``docs`` with ``column``: an array of (item_id, distance, first, last) in order of place.
 
     ``first`` and ``last`` are code points, end exclusive. Words are runs of letters and
-    digits, ASCII lower-cased. The benchmark goes to the executors in shards of about
-    ``shard_bytes``; with several, each document is searched for one after the other in
-    the same pass, and nothing is shuffled. Items without a word match nothing; null texts
-    hold nothing; an item that is there twice is found twice; an empty benchmark or table
-    gives empty arrays or no rows.
+    digits, ASCII lower-cased; equality is that of 64-bit hashes of words. The benchmark goes
+    to the executors in shards of about ``shard_bytes``, and only one at a time is in the
+    driver: with several, each is a pass of its own whose result is written before the next
+    begins. Nothing is shuffled. Items without a word match nothing; null texts hold
+    nothing; an item that is there twice is found twice; an empty benchmark or table gives
+    empty arrays or no rows.
     """
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards, kind = max(1, -(-total // shard_bytes)), pa.list_(pa.struct(FIELDS))
     names = [f"{column}_{k}" for k in range(shards)]
+    before = None
     for k, name in enumerate(names):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         entries, pieces = prepared([tuple(r) for r in own.orderBy("item_id", "text").collect()], rate)
@@ -144,5 +162,9 @@ def find(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.2, shard_byte
             return [pa.array([sorted(x, key=lambda m: (m["first"], m["item_id"])) for x in found], kind)]
 
         docs = extend(docs, text, work, {name: "array<struct<item_id: bigint, distance: int, first: bigint, last: bigint>>"})
+        if k + 1 < shards:
+            docs = written(docs)
+            dropped(before)
+            before = docs
     joined = F.array_sort(F.concat(*names), lambda a, b: F.when(a["first"] < b["first"], -1).when(a["first"] > b["first"], 1).when(a["item_id"] < b["item_id"], -1).when(a["item_id"] > b["item_id"], 1).otherwise(0)) if shards > 1 else F.col(names[0])
     return docs.withColumn(column, joined).drop(*(n for n in names if n != column))
