@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import leaks, mixing, near, private, toxicity
-from weftgraph.llm.tables import table, written
+from weftgraph.llm.tables import dropped, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     repeated = written(named.groupBy(F.col("doc_id").alias("stage_id")).count().where("count > 1").select("stage_id"))
     if repeated.isEmpty():
         kept = near.near_duplicates(named).where("kept").select(F.col("doc_id").alias("stage_id"))
-        return named.join(written(kept), F.col("doc_id") == F.col("stage_id"), "left_semi").unionByName(nameless)
+        return named.join(kept, F.col("doc_id") == F.col("stage_id"), "left_semi").unionByName(nameless)
 
     again = named.join(repeated, F.col("doc_id") == F.col("stage_id"), "left_semi").withColumn("stage_key", F.xxhash64("doc_id", F.col("text").isNull(), "text"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -73,7 +73,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        out = written(stage(spark, docs, sf_dir))
+        dropped(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

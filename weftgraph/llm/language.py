@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import dropped, written
 from .words import map_blocks, summed
 
 #: Families of ISO 639-1 codes. A language that is not listed is its own family.
@@ -116,7 +116,9 @@ def train(docs: DataFrame, usable: Column, *, per_language: int = 400, families:
     everything.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    taken = map_blocks(sample(rows, per_language), "text", _counted, "lang string, places binary, shares binary").toPandas()
+    texts = written(sample(rows, per_language))
+    taken = map_blocks(texts, "text", _counted, "lang string, places binary, shares binary").toPandas()
+    dropped(texts)
     if not len(taken):
         return Model({}, (), np.zeros((0, SLOTS), np.float32), np.zeros(0, np.float32))
     taken = taken.sort_values(["lang", "places", "shares"], ignore_index=True)
@@ -174,14 +176,20 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
         names, score = np.full(n, UNKNOWN, object), np.zeros(n)
         if languages:
             at, counts = slots(data, offsets)
-            length = np.maximum(1, summed(counts, offsets))
-            margin = lambda k: summed(model.weights[k][at] * counts, offsets) / length * SCALE + model.biases[k]
+            length, sizes = np.maximum(1, summed(counts, offsets)), np.diff(offsets)
+
+            def margin(k: int, at: np.ndarray, counts: np.ndarray, offsets: np.ndarray, length: np.ndarray) -> np.ndarray:
+                return summed(model.weights[k][at] * counts, offsets) / length * SCALE + model.biases[k]
+
             told = has_letter(data, offsets)
-            family, sure = _vote(margin, n, among, families)
+            family, sure = _vote(lambda k: margin(k, at, counts, offsets, length), n, among, families)
             for f, name in enumerate(families):
                 mine = np.flatnonzero(told & (family == f))
                 own = [x for x in languages if model.family[x] == name]
-                best, close = _vote(lambda k, mine=mine: margin(k)[mine], len(mine), inside[name], own)
+                # only the family's texts are held against its pairs
+                places = np.repeat(offsets[:-1][mine] - np.concatenate(([0], np.cumsum(sizes[mine])[:-1])), sizes[mine]) + np.arange(sizes[mine].sum()) if len(mine) else mine
+                some = at[places], counts[places], np.concatenate(([0], np.cumsum(sizes[mine]))), length[mine]
+                best, close = _vote(lambda k, some=some: margin(k, *some), len(mine), inside[name], own)
                 names[mine] = np.array(own, object)[best]
                 score[mine] = 1 / (1 + np.exp(-2 * np.minimum(sure[mine], close)))
         return pa.RecordBatch.from_arrays([rows.column(doc_id), pa.array(names, pa.string()), pa.array(score)], [doc_id, "lang_pred", "score"])

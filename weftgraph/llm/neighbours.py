@@ -126,13 +126,14 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, query_block: i
     """
     kind = "array<double>"
     rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vector"), is_query.alias("asks"))
-    rows = written(rows.where(usable(F.col("vector"))).withColumn("dim", F.size("vector")))
+    # rows are dealt to blocks by a number of their own, so that repeated ones spread
+    rows = written(rows.where(usable(F.col("vector"))).withColumns({"dim": F.size("vector"), "number": F.monotonically_increasing_id()}))
     total, asked = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
     across, down = max(1, -(-total // candidate_block)), max(1, -(-asked // query_block))
     schema = "dim int, block long, ids binary, vectors binary"
 
     def packed(df: DataFrame, blocks: int) -> DataFrame:
-        dealt = df.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)))
+        dealt = df.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)))
         return dealt.select("dim", "block", "vec_id", "vector").mapInArrow(_packed, schema)
 
     queries = packed(rows.where("asks").dropDuplicates(["vec_id"]), down).select("dim", F.col("block").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("col"), "ids", "vectors")

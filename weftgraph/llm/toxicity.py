@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import dropped, written
 from .words import LOWER, NOT_LETTER, Words, code_points, extend, map_blocks
 
 #: Lengths in bytes of the word beginnings that are features beside whole words.
@@ -73,6 +73,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "t
     kept = seen.where("feature <> 0").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(most_features).select("feature").toPandas()
     hashes = np.sort(kept["feature"].to_numpy(np.int64).view(np.uint64))
     bags = map_blocks(sample, "text", _bags(hashes), "label int, plain long, at array<int>, bag array<int>").toPandas()
+    dropped(sample)
     weights, bias = _fit(bags, len(hashes), rounds, decay, toxic_weight)
     return Model(hashes, weights, bias)
 

@@ -26,23 +26,36 @@ RULES = (
     Rule("com", "/de/", "block"),
 )
 
-#: Hosts of the labelled table, each with a few paths: 1 is to be blocked.
-UNWANTED = ("free-bets", "cheap-pills", "casino-bonus", "win-casino", "win-cash-now", "adult-videos", "adult-chat", "payday-loans", "hot-singles", "replica-watches", "free-casino", "best-pills", "xxx-tube", "bets-odds", "ads-network", "ad-track", "ads-clicks", "click-tracker", "spam-links", "link-farm", "content-farm", "spam-mail")
-WANTED = ("news", "library", "university", "weather", "recipes", "docs", "history-museum", "open-data", "city-council", "gardening", "science-journal", "travel-guide", "farmers-market", "win-probability", "free-software", "hiking-tracks", "chess-club", "addresses", "singles-chess", "thering", "tionsh", "therou", "ththnd", "tionble", "theren")
+#: Names of hosts in the labelled table, general words of both kinds: 1 is to be blocked.
+UNWANTED = """
+casino poker slots roulette jackpot bets betting bookmaker lottery gambling adult porn xxx escort singles dating camgirls nude
+pills pharmacy viagra cialis steroids replica counterfeit payday loans creditfix getrich forexbot cryptodoubler prizewinner
+freegift giftcard clickbait popunder adserver adtracker trackpixel bannerads linkfarm spamlist contentfarm doorway phishing
+malware cracked warez keygen torrentz hackedmods fakeid
+""".split()
+WANTED = """
+news library university weather recipes documentation history museum science journal travel guide market garden hiking chess
+software addresses theatre national education foundation health hospital school council government parliament archive encyclopedia
+dictionary translation language literature poetry novels authors bookshop music orchestra painting gallery photography cinema
+architecture engineering mathematics physics chemistry biology medicine nursing nutrition cooking bakery restaurant hotel railway
+airport cycling football tennis swimming athletics mountain river forest wildlife animals birds insects oceans climate geology
+astronomy weathermap farming forestry fishing harbour construction furniture carpentry knitting clothing fashion shoes jewellery
+insurance accounting banking economics business industry transport energy electricity waterworks recycling community charity church
+village tourism heritage genealogy family children parenting teaching training research laboratory computing programming database
+network security hardware robotics statistics opinion magazine radio television station weekly
+""".split()
+PATHS = ("", "index.html", "about/", "article/{n}", "en/{n}", "de/{n}.html", "fr/{n}/", "es/{n}?page=2", "2021/05/{n}", "p?id={n}", "blog/{n}#top", "category/{n}/item")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table: url, label (1: to be blocked)."""
-    rows = [
-        (f"{scheme}://{prefix}{name}.example.{top}/{path}", label)
-        for label, names in ((1, UNWANTED), (0, WANTED))
-        for k, name in enumerate(names)
-        for scheme, prefix, top, path in (
-            ("http", "", ("com", "net", "org")[k % 3], f"en/{17 * k + 3}"),
-            ("https", "www.", ("net", "org", "com")[k % 3], f"de/{29 * k + 5}.html"),
-            ("https", ("m.", "blog.")[k % 2], ("org", "com", "net")[k % 3], f"{('fr', 'es')[k % 2]}/{31 * k + 8}/"),
-        )
-    ]
+    rows, tops = [], ("com", "net", "org")
+    for label, names in ((1, UNWANTED), (0, WANTED)):
+        for k, name in enumerate(names):
+            mate = names[(7 * k + 3) % len(names)]
+            for j, host in enumerate((name, f"www.{name}-{mate}", f"{('m', 'blog', 'shop')[k % 3]}.{mate}{name}")):
+                path = PATHS[(k + 5 * j) % len(PATHS)].format(n=137 * k + 31 * j + 2)
+                rows.append((f"{('http', 'https')[j % 2]}://{host}.example.{tops[(k + j) % 3]}/{path}", label))
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {y})" for u, y in rows) + " AS t(url, label)")
 
 
@@ -77,12 +90,13 @@ def grams(host: Column, path: Column, lengths: Sequence[int], slots: int) -> Col
     return F.concat(*(of(t, n) for t in marked for n in lengths))
 
 
-def train(labelled: DataFrame, *, lengths: Sequence[int] = (3, 4), slots: int = 1 << 12, rounds: int = 40, rate: float = 0.5, decay: float = 1e-3, most_rows: int = 10_000) -> tuple[float, list[float]]:
+def train(labelled: DataFrame, *, lengths: Sequence[int] = (3, 4), slots: int = 1 << 12, rounds: int = 40, rate: float = 0.5, decay: float = 1e-3, block_share: float = 0.35, most_rows: int = 10_000) -> tuple[float, list[float]]:
     """Bias and slot weights of a logistic regression.
 
     ``labelled`` (url, label) is a small table by contract; at most ``most_rows`` of its
-    rows, in url order, are used, and their slots come to the driver. Null urls count as
-    empty. Without rows of both labels all weights are 0.
+    rows, in url order, are used, and their slots come to the driver. The rows to be
+    blocked have ``block_share`` of the weight, so that what the model knows nothing of is
+    rather allowed. Null urls count as empty. Without rows of both labels all weights are 0.
     """
     host, path = parts(F.col("url"))
     rows = labelled.where("label IS NOT NULL").orderBy("url", "label").limit(most_rows).select(grams(host, path, lengths, slots).alias("slots"), F.col("label").cast("double")).collect()
@@ -95,7 +109,7 @@ def train(labelled: DataFrame, *, lengths: Sequence[int] = (3, 4), slots: int =
         for at, y in rows:
             unit = 1 / math.sqrt(len(at) or 1)
             slope = (1 / (1 + math.exp(-max(-30.0, min(30.0, bias + unit * sum(weights[i] for i in at)))))) - y
-            slope *= 0.5 / share if y else 0.5 / (1 - share)
+            slope *= block_share / share if y else (1 - block_share) / (1 - share)
             bias -= step * slope * 0.1
             for i in at:
                 weights[i] -= step * (slope * unit + decay * weights[i])
