@@ -149,5 +149,7 @@ def related_pairs(items: DataFrame, evidence: DataFrame) -> DataFrame:
 def top_of_type(entries: DataFrame, kind: str, order: Sequence[str], most: int = 10) -> DataFrame:
     """The first ``most`` of each type, and how many more there are, as ``more``."""
     place = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
-    total = F.count(F.lit(1)).over(Window.partitionBy(kind))
-    return entries.withColumns({"place": place, "more": F.greatest(F.lit(0), total - most)}).where(F.col("place") <= most)
+    # a window with nothing but the place keeps only the first of each partition before the shuffle
+    first = entries.withColumn("place", place).where(F.col("place") <= most)
+    total = entries.groupBy(F.col(kind).alias("of_kind")).agg(F.greatest(F.lit(0), F.count(F.lit(1)) - most).alias("more"))
+    return first.join(total, F.col(kind).eqNullSafe(F.col("of_kind"))).drop("of_kind")

@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.sources.tables import written
+from weftgraph.sources.tables import dropped, written
 
 
-def levels(tasks: DataFrame, needs: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def levels(tasks: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(task, level) by repeatedly taking the tasks whose needs are all done, and the needs
     (task, dep) that remain, which is empty exactly if there is no cycle. Needs of unknown tasks
-    are left out."""
+    are left out.
+
+    Each task keeps the number of needs that are left, which its needs lower as they are done;
+    the edges are written once and only read by what was done last.
+    """
     known = tasks.select("task").distinct()
-    left = written(needs.select("task", "dep").distinct().join(known, "task", "left_semi").join(known.withColumnRenamed("task", "dep"), "dep", "left_semi").select("task", "dep"))
-    open_tasks, done = written(known), None
-    for level in range(most):
-        free = written(open_tasks.join(left.select("task").distinct(), "task", "left_anti").withColumn("level", F.lit(level)))
+    edges = written(needs.select("task", "dep").distinct().join(known, "task", "left_semi").join(known.withColumnRenamed("task", "dep"), "dep", "left_semi").select("task", "dep"))
+    left = written(known.join(edges.groupBy("task").agg(F.count(F.lit(1)).alias("left")), "task", "left").select("task", F.coalesce("left", F.lit(0)).alias("left")))
+    done, level = None, 0
+    while True:
+        free = written(left.where("left = 0").select("task", F.lit(level).alias("level")))
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
-        open_tasks = written(open_tasks.join(free, "task", "left_anti"))
-        left = written(left.join(free.select(F.col("task").alias("dep")), "dep", "left_anti"))
-    return (done if done is not None else open_tasks.withColumn("level", F.lit(0)).where("false")), left
+        fewer = edges.join(free.select(F.col("task").alias("dep")), "dep").groupBy("task").agg(F.count(F.lit(1)).alias("fewer"))
+        now = written(left.where("left > 0").join(fewer, "task", "left").select("task", (F.col("left") - F.coalesce("fewer", F.lit(0))).alias("left")))
+        dropped(left)
+        left, level = now, level + 1
+    remaining = edges.join(left.select(F.col("task").alias("dep")), "dep", "left_semi").select("task", "dep")
+    return (done if done is not None else free), remaining
 
 
 def problems(tasks: DataFrame, needs: DataFrame) -> DataFrame:
@@ -49,13 +57,13 @@ def progress_state(tasks: DataFrame, needs: DataFrame) -> DataFrame:
 
 
 def parallel_groups(needs: DataFrame) -> DataFrame:
-    """Tasks with the same set of needs, where there are several: deps, tasks, n."""
+    """A row for each task with the same set of needs as others: deps, n (how many there are), task."""
     sets = needs.groupBy("task").agg(F.array_join(F.array_sort(F.collect_set("dep")), ",").alias("deps"))
-    return sets.groupBy("deps").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("task")), ",").alias("tasks")).where("n > 1")
+    return sets.join(sets.groupBy("deps").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "deps").select("deps", "n", "task")
 
 
 def fingerprint(phase: Column, hashes: Column) -> Column:
-    """sha256 of the phase and its sorted hashes: their order doesn't matter."""
+    """sha256 of the phase and its sorted hashes (those of one phase's artifacts): their order doesn't matter."""
     return F.sha2(F.concat(phase, F.lit(":"), F.array_join(F.array_sort(hashes), ",")), 256)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.sources.tables import written
+from weftgraph.sources.tables import dropped, written
 
 
 def of_types(edges: DataFrame, types: Sequence[str] | None) -> DataFrame:
@@ -113,19 +113,27 @@ def trails(edges: DataFrame, starts: DataFrame, min_length: int, max_length: int
     return out
 
 
-def paths_to_leaves(edges: DataFrame, starts: DataFrame, max_length: int) -> DataFrame:
-    """start, path, length of the simple paths that end in a node without outgoing edges."""
+def paths_to_leaves(edges: DataFrame, starts: DataFrame, max_length: int, most: int = 100) -> DataFrame:
+    """start, path, length of the first ``most`` simple paths of each start that end in a node
+    without outgoing edges, in the order of their ids.
+
+    Of each start only the first ``most`` paths, finished or not, go on to the next step. On
+    acyclic edges, where every path ends in a leaf, these have all that is wanted among them;
+    with cycles a start may get fewer.
+    """
     walked = written(edges.select("src", "dst").distinct())
     leaves = written(walked.select(F.col("dst").alias("end")).unionByName(starts.select(F.col("id").alias("end"))).distinct().join(walked.select(F.col("src").alias("end")).distinct(), "end", "left_anti"))
-    now = starts.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array("id").alias("path")).distinct()
-    out = now.join(leaves, "end", "left_semi")
+    first = F.row_number().over(Window.partitionBy("start").orderBy("path"))
+    now = written(starts.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array("id").alias("path")).distinct().join(leaves.withColumn("done", F.lit(True)), "end", "left").withColumn("done", F.coalesce("done", F.lit(False))))
     for _ in range(max_length):
-        now = now.join(walked, F.col("end") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        now = written(now.select("start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path")))
-        if now.isEmpty():
+        step = now.where("NOT done").join(walked, F.col("end") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        step = step.select("start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path")).join(leaves.withColumn("done", F.lit(True)), "end", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+        again = written(now.where("done").unionByName(step).withColumn("place", first).where(F.col("place") <= most).drop("place"))
+        dropped(now)
+        now = again
+        if now.where("NOT done").isEmpty():
             break
-        out = out.unionByName(now.join(leaves, "end", "left_semi"))
-    return out.select("start", "path", (F.size("path") - 1).alias("length"))
+    return now.where("done").select("start", "path", (F.size("path") - 1).alias("length"))
 
 
 def longest_trail(edges: DataFrame, most: int) -> tuple[int, bool]:

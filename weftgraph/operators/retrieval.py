@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import vectors
+from weftgraph.operators.state import running_total
 
 #: Words that are no search terms.
 STOP_WORDS = ("the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "function", "class", "method", "module", "file", "code")
@@ -104,38 +105,40 @@ def chunks_of_frames(chunks: DataFrame, stack: DataFrame, otherwise: int = 3) ->
     return inside.drop("line").distinct().unionByName(first)
 
 
-def fitting(ranked: DataFrame, budget: int, order: Sequence[Column], group: str | None = None) -> DataFrame:
+def fitting(ranked: DataFrame, budget: int, order: Sequence[Column]) -> DataFrame:
     """First fit: in order, a row stays if its ``tokens`` still fit; the first always stays.
 
-    Each group is one array, so it must be a short list, as a ranked top-k is.
+    Of rows with t tokens only the first budget / t can stay, whatever comes between, and
+    rows without tokens all stay. So the fold runs over at most budget * (1 + ln budget)
+    places and token counts, however many rows there are. ``order`` must be total.
     """
-    columns = [c for c in ranked.columns if c != group]
-    placed = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*([group] if group else [])).orderBy(*order)))
-    rows = F.array_sort(F.collect_list(F.struct("place", *columns)))
-    listed = placed.groupBy(*([group] if group else [])).agg(rows.alias("rows"))
-    # the fold only carries places and the total
-    fold = F.aggregate(
-        F.transform("rows", lambda r: F.struct(r["place"].alias("place"), F.coalesce(r["tokens"].cast("long"), F.lit(0)).alias("tokens"))),
+    rows = ranked.withColumn("cost", F.coalesce(F.col("tokens").cast("long"), F.lit(0)))
+    first = rows.orderBy(*order).limit(1)
+    place = F.row_number().over(Window.partitionBy("cost").orderBy(*order))
+    # no more than the budget of any cost, which lets the window drop rows before the shuffle
+    able = rows.where(F.col("cost").between(1, budget)).withColumn("place", place).where(F.col("place") <= budget).where(F.col("place") * F.col("cost") <= budget).drop("place")
+    costly = first.where(F.col("cost") > budget)
+    listed = able.unionByName(costly).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    folded = listed.agg(F.array_sort(F.collect_list(F.struct("place", "cost"))).alias("rows"))
+    kept = F.aggregate(
+        "rows",
         F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<int>").alias("kept")),
-        lambda now, r: F.when((r["place"] == 1) | (now["total"] + r["tokens"] <= budget), F.struct((now["total"] + r["tokens"]).alias("total"), F.concat(now["kept"], F.array(r["place"])).alias("kept"))).otherwise(now),
+        lambda now, r: F.when((r["place"] == 1) | (now["total"] + r["cost"] <= budget), F.struct((now["total"] + r["cost"]).alias("total"), F.concat(now["kept"], F.array(r["place"])).alias("kept"))).otherwise(now),
         lambda now: now["kept"],
     )
-    kept = listed.withColumn("kept", fold)
-    kept = kept.select(*([group] if group else []), F.explode(F.filter("rows", lambda r: F.array_contains("kept", r["place"]))).alias("row"))
-    return kept.select(*([group] if group else []), *(F.col(f"row.{c}").alias(c) for c in columns))
+    fitting_ones = listed.join(folded.select(F.explode(kept).alias("place")), "place", "left_semi").drop("place")
+    return fitting_ones.unionByName(rows.where("cost = 0")).drop("cost")
 
 
-def prefix_fitting(ranked: DataFrame, budget: int, order: Sequence[Column], group: str) -> DataFrame:
+def prefix_fitting(ranked: DataFrame, budget: int, order: Sequence[str], group: str) -> DataFrame:
     """Rows of each group in order until the running sum of ``tokens`` passes the budget."""
-    running = F.sum("tokens").over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("running", running).where(F.col("running") <= budget)
+    return running_total(ranked, group, order, F.col("tokens"), "running").where(F.col("running") <= budget)
 
 
-def truncated_fitting(docs: DataFrame, budget: int, order: Sequence[Column], group: str, least: int = 100) -> DataFrame:
+def truncated_fitting(docs: DataFrame, budget: int, order: Sequence[str], group: str, least: int = 100) -> DataFrame:
     """As ``prefix_fitting``, but the first that overflows is cut (4 characters a token) if more
     than ``least`` tokens are left."""
-    running = F.sum("tokens").over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = docs.withColumn("before", running - F.col("tokens"))
+    rows = running_total(docs, group, order, F.col("tokens"), "running").withColumn("before", F.col("running") - F.col("tokens")).drop("running")
     left = budget - F.col("before")
     fits, cut = F.col("tokens") <= left, (F.col("before") < budget) & (left > least)
     rows = rows.where(fits | cut).withColumn("content", F.when(fits, F.col("content")).otherwise(F.substring("content", F.lit(1), (4 * left).cast("int"))))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.sources.tables import written
+
 
 def upserted(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """All rows by key: the new one where there is one (of several the first in ``order``)."""
@@ -15,6 +17,51 @@ def upserted(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence
     return both.withColumn("rank", rank).where("rank = 1").drop("rank", "age")
 
 
+def running_total(rows: DataFrame, key: str, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` up to each row of its key, in ``order``.
+
+    The rows are dealt to ranges of key and order, so a key with many rows is many groups:
+    sums of whole ranges first, then sums inside each.
+    """
+    ranged = written(rows.withColumn(name, value).repartitionByRange(key, *order).withColumn("in_range", F.spark_partition_id()))
+    sums = ranged.groupBy(key, "in_range").agg(F.sum(name).alias("held"))
+    earlier = Window.partitionBy(key).orderBy("in_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col(key).alias("of_key"), F.col("in_range").alias("of_range"), F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(key, "in_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(offsets, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("in_range") == F.col("of_range")))
+    return joined.withColumn(name, F.col("offset") + F.sum(name).over(inside)).drop("of_key", "of_range", "in_range", "offset")
+
+
+def larger(a: Column, b: Column) -> Column:
+    """The larger of two values; the one that is there, if the other is null."""
+    return F.greatest(a, b)
+
+
+def joined_texts(a: Column, b: Column, separator: str = "\n") -> Column:
+    """Both texts with the separator between; an empty or null one leaves the other as it is."""
+    return F.concat_ws(separator, F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
+
+
+def by_success(results: DataFrame, error: str) -> tuple[DataFrame, DataFrame]:
+    """Results without an error (null or empty), and those with one."""
+    failed = F.coalesce(F.col(error) != "", F.lit(False))
+    return results.where(~failed), results.where(failed)
+
+
+def merged_outputs(outputs: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Outputs of agents (task, agent, output) by task, and the conflicts among them.
+
+    A task on whose output its agents differ is a conflict: task and number of outputs. The merged
+    table (task, output, source) has the resolution (task, resolution) where there is one, else
+    the output of the first agent by name.
+    """
+    several = outputs.groupBy("task").agg(F.count_distinct("output").alias("outputs"), F.min_by("output", "agent").alias("first"))
+    conflicts = several.where("outputs > 1").select("task", "outputs")
+    merged = several.join(resolutions, "task", "left")
+    source = F.when(F.col("resolution").isNotNull(), "resolution").when(F.col("outputs") > 1, "conflict").otherwise("agent")
+    return merged.select("task", F.coalesce("resolution", "first").alias("output"), source.alias("source")), conflicts
+
+
 def retried(failed: DataFrame, again: DataFrame, key: str) -> DataFrame:
     """Failure counts (key, retries, error) after the failures in ``again`` (key, error)."""
     newest = again.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("error").alias("latest"))

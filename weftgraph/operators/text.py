@@ -54,15 +54,17 @@ def packed(parts: DataFrame, key: str, place: str, budget: int) -> DataFrame:
     """Greedy packing of consecutive parts into chunks of at most ``budget`` tokens (a part that is
     larger is a chunk of its own): ``parts`` with chunk (from 0). A text is one fold."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), F.col("tokens").cast("long").alias("tokens"))))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<place: int, chunk: int>>").alias("out"))
+    # the fold carries counters, and grows its array by one for a chunk only
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("used"), F.array(F.lit(0)).alias("cuts"))
 
     def step(now: Column, r: Column) -> Column:
         over = (now["used"] > 0) & (now["used"] + r["tokens"] > budget)
-        chunk = F.when(over, now["chunk"] + 1).otherwise(now["chunk"])
         used = F.when(over, r["tokens"]).otherwise(now["used"] + r["tokens"])
-        return F.struct(chunk.alias("chunk"), used.alias("used"), F.concat(now["out"], F.array(F.struct(r["place"].cast("int").alias("place"), chunk.alias("chunk")))).alias("out"))
+        return F.struct((now["at"] + 1).alias("at"), used.alias("used"), F.when(over, F.concat(now["cuts"], F.array(now["at"]))).otherwise(now["cuts"]).alias("cuts"))
 
-    chunked = parts.groupBy(key).agg(rows.alias("rows")).select(key, F.explode(F.aggregate("rows", start, step, lambda now: now["out"])).alias("x")).select(key, F.col("x.place").alias(place), F.col("x.chunk").alias("chunk"))
+    listed = parts.groupBy(key).agg(rows.alias("rows")).withColumn("cuts", F.aggregate("rows", start, step, lambda now: now["cuts"]))
+    ends = F.transform("cuts", lambda first, k: F.struct(k.alias("chunk"), F.slice(F.col("rows.place"), first + 1, F.coalesce(F.get("cuts", k + 1), F.size("rows")) - first).alias("places")))
+    chunked = listed.select(key, F.inline(ends)).select(key, F.explode("places").alias(place), "chunk")
     return parts.join(chunked, [key, place])
 
 
@@ -103,15 +105,16 @@ def summary(text: Column) -> Column:
     room = F.floor(F.length(text) * SHARE)
     marked = F.transform(split, lambda s, i: F.struct(s.alias("s"), (i < LEADING).alias("leads"), s.rlike(KEY_PATTERN).alias("key")))
     must = F.aggregate(marked, F.lit(-1), lambda n, x: F.when(x["leads"] | x["key"], n + F.length(x["s"]) + 1).otherwise(n))
-    start = F.struct(must.alias("used"), F.lit(True).alias("open"), F.array().cast("array<string>").alias("out"))
+    # the fold tells at which place the first of the others is that doesn't fit
+    start = F.struct(must.alias("used"), F.lit(0).alias("at"), F.lit(2**31 - 1).alias("cut"))
 
     def step(now: Column, x: Column) -> Column:
-        fixed = x["leads"] | x["key"]
-        fits = now["open"] & (now["used"] + F.length(x["s"]) + 1 <= room)
-        used = F.when(~fixed & fits, now["used"] + F.length(x["s"]) + 1).otherwise(now["used"])
-        return F.struct(used.alias("used"), (fixed & now["open"] | fits).alias("open"), F.when(fixed | fits, F.concat(now["out"], F.array(x["s"]))).otherwise(now["out"]).alias("out"))
+        other = ~(x["leads"] | x["key"])
+        used = F.when(other, now["used"] + F.length(x["s"]) + 1).otherwise(now["used"])
+        return F.struct(used.alias("used"), (now["at"] + 1).alias("at"), F.when(other & (used > room), F.least(now["cut"], now["at"])).otherwise(now["cut"]).alias("cut"))
 
-    short = F.aggregate(marked, start, step, lambda now: F.array_join(now["out"], " "))
+    cut = F.aggregate(marked, start, step, lambda now: now["cut"])
+    short = F.get(F.transform(F.array(F.struct(marked.alias("all"), cut.alias("cut"))), lambda v: F.array_join(F.transform(F.filter(v["all"], lambda x, i: x["leads"] | x["key"] | (i < v["cut"])), lambda x: x["s"]), " ")), F.lit(0))
     return F.when(text.isNull() | (F.length(text) < SHORT) | (F.size(split) == 0), text).otherwise(short)
 
 

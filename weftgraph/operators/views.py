@@ -79,7 +79,7 @@ def context_packets(symbols: DataFrame, edges: DataFrame, roots: DataFrame, most
 def narrative(entries: DataFrame, kind: str, name: str, most: int = 5) -> DataFrame:
     """One line by kind: how many there are, and the first few names."""
     place = F.row_number().over(Window.partitionBy(kind).orderBy(name))
-    total = F.count(F.lit(1)).over(Window.partitionBy(kind))
-    rows = entries.withColumns({"place": place, "total": total}).where(F.col("place") <= most)
+    total = entries.groupBy(F.col(kind).alias("of_kind")).agg(F.count(F.lit(1)).alias("total"))
+    rows = entries.withColumn("place", place).where(F.col("place") <= most).join(total, F.col(kind).eqNullSafe(F.col("of_kind"))).drop("of_kind")
     first = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", name))), lambda x: x[name]), ", ")
     return rows.groupBy(kind, "total").agg(first.alias("names")).select(kind, F.concat(F.col("total").cast("string"), F.lit(" "), kind, F.lit(": "), "names").alias("line"))

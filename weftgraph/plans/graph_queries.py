@@ -180,9 +180,9 @@ def t8_shortest_path_lengths(spark, sf_dir):
     return graph.shortest_paths(derived.calls(spark, sf_dir), start, 5).select("id", "length")
 
 
-@query("WITH RECURSIVE d AS (SELECT src, dst FROM g_calls_dag), r AS (SELECT id AS start, id, CAST(id AS VARCHAR) AS path, 0 AS length FROM g_symbols WHERE name = 'red plate' UNION ALL SELECT r.start, d.dst, r.path || '>' || d.dst, r.length + 1 FROM r JOIN d ON d.src = r.id WHERE r.length < 12) SELECT start, path, CAST(length AS INTEGER) AS length FROM r WHERE id NOT IN (SELECT src FROM d)")
+@query("WITH RECURSIVE d AS (SELECT src, dst FROM g_calls_dag), r AS (SELECT id AS start, id, CAST(id AS VARCHAR) AS path, 0 AS length FROM g_symbols WHERE name = 'red plate' UNION ALL SELECT r.start, d.dst, r.path || '>' || d.dst, r.length + 1 FROM r JOIN d ON d.src = r.id WHERE r.length < 12) SELECT start, path, CAST(length AS INTEGER) AS length FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY [CAST(x AS BIGINT) FOR x IN string_split(path, '>')]) AS n FROM r WHERE id NOT IN (SELECT src FROM d)) WHERE n <= 100")
 def t10_paths_to_leaves(spark, sf_dir):
-    """All simple paths from the starts to leaves of the acyclic call graph."""
+    """The first hundred simple paths from each start to leaves of the acyclic call graph."""
     out = graph.paths_to_leaves(derived.calls_dag(spark, sf_dir), starts(spark, sf_dir), 12)
     return out.select("start", F.array_join("path", ">").alias("path"), "length")
 

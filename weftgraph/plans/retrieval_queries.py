@@ -68,11 +68,12 @@ def j4_unified_rag(spark, sf_dir):
     return out.select("chunk_id", F.round("score", 6).alias("score"), "symbol", F.coalesce("related", F.lit("")).alias("related"))
 
 
-@query("WITH c AS (SELECT chunk_id, repo_id, lag(chunk_id) OVER w AS previous, lead(chunk_id) OVER w AS following FROM g_chunks WINDOW w AS (PARTITION BY repo_id ORDER BY chunk_id)) SELECT c.chunk_id, c.previous, c.following, s.name AS symbol FROM c LEFT JOIN g_symbols s ON s.id = c.chunk_id")
+@query("WITH c AS (SELECT chunk_id, repo_id, lag(chunk_id) OVER w AS previous, lead(chunk_id) OVER w AS following FROM g_chunks WINDOW w AS (PARTITION BY repo_id, chunk_id // 100 ORDER BY chunk_id)) SELECT c.chunk_id, c.previous, c.following, s.name AS symbol FROM c LEFT JOIN g_symbols s ON s.id = c.chunk_id")
 def j8_chunk_with_context(spark, sf_dir):
+    """A hundred consecutive ids of a repository stand for a file."""
     from pyspark.sql import Window
 
-    place = Window.partitionBy("repo_id").orderBy("chunk_id")
+    place = Window.partitionBy("repo_id", F.floor(F.col("chunk_id") / 100)).orderBy("chunk_id")
     rows = derived.chunks(spark, sf_dir).select("chunk_id", "repo_id").withColumns({"previous": F.lag("chunk_id").over(place), "following": F.lead("chunk_id").over(place)})
     return rows.join(derived.symbols(spark, sf_dir).select(F.col("id").alias("chunk_id"), F.col("name").alias("symbol")), "chunk_id", "left").drop("repo_id")
 
@@ -121,21 +122,22 @@ def r10_first_fit_budget(spark, sf_dir):
 def r12_prefix_budget(spark, sf_dir):
     """Rows of each repository until the budget is used."""
     rows = derived.chunks(spark, sf_dir).select("repo_id", "chunk_id", scalars.tokens_by_length(F.col("content")).alias("tokens"))
-    return retrieval.prefix_fitting(rows, 4000, [F.col("chunk_id")], "repo_id").drop("running")
+    return retrieval.prefix_fitting(rows, 4000, ["chunk_id"], "repo_id").drop("running")
 
 
 @query("WITH r AS (SELECT repo_id, chunk_id, content, CAST(floor(length(content) / 4) AS BIGINT) AS tokens FROM g_chunks), s AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY repo_id ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - tokens AS before FROM r) SELECT repo_id, chunk_id, CASE WHEN tokens <= 4000 - before THEN tokens ELSE 4000 - before END AS tokens, sha256(CASE WHEN tokens <= 4000 - before THEN content ELSE substring(content, 1, 4 * (4000 - before)) END) AS digest FROM s WHERE tokens <= 4000 - before OR (before < 4000 AND 4000 - before > 100)")
 def r13_truncating_budget(spark, sf_dir):
     rows = derived.chunks(spark, sf_dir).select("repo_id", "chunk_id", "content", scalars.tokens_by_length(F.col("content")).alias("tokens"))
-    out = retrieval.truncated_fitting(rows, 4000, [F.col("chunk_id")], "repo_id")
+    out = retrieval.truncated_fitting(rows, 4000, ["chunk_id"], "repo_id")
     return out.select("repo_id", "chunk_id", "tokens", F.sha2("content", 256).alias("digest"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_distinct(regexp_extract_all(text, '(^|[^a-zA-Z0-9_])([A-Z][a-z][a-zA-Z0-9]*)', 2)).list_sort(), ',') AS names FROM conversations")
+@query(r"WITH p AS (SELECT id, split_part(name, ' ', 1) AS a, split_part(name, ' ', 2) AS b FROM g_symbols), q AS (SELECT id, 'Does ' || chr(39) || a || chr(39) || ' of Use' || upper(b[1]) || b[2:] || 'Now call ' || b || '_id, or ' || upper(b[1]) || b[2:] || ' of ' || a || '?' AS q FROM p) SELECT id, array_to_string(list_concat(list_concat(regexp_extract_all(q, '\b([A-Z][0-9A-Za-z]*(?:[A-Z][0-9A-Za-z]*)+)\b', 1), regexp_extract_all(q, '\b([a-z][0-9a-z]*(?:_[0-9a-z]+)+)\b', 1)), list_concat(regexp_extract_all(q, '[\x27\x22]([A-Za-z_][0-9A-Za-z_]*)[\x27\x22]', 1), list_filter(regexp_extract_all(q, '\b([A-Z][a-z][0-9A-Za-z]*)\b', 1), lambda x: NOT regexp_matches(x[2:], '[A-Z]')))), ',') AS names FROM q")
 def r16_names_in_questions(spark, sf_dir):
-    """Capitalised names, here the last of the patterns, in ASCII words."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("(^|[^a-zA-Z0-9_])([A-Z][a-z][a-zA-Z0-9]*)"), F.lit(2))))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("names"))
+    """Names by how they are written: with inner capitals, underscores, in quotes, capitalised."""
+    a, b = F.split("name", " ")[0], F.split("name", " ")[1]
+    asked_for = F.concat(F.lit("Does '"), a, F.lit("' of Use"), F.initcap(b), F.lit("Now call "), b, F.lit("_id, or "), F.initcap(b), F.lit(" of "), a, F.lit("?"))
+    return derived.symbols(spark, sf_dir).select("id", F.array_join(retrieval.names_in(asked_for), ",").alias("names"))
 
 
 @query("SELECT conv_id, turn, array_to_string(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) > 2 AND regexp_matches(w, '^[a-z_]') AND NOT list_contains(['the','a','an','is','are','was','were','be','been','being','have','has','had','do','does','did','will','would','could','should','function','class','method','module','file','code'], w)), 1, 5), ',') AS terms FROM conversations")
@@ -172,12 +174,13 @@ def v12_packets(spark, sf_dir):
     return rows.groupBy("chunk_id", "edge_type").agg(F.array_join(F.transform(listed, lambda x: x["name"]), ",").alias("names"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source END AS repo_id FROM documents")
+@query(r"WITH d AS (SELECT doc_id, lower(source) AS s, CASE WHEN doc_id % 3 = 0 THEN 'elsewhere' WHEN doc_id % 3 = 1 THEN upper(source) ELSE source END AS n, doc_id % 7 AS k FROM documents), q AS (SELECT doc_id, [n || ' starts how?', 'What happens in ' || n || ' when it starts?', 'Is it from ' || n || '?', 'A fix for ' || n, 'See the ' || n || ' repository', 'Which ' || n || ' repo is it', 'Nothing of ' || n][k + 1] AS q FROM d), t AS (SELECT doc_id, unnest([1, 2, 3, 4, 5, 6]) AS rank, lower(unnest([regexp_extract(q, '^([-_a-zA-Z0-9]+)\s', 1), regexp_extract(q, '\bin\s+([-_a-zA-Z0-9]+)', 1), regexp_extract(q, '\bfrom\s+([-_a-zA-Z0-9]+)', 1), regexp_extract(q, '\bfor\s+([-_a-zA-Z0-9]+)', 1), regexp_extract(q, '\b([-_a-zA-Z0-9]+)\s+repository', 1), regexp_extract(q, '\b([-_a-zA-Z0-9]+)\s+repo\b', 1)])) AS name FROM q), f AS (SELECT doc_id, arg_min(name, rank) AS name FROM t WHERE name IN (SELECT lower(source) FROM documents) GROUP BY doc_id) SELECT q.doc_id, r.source AS repo_id FROM q LEFT JOIN f USING (doc_id) LEFT JOIN (SELECT DISTINCT source FROM documents) r ON lower(r.source) = f.name")
 def l19_asked_repository(spark, sf_dir):
-    """Every other question names its repository, the rest one that is not there."""
+    """Questions of all forms, some about a repository that isn't there."""
     docs = table(spark, sf_dir, "documents")
-    name = F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise("elsewhere")
-    asked_for = docs.select("doc_id", F.concat(F.lit("What happens in "), name, F.lit(" when it starts?")).alias("question"))
+    n = F.when(F.col("doc_id") % 3 == 0, "elsewhere").when(F.col("doc_id") % 3 == 1, F.upper("source")).otherwise(F.col("source"))
+    forms = F.array(*(F.format_string(x, n) for x in ("%s starts how?", "What happens in %s when it starts?", "Is it from %s?", "A fix for %s", "See the %s repository", "Which %s repo is it", "Nothing of %s")))
+    asked_for = docs.select("doc_id", F.get(forms, (F.col("doc_id") % 7).cast("int")).alias("question"))
     return retrieval.asked_repository(asked_for, "question", docs.select(F.col("source").alias("repo_id")), "doc_id")
 
 

@@ -24,18 +24,20 @@ def w1_upsert_nodes(spark, sf_dir):
     return state.upserted(old, new, ["id"])
 
 
-@query("SELECT DISTINCT l_orderkey % 5000 AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey % 5000 IN (SELECT id FROM g_symbols) AND l_partkey IN (SELECT id FROM g_symbols WHERE kind = 'promo')")
+@query("SELECT DISTINCT l_orderkey % (SELECT count(*) + 100 FROM part) AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey % (SELECT count(*) + 100 FROM part) IN (SELECT id FROM g_symbols) AND l_partkey IN (SELECT id FROM g_symbols WHERE kind = 'promo')")
 def w3_create_edges(spark, sf_dir):
     """Edges whose two ends exist, once each."""
-    wanted = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5000).alias("src"), F.col("l_partkey").alias("dst"))
+    parts = table(spark, sf_dir, "part").agg((F.count(F.lit(1)) + 100).alias("parts"))
+    wanted = table(spark, sf_dir, "lineitem").join(F.broadcast(parts)).select((F.col("l_orderkey") % F.col("parts")).alias("src"), F.col("l_partkey").alias("dst"))
     ids = nodes(spark, sf_dir)
     return wanted.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.where("kind = 'promo'").select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
 
 
-@query("SELECT src, dst FROM (SELECT doc_id AS src, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS dst FROM documents) WHERE dst IS NOT NULL")
+@query("SELECT src, dst FROM (SELECT doc_id AS src, lead(doc_id) OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) AS dst FROM documents) WHERE dst IS NOT NULL")
 def w7_next_chunk_edges(spark, sf_dir):
-    """Neighbours within a file."""
-    return graph.next_in_order(table(spark, sf_dir, "documents"), "source", ["doc_id"], "doc_id")
+    """Neighbours within a file; a hundred consecutive ids of a source stand for one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string")).alias("file"))
+    return graph.next_in_order(docs, "file", ["doc_id"], "doc_id")
 
 
 @query("WITH d AS (SELECT 'chunk' AS label, count(*) AS n FROM g_chunks WHERE repo_id = 'src1' UNION ALL SELECT 'document', count(*) FROM documents WHERE source = 'src1') SELECT * FROM d WHERE n > 0 UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT) FROM d")
@@ -100,12 +102,15 @@ def i7_merged_maps(spark, sf_dir):
     return counts.select("user_id", m["p"].alias("n_purchase"), m["e"].alias("n_error"))
 
 
-@query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, CAST(least(50, count(*)) AS INTEGER) AS logged FROM events GROUP BY user_id")
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events), k AS (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY user_id), l AS (SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY n DESC) AS logged FROM r WHERE n <= 50 GROUP BY user_id) SELECT user_id, kinds, logged FROM k JOIN l USING (user_id)")
 def i8_i10_logs(spark, sf_dir):
     """Appended without repeats; a log of the last fifty."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("kinds"), F.collect_list("event_id").alias("log"))
-    empty = F.array().cast("array<string>")
-    return rows.select("user_id", F.array_join(state.appended_unique(empty, F.col("kinds")), ",").alias("kinds"), F.size(state.capped_log(F.array().cast("array<bigint>"), F.col("log"), 50)).alias("logged"))
+    events = table(spark, sf_dir, "events")
+    kinds = events.groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("kinds"))
+    last = state.last_of(events, "user_id", [F.desc("ts"), F.desc("event_id")], 50)
+    log = last.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"]).alias("log"))
+    none = F.array().cast("array<bigint>")
+    return kinds.join(log, "user_id").select("user_id", F.array_join(state.appended_unique(F.array().cast("array<string>"), F.col("kinds")), ",").alias("kinds"), F.array_join(state.capped_log(none, F.col("log"), 50), ",").alias("logged"))
 
 
 @query("SELECT id FROM g_symbols EXCEPT SELECT src FROM g_calls")
@@ -159,10 +164,11 @@ def n6_islands(spark, sf_dir):
     return state.islands(rows, "k", "n")
 
 
-@query("SELECT name, CASE WHEN count(*) = 1 THEN min(id) END AS target FROM g_symbols GROUP BY name HAVING count(*) = 1")
+@query("SELECT name || '@' || split_part(file_path, '/', 1) || kind AS name, min(id) AS target FROM g_symbols GROUP BY 1 HAVING count(*) = 1")
 def p7_unique_names(spark, sf_dir):
-    """Names resolve if exactly one symbol has them."""
-    return resolve.unique_names(derived.symbols(spark, sf_dir))
+    """Names resolve if exactly one symbol has them; here those of a brand and kind."""
+    name = F.concat("name", F.lit("@"), F.split("file_path", "/")[0], "kind")
+    return resolve.unique_names(derived.symbols(spark, sf_dir).withColumn("name", name))
 
 
 @query("WITH f AS (SELECT file_path, split_part(file_path, '/', 1) AS a, split_part(file_path, '/', 2) AS b, split_part(split_part(file_path, '/', 3), '.', 1) AS c FROM g_files), i AS (SELECT file_path AS importer, '.' || c AS module, a || '/' || b || '/' || c || '.py' AS target FROM f UNION ALL SELECT file_path, '..PROMO.' || c, a || '/PROMO/' || c || '.py' FROM f UNION ALL SELECT file_path, a || '.SMALL.' || c, a || '/SMALL/' || c || '.py' FROM f) SELECT importer, module, CASE WHEN t.file_path IS NOT NULL THEN i.target END AS target, t.file_path IS NULL AS is_external FROM i LEFT JOIN g_files t ON t.file_path = i.target")
@@ -221,15 +227,16 @@ def d5_progress_state(spark, sf_dir):
     return dag.progress_state(tasks(spark, sf_dir), needs(spark, sf_dir))
 
 
-@query("WITH s AS (SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS deps FROM g_calls_dag GROUP BY src) SELECT deps, count(*) AS n, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS tasks FROM s GROUP BY deps HAVING count(*) > 1")
+@query("WITH s AS (SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS deps FROM g_calls_dag GROUP BY src) SELECT deps, n, src AS task FROM (SELECT *, count(*) OVER (PARTITION BY deps) AS n FROM s) WHERE n > 1")
 def d8_a15_parallel_groups(spark, sf_dir):
     return dag.parallel_groups(needs(spark, sf_dir))
 
 
-@query("SELECT source, sha256(source || ':' || string_agg(DISTINCT sha256(text), ',' ORDER BY sha256(text))) AS print FROM documents GROUP BY source")
+@query("SELECT conv_id, sha256(CAST(conv_id AS VARCHAR) || ':' || string_agg(DISTINCT sha256(text), ',' ORDER BY sha256(text))) AS print FROM conversations GROUP BY conv_id")
 def d9_fingerprints(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set(F.sha2("text", 256)).alias("hashes"))
-    return rows.select("source", dag.fingerprint(F.col("source"), F.col("hashes")).alias("print"))
+    """A conversation stands for a phase, its texts for the few artifacts of it."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set(F.sha2("text", 256)).alias("hashes"))
+    return rows.select("conv_id", dag.fingerprint(F.col("conv_id").cast("string"), F.col("hashes")).alias("print"))
 
 
 @query("WITH p AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS priority FROM orders), c AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'F') SELECT DISTINCT p.k || '/' || p.priority AS phase FROM p JOIN c ON c.k = p.k AND c.priority < p.priority")
@@ -258,8 +265,8 @@ def d15_story_totals(spark, sf_dir):
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events")
 def m6_n7_sequences(spark, sf_dir):
     """Each workflow's events, numbered."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.row_number().over(order).cast("long").alias("sequence"))
+    numbered = state.running_total(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], F.lit(1).cast("long"), "sequence")
+    return numbered.select("event_id", "user_id", "sequence")
 
 
 @query("SELECT user_id, round(least(100.0, 100.0 * count(DISTINCT event_type) / 5), 4) AS percent FROM events GROUP BY user_id")

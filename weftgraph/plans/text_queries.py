@@ -34,14 +34,18 @@ def s1_s4_discover_files(spark, sf_dir):
     return files.where(keep).select("file_path").orderBy("file_path")
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(url, '[.]html([?#]|$)') THEN 'html' ELSE 'none' END AS kind, CASE WHEN page_id % 3 = 0 THEN 'python' WHEN page_id % 3 = 1 THEN 'go' ELSE 'unknown' END AS language FROM pages")
+ENDINGS = ("py", "TS", "jsx", "go", "unknown", "cpp", "md", "yml", "tar.gz", "json", "rs/x", "py/.rb")
+HEADS = ("#!/usr/bin/env python3", "#!/usr/bin/node -x", "#!/bin/sh", "# python", "#!/bin/Deno")
+
+
+@query("WITH f AS (SELECT page_id, 'a.b/f' || CASE WHEN page_id % 4 = 3 THEN '' ELSE '.' || ['py', 'TS', 'jsx', 'go', 'unknown', 'cpp', 'md', 'yml', 'tar.gz', 'json', 'rs/x', 'py/.rb'][page_id % 12 + 1] END AS path, ['#!/usr/bin/env python3', '#!/usr/bin/node -x', '#!/bin/sh', '# python', '#!/bin/Deno'][page_id % 5 + 1] || chr(10) || html AS head FROM pages), g AS (SELECT *, lower(regexp_extract(path, '[^/]([.][^./]+)$', 1)) AS e, lower(split_part(head, chr(10), 1)) AS l FROM f) SELECT page_id, path, CASE WHEN e = '.py' THEN 'python' WHEN e IN ('.ts', '.tsx') THEN 'typescript' WHEN e IN ('.js', '.jsx') THEN 'javascript' WHEN e = '.go' THEN 'go' WHEN e = '.rb' THEN 'ruby' WHEN e = '.rs' THEN 'rust' WHEN e = '.cpp' THEN 'cpp' WHEN e = '.md' THEN 'markdown' WHEN e IN ('.yml', '.yaml') THEN 'yaml' WHEN e = '.json' THEN 'json' WHEN starts_with(l, '#!/') AND contains(l, 'python') THEN 'python' WHEN starts_with(l, '#!/') AND (contains(l, 'node') OR contains(l, 'deno')) THEN 'javascript' ELSE 'unknown' END AS language FROM g")
 def s5_detect_language(spark, sf_dir):
-    """By extension, then by the first line."""
-    rows = table(spark, sf_dir, "pages").select("page_id", "url")
-    path = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("cmd/a"), F.col("page_id").cast("string"), F.lit(".go"))).otherwise(F.concat(F.lit("bin/run"), F.col("page_id").cast("string")))
-    head = F.when(F.col("page_id") % 3 == 0, F.lit("#!/usr/bin/env python3\nx")).otherwise(F.lit("x"))
-    kind = F.when(F.col("url").rlike("[.]html([?#]|$)"), "html").otherwise("none")
-    return rows.select("page_id", kind.alias("kind"), scalars.language(path, head).alias("language"))
+    """By extension, then by the first line; paths and first lines of many forms."""
+    ending, head = (F.array(*map(F.lit, x)) for x in (ENDINGS, HEADS))
+    n = F.col("page_id").cast("int")
+    path = F.concat(F.lit("a.b/f"), F.when(n % 4 == 3, "").otherwise(F.concat(F.lit("."), F.get(ending, n % 12))))
+    rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.concat(F.get(head, n % 5), F.lit("\n"), "html").alias("head"))
+    return rows.select("page_id", "path", scalars.language(F.col("path"), F.col("head")).alias("language"))
 
 
 @query("SELECT event_type, count(*) AS events, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")
@@ -78,12 +82,15 @@ def x7_line_of_id(spark, sf_dir):
     return derived.symbols(spark, sf_dir).select("id", scalars.id_line(symbol).alias("line"))
 
 
-@query("SELECT id, CASE WHEN starts_with(name, 'old') THEN 'GET' WHEN starts_with(name, 'hot') THEN 'POST' WHEN starts_with(name, 'red') THEN 'PUT' WHEN starts_with(name, 'blue') THEN 'DELETE' END AS method FROM g_symbols")
+VERBS = ("list_", "Get_", "retrieve_", "getter_", "post_", "CREATE_", "put_", "update_", "updates_", "patch_", "delete_", "_get_", "undelete_")
+
+
+@query("WITH n AS (SELECT id, ['list_', 'Get_', 'retrieve_', 'getter_', 'post_', 'CREATE_', 'put_', 'update_', 'updates_', 'patch_', 'delete_', '_get_', 'undelete_'][id % 13 + 1] || replace(name, ' ', '_') AS name FROM g_symbols) SELECT id, name, CASE WHEN regexp_matches(name, '^(?i:get|list|retrieve)_') THEN 'GET' WHEN regexp_matches(name, '^(?i:create|post)_') THEN 'POST' WHEN regexp_matches(name, '^(?i:update|put)_') THEN 'PUT' WHEN regexp_matches(name, '^(?i)patch_') THEN 'PATCH' WHEN regexp_matches(name, '^(?i)delete_') THEN 'DELETE' END AS method FROM n")
 def x9_http_method(spark, sf_dir):
-    name = F.col("name")
-    for word, prefix in (("old", "list_"), ("hot", "create_"), ("red", "update_"), ("blue", "delete_")):
-        name = F.regexp_replace(name, f"^{word} ", prefix)
-    return derived.symbols(spark, sf_dir).select("id", scalars.http_method(name).alias("method"))
+    """Names that begin with a verb, and names that only look so."""
+    verb = F.get(F.array(*map(F.lit, VERBS)), (F.col("id") % 13).cast("int"))
+    named = derived.symbols(spark, sf_dir).select("id", F.concat(verb, F.replace("name", F.lit(" "), F.lit("_"))).alias("name"))
+    return named.select("id", "name", scalars.http_method(F.col("name")).alias("method"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN substring(text, 1, 80) || '...' ELSE text END AS short, split_part(text, '.', 1) AS sentence, substring(sha1(text), 1, 10) AS sha, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM documents")
@@ -156,17 +163,27 @@ def c13_sections(spark, sf_dir):
     return text.sections(marked, "page_id", "text").select("page_id", "first", "last", "level")
 
 
-@query()
+# others than the leading and key sentences stay while their running length fits; no fold is needed
+SENTENCES = r"""WITH t AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), '\n\n+', chr(1), 'g'), chr(1)) AS parts FROM documents),
+s AS (SELECT doc_id, text, trim(unnest(parts)) AS s, generate_subscripts(parts, 1) AS place FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM s WHERE s <> ''),
+k AS (SELECT *, n <= 2 OR regexp_matches(s, '(?i)(^|[^A-Za-z0-9_])(interface|class|def|model|constraint|endpoint|schema|api|type|return|param|error|response|request)([^A-Za-z0-9_]|$)|(^|[^A-Za-z0-9_])(require|validat)') AS fixed FROM p),
+u AS (SELECT *, -1 + sum(CASE WHEN fixed THEN length(s) + 1 ELSE 0 END) OVER (PARTITION BY doc_id) + sum(CASE WHEN fixed THEN 0 ELSE length(s) + 1 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS used FROM k),
+e AS (SELECT doc_id, string_agg(s, ' ' ORDER BY n) AS summary FROM u WHERE fixed OR used <= floor(length(text) * 0.5) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN length(d.text) < 100 OR e.doc_id IS NULL THEN d.text ELSE e.summary END AS summary FROM documents d LEFT JOIN e USING (doc_id)"""
+
+
+@query(SENTENCES)
 def c14_extractive_summary(spark, sf_dir):
-    """C14: leading and key sentences first; no SQL."""
+    """C14: leading and key sentences, and others while half of the length isn't used."""
     return docs(spark, sf_dir).select("doc_id", text.summary(F.col("text")).alias("summary"))
 
 
-@query("SELECT source, string_agg(doc_id || ':' || lang, ',' ORDER BY doc_id) AS contents, count(*) AS n FROM documents GROUP BY source")
+@query("SELECT source, doc_id, doc_id || ':' || lang AS entry FROM documents ORDER BY source, doc_id")
 def c15_contents(spark, sf_dir):
-    """Ordered entries of each collection."""
-    entries = F.array_sort(F.collect_list(F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), "lang").alias("entry"))))
-    return docs(spark, sf_dir).groupBy("source").agg(F.array_join(F.transform(entries, lambda x: x["entry"]), ",").alias("contents"), F.count(F.lit(1)).alias("n"))
+    """The entries of each collection, in order."""
+    entry = F.concat_ws(":", F.col("doc_id").cast("string"), "lang").alias("entry")
+    return docs(spark, sf_dir).select("source", "doc_id", entry).orderBy("source", "doc_id")
 
 
 @query("SELECT doc_id, sha256(CASE WHEN length(text) <= 2000 THEN text WHEN contains(substring(text, 1, 2000), chr(10)) THEN substring(text, 1, 2000 - strpos(reverse(substring(text, 1, 2000)), chr(10))) ELSE substring(text, 1, 2000) END) AS digest FROM documents")
@@ -237,11 +254,13 @@ def l17_agent_for(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", analysis.agent_for(F.col("text")).alias("agent"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' END AS name, CASE WHEN role = 'system' THEN 'system' END AS command FROM conversations")
+@query(r"WITH q AS (SELECT conv_id, turn, ['@', '  @', '/', ' /', 'to @', '', '@ ', '/-', '@no-'][(conv_id + turn) % 9 + 1] || text AS said FROM conversations) SELECT conv_id, turn, nullif(regexp_extract(said, '^\s*@([-_a-zA-Z0-9]+)', 1), '') AS name, nullif(regexp_extract(said, '^\s*/([-_a-zA-Z0-9]+)', 1), '') AS command, CASE WHEN regexp_matches(said, '^\s*/[-_a-zA-Z0-9]') THEN trim(regexp_replace(said, '^\s*/[-_a-zA-Z0-9]+', '')) END AS arguments FROM q")
 def l18_mentions(spark, sf_dir):
-    said = F.when(F.col("role") == "user", F.concat(F.lit("@user "), "text")).when(F.col("role") == "system", F.concat(F.lit("/system "), "text")).otherwise(F.lit("no mention"))
-    name, command, _ = analysis.mention(said)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", name.alias("name"), command.alias("command"))
+    """Texts that begin with a mention, with a command, or with what only looks so."""
+    marks = F.array(*map(F.lit, ("@", "  @", "/", " /", "to @", "", "@ ", "/-", "@no-")))
+    said = F.concat(F.get(marks, ((F.col("conv_id") + F.col("turn")) % 9).cast("int")), "text")
+    name, command, arguments = analysis.mention(said)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", name.alias("name"), command.alias("command"), arguments.alias("arguments"))
 
 
 @query("WITH e AS (SELECT DISTINCT source AS item, lang AS term FROM documents UNION SELECT DISTINCT source, CAST(length(text) % 7 AS VARCHAR) FROM documents) SELECT a.item AS a, b.item AS b, count(*) AS n, round(CAST(least(1.0, 0.7 + 0.1 * count(*)) AS DOUBLE), 6) AS confidence FROM e a JOIN e b ON a.term = b.term AND a.item < b.item GROUP BY a.item, b.item")
@@ -268,10 +287,13 @@ def n8_last_turns(spark, sf_dir):
     return state.last_of(table(spark, sf_dir, "conversations"), "conv_id", [F.desc("turn")], 3).select("conv_id", "turn", "role")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS domain, count(*) AS n FROM conversations")
+@query(r"WITH w AS (SELECT conv_id, turn, regexp_extract(text, '([A-Za-z0-9_]+)', 1) AS w, (conv_id * 7 + turn) % 9 AS k FROM conversations), q AS (SELECT *, ['How does the ' || w || ' module work?', 'what is ' || w || ' folder for', 'Please EXPLAIN the ' || w || ' package', 'an overview of ' || w, 'architecture of the ' || w || ' part', 'how does ' || w || ' work', 'what is the ' || w, 'explain ' || w || ' ' || w || ' domain', w][k + 1] AS q FROM w) SELECT conv_id, turn, CASE WHEN k = 0 THEN nullif(regexp_extract(lower(q), 'does (?:the )?([0-9a-z_]+) module work', 1), '') WHEN k = 1 THEN nullif(regexp_extract(lower(q), 'is (?:the )?([0-9a-z_]+) folder', 1), '') WHEN k IN (2, 7) THEN nullif(regexp_extract(lower(q), 'explain (?:the )?([0-9a-z_]+) (?:package|domain)', 1), '') WHEN k IN (3, 4) THEN nullif(regexp_extract(lower(q), 'of (?:the )?([0-9a-z_]+)', 1), '') END AS domain FROM q")
 def r19_asked_domains(spark, sf_dir):
-    """No text of the table asks about a domain."""
-    return table(spark, sf_dir, "conversations").groupBy(retrieval.asked_domain(F.col("text")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    """Questions of all forms about the first word of each text, and some of no form."""
+    w = F.regexp_extract("text", "([A-Za-z0-9_]+)", 1)
+    forms = F.array(*(F.format_string(x, w) for x in ("How does the %s module work?", "what is %s folder for", "Please EXPLAIN the %s package", "an overview of %s", "architecture of the %s part", "how does %s work", "what is the %s", "explain %1$s %1$s domain", "%s")))
+    asked = F.get(forms, ((F.col("conv_id") * 7 + F.col("turn")) % 9).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.asked_domain(asked).alias("domain"))
 
 
 @query("SELECT lang, doc_id, more FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, CAST(greatest(0, count(*) OVER (PARTITION BY lang) - 10) AS BIGINT) AS more FROM documents) WHERE n <= 10")

@@ -94,10 +94,10 @@ def t16_g3_call_chain(spark, sf_dir):
     return graph.traverse(derived.calls(spark, sf_dir), seeds, 3, "incoming")[0]
 
 
-@query("SELECT src, dst, edge_type FROM (SELECT *, row_number() OVER (PARTITION BY edge_type ORDER BY src, dst) AS n FROM g_edges) WHERE n <= 200")
+@query("SELECT src, dst, edge_type FROM (SELECT *, row_number() OVER (PARTITION BY edge_type ORDER BY src, dst) AS n FROM g_edges) WHERE n <= 2000")
 def t18_edges_per_type(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("edge_type").orderBy("src", "dst"))
-    return derived.edges(spark, sf_dir).withColumn("n", place).where("n <= 200").drop("n")
+    return derived.edges(spark, sf_dir).withColumn("n", place).where("n <= 2000").drop("n")
 
 
 @query("WITH RECURSIVE r AS (SELECT CAST(id AS VARCHAR) AS path, id AS last, 0 AS length FROM g_symbols WHERE name = 'red plate' UNION ALL SELECT r.path || '>' || d.dst, d.dst, r.length + 1 FROM r JOIN g_calls_dag d ON d.src = r.last WHERE r.length < 6) SELECT path, CAST(length AS INTEGER) AS length FROM r WHERE length >= 2 ORDER BY length DESC, path LIMIT 5")
@@ -116,9 +116,10 @@ def t21_available_edge_types(spark, sf_dir):
     return known.join(there, "edge_type", "left").where("there OR edge_type = 'CONTAINS'").select("rank", "edge_type")
 
 
-@query(f"WITH {TYPED}, d AS (SELECT n.id, count(x.id) AS k FROM n LEFT JOIN (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) x ON x.id = n.id GROUP BY n.id), t AS (SELECT id FROM d ORDER BY k DESC, id LIMIT 50) SELECT src, dst, edge_type FROM e WHERE src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)")
+@query("WITH d AS (SELECT n.id, count(x.id) AS k FROM g_symbols n LEFT JOIN (SELECT src AS id FROM g_calls UNION ALL SELECT dst FROM g_calls) x ON x.id = n.id GROUP BY n.id), t AS (SELECT id FROM d ORDER BY k DESC, id LIMIT 300) SELECT src, dst FROM g_calls WHERE src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)")
 def r21_collapsed_diagram(spark, sf_dir):
-    return views.collapsed(*typed(spark, sf_dir))[1]
+    """The symbols with most calls, and the calls among them."""
+    return views.collapsed(derived.symbols(spark, sf_dir), derived.calls(spark, sf_dir), 300)[1]
 
 
 @query(f"WITH {TYPED} SELECT id, node_type FROM (SELECT *, row_number() OVER (PARTITION BY node_type ORDER BY id) AS k FROM n) WHERE k <= CASE node_type WHEN 'file' THEN 100 ELSE 300 END")
@@ -202,7 +203,7 @@ def ext_tumbling_windows(spark, sf_dir):
 @query("SELECT c_mktsegment AS segment, n_name AS nation, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_mktsegment, n_name")
 def j21_linked_sources(spark, sf_dir):
     """Documents by their linked source."""
-    return table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
 
 
 @query("SELECT a.source AS source, count(DISTINCT a.lang) AS languages, count(DISTINCT a.lang) = 4 AS complete FROM documents a GROUP BY a.source")
