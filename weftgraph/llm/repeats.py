@@ -6,7 +6,8 @@ windows have equal anchors. The windows of one anchor at one place are a short p
 passages of an anchor are a reference shard; its automaton grows in (document, place) order
 as the passages stream by, and a window whose matching statistic reaches the window length
 starts earlier. Of equal texts only the first is searched; all windows of the others start
-earlier. Anchors of more than ``hot`` passages would make unbounded shards; their windows
+earlier. So it is with equal passages of an anchor that has more than ``hot`` of them. If it
+still has more than ``hot`` different ones, its shard would be unbounded, and their windows
 are compared by two independent 64-bit hashes, with pre-aggregated minima, instead.
 """
 
@@ -79,8 +80,8 @@ def _passages(window: int):
                 text = words.text[lo]
                 said = [b" ".join(data[a:b].tobytes().split()) for a, b in zip(words.first[lo].tolist(), words.last[hi - 1].tolist(), strict=True)]
                 take = pa.array(text)
-                out = [pa.array(anchor[numbers]), pa.array(hot), rows.column("doc").take(take), rows.column("part").take(take), pa.array((lo - words.bounds[text]).astype(np.int32)), pa.array(said, pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, ["anchor", "hot", "doc", "part", "place", "passage"])
+                out = [pa.array(anchor[numbers]), pa.array(hot), rows.column("doc").take(take), rows.column("part").take(take), pa.array((lo - words.bounds[text]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array(said, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, ["anchor", "hot", "doc", "part", "place", "length", "passage"])
 
     return run
 
@@ -174,32 +175,41 @@ def without_repeats(docs: DataFrame, *, window: int = 20, hot: int = 1000) -> Da
     keyed = keyed.withColumns({"doc": F.coalesce("doc_id", F.lit(2**63 - 1)), "part": F.xxhash64("text")})
     known = extend(keyed.select("doc", "part", F.xxhash64(F.lit(1), "text").alias("more"), "text"), "text", _anchors(window), {"n": "bigint", "anchors": "array<bigint>"})
     known = written(known.drop("text"))
-    firsts = known.groupBy("part", "more").agg(F.min("doc").alias("owner"))
+    firsts = written(known.groupBy("part", "more").agg(F.min("doc").alias("owner")))
     owned = known.where(F.col("n") >= window).join(firsts, ["part", "more"])
     copies = written(owned.where("doc > owner").select("doc", "part").distinct())
     anchors = written(owned.where("doc = owner").select("doc", "part", "anchors").distinct())
-    dropped(known)
+    dropped(known, firsts)
     each = anchors.select("doc", "part", F.explode("anchors").alias("anchor"))
     shared = written(each.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > hot).alias("hot")))
     mine = each.join(shared, "anchor").groupBy("doc", "part").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cool"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("warm"))
     mine = written(mine)
     dropped(anchors, shared)
-    found = keyed.select("doc", "part", "text").join(mine, ["doc", "part"]).mapInArrow(_passages(window), "anchor bigint, hot boolean, doc bigint, part bigint, place int, passage binary")
+    found = keyed.select("doc", "part", "text").join(mine, ["doc", "part"]).mapInArrow(_passages(window), "anchor bigint, hot boolean, doc bigint, part bigint, place int, length int, passage binary")
     found = written(found)
     dropped(mine)
 
-    cool = found.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "doc", "part", "place")
-    ranges = written(cool.select("anchor", "doc", "part", "place", "passage").mapInArrow(_streamed(window), RANGES))
-
-    warm = found.where("hot").select("doc", "part", "place", "passage").mapInArrow(_windows(window), "one bigint, two bigint, doc bigint, part bigint, place int")
+    # one row for each different passage of a crowded anchor; the others are repeats as a whole
     where = F.struct("doc", "part", "place")
+    crowd = found.where("hot")
+    unlike = written(crowd.groupBy("passage").agg(F.min("anchor").alias("anchor"), F.min(where).alias("least")))
+    equal = crowd.join(unlike.select("passage", "least"), "passage").where(where > F.col("least"))
+    equal = written(equal.select("doc", "part", F.col("place").alias("first"), (F.col("place") + F.col("length")).alias("last")))
+    vast = written(unlike.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"))
+    alone = unlike.select("anchor", "least.*", "passage")
+
+    cool = found.where("NOT hot").select("anchor", "doc", "part", "place", "passage").unionByName(alone.join(vast, "anchor", "left_anti"))
+    cool = cool.repartition("anchor").sortWithinPartitions("anchor", "doc", "part", "place")
+    ranges = written(cool.mapInArrow(_streamed(window), RANGES))
+
+    warm = alone.join(vast, "anchor", "left_semi").select("doc", "part", "place", "passage").mapInArrow(_windows(window), "one bigint, two bigint, doc bigint, part bigint, place int")
     least = written(warm.groupBy("one", "two").agg(F.min(where).alias("least"), F.max(where).alias("most")).where("least < most").select("one", "two", "least"))
     later = written(warm.join(least, ["one", "two"]).where(where > F.col("least")).select("doc", "part", F.col("place").alias("first"), (F.col("place") + window).alias("last")))
-    dropped(found, least)
+    dropped(found, unlike, vast, least)
 
-    every = ranges.unionByName(later).groupBy("doc", "part").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    every = ranges.unionByName(equal).unionByName(later).groupBy("doc", "part").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     every = written(every.withColumn("whole", F.lit(False)).unionByName(copies.withColumns({"ranges": F.lit(None).cast("array<struct<first: int, last: int>>"), "whole": F.lit(True)})))
-    dropped(ranges, later, copies)
+    dropped(ranges, equal, later, copies)
     joined = keyed.join(every, ["doc", "part"], "left").select("doc_id", "text", "ranges", "whole")
     fields = {"n_words": "bigint", "n_removed": "bigint", "kept_text": "string", "removed": "array<struct<first: int, last: int>>"}
     return extend(joined, "text", _kept, fields).drop("text", "ranges", "whole")
