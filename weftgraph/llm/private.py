@@ -37,6 +37,10 @@ _LOWER = str.maketrans(UPPER, LOWER)
 FOUND = "first bigint, last bigint, kind string, instance string, before string, after string"
 #: Added spans of about so many bytes are sent to all executors; more are joined by a shuffle.
 BROADCAST_BYTES = 8_000_000
+#: Words of at most so many patterns are looked up as the texts are read; those of more meet in a join only.
+LOOKED_UP = 10_000
+#: One of so many texts gives a lower bound of a pattern's size, which can only rule it out.
+SLICES = 64
 
 
 def luhn(digits: str) -> bool:
@@ -152,8 +156,12 @@ def all_fillers(texts: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFr
     words = texts.where("text IS NOT NULL").select(F.transform(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), said).alias("words"))
     # an index below 0 or beyond the end gives null
     around = F.transform("words", lambda word, at: F.struct(F.get("words", at - 1).alias("before"), word.alias("instance"), F.get("words", at + 1).alias("after")))
-    beside = (F.coalesce(F.col(side), F.lit(edge)) for side, edge in (("before", "^"), ("after", "$")))
-    edges = words.select(F.inline(around)).select("instance", F.explode(patterns(*beside)).alias("pattern"))
+    around = F.transform(around, lambda x: F.struct(F.coalesce(x["before"], F.lit("^")).alias("before"), x["instance"].alias("instance"), F.coalesce(x["after"], F.lit("$")).alias("after")))
+    looked_up = wanted.limit(LOOKED_UP + 1).collect()
+    if len(looked_up) <= LOOKED_UP:
+        words_of = {mark: {x["pattern"][2:].split(" ")[0] for x in looked_up if x["pattern"][0] in mark} for mark in ("<=", ">")}
+        around = F.filter(around, lambda x: x["before"].isin(*words_of["<="]) | x["after"].isin(*words_of[">"]))
+    edges = words.select(F.inline(around)).select("instance", F.explode(patterns(F.col("before"), F.col("after"))).alias("pattern"))
     return edges.unionByName(known).join(wanted, "pattern", "left_semi").groupBy("pattern").agg(F.count_distinct("instance").alias("size"))
 
 
@@ -165,19 +173,22 @@ def accepted(found: DataFrame, texts: DataFrame, *, least_seeds: int = 5, confid
     """
     graph = found.select("one", "two", "first", "last", "kind", "instance", F.explode(patterns(F.col("before"), F.col("after"))).alias("pattern"))
     edges = written(graph.select("pattern", "instance", "kind").distinct())
-    sizes = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("size"))
+    instances = edges.select("pattern", "instance").distinct()
+    sizes = written(instances.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least_seeds))
+    part = all_fillers(texts.where(F.pmod(F.xxhash64("text"), F.lit(SLICES)) == 0), instances, sizes.select("pattern"))
+    least = written(part)
     seeds = written(edges.where("kind IS NOT NULL").select("instance", "kind").distinct().withColumn("trust", F.lit(1.0)))
     unseen = edges.where("kind IS NULL").select("pattern", "instance")
     known, learnt, counted = seeds, None, None
     while True:
-        votes = edges.select("pattern", "instance").distinct().join(known, "instance").groupBy("pattern", "kind")
+        votes = instances.join(known, "instance").groupBy("pattern", "kind")
         votes = votes.agg(F.sum("trust").alias("votes"), F.count(F.when(F.col("trust") >= seed_trust, 1)).alias("seeds"))
-        # these sizes leave plain words out, so what fails here fails
-        able = written(votes.where(F.col("seeds") >= least_seeds).join(sizes, "pattern").where(F.col("votes") / (F.col("size") + 1) >= confidence).select("pattern", "kind", "votes"))
+        # these sizes leave the plain words of most texts out, so what fails here fails
+        able = written(votes.where(F.col("seeds") >= least_seeds).join(least, "pattern").where(F.col("votes") / (F.col("size") + 1) >= confidence).select("pattern", "kind", "votes"))
         new = able.select("pattern").distinct()
         new = written(new if counted is None else new.join(counted, "pattern", "left_anti"))
         if counted is None or not new.isEmpty():
-            more = written(all_fillers(texts, edges.select("pattern", "instance"), new)) if not new.isEmpty() else written(sizes.where("false"))
+            more = written(all_fillers(texts, instances, new)) if not new.isEmpty() else written(sizes.where("false"))
             counted = more if counted is None else written(more.unionByName(counted))
         trusted = able.join(counted, "pattern").withColumn("trust", F.col("votes") / (F.col("size") + 1)).where(F.col("trust") >= confidence)
         trusted = written(trusted.select("pattern", "kind", "trust"))
@@ -192,7 +203,7 @@ def accepted(found: DataFrame, texts: DataFrame, *, least_seeds: int = 5, confid
         known = seeds.unionByName(learnt.join(seeds.select("instance"), "instance", "left_anti").select("instance", "kind", "trust"))
     there = graph.where("kind IS NULL").drop("kind").join(trusted.select("pattern", "kind"), "pattern")
     out = written(there.join(learnt.select("instance", "kind"), ["instance", "kind"], "left_semi").select("one", "two", "first", "last", "kind").distinct())
-    dropped(edges, seeds, trusted, counted, learnt)
+    dropped(edges, sizes, least, seeds, trusted, counted, learnt)
     return out
 
 
