@@ -32,7 +32,7 @@ from .words import LOWER, Words, map_blocks, mixed, paired
 BANDS, ROWS = 32, 6
 BATCH = 32
 MISS = 1e-6
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 #: A chunk holds classes of about so many shingles, if no single class has more; small ones count as LEAST_SHINGLES.
 TILE_SHINGLES, LEAST_SHINGLES = 50_000, 64
 #: So many shingles at a time are columns of the matrices of a tile, so many pairs at a time are compared.
