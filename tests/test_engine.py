@@ -1,10 +1,11 @@
 """The engine's access point, guarded SQL, source files, and views."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph.engine import Engine, guarded
-from weftgraph.operators import code, views
+from weftgraph.operators import code, index, views
 from weftgraph.operators.retrieval import Settings
 
 SOURCE = '''import os
@@ -53,8 +54,106 @@ def test_tools(engine):
     assert {(r["key"], r["value"]) for r in engine.call("statistics").where("metric = 'edges'").collect()} == {("CALLS", 2), ("EXTENDS", 1)}
     with pytest.raises(KeyError):
         engine.call("drop")
+
+
+def test_register_of_tools(engine):
+    schema = engine.schemas()
+    assert len(schema) >= 22 and schema["find"]["arguments"]["name"]["required"] and schema["find"]["arguments"]["most"]["default"] == 20
+    engine.register(lambda: engine.nodes, "everything")
+    assert engine.call("everything").count() == 3 and engine.unregister("everything") and not engine.unregister("everything")
+
+
+def test_settings_hold_their_ranges_and_come_back():
+    held = Settings(top_k_vector=0, max_depth=10**6, similarity_threshold=7, similarity_function="odd").checked()
+    assert (held.top_k_vector, held.max_depth, held.similarity_threshold, held.similarity_function) == (5, 100, 1.0, "cosine")
+    assert Settings.of_json(held.to_json()) == held and Settings.of_json('{"max_depth": 3, "new": 1}').max_depth == 3
+
+
+def test_calls_are_traced(engine):
+    assert [list(r["path"]) for r in engine.trace("load").collect()] == [[1, 2, 3]]
+    assert [list(r["path"]) for r in engine.trace("TOR", "incoming").collect()] == [[3, 2, 1]]
+    assert engine.trace("nobody").count() == 0
+    assert engine.flow("load", "Store").first()["flow"] == "load -> save -> Store"
     with pytest.raises(ValueError):
-        Settings(top_k=0).checked()
+        engine.trace("load", "sideways")
+
+
+def test_views(engine):
+    lines = {r["line"].strip() for r in engine.view("calls").collect()}
+    assert {"1 --> 2", "2 --> 3"} <= lines and len(lines) == 5
+    assert engine.view("call_chain", symbol="sa").count() == 3 and engine.view("hotspots").count() == 0
+    assert {r["line"].strip() for r in engine.view("full", folder="a/").collect()} >= {"1 --> 2"}
+    for bad in ({"kind": "odd"}, {"kind": "call_chain"}, {"kind": "full", "folder": "zzz"}):
+        with pytest.raises(ValueError):
+            engine.view(**bad)
+
+
+def test_sections_of_an_analysis(engine):
+    rows = {(r["section"], r["name"]) for r in engine.analysis().collect()}
+    assert ("concept", "Store") in rows
+    assert {r["metric"]: r["value"] for r in engine.statistics().where("metric = 'depth'").collect()} == {"depth": 2}
+    assert [(r["folder"], r["files"], r["imports"]) for r in engine.architecture().collect()] == [("a", 2, 0), ("b", 1, 0)]
+    assert engine.symbol_details("save").first()["total"] == 2
+
+
+def test_queries_read_only_what_is_given(engine):
+    assert engine.query("select count(*) as n from nodes where name <> '{x}'").first()["n"] == 3
+    assert engine.query("with a as (select src as update from edges) select * from a join nodes n on n.id = a.update", 2).count() == 2
+    for bad in ("select * from parquet.`/tmp/x`", "select * from other", "select * from default.nodes", "show tables", "with a as (select 1) update x set y = 1"):
+        with pytest.raises(ValueError):
+            engine.query(bad)
+
+
+REPO = {
+    "app/main.py": "from app.store import Shop\nimport os\n\n\ndef main():\n    shop = Shop()\n    return load_all(shop)\n\n\ndef load_all(shop):\n    return shop.fetch_items()\n",
+    "app/store.py": "class Shop(Base):\n    def fetch_items(self):\n        return []\n\n\nclass Base:\n    pass\n",
+    "web/a.ts": "import { b } from './b';\nexport class Page extends View {\n}\n",
+    "web/b.ts": "export const b = (x) => x\n",
+    "README.md": "# One\ntext\n\n# Two\nmore",
+    "bad.py": "def (",
+}
+LANGUAGES = {"py": "python", "ts": "typescript", "md": "markdown"}
+
+
+@pytest.fixture(scope="module")
+def indexed(spark):
+    rows = [(p, LANGUAGES[p.rpartition(".")[2]], t) for p, t in REPO.items()]
+    return spark.createDataFrame(rows, "file_path string, language string, content string")
+
+
+def test_index_of_files(indexed):
+    made = index.index_files(indexed)
+    nodes = {r["id"]: r["kind"] for r in made.nodes.collect()}
+    assert nodes["file:app/main.py"] == "file" and nodes["dir:app"] == "directory" and nodes["app/store.py:Shop:class:1"] == "class" and "file:bad.py" in nodes
+    edges = {(r["src"].split(":")[-3] if r["src"].count(":") > 2 else r["src"], r["dst"].split(":")[-3] if r["dst"].count(":") > 2 else r["dst"], r["edge_type"]) for r in made.edges.collect()}
+    assert {("file:app/main.py", "file:app/store.py", "IMPORTS"), ("file:web/a.ts", "file:web/b.ts", "IMPORTS"), ("main", "load_all", "CALLS"), ("main", "Shop", "CALLS"), ("load_all", "fetch_items", "CALLS"), ("Shop", "Base", "EXTENDS"), ("dir:app", "file:app/main.py", "CONTAINS"), ("repo", "dir:app", "CONTAINS")} <= edges
+    chunks = {(r["file_path"], r["symbol"]) for r in made.chunks.collect()}
+    assert {("app/main.py", "main"), ("app/store.py", "fetch_items"), ("README.md", None)} <= chunks
+    again = index.index_files(indexed, done=made.files)
+    assert again.files.count() == 0 and again.nodes.count() == 0
+    changed = indexed.withColumn("content", F.when(F.col("file_path") == "README.md", "# New").otherwise(F.col("content")))
+    assert [r["file_path"] for r in index.index_files(changed, done=made.files).files.collect()] == ["README.md"]
+
+
+def test_retrieval_of_a_question(spark, indexed):
+    engine = Engine.of_files(indexed, Settings(top_k_vector=5))
+    place = F.dense_rank().over(Window.orderBy("chunk_id"))
+    engine.chunks = engine.chunks.withColumn("embedding", F.array(F.sin(place), F.cos(place)))
+    found = engine.retrieve("What does load_all do?", [0.0, 1.0], current_file="app/main.py").collect()
+    by_path = {r["file_path"] for r in found}
+    assert any(r["anchor"] and r["file_path"] == "app/main.py" for r in found) and "app/store.py" in by_path
+    assert {r["file_path"] for r in engine.retrieve("explain the web module", [0.0, 1.0]).collect()} == {"web/a.ts", "web/b.ts"}
+    pinned = engine.retrieve("why?", [0.0, 1.0], anchors=["README.md"], stack='File "app/store.py", line 2').collect()
+    assert {"README.md", "app/store.py"} <= {r["file_path"] for r in pinned}
+    assert engine.call("unified", vector=[0.0, 1.0], top=3).where("is_documentation").count() >= 1
+    assert engine.call("traverse_hybrid", vector=[0.0, 1.0], top=2, depth=9, terms=["items"]).count() >= 2
+
+
+def test_a_file_nested_too_deeply(spark):
+    deep = "x = " + "(" * 5000 + ")" * 5000
+    files = spark.createDataFrame([("deep.py", deep), ("ok.py", "def f():\n    pass")], "file_path string, content string")
+    found = {r["file_path"]: (r["kind"], r["name"]) for r in code.python_symbols(files).collect()}
+    assert found == {"deep.py": (code.UNPARSED, None), "ok.py": ("function", "f")} and code.python_relations(files).count() == 0
 
 
 @pytest.mark.parametrize("bad", ["drop table x", "select 1; select 2", "with a as (select 1) insert into b select * from a", ""])
@@ -70,6 +169,7 @@ def test_guard_limits(spark):
 def test_python_symbols(spark):
     files = spark.createDataFrame([("a.py", SOURCE), ("bad.py", "def ("), ("none.py", None)], "file_path string, content string")
     found = {r["name"]: r for r in code.python_symbols(files).collect()}
+    assert found.pop(None)["kind"] == code.UNPARSED
     assert set(found) == {"Base", "run", "_hidden", "inner", "main"}
     assert found["run"]["kind"] == "method" and found["run"]["parameters"] == ["a", "b"] and found["run"]["complexity"] == 3
     assert found["_hidden"]["visibility"] == "protected" and found["main"]["is_async"] and found["Base"]["doc"] == "Doc."

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,20 +52,29 @@ def _relations(path: str, tree: ast.AST) -> Iterator[dict]:
         yield from (row(ast.unparse(d).partition("(")[0], "DECORATES", node.name, d.lineno) for d in node.decorator_list)
 
 
-def _parsed(rows: pd.DataFrame) -> Iterator[tuple[str, ast.AST]]:
+#: Kind of the one row of a file that can't be parsed; its doc says why.
+UNPARSED = "unparsed"
+_TOO_MUCH = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+def _parsed(rows: pd.DataFrame, work: Callable[[str, ast.AST], list[dict]], failed: Callable[[str, str], list[dict]]) -> Iterator[dict]:
     for path, text in zip(rows["file_path"], rows["content"], strict=True):
-        try:
-            yield path, ast.parse(text or "")
-        except (SyntaxError, ValueError):
-            continue
+        try:  # a file that is nested too deeply may fail in any step
+            out = work(path, ast.parse(text or ""))
+        except _TOO_MUCH as why:
+            out = failed(path, type(why).__name__)
+        yield from out
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
-    """Classes, functions and methods of ``files`` (file_path, content); what doesn't parse has none."""
+    """Classes, functions and methods of ``files`` (file_path, content); for a file that can't be parsed one row of kind ``UNPARSED``."""
+    names = [c.split()[0] for c in SYMBOLS.split(", ")]
+    empty: dict = dict.fromkeys(names) | {"kind": UNPARSED, "bases": [], "decorators": [], "parameters": [], "is_async": False}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame([_symbol(p, node, parent) for p, tree in _parsed(rows) for node, parent in _definitions(tree)], columns=[c.split()[0] for c in SYMBOLS.split(", ")])
+            found = _parsed(rows, lambda p, tree: [_symbol(p, node, parent) for node, parent in _definitions(tree)], lambda p, why: [empty | {"file_path": p, "doc": why}])
+            yield pd.DataFrame(list(found), columns=names).astype({"start_line": "Int32", "end_line": "Int32", "complexity": "Int32"})
 
     return files.select("file_path", "content").mapInPandas(run, SYMBOLS)
 
@@ -75,7 +84,7 @@ def python_relations(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame([r for p, tree in _parsed(rows) for r in _relations(p, tree)], columns=["file_path", "source", "relation", "target", "line"])
+            yield pd.DataFrame(list(_parsed(rows, lambda p, tree: list(_relations(p, tree)), lambda p, why: [])), columns=["file_path", "source", "relation", "target", "line"])
 
     return files.select("file_path", "content").mapInPandas(run, RELATIONS)
 

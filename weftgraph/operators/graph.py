@@ -190,3 +190,34 @@ def next_in_order(df: DataFrame, partition: str, order: Sequence[str], id_col: s
     """(src, dst) of rows that follow each other within a partition."""
     following = F.lead(id_col).over(Window.partitionBy(partition).orderBy(*order))
     return df.select(F.col(id_col).alias("src"), following.alias("dst")).where("dst IS NOT NULL")
+
+
+def traced(nodes: DataFrame, edges: DataFrame, name: str, direction: str = "outgoing", max_depth: int = 25, most: int = 100) -> DataFrame:
+    """start, path and length of call chains from a symbol: ``edges`` of type CALLS, depth at most 50.
+
+    The symbol is the first by id with that very name; if there is none, the first whose name
+    holds it in any case. Chains end where nothing more is called (or calls).
+    """
+    if direction not in ("outgoing", "incoming"):
+        raise ValueError(f"unknown direction {direction!r}")
+    exact, partly = F.col("name") == name, F.lower("name").contains(name.lower())
+    start = nodes.where(exact | partly).select("id", F.when(exact, 0).otherwise(1).alias("rank")).orderBy("rank", "id").limit(1).select("id")
+    start = written(start)
+    depth = min(max_depth, 50)
+    walked = oriented(of_types(edges, ["CALLS"]), direction).select("src", "dst")
+    reached, _ = traverse(walked, start, depth)
+    return paths_to_leaves(induced(walked, reached), start, depth, most)
+
+
+def typed_trails(edges: DataFrame, starts: DataFrame, depth: int, types: Sequence[str]) -> DataFrame:
+    """start, end, length and relations (the types of the edges in order) of all walks of up to ``depth``
+    edges of these types, held to 1 to 3, that use no edge twice."""
+    walked = written(of_types(edges, types).select("src", "dst", "edge_type").distinct())
+    step = F.struct("src", "dst", "edge_type")
+    now = starts.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array().cast(walked.select(F.array(step).alias("x")).schema["x"].dataType).alias("used"))
+    out = None
+    for length in range(1, min(max(depth, 1), 3) + 1):
+        now = written(now.join(walked, F.col("end") == F.col("src")).where(~F.array_contains("used", step)).select("start", F.col("dst").alias("end"), F.concat("used", F.array(step)).alias("used")))
+        part = now.select("start", "end", F.lit(length).alias("length"), F.col("used.edge_type").alias("relations"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import vectors
+from weftgraph.operators import graph
 from weftgraph.operators.state import running_total
 
 #: Words that are no search terms.
@@ -31,23 +33,53 @@ DOMAIN_PATTERNS = (
 FRAME_PATTERNS = (r'File "([^"]+)", line (\d+)', r"at\s+(?:\S+\s+\()?([^:]+):(\d+)", r"([^\s:]+):(\d+)")
 
 
+#: The range that a knob is held to.
+RANGES = {
+    "max_context_tokens": (1000, 200_000), "top_k_vector": (5, 5000), "graph_expansion_hops": (1, 10), "max_expansion_nodes": (100, 2000), "max_depth": (1, 100),
+    "similarity_threshold": (0.0, 1.0), "same_file_bonus": (0.0, 1.0), "same_directory_bonus": (0.0, 1.0), "tokens_per_line": (1.0, 500.0),
+}
+
+
 @dataclass(frozen=True)
 class Settings:
-    """Knobs of retrieval; ``checked`` rejects what makes no sense."""
-
-    top_k: int = 200
-    max_depth: int = 5
-    max_nodes: int = 500
+    """Knobs of retrieval. ``checked`` holds each to its range; ``to_json`` and ``of_json`` go there and back."""
+
+    max_context_tokens: int = 100_000
+    top_k_vector: int = 200
+    graph_expansion_hops: int = 5
+    max_expansion_nodes: int = 500
+    max_symbols_per_chunk: int = 3
+    max_resolved_ids_per_symbol: int = 3
+    max_entry_points_traced: int = 5
+    max_context_items_for_flow: int = 10
+    same_file_bonus: float = 0.1
+    same_directory_bonus: float = 0.05
+    tokens_per_line: float = 10.0
+    max_depth: int = 25
+    similarity_threshold: float = 0.7
+    similarity_function: str = "cosine"
+    include_visualization: bool = True
+    include_related_symbols: bool = True
+    enable_ranking: bool = True
+    #: Weights of the final score; not among the knobs that a user turns.
     graph_weight: float = 0.3
     anchor_bonus: float = 0.2
-    same_file_bonus: float = 0.1
-    same_folder_bonus: float = 0.05
-    token_budget: int = 8000
 
     def checked(self) -> Settings:
-        if min(self.top_k, self.max_depth, self.max_nodes, self.token_budget) < 1 or min(self.graph_weight, self.anchor_bonus) < 0:
-            raise ValueError("sizes are at least 1, weights at least 0")
-        return self
+        held = {k: type(getattr(self, k))(min(max(getattr(self, k), low), high)) for k, (low, high) in RANGES.items()}
+        return replace(self, **held, similarity_function=self.similarity_function if self.similarity_function in MEASURES else "cosine")
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @classmethod
+    def of_json(cls, text: str) -> Settings:
+        """Unknown names are passed over, missing ones have their defaults."""
+        known = {f.name for f in fields(cls)}
+        return cls(**{k: v for k, v in json.loads(text).items() if k in known})
+
+
+MEASURES = {"cosine": vectors.cosine, "euclidean": vectors.euclidean}
 
 
 def similar(chunks: DataFrame, query: DataFrame, k: int, measure: str = "cosine", prefilter: Column | None = None, postfilter: Column | None = None) -> DataFrame:
@@ -56,7 +88,7 @@ def similar(chunks: DataFrame, query: DataFrame, k: int, measure: str = "cosine"
     ``prefilter`` applies before, ``postfilter`` after the cut, which may leave fewer than k.
     Ties go to the smaller chunk_id. ``query`` is one row, so that side is broadcast.
     """
-    of = {"cosine": vectors.cosine, "euclidean": vectors.euclidean}[measure]
+    of = MEASURES[measure]
     pool = chunks if prefilter is None else chunks.where(prefilter)
     scored = pool.join(F.broadcast(query.select(F.col("embedding").alias("asked")).limit(1)), F.size("embedding") == F.size("asked"))
     best = scored.withColumn("score", of(F.col("embedding"), F.col("asked"))).where("score IS NOT NULL").drop("asked").orderBy(F.desc("score"), "chunk_id").limit(k)
@@ -80,7 +112,7 @@ def final_score(settings: Settings, score: Column, distance: Column, is_anchor:
 
 def location_bonus(settings: Settings, file_path: Column, current: str) -> Column:
     folder = current.rpartition("/")[0]
-    return F.when(file_path == current, settings.same_file_bonus).when(F.regexp_replace(file_path, "/?[^/]*$", "") == folder, settings.same_folder_bonus).otherwise(F.lit(0.0))
+    return F.when(file_path == current, settings.same_file_bonus).when(F.regexp_replace(file_path, "/?[^/]*$", "") == folder, settings.same_directory_bonus).otherwise(F.lit(0.0))
 
 
 def frames(text: Column) -> Column:
@@ -201,3 +233,83 @@ def start_symbols(*ranked: DataFrame) -> DataFrame:
         part = part.select("id", F.lit(k).alias("rank"))
         every = part if every is None else every.unionByName(part)
     return every.groupBy("id").agg(F.min("rank").alias("rank"))
+
+
+def unified(chunks: DataFrame, query: DataFrame, symbols: DataFrame, edges: DataFrame, k: int, *, least_score: float = 0.0, related: bool = True, documentation: bool = True, most_documents: int = 100) -> DataFrame:
+    """Code chunks with their symbol and what that is related to, and documentation chunks, in one table.
+
+    ``chunks``: chunk_id, file_path, embedding; ``symbols``: id (that of the chunk), name. Code are the
+    files that don't end in ``.md``, of which the best k stay; of the others the best
+    ``most_documents`` (none without ``documentation``), which have no symbol. related: distinct
+    ``name:type`` over CALLS, IMPORTS and USES; empty without ``related``.
+    """
+    is_text = F.col("file_path").endswith(".md")
+    best = similar(chunks, query, k, prefilter=~is_text).where(F.col("score") >= least_score)
+    out = best.select("chunk_id", "file_path", "score", F.lit(False).alias("is_documentation"))
+    out = out.join(symbols.select(F.col("id").alias("chunk_id"), F.col("name").alias("symbol")), "chunk_id", "left")
+    if related:
+        near = edges.where(F.col("edge_type").isin("CALLS", "IMPORTS", "USES")).join(symbols.select(F.col("id").alias("dst"), F.col("name").alias("other")), "dst")
+        near = near.join(out.select(F.col("chunk_id").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("chunk_id")).agg(F.array_sort(F.collect_set(F.concat_ws(":", "other", "edge_type"))).alias("related"))
+        out = out.join(near, "chunk_id", "left")
+    else:
+        out = out.withColumn("related", F.lit(None).cast("array<string>"))
+    if documentation:
+        texts = similar(chunks, query, most_documents, prefilter=is_text).where(F.col("score") >= least_score)
+        out = out.unionByName(texts.select("chunk_id", "file_path", "score", F.lit(True).alias("is_documentation"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("array<string>").alias("related")))
+    return out.withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
+
+
+def hybrid_traversal(chunks: DataFrame, query: DataFrame, edges: DataFrame, k: int, depth: int = 2, types: Sequence[str] | None = None, terms: Sequence[str] = ()) -> DataFrame:
+    """chunk_id, id and depth: what is reached from the best chunks in up to ``depth`` steps, held to 1 to 3.
+
+    A chunk's node has its id. With ``terms`` (words to look for in ``content``) the lexically
+    best k chunks count as well: the mode is hybrid then, by vectors only otherwise.
+    """
+    best = similar(chunks, query, k).select(F.col("chunk_id").alias("id"))
+    if terms:
+        lexical = lexical_scores(chunks, terms, "content", "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(k)
+        best = best.unionByName(lexical.select(F.col("chunk_id").alias("id"))).distinct()
+    found, _ = graph.traverse(edges, best, min(max(depth, 1), 3), "both", types)
+    return found
+
+
+def retrieve(question: str, query: DataFrame, chunks: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, settings: Settings, *, anchors: Sequence[str] = (), current_file: str | None = None, stack: str | None = None) -> DataFrame:
+    """From a question to ranked chunks within the token budget: chunk_id, file_path, tokens, final, distance, anchor.
+
+    ``query`` holds the question's vector (embedding). A question about a domain takes the
+    chunks below the folder of that name. Otherwise: the nearest chunks; chunks of anchored
+    files, of frames of an error ``stack`` and of symbols that the question names; chunks of
+    symbols around theirs; a bonus for the current file and folder; and the first fit of
+    the ranked ones. ``chunks``: chunk_id, file_path, start_line, end_line, content,
+    embedding; ``links``: chunk_id, id.
+    """
+    settings = settings.checked()
+    spark = chunks.sparkSession
+    asked = spark.range(1).select(F.lit(question).alias("q"))
+    domain, names = asked.select(asked_domain(F.col("q")), names_in(F.col("q"))).first()  # one row
+    plain = chunks.select("chunk_id", "file_path", "start_line", "end_line", F.floor(F.length("content") / 4).cast("long").alias("tokens"))
+    if domain and not (inside := plain.where(F.concat(F.lit("/"), F.lower("file_path")).contains(f"/{domain}/"))).isEmpty():
+        rows = inside.withColumns({"final": F.lit(1.0), "distance": F.lit(-1), "anchor": F.lit(False)})
+        return fitting(rows.select("chunk_id", "file_path", "tokens", "final", "distance", "anchor"), settings.max_context_tokens, [F.col("file_path"), F.col("chunk_id")])
+
+    best = similar(chunks, query, settings.top_k_vector, settings.similarity_function).select("chunk_id", "score", F.lit(False).alias("anchor"))
+    parts = [best]
+    wanted = nodes.where(F.col("name").isin(*names)) if names else nodes.where("false")
+    by_name = links.join(wanted.select("id"), "id", "left_semi").select("chunk_id")
+    pinned = by_name.unionByName(plain.where(F.col("file_path").isin(*anchors)).select("chunk_id")) if anchors else by_name
+    if stack:
+        at = spark.range(1).select(F.inline(frames(F.lit(stack)))).select(F.col("file").alias("file_path"), "line")
+        pinned = pinned.unionByName(chunks_of_frames(plain.drop("tokens"), at).select("chunk_id"))
+    parts.append(pinned.distinct().withColumns({"score": F.lit(0.5), "anchor": F.lit(True)}))
+    rows = merged(*parts)
+
+    starts = links.join(rows.select("chunk_id"), "chunk_id", "left_semi").select("id").distinct()
+    near, _ = graph.traverse(edges, starts, settings.graph_expansion_hops, "both", row_cap=settings.max_expansion_nodes)
+    distance = near.join(links, "id").groupBy("chunk_id").agg(F.min("depth").alias("distance"))
+    rows = rows.join(distance, "chunk_id", "full_outer").withColumns({"score": F.coalesce("score", F.lit(0.0)), "anchor": F.coalesce("anchor", F.lit(False)), "distance": F.coalesce("distance", F.lit(-1))})
+    rows = rows.join(plain, "chunk_id")
+    final = final_score(settings, F.col("score"), F.col("distance"), F.col("anchor"))
+    if current_file:
+        final = final + location_bonus(settings, F.col("file_path"), current_file)
+    rows = rows.select("chunk_id", "file_path", "tokens", (final if settings.enable_ranking else F.col("score")).alias("final"), "distance", "anchor")
+    return fitting(rows, settings.max_context_tokens, [F.desc("final"), F.col("chunk_id")])

@@ -135,3 +135,33 @@ def islands(rows: DataFrame, group: str, number: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(group).orderBy(number))
     runs = rows.select(group, number).distinct().withColumn("run", F.col(number) - place)
     return runs.groupBy(group, "run").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("run")
+
+
+def patched(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Partial updates: columns of ``changes`` that are not null replace those of the row with the same key."""
+    mine = [c for c in changes.columns if c != key]
+    renamed = changes.select(key, *(F.col(c).alias(f"new_{c}") for c in mine))
+    joined = rows.join(renamed, key, "left")
+    return joined.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in mine else F.col(c) for c in rows.columns))
+
+
+def soft_deleted(rows: DataFrame, victims: DataFrame, key: str, when: Column, column: str = "deleted_at") -> DataFrame:
+    """Rows of ``victims`` get ``when`` in ``column``, if they have none yet; nothing is taken away."""
+    gone = victims.select(key).distinct().withColumn("gone", F.lit(True))
+    return rows.join(gone, key, "left").withColumn(column, F.when(F.col("gone"), F.coalesce(column, when)).otherwise(F.col(column))).drop("gone")
+
+
+def validated(repositories: DataFrame, repo_id: str, style: str = "strict") -> bool | str | None:
+    """Whether a repository (repo_id, status) is there and ready.
+
+    ``strict`` raises LookupError or ValueError; ``bool`` tells, and takes completed for ready;
+    ``message`` gives a sentence, or None if all is well.
+    """
+    found = repositories.where(F.col("repo_id") == repo_id).select(F.lower("status")).limit(1).collect()
+    status = found[0][0] if found else None
+    if style == "bool":
+        return status in ("ready", "completed")
+    said = None if status == "ready" else f"Repository {repo_id!r} is {status}." if status else f"Repository {repo_id!r} not found."
+    if style == "message" or said is None:
+        return said
+    raise ValueError(said) if status else LookupError(said)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +129,31 @@ def naming_style(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     return tokens_by_length(text)
+
+
+def diagrams(text: Column) -> Column:
+    """The trimmed bodies of fenced mermaid blocks."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```mermaid\s*\n(.*?)```"), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+
+def cross_references(text: Column, sections: Sequence[str]) -> Column:
+    """``{{ref:name}}`` of a known section becomes a link with its title; others stay."""
+    for name in sections:
+        link = f"[{name.replace('_', ' ').title()}](#{name.replace('_', '-')})"
+        text = F.replace(text, F.lit("{{ref:" + name + "}}"), F.lit(link))
+    return text
+
+
+def findings(text: Column) -> Column:
+    """(summary, insights, confidence, sources) of a report in Markdown; empty or 0.5 where missing."""
+
+    def section(title: str) -> Column:
+        return F.regexp_extract(text, rf"(?s)##\s*{title}\s*\n+(.*?)(?=\n##\s|\z)", 1)
+
+    percent = F.regexp_extract(text, r"\*\*Confidence:\s*(\d+)%?\*\*", 1)
+    return F.struct(
+        F.regexp_replace(section("Summary"), r"^\s+|\s+$", "").alias("summary"),
+        F.regexp_extract_all(section("Key Insights?"), F.lit(r"(?m)^\d+\.\s+(.+)$"), F.lit(1)).alias("insights"),
+        F.when(percent != "", percent.cast("double") / 100).otherwise(F.lit(0.5)).alias("confidence"),
+        F.regexp_extract_all(section("Sources?"), F.lit(r"(?m)^[-*]\s+(.+)$"), F.lit(1)).alias("sources"),
+    )

@@ -83,3 +83,44 @@ def narrative(entries: DataFrame, kind: str, name: str, most: int = 5) -> DataFr
     rows = entries.withColumn("place", place).where(F.col("place") <= most).join(total, F.col(kind).eqNullSafe(F.col("of_kind"))).drop("of_kind")
     first = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", name))), lambda x: x[name]), ", ")
     return rows.groupBy(kind, "total").agg(first.alias("names")).select(kind, F.concat(F.col("total").cast("string"), F.lit(" "), kind, F.lit(": "), "names").alias("line"))
+
+
+#: Edge types of a view, and how many nodes it has at most where the caller doesn't say.
+VIEWS = {
+    "architecture": (("CONTAINS", "IMPORTS"), 500), "calls": (("CALLS",), 5000), "dependencies": (("IMPORTS",), 2000), "full": ((), 500),
+    "comprehensive": ((), 1000), "call_chain": (("CALLS",), 500), "hotspots": (("CALLS",), 50),
+}
+
+
+def view(kind: str, nodes: DataFrame, edges: DataFrame, *, folder: str | None = None, symbol: str | None = None, direction: str = "outgoing", kinds: tuple[str, ...] = (), max_depth: int = 15, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one of the seven ``VIEWS``.
+
+    Nodes are those below ``folder`` and of ``kinds``, if given; a call chain has what is
+    reached from the symbols whose name begins with ``symbol``, hotspots have at least five
+    connections. Beyond ``limit`` those with most edges stay (ties by id). Edges have both ends
+    among the nodes. An unknown kind, a chain without a symbol and a folder without nodes are errors.
+    """
+    if kind not in VIEWS:
+        raise ValueError(f"no view {kind!r}; there are {', '.join(VIEWS)}")
+    if kind == "call_chain" and not symbol:
+        raise ValueError("a call chain needs a symbol")
+    if folder and nodes.where(F.col("file_path").startswith(folder)).isEmpty():
+        raise ValueError(f"no path {folder!r}")
+    types, most = VIEWS[kind]
+    shown = graph.of_types(edges, types)
+    kept = nodes.where(F.col("file_path").startswith(folder)) if folder else nodes
+    kept = kept.where(F.col("kind").isin(*kinds)) if kinds else kept
+    if kind == "call_chain":
+        reached, _ = graph.traverse(shown, nodes.where(F.col("name").startswith(symbol)).select("id"), max_depth, direction)
+        kept = kept.join(reached.select("id"), "id", "left_semi")
+    elif kind == "hotspots":
+        kept = graph.hotspots(kept, shown, limit or most).select(*nodes.columns)
+    return collapsed(kept, graph.induced(shown, kept), limit or most)
+
+
+def retrieved_view(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, label, node_type and edges of a retrieval: both ends must be there, unknown types are CALLS."""
+    known = ("CONTAINS", "CALLS", "IMPORTS", "IMPLEMENTS", "EXTENDS", "USES", "DECORATES")
+    typed = F.when(F.col("edge_type").isin(*known), F.col("edge_type")).otherwise("CALLS")
+    shown = nodes.select("id", F.col("name").alias("label"), F.col("kind").alias("node_type")).dropDuplicates(["id"])
+    return shown, graph.induced(edges, shown).withColumn("edge_type", typed)
