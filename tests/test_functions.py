@@ -181,3 +181,34 @@ def test_keys_expire(spark, tmp_path):
     query = rows.writeStream.format("memory").queryName("expired").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r["k"], r["events"]) for r in spark.table("expired").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_token_counts_of_a_vocabulary(spark):
+    vocabulary = pytest.importorskip("public_tokenizers")
+    from weftgraph.functions.tokens import bpe_tokens
+
+    path = str(vocabulary.path("byte_bpe_50k.tiktoken"))
+    rows = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>"), (5, "é漢 x" * 100)], "id long, t string")
+    got = {r["id"]: r["n"] for r in rows.select("id", bpe_tokens(F.col("t"), path).alias("n")).collect()}
+    assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1 and 100 < got[5] < 900
+
+
+def test_repositories_are_validated(spark):
+    rows = spark.createDataFrame([("a", "READY"), ("b", "completed"), ("c", "pending")], "repo_id string, status string")
+    assert state.validated(rows, "a") is None and [state.validated(rows, x, "bool") for x in "abcd"] == [True, True, False, False]
+    assert state.validated(rows, "a", "message") is None and "pending" in state.validated(rows, "c", "message") and "not found" in state.validated(rows, "d", "message")
+    with pytest.raises(LookupError):
+        state.validated(rows, "d")
+    with pytest.raises(ValueError):
+        state.validated(rows, "c")
+
+
+def test_running_totals_by_ranges(spark):
+    rows = spark.createDataFrame([("h" if k % 3 else None, k, 1 + k % 4) for k in range(300)], "key string, at long, n long").repartition(5)
+    out = state.running_total(rows, "key", ["at"], F.col("n"), "running").collect()
+    for name in ("h", None):
+        total = 0
+        for r in sorted((r for r in out if r["key"] == name), key=lambda r: r["at"]):
+            total += r["n"]
+            assert r["running"] == total
+    assert len(out) == 300

@@ -122,10 +122,11 @@ def j2_symbol_references(spark, sf_dir):
     return sides.join(derived.symbols(spark, sf_dir).select("id", "name"), "id").groupBy("name").agg(F.count_distinct("caller").alias("callers"), F.count_distinct("callee").alias("callees"))
 
 
-@query("SELECT src AS file_path, count(*) AS imports, string_agg(dst, ',' ORDER BY dst) AS targets FROM g_imports GROUP BY src")
+@query("SELECT src AS file_path, dst AS target, count(*) OVER (PARTITION BY src) AS imports FROM g_imports")
 def j3_file_imports(spark, sf_dir):
-    targets = F.array_join(F.array_sort(F.collect_list("dst")), ",")
-    return derived.imports(spark, sf_dir).groupBy(F.col("src").alias("file_path")).agg(F.count(F.lit(1)).alias("imports"), targets.alias("targets"))
+    """What each file imports, and how many files that are."""
+    imports = derived.imports(spark, sf_dir)
+    return imports.join(imports.groupBy("src").agg(F.count(F.lit(1)).alias("imports")), "src").select(F.col("src").alias("file_path"), F.col("dst").alias("target"), "imports")
 
 
 @query("SELECT DISTINCT a.file_path AS from_file, b.file_path AS to_file, e.edge_type FROM g_edges e JOIN g_symbols a ON a.id = e.src JOIN g_symbols b ON b.id = e.dst WHERE a.file_path <> b.file_path ORDER BY 1, 2, 3 LIMIT 100")
