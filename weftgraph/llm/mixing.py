@@ -11,6 +11,8 @@ from .tables import WORD, written
 
 #: Quality weights that a document can have, from poor to good.
 LEVELS = (0.25, 0.5, 0.75, 1.0)
+#: So many ranges a source has at most: their sums meet in one task.
+MOST_RANGES = 100_000
 #: So many sources at most are sent to all executors, about 150 bytes each.
 BROADCAST_ROWS = 20_000
 
@@ -69,7 +71,8 @@ def mix(
     into its target; the rest is filled in the order of exponential keys -ln(u) / quality
     (u is a hash of the row, so reruns agree) until the budget is used up, the last
     document in part. The prefix sums run in two steps, over equally likely key ranges of
-    about ``bucket_rows`` rows and inside each, so that one hot source is many groups.
+    about ``bucket_rows`` rows (more in sources of many millions) and inside each, so that
+    one hot source is many groups.
 
     Null text: size 0. Null source: a source of its own, last. Repeated rows count each
     time; equal keys only come from equal rows. An empty table gives an empty result.
@@ -85,7 +88,7 @@ def mix(
     targets = source_targets(sizes, weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("budget", F.floor("target") - F.col("epochs") * F.col("source_size"))
-    targets = targets.withColumn("ranges", F.ceil(F.col("rows") / bucket_rows)).withColumnRenamed("source", "of_source")
+    targets = targets.withColumn("ranges", F.least(F.ceil(F.col("rows") / bucket_rows), F.lit(MOST_RANGES))).withColumnRenamed("source", "of_source")
 
     below = sum((F.col(f"graded_{k}") * (1 - F.exp(-q * F.col("key"))) for k, q in enumerate(LEVELS, 1)), F.lit(0.0)) / F.col("rows")
     targets = written(targets)

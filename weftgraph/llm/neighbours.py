@@ -4,7 +4,9 @@ Vectors are packed into blocks. A tile is one block of queries against one block
 candidates: its int8 matrix product gives all inner products up to a bound on the
 quantisation error. Only pairs that could still be among a query's nearest within the tile
 are computed again from the original vectors in double precision; the tiles' short lists
-are merged by a heap for each query. The result is exact.
+are merged by a heap for each query. The tiles of the first block of candidates go first:
+the worst of what a query has found there is a bound, below which the other tiles return
+nothing. The result is exact.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ def usable(vector: Column) -> Column:
 
 
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups consecutive rows of one (dim, block) into rows of (dim, block, ids, vectors), SUB_BLOCK each at most."""
+    """Groups consecutive rows of one (dim, block) into rows of (dim, block, ids, bounds, vectors), SUB_BLOCK each at most."""
     for batch in batches:
+        bounds = batch.column("bound").to_numpy()
         dims, tiles = batch.column("dim").to_numpy(), batch.column("block").to_numpy()
         ids, vectors = batch.column("vec_id").to_numpy(), batch.column("vector")
         for dim, tile in {*zip(dims.tolist(), tiles.tolist(), strict=True)}:
@@ -38,7 +41,7 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(at), SUB_BLOCK):
                 mine = at[lo : lo + SUB_BLOCK]
                 flat = vectors.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([tile], pa.int64()), pa.array([ids[mine].tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())], ["dim", "block", "ids", "vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([tile], pa.int64()), pa.array([ids[mine].tobytes()], pa.binary()), pa.array([bounds[mine].tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())], ["dim", "block", "ids", "bounds", "vectors"])
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +50,8 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(x / step[:, None]).astype(np.int8), step
 
 
-def tile_nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the k best of the tile (all, if fewer): its id, their ids, exact scores."""
+def tile_nearest(query_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query the k best of the tile (all, if fewer) that reach its bound: its id, their ids, exact scores."""
     (qc, qs), (xc, xs) = quantised(q), quantised(x)
     dim = q.shape[1]
     # |q.x - steps * codes| <= half a step against the other's absolute sum, and the rest, with room for rounding
@@ -60,7 +63,7 @@ def tile_nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.nd
     error = error * (1 + 1e-9) + 1e-12 * (q_sum[:, None] * x_sum)
     low, high = product - error, product + error
     for i, own in enumerate(query_ids):
-        mine = np.flatnonzero(ids != own)
+        mine = np.flatnonzero((ids != own) & (high[i] >= bounds[i]))
         if len(mine) > k:
             bar = np.partition(low[i, mine], len(mine) - k)[len(mine) - k]
             mine = mine[~(high[i, mine] < bar)]
@@ -68,18 +71,19 @@ def tile_nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.nd
         for d in range(dim):  # component by component: the sum has one defined order
             score += q[i, d] * x[mine, d]
         best = np.lexsort((ids[mine], -score))[:k]
+        best = best[score[best] >= bounds[i]]
         yield int(own), ids[mine][best], score[best]
 
 
 def _tile(dim: int, queries, candidates, k: int) -> pa.Table:
     def unpacked(t):
-        return np.concatenate([np.frombuffer(b, np.int64) for b in t["ids"]]), np.concatenate([np.frombuffer(b, np.float64).reshape(-1, dim) for b in t["vectors"]])
+        return np.concatenate([np.frombuffer(b, np.int64) for b in t["ids"]]), np.concatenate([np.frombuffer(b, np.float64) for b in t["bounds"]]), np.concatenate([np.frombuffer(b, np.float64).reshape(-1, dim) for b in t["vectors"]])
 
-    (qi, q), (xi, x) = unpacked(queries), unpacked(candidates)
+    (qi, bounds, q), (xi, _, x) = unpacked(queries), unpacked(candidates)
     out = []
     for a in range(0, len(qi), 256):
         for b in range(0, len(xi), 4096):
-            out += tile_nearest(qi[a : a + 256], q[a : a + 256], xi[b : b + 4096], x[b : b + 4096], k)
+            out += tile_nearest(qi[a : a + 256], q[a : a + 256], bounds[a : a + 256], xi[b : b + 4096], x[b : b + 4096], k)
     sizes = [len(ids) for _, ids, _ in out]
     return pa.table({"query_id": np.repeat(np.array([o for o, _, _ in out], np.int64), sizes), "vec_id": np.concatenate([i for _, i, _ in out] or [np.zeros(0, np.int64)]), "score": np.concatenate([s for _, _, s in out] or [np.zeros(0)])})
 
@@ -130,14 +134,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, query_block: i
     rows = written(rows.where(usable(F.col("vector"))).withColumns({"dim": F.size("vector"), "number": F.monotonically_increasing_id()}))
     total, asked = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
     across, down = max(1, -(-total // candidate_block)), max(1, -(-asked // query_block))
-    schema = "dim int, block long, ids binary, vectors binary"
+    schema = "dim int, block long, ids binary, bounds binary, vectors binary"
 
     def packed(df: DataFrame, blocks: int) -> DataFrame:
         dealt = df.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)))
-        return dealt.select("dim", "block", "vec_id", "vector").mapInArrow(_packed, schema)
-
-    queries = packed(rows.where("asks").dropDuplicates(["vec_id"]), down).select("dim", F.col("block").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("col"), "ids", "vectors")
-    candidates = packed(rows, across).select("dim", F.col("block").alias("col"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("row"), "ids", "vectors")
+        return dealt.select("dim", "block", "vec_id", "bound", "vector").mapInArrow(_packed, schema)
 
     def tile(key, left, right):
         left, right = left.to_pydict(), right.to_pydict()
@@ -145,6 +146,20 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, query_block: i
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         return _tile(key[0].as_py(), left, right, k)
 
-    found = queries.groupBy("dim", "row", F.col("col").cast("long").alias("col")).cogroup(candidates.groupBy("dim", F.col("row").cast("int").cast("long").alias("row"), "col"))
-    found = found.applyInArrow(tile, "query_id long, vec_id long, score double")
+    def tiles(asks: DataFrame, first: int, last: int) -> DataFrame:
+        """The tiles of all queries against blocks first to last of the candidates."""
+        queries = packed(asks, down).select("dim", F.col("block").alias("row"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("col"), "ids", "bounds", "vectors")
+        candidates = packed(rows.withColumn("bound", F.lit(0.0)), across).where(F.col("block").between(first, last))
+        candidates = candidates.select("dim", F.col("block").alias("col"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("row"), "ids", "bounds", "vectors")
+        sides = queries.groupBy("dim", "row", F.col("col").cast("long").alias("col")), candidates.groupBy("dim", F.col("row").cast("long").alias("row"), "col")
+        return sides[0].cogroup(sides[1]).applyInArrow(tile, "query_id long, vec_id long, score double")
+
+    # a query id with several vectors asks with one of them, always the same
+    one = F.min_by(F.struct("dim", "vector", "number"), F.struct(F.xxhash64("vector"), "number")).alias("one")
+    asks = written(rows.where("asks").groupBy("vec_id").agg(one).select("vec_id", "one.*"))
+    found = written(tiles(asks.withColumn("bound", F.lit(float("-inf"))), 0, 0))
+    if across > 1:
+        bounds = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
+        bounded = asks.join(bounds, F.col("vec_id") == F.col("query_id"), "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+        found = found.unionByName(tiles(bounded, 1, across - 1))
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged(k), "query_id long, rank int, vec_id long, score double")
