@@ -103,3 +103,14 @@ def l8_full_analysis(spark, sf_dir):
     path = F.concat(F.lit("app/"), "kind", F.when(F.col("kind") == "promo", "/views.py").otherwise("/x.py"))
     nodes = derived.symbols(spark, sf_dir).select("id", name.alias("name"), "kind", path.alias("file_path"))
     return Engine(nodes, derived.edges(spark, sf_dir)).call("analysis", max_depth=3, most=40)
+
+
+@query(f"WITH RECURSIVE s AS (SELECT c.*, {COSINE} AS score FROM g_chunks c JOIN embeddings q ON q.vec_id = 0), b AS (SELECT chunk_id, score, false AS anchor FROM s ORDER BY score DESC, chunk_id LIMIT 60), m AS (SELECT * FROM b UNION ALL SELECT chunk_id, 0.5, true FROM g_chunks WHERE chunk_id IN (SELECT id FROM g_symbols WHERE name = 'red plate') AND chunk_id NOT IN (SELECT chunk_id FROM b)), u AS (SELECT src, dst FROM g_calls UNION SELECT dst, src FROM g_calls), t AS (SELECT chunk_id AS id FROM m WHERE chunk_id IN (SELECT id FROM g_symbols)), d AS (SELECT id, min(depth) AS distance FROM (SELECT id, 0 AS depth FROM t UNION ALL SELECT u.dst, 1 FROM u JOIN t ON t.id = u.src) GROUP BY id), a AS (SELECT c.chunk_id, c.repo_id, CAST(floor(length(c.content) / 4) AS BIGINT) AS tokens, coalesce(m.score, 0.0) AS score, coalesce(m.anchor, false) AS anchor, coalesce(d.distance, -1) AS distance FROM g_chunks c LEFT JOIN m USING (chunk_id) LEFT JOIN d ON d.id = c.chunk_id WHERE m.chunk_id IS NOT NULL OR d.id IS NOT NULL), f AS (SELECT *, score + CASE WHEN distance >= 0 THEN 0.3 / (distance + 1) ELSE 0 END + CASE WHEN anchor THEN 0.2 ELSE 0 END + CASE WHEN repo_id = 'src1' THEN 0.05 ELSE 0 END AS final FROM a), p AS (SELECT *, row_number() OVER (ORDER BY final DESC, chunk_id) AS place FROM f), r AS (SELECT place, chunk_id, true AS kept, tokens AS total FROM p WHERE place = 1 UNION ALL SELECT p.place, p.chunk_id, p.tokens = 0 OR r.total + p.tokens <= 20000, CASE WHEN r.total + p.tokens <= 20000 THEN r.total + p.tokens ELSE r.total END FROM r JOIN p ON p.place = r.place + 1) SELECT p.chunk_id, p.tokens, round(p.final, 6) AS final, CAST(p.distance AS INTEGER) AS distance, p.anchor FROM r JOIN p USING (place) WHERE r.kept")
+def r1_retrieve(spark, sf_dir):
+    """From a question that names a symbol to ranked chunks within a budget of tokens."""
+    nodes = derived.symbols(spark, sf_dir).withColumn("name", F.replace(F.initcap("name"), F.lit(" "), F.lit("")))
+    chunks = filed(spark, sf_dir).withColumns({"start_line": F.lit(1), "end_line": F.lit(10)})
+    links = chunks.select("chunk_id", F.col("chunk_id").alias("id")).join(nodes.select("id"), "id", "left_semi").select("chunk_id", "id")
+    knobs = retrieval.Settings(top_k_vector=60, graph_expansion_hops=1, max_expansion_nodes=2000, max_context_tokens=20_000)
+    out = retrieval.retrieve("What does RedPlate do?", asked(spark, sf_dir), chunks, links, nodes, derived.calls(spark, sf_dir).withColumn("edge_type", F.lit("CALLS")), knobs, current_file="src1/none.md")
+    return out.select("chunk_id", "tokens", F.round("final", 6).alias("final"), "distance", "anchor")
