@@ -123,8 +123,11 @@ def frames(text: Column) -> Column:
         return F.zip_with(files, lines, lambda f, n: F.struct(f.alias("file"), n.try_cast("int").alias("line")))
 
     every = F.concat(*map(found, FRAME_PATTERNS))
-    start = F.array().cast("array<struct<file: string, line: int>>")
-    return F.aggregate(every, start, lambda done, x: F.when(F.exists(done, lambda y: y["file"] == x["file"]), done).otherwise(F.concat(done, F.array(x))))
+    placed = F.array_sort(F.transform(every, lambda x, k: F.struct(x["file"].alias("file"), k.alias("place"), x["line"].alias("line"))))
+    # sorted by file, the first of each is the one after another file; the outer transform works the array out once
+    firsts = F.get(F.transform(F.array(placed), lambda a: F.filter(a, lambda x, k: (k == 0) | (F.get(a, k - 1)["file"] != x["file"]))), F.lit(0))
+    in_order = F.array_sort(F.transform(firsts, lambda x: F.struct(x["place"].alias("place"), x["file"].alias("file"), x["line"].alias("line"))))
+    return F.transform(in_order, lambda x: F.struct(x["file"].alias("file"), x["line"].alias("line")))
 
 
 def chunks_of_frames(chunks: DataFrame, stack: DataFrame, otherwise: int = 3) -> DataFrame:
