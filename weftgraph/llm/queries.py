@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, leaks, mixing, near, neighbours, private, repeats, toxicity, urls
+from . import chat, language, leaks, merkle, mixing, near, neighbours, private, repeats, simhash, toxicity, urls, whitening
 from .tables import held_out, table
 
 
@@ -81,4 +81,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), model).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_nearest_neighbours, op3_private_data, op4_toxicity, op5_chat_formatting, op6_substring_dedup, op7_mixing, op8_decontamination, op9_language, op10_url_filter)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, and what it says of a copy in which every seventh n_chars, by crc32, is one larger."""
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = {"n_chars": F.when(touched, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed=changed, proofs=False)
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return out.select("doc_id", "fingerprint", "component_id")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations that a long doesn't hold are null; the operator gives them as decimals."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_nearest_neighbours, op3_private_data, op4_toxicity, op5_chat_formatting, op6_substring_dedup, op7_mixing, op8_decontamination, op9_language, op10_url_filter, op11_merkle_manifest, op12_simhash_near_dedup, op13_embedding_whitening)}

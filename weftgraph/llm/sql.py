@@ -49,4 +49,43 @@ gone AS (SELECT doc_id, list(pos) AS gone, count(*) AS n FROM k GROUP BY doc_id)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(gone.n, 0) AS n_removed,
   sha256(array_to_string([ws[i] FOR i IN range(1, len(ws) + 1) IF NOT coalesce(list_contains(gone.gone, i), false)], ' ')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)""",
+    # Levels by recursion; proofs list the siblings of each level, and folding goes up with them. The inner reductions are crc32.
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE enc AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, n_chars,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents),
+leaf AS (
+  SELECT id, doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen(CAST(n_chars + t AS VARCHAR)) || ':' || (n_chars + t), '-') || tail) AS changed
+  FROM (SELECT *, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS t FROM enc)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+low AS (
+  SELECT lang, 0 AS lvl, pos, leaf AS node, n FROM placed
+  UNION ALL SELECT lang, lvl + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+subs AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, pos, subroot AS node, n FROM subs
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY lvl, pos // 2, n),
+steps AS (
+  SELECT p.id, l.lvl AS step, l.pos % 2 = 0 AS on_left, l.node FROM placed p JOIN low l ON p.lang IS NOT DISTINCT FROM l.lang AND l.n > 1 AND l.pos = xor(p.pos >> l.lvl, 1)
+  UNION ALL SELECT p.id, 1000 + h.lvl, h.pos % 2 = 0, h.node FROM placed p JOIN subs s ON p.lang IS NOT DISTINCT FROM s.lang JOIN high h ON h.n > 1 AND h.pos = xor(s.pos >> h.lvl, 1)),
+every AS (
+  SELECT p.id, l.lvl AS step FROM placed p JOIN (SELECT DISTINCT lang, lvl FROM low WHERE n > 1) l ON p.lang IS NOT DISTINCT FROM l.lang
+  UNION ALL SELECT p.id, 1000 + h.lvl FROM placed p, (SELECT DISTINCT lvl FROM high WHERE n > 1) h),
+paths AS (
+  SELECT id, list(struct_pack(l := CASE WHEN on_left THEN node ELSE '' END, r := CASE WHEN on_left THEN '' ELSE node END) ORDER BY step) AS path,
+    sha256(coalesce(string_agg(node, '' ORDER BY step), '')) AS proof_sha256
+  FROM (SELECT e.id, e.step, coalesce(s.on_left, true) AS on_left, coalesce(s.node, '') AS node FROM every e LEFT JOIN steps s USING (id, step)) GROUP BY id),
+folded AS (
+  SELECT p.id, p.changed AS node, 1 AS k FROM placed p
+  UNION ALL SELECT f.id, sha256(x.path[k].l || f.node || x.path[k].r), k + 1 FROM folded f JOIN paths x USING (id) WHERE k <= len(x.path))
+SELECT p.doc_id, p.leaf, s.subroot, r.node AS root, coalesce(x.proof_sha256, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = r.node AS verified
+FROM placed p JOIN subs s ON p.lang IS NOT DISTINCT FROM s.lang JOIN high r ON r.n = 1 LEFT JOIN paths x USING (id)
+JOIN (SELECT id, max_by(node, k) AS node FROM folded GROUP BY id) f USING (id)""",
 }
