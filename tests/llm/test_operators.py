@@ -126,6 +126,16 @@ def test_nearest_neighbours_are_those_of_brute_force(spark):
     assert neighbours.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_large_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [-1e200, -1e200]), (2, [1e200, -1e200]), (3, [1.0, 2.0]), (4, [1e-300, 0.0])] + [(20 + k, [float(k), 1.0]) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = neighbours.nearest(df, F.col("vec_id").isin(0, 3), k=20, candidate_block=5).collect()
+    found = {q: [(x["vec_id"], x["score"]) for x in sorted(out, key=lambda x: x["rank"]) if x["query_id"] == q] for q in (0, 3)}
+    assert len(found[0]) == 20 == len(found[3]) and found[3][0] == (0, 3e200)
+    few = neighbours.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0, k=5).orderBy("rank").collect()
+    assert [(x["vec_id"], repr(x["score"])) for x in few][::2] == [(3, "3e+200"), (2, "nan")] and few[1]["score"] == -math.inf
+
+
 def test_one_vector_many_times(spark):
     rows = [(k % 3, [1.0, 2.0]) for k in range(60)] + [(20, [0.5, 0.5])]
     out = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=45, query_block=2, candidate_block=7).collect()
@@ -147,6 +157,8 @@ def test_rules_are_those_of_the_patterns():
         want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m)) <= 19 and private.luhn(digits(m))]
         want += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m)) <= 15]
         assert private.base_spans(text) == [(a, b, private.KINDS[kind]) for a, kind, b in sorted(want)], text
+    zeros = "0" * 5000
+    assert private.base_spans(f"{zeros}1.1.1.{zeros}") == [(0, 10006, "ip")] and private.base_spans(f"1{zeros}.1.1.1") == []
 
 
 def test_patterns_discover_unseen_identifiers(spark):
@@ -433,6 +445,28 @@ def test_repeated_passages_of_one_document(spark):
     assert len(out[0]["leaks"]) == 3000 and len(out[1]["leaks"]) == 1000 and all(m["distance"] == 0 for x in out for m in x["leaks"])
 
 
+def test_many_items_of_one_wording_and_of_a_common_piece(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "HITS", 500)
+    words = sentences(random.Random(3), 10, 9999).split()
+    items = [(k, " ".join(words)) for k in range(300)] + [(1000 + k, " ".join([*words[:9], f"x{k}"])) for k in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(["y", *words, "z"] * 5), "nothing here", " ".join([*words[:9], "x7"])]
+    out = {x["doc_id"]: x["leaks"] for x in leaks.find(docs(spark, texts), bench).collect()}
+    assert len(out[0]) == 5 * 500 and out[1] == [] and len(out[2]) == 500
+    assert sorted(m["item_id"] for m in out[2] if m["distance"] == 0) == [1007]
+    one = {x["doc_id"]: x["leaks"] for x in leaks.find(docs(spark, texts), bench, every=False).collect()}
+    assert {k: bool(v) for k, v in one.items()} == {0: True, 1: False, 2: True} and len(one[0]) < 2500
+    entries, pieces = leaks.prepared(items, 0.2)
+    assert len(entries) == 201 and len(entries[0].ids) == 300
+    data = np.frombuffer(texts[0].encode(), np.uint8)
+    held = Words(data, np.array([0, len(data)]), leaks.BETWEEN)
+    parts = list(leaks._hits(held, held.hashes(), pieces, len(entries)))
+    assert len(parts) > 2 and all(len(p) < 1500 for p in parts)
+    whole = np.concatenate(parts)
+    monkeypatch.setattr(leaks, "HITS", 10**9)
+    assert np.array_equal(np.unique(whole, axis=0), next(leaks._hits(held, held.hashes(), pieces, len(entries))))
+
+
 # 9 language
 
 

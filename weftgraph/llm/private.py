@@ -71,7 +71,7 @@ def addresses(text: str) -> list[tuple[int, int]]:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             last = first + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in four):
                 out.append((first, last))
             first = last + 1
     return out
