@@ -55,23 +55,28 @@ def tile_nearest(query_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids:
     (qc, qs), (xc, xs) = quantised(q), quantised(x)
     dim = q.shape[1]
     # |q.x - steps * codes| <= half a step against the other's absolute sum, and the rest, with room for rounding
-    q_sum, x_sum = np.abs(q).sum(axis=1), np.abs(x).sum(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        q_sum, x_sum = np.abs(q).sum(axis=1), np.abs(x).sum(axis=1)
     # codes are below 128, so float32 products are exact integers up to 1024 components
     kind = np.float32 if dim <= 1024 else np.float64
-    product = (qc.astype(kind) @ xc.T.astype(kind)).astype(np.float64) * qs[:, None] * xs
-    error = 0.5 * (qs[:, None] * x_sum + xs * q_sum[:, None]) + 0.25 * dim * qs[:, None] * xs
-    error = error * (1 + 1e-9) + 1e-12 * (q_sum[:, None] * x_sum)
-    low, high = product - error, product + error
+    with np.errstate(over="ignore", invalid="ignore"):
+        product = (qc.astype(kind) @ xc.T.astype(kind)).astype(np.float64) * qs[:, None] * xs
+        error = 0.5 * (qs[:, None] * x_sum + xs * q_sum[:, None]) + 0.25 * dim * qs[:, None] * xs
+        error = error * (1 + 1e-9) + 1e-12 * (q_sum[:, None] * x_sum)
+        # beyond the range of doubles a bound says nothing
+        low, high = product - error, product + error
+        low, high = np.where(np.isfinite(low), low, -np.inf), np.where(np.isfinite(high), high, np.inf)
     for i, own in enumerate(query_ids):
         mine = np.flatnonzero((ids != own) & (high[i] >= bounds[i]))
         if len(mine) > k:
             bar = np.partition(low[i, mine], len(mine) - k)[len(mine) - k]
             mine = mine[~(high[i, mine] < bar)]
         score = np.zeros(len(mine))
-        for d in range(dim):  # component by component: the sum has one defined order
-            score += q[i, d] * x[mine, d]
-        best = np.lexsort((ids[mine], -score))[:k]
-        best = best[score[best] >= bounds[i]]
+        with np.errstate(over="ignore", invalid="ignore"):
+            for d in range(dim):  # component by component: the sum has one defined order
+                score += q[i, d] * x[mine, d]
+        best = np.lexsort((ids[mine], -np.where(np.isnan(score), -np.inf, score)))[:k]
+        best = best[~(score[best] < bounds[i])]
         yield int(own), ids[mine][best], score[best]
 
 
@@ -91,8 +96,8 @@ def _tile(dim: int, queries, candidates, k: int) -> pa.Table:
 def _merged(k: int):
     """Keeps k of each query's rows, which come one after the other, by a heap; ranks them."""
 
-    def ranked(query: int, heap: list[tuple[float, int]]) -> list[tuple[int, int, int, float]]:
-        return [(query, r, -v, s) for r, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
+    def ranked(query: int, heap: list[tuple[float, int, float]]) -> list[tuple[int, int, int, float]]:
+        return [(query, r, -v, s) for r, (_, v, s) in enumerate(sorted(heap, reverse=True), 1)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heap = None, []
@@ -106,10 +111,11 @@ def _merged(k: int):
                 if q != now:
                     done += ranked(now, heap)
                     now, heap = q, []
+                found = (s if s == s else -float("inf"), -v, s)
                 if len(heap) < k:
-                    heapq.heappush(heap, (s, -v))
-                elif (s, -v) > heap[0]:
-                    heapq.heapreplace(heap, (s, -v))
+                    heapq.heappush(heap, found)
+                elif found[:2] > heap[0][:2]:
+                    heapq.heapreplace(heap, found)
             if done:
                 yield out(done)
         if heap:
@@ -124,7 +130,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, query_block: i
     Columns used: vec_id, embedding. Candidates are all other rows with as many components;
     rows that are null, empty, zero or not finite, or have a null id, take no part. Ties go
     to the smaller vec_id. Rows that repeat a vec_id are candidates of their own, except to
-    the query with that id; a repeated query is one query. With fewer than k candidates all
+    the query with that id; a repeated query is one query. A score beyond the range of
+    doubles is infinite, or NaN if infinities meet in it; NaN ranks like the lowest. With fewer than k candidates all
     are returned; an empty table gives no rows. A tile has about ``query_block`` by
     ``candidate_block`` vectors, whatever the sizes of the tables.
     """
@@ -159,7 +166,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, query_block: i
     asks = written(rows.where("asks").groupBy("vec_id").agg(one).select("vec_id", "one.*"))
     found = written(tiles(asks.withColumn("bound", F.lit(float("-inf"))), 0, 0))
     if across > 1:
-        bounds = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
+        bounds = found.groupBy("query_id").agg(F.when((F.count(F.lit(1)) >= k) & ~F.bool_or(F.isnan("score")), F.min("score")).alias("bound"))
         bounded = asks.join(bounds, F.col("vec_id") == F.col("query_id"), "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
         found = found.unionByName(tiles(bounded, 1, across - 1))
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged(k), "query_id long, rank int, vec_id long, score double")
