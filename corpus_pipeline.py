@@ -46,7 +46,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item within its edit budget."""
-    found = leaks.find(docs, table(spark, sf_dir, "benchmark"), column="stage_leaks")
+    found = leaks.find(docs, table(spark, sf_dir, "benchmark"), column="stage_leaks", every=False)
     return found.where(F.size("stage_leaks") == 0).select(*docs.columns)
 
 
