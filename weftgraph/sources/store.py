@@ -142,7 +142,8 @@ class Store:
     def _written(self, rows: DataFrame, schema: StructType) -> dict[int, list[str]]:
         """Writes parts of rows that have their bucket; the folders by bucket."""
         folder = f"data/{uuid.uuid4().hex}"
-        rows = rows.select(*schema.names, BUCKET).repartition(BUCKET, F.pmod(F.xxhash64(*self.key), F.lit(8)))
+        # small buckets share tasks, large ones are split
+        rows = rows.select(*schema.names, BUCKET).hint("rebalance", BUCKET)
         rows.withColumn("at_bucket", F.col(BUCKET)).write.partitionBy("at_bucket").parquet(f"{self.path}/{folder}")
         made = self._files().listStatus(self._path(folder))
         return {int(name.split("=")[1]): [f"{folder}/{name}"] for name in (f.getPath().getName() for f in made) if name.startswith("at_bucket=")}
@@ -190,10 +191,11 @@ class Store:
             out = out & F.col(k).eqNullSafe(keys[f"new_{k}"])
         return out
 
-    def upsert(self, rows: DataFrame, *, batch: tuple[str, int] | None = None, order: Sequence[Column] = ()) -> int:
+    def upsert(self, rows: DataFrame, *, batch: tuple[str, int] | None = None, order: Sequence[Column] = (), notes: Callable[[dict], dict] = dict) -> int:
         """Rows take the place of those with their key; of several new ones with one key the first in ``order``, then by all columns.
 
-        Only buckets with a new row, or an old one of the same key, are written again.
+        Only buckets with a new row, or an old one of the same key, are written again. ``notes``
+        makes the new notes from the old ones, in the same step.
         """
         def make(now: Version):
             new = self._shaped(rows, now.schema)
@@ -201,11 +203,11 @@ class Store:
             new = new.withColumn("place_in_key", place).where("place_in_key = 1").drop("place_in_key")
             touched = {b for (b,) in new.select(BUCKET).distinct().collect()}  # as many as there are buckets at most
             if not touched:
-                return {}, now.notes
+                return {}, notes(now.notes)
             keys = new.select(*(F.col(k).alias(f"new_{k}") for k in self.key))
             old, touched = self._old(now, keys, touched)
             made = self._written(old.join(keys, self._same(keys), "left_anti").unionByName(new), now.schema)
-            return {b: made.get(b, []) for b in touched}, now.notes
+            return {b: made.get(b, []) for b in touched}, notes(now.notes)
 
         return self._change(make, batch)
 

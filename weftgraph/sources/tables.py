@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, with no lineage behind it; ``dropped`` deletes it."""
     spark = df.sparkSession
-    path = f"{_own_tables(spark)}/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -52,6 +52,11 @@ def dropped(*tables: DataFrame | None) -> None:
             _delete(df.sparkSession, path)
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A name in the shared folder that nothing has; ``forget`` deletes what is there."""
+    return f"{_own_tables(spark)}/{uuid.uuid4().hex}"
+
+
 def _own_tables(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
 
