@@ -1,4 +1,4 @@
-"""Symbols and chunks of source files, one file at a time with the standard ``ast`` module."""
+"""Symbols and chunks of source files, one file at a time: Python with the standard ``ast`` module, scripts with a scanner."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scripts import script_imports, script_relations, script_symbols
+
+__all__ = ["UNPARSED", "chunk_id", "code_chunks", "python_relations", "python_symbols", "script_imports", "script_relations", "script_symbols", "text_chunks"]
+
 SYMBOLS = "file_path string, name string, kind string, parent string, start_line int, end_line int, visibility string, bases array<string>, decorators array<string>, parameters array<string>, is_async boolean, complexity int, doc string"
 RELATIONS = "file_path string, source string, relation string, target string, line int"
 _DEFINED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
@@ -109,40 +113,6 @@ def chunk_id(path: Column, first: Column, last: Column, content: Column) -> Colu
     return F.concat(path, F.lit(":"), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(":"), F.substring(F.sha1(content.cast("binary")), 1, 10))
 
 
-#: Definitions in scripts, by the line that begins them; the first that fits counts.
-SCRIPT_FORMS = (
-    ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
-    ("interface", r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)"),
-    ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+([A-Za-z_$][\w$]*)"),
-    ("type_alias", r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)[^=]*="),
-    ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"),
-    ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>"),
-    ("method", r"^\s+(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*(#?[A-Za-z_$][\w$]*)\s*\([^)]*\)\s*(?::[^{]+)?\{\s*$"),
-)
-NOT_METHODS = ("if", "for", "while", "switch", "catch", "function", "return")
-
-
-def script_symbols(files: DataFrame) -> DataFrame:
-    """Symbols of JavaScript and TypeScript ``files`` (file_path, content), line by line, without Python:
-    file_path, name, kind, start_line, visibility, is_async, bases."""
-    lines = files.select("file_path", F.posexplode(F.split("content", "\n")).alias("line", "text"))
-    text, kind, name = F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for form, pattern in reversed(SCRIPT_FORMS):
-        found = F.regexp_extract(text, pattern, 1)
-        fits = (found != "") & ~found.isin(*NOT_METHODS)
-        kind, name = F.when(fits, form).otherwise(kind), F.when(fits, found).otherwise(name)
-    bases = F.filter(F.transform(F.split(F.regexp_extract(text, r"\b(?:extends|implements)\s+([\w$.,\s]+?)\s*(?:implements|\{|$)", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
-    visibility = F.when(F.col("name").startswith("#") | text.rlike(r"^\s*private\s"), "private").when(text.rlike(r"^\s*protected\s"), "protected").otherwise("public")
-    rows = lines.withColumns({"name": name, "kind": kind}).where("name IS NOT NULL")
-    return rows.select("file_path", "name", "kind", (F.col("line") + 1).alias("start_line"), visibility.alias("visibility"), text.rlike(r"\basync\b").alias("is_async"), F.when(F.col("kind").isin("class", "interface"), bases).otherwise(F.array().cast("array<string>")).alias("bases"))
-
-
-def script_imports(files: DataFrame) -> DataFrame:
-    """file_path and module of each import and require."""
-    pattern = r"""(?:from|import|require\()\s*['"]([^'"]+)['"]"""
-    return files.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))).alias("module"))
-
-
 def text_chunks(files: DataFrame, budget: int) -> DataFrame:
     """Chunks of files that are not code: Markdown by headings, YAML by top-level keys, JSON whole if
     it fits the budget, all else by paragraphs; what is larger is packed by lines."""

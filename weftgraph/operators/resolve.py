@@ -41,12 +41,11 @@ def normalised(path: Column) -> Column:
     return F.array_join(step, "/")
 
 
-def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``imports`` (importer, module, language) with target and is_external.
+def candidates(imports: DataFrame) -> DataFrame:
+    """``imports`` (importer, module, language) with each file_path that a module may mean, and its rank.
 
     Python modules are dotted, with leading dots relative to the importer; in scripts only
-    ``./`` and ``../`` are looked up. Of several files the first ending wins; what is not
-    found is external.
+    ``./`` and ``../`` mean files.
     """
     importer, module = F.col("importer"), F.col("module")
     folder = F.when(importer.contains("/"), F.regexp_replace(importer, "/[^/]*$", "")).otherwise("")
@@ -60,7 +59,15 @@ def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     endings = F.when(is_python, F.array(*map(F.lit, PYTHON_ENDINGS))).otherwise(F.array(*map(F.lit, ("", *SCRIPT_ENDINGS))))
     rows = imports.withColumn("base", base).withColumn("ending", endings)
     tried = rows.where("base IS NOT NULL").select("importer", "module", "language", F.posexplode("ending").alias("rank", "ending"), "base")
-    found = tried.withColumn("file_path", F.concat("base", "ending")).join(files.select("file_path").distinct(), "file_path")
+    return tried.withColumn("file_path", F.concat("base", "ending"))
+
+
+def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``imports`` (importer, module, language) with target and is_external.
+
+    Of several files that a module may mean the first ending wins; what is not found is external.
+    """
+    found = candidates(imports).join(files.select("file_path").distinct(), "file_path")
     best = found.groupBy("importer", "module", "language").agg(F.min_by("file_path", "rank").alias("target"))
     return imports.join(best, ["importer", "module", "language"], "left").withColumn("is_external", F.col("target").isNull())
 

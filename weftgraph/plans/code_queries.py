@@ -120,7 +120,42 @@ def c2_c5_text_chunks(spark, sf_dir):
 @query("WITH s AS (SELECT p_partkey AS id, p_size AS size, 'web/' || p_partkey || '.ts' AS file_path FROM part), r AS (SELECT file_path, unnest(['K', 'load', 'I', 'E', 'T', 'g', 'h']) || id AS name, unnest(['class', 'method', 'interface', 'enum', 'type_alias', 'function', 'function']) AS kind, unnest([2, 3, 8, 9, 10, 11, 12]) AS start_line, unnest(['public', 'private', 'public', 'public', 'public', 'public', 'public']) AS visibility, unnest([false, true, false, false, false, true, false]) AS is_async, unnest(['Base' || size, '', 'Other', '', '', '', '']) AS bases FROM s) SELECT file_path, name, kind, CAST(start_line AS INTEGER) AS start_line, visibility, is_async, bases FROM r")
 def p4_p5_script_symbols(spark, sf_dir):
     """Classes, methods, interfaces, enums, types and functions of scripts."""
-    return code.script_symbols(script_files(spark, sf_dir)).withColumn("bases", F.array_join("bases", ","))
+    found = code.script_symbols(script_files(spark, sf_dir)).select("file_path", "name", "kind", "start_line", "visibility", "is_async", "bases")
+    return found.withColumn("bases", F.array_join("bases", ","))
+
+
+#: What line patterns get wrong: texts, templates and comments that look like code, nested functions, values with arrows.
+NESTED = """// class No{id} {}
+import a, { b } from './{size}'; /* import './no' */
+export class C{id}<T> extends ns.Base{size}<T> implements I{id}, J {
+  text = `class X {} ${helper{id}(`in ${deep{id}()}`)}`;
+  handle = async (e: Event): Promise<void> => this.go{id}(e);
+  static run(x: { a: string }): { b: number } {
+    const re = /[}"]call\\(/g, s = "call(";
+    function inner{id}() { return new Other{id}(); }
+    return x.call{id}(inner{id}());
+  }
+}
+const add{id} = a => b => plus{id}(a, b),
+  more = 1;
+"""
+
+
+def nested_files(spark, sf_dir):
+    rows = parts(spark, sf_dir)
+    return rows.select(F.concat(F.lit("web/n"), F.col("id").cast("string"), F.lit(".ts")).alias("file_path"), filled(NESTED, id=F.col("id"), size=F.col("size")).alias("content"))
+
+
+@query("WITH s AS (SELECT p_partkey AS id, 'web/n' || p_partkey || '.ts' AS file_path FROM part) SELECT file_path, unnest(['C' || id, 'handle', 'run', 'inner' || id, 'add' || id]) AS name, unnest(['class', 'method', 'method', 'function', 'function']) AS kind, unnest([NULL, 'C' || id, 'C' || id, 'run', NULL]) AS parent, CAST(unnest([3, 5, 6, 8, 12]) AS INTEGER) AS start_line, CAST(unnest([11, 5, 10, 8, 12]) AS INTEGER) AS end_line, unnest([false, false, true, false, false]) AS is_static, unnest([false, true, false, false, false]) AS is_async FROM s")
+def p4_p5_nested_symbols(spark, sf_dir):
+    """Spans and nesting, with texts, templates, comments and regular expressions that look like code."""
+    return code.script_symbols(nested_files(spark, sf_dir)).select("file_path", "name", "kind", "parent", "start_line", "end_line", "is_static", "is_async")
+
+
+@query("WITH s AS (SELECT p_partkey AS id, p_size AS size, 'web/n' || p_partkey || '.ts' AS file_path FROM part) SELECT file_path, unnest([NULL, 'C' || id, 'C' || id, 'C' || id, 'handle', 'inner' || id, 'run', 'run', 'add' || id]) AS source, unnest(['IMPORTS', 'EXTENDS', 'IMPLEMENTS', 'IMPLEMENTS', 'CALLS', 'CALLS', 'CALLS', 'CALLS', 'CALLS']) AS relation, unnest(['./' || size, 'ns.Base' || size, 'I' || id, 'J', 'go' || id, 'Other' || id, 'call' || id, 'inner' || id, 'plus' || id]) AS target, CAST(unnest([2, 3, 3, 3, 5, 8, 9, 9, 12]) AS INTEGER) AS line FROM s")
+def p4_p5_script_relations(spark, sf_dir):
+    """Imports, calls of the innermost function, base classes and interfaces."""
+    return code.script_relations(nested_files(spark, sf_dir)).select("file_path", "source", "relation", "target", "line")
 
 
 @query("WITH s AS (SELECT DISTINCT 'pkg' || split_part(p_brand, '#', 2) AS a, lower(p_type) AS b, p_size AS n FROM part), f AS (SELECT *, a || '/' || b || '/mod' || n || ['.ts', '.jsx', '/index.js', '.py'][n % 4 + 1] AS file_path FROM s), w AS (SELECT file_path AS importer, './mod' || (n % 50 + 1) AS module, a || '/' || b || CASE WHEN n % 4 = 2 THEN '/mod' || n ELSE '' END || '/mod' || (n % 50 + 1) AS base FROM f UNION ALL SELECT file_path, '../promo/mod' || n || '.ts', a || CASE WHEN n % 4 = 2 THEN '/' || b ELSE '' END || '/promo/mod' || n || '.ts' FROM f UNION ALL SELECT file_path, 'react', NULL FROM f), t AS (SELECT w.importer, w.module, f.file_path AS target, row_number() OVER (PARTITION BY w.importer, w.module ORDER BY e.rank) AS k FROM w, (SELECT unnest(['', '.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js', '/index.jsx']) AS ending, unnest(range(9)) AS rank) e JOIN f ON f.file_path = w.base || e.ending) SELECT w.importer, w.module, t.target, t.target IS NULL AS is_external FROM w LEFT JOIN t ON t.importer = w.importer AND t.module = w.module AND t.k = 1")
@@ -173,3 +208,15 @@ def p13_p14_index_job(spark, sf_dir):
     made = index.index_files(python_files(spark, sf_dir))
     counts = [made.nodes.select(F.lit("node").alias("what"), "kind"), made.edges.select(F.lit("edge").alias("what"), F.col("edge_type").alias("kind")), made.links.select(F.lit("link").alias("what"), F.lit("symbol").alias("kind"))]
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy("what", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(INDEXED.replace("FROM part)", "FROM part WHERE p_size % 10 <> 3)", 1))
+def p14_reindexed(spark, sf_dir):
+    """Files that change, come and go after an index was made; the result is that of the files as they are in the end."""
+    files = python_files(spark, sf_dir)
+    size = F.regexp_extract("file_path", r"mod(\d+)\.py$", 1).cast("int")
+    first = files.where(size % 10 != 5).withColumn("content", F.when(size % 10 == 7, F.lit("import os\n\ndef gone():\n    m1()\n")).otherwise(F.col("content")))
+    changed = files.where((size % 10).isin(1, 5, 7))  # those of 1 are as they were
+    made = index.reindexed(index.index_files(first), changed, removed=files.where(size % 10 == 3).select("file_path"))
+    counts = [made.nodes.select(F.lit("node").alias("what"), "kind"), made.edges.select(F.lit("edge").alias("what"), F.col("edge_type").alias("kind")), made.links.select(F.lit("link").alias("what"), F.lit("symbol").alias("kind"))]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy("what", "kind").agg(F.count(F.lit(1)).alias("n"))
