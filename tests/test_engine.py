@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph.engine import Engine, guarded
-from weftgraph.operators import code, index, views
+from weftgraph.operators import code, index, retrieval, views
 from weftgraph.operators.retrieval import Settings
 
 SOURCE = '''import os
@@ -195,3 +195,20 @@ def test_collapse_and_diagram(spark):
     lines = [r["line"].strip() for r in views.mermaid_lines(nodes, edges).orderBy("part", "at").collect()]
     assert lines == ["a[\"say 'x'\"]", 'b_1[["b"]]', 'c["c"]', "a --> b_1", "a -.-> c"]
     assert views.capped_layers(nodes.withColumn("node_type", F.lit("x")), {"x": 1}).count() == 1
+
+
+def test_progress_of_a_retrieval(spark, indexed):
+    engine = Engine.of_files(indexed, Settings(top_k_vector=5))
+    place = F.dense_rank().over(Window.orderBy("chunk_id"))
+    engine.chunks = engine.chunks.withColumn("embedding", F.array(F.sin(place), F.cos(place)))
+    heard = []
+    progress = retrieval.Progress(lambda *told: heard.append(told))
+    found = engine.retrieve("What does load_all do?", [0.0, 1.0], current_file="app/main.py", progress=progress)
+    plain = engine.retrieve("What does load_all do?", [0.0, 1.0], current_file="app/main.py")
+    assert [(s, n, of) for s, n, of, _ in heard] == [(s, k, 6) for k, s in enumerate(retrieval.RETRIEVAL_STEPS, 1)]
+    assert heard[0][3] == 5 and heard[5][3] == found.count() == plain.count() and heard[3][3] == heard[4][3] >= heard[5][3]
+    rows = progress.rows(spark).orderBy("number").collect()
+    assert [r["percent"] for r in rows][::5] == [100 / 6, 100.0] and len(rows) == 6
+    domain = retrieval.Progress()
+    engine.retrieve("explain the web module", [0.0, 1.0], progress=domain)
+    assert [s[:3] for s in domain.steps] == [(retrieval.DOMAIN_STEP, 1, 1)]

@@ -115,3 +115,50 @@ def test_modules_resolve_in_order(spark):
 def test_root_files_have_no_folder(spark):
     out = resolve.containment(spark.createDataFrame([("x.py",), ("a/b/y.py",), (None,)], "path string"), "path")
     assert {(x["src"], x["dst"]) for x in out.collect()} == {("repo", "file:x.py"), ("repo", "dir:a"), ("dir:a", "dir:a/b"), ("dir:a/b", "file:a/b/y.py")}
+
+
+def all_simple_paths(edges, start, most_edges):
+    """Simple paths that end in a leaf, in order."""
+    out, after = [], {}
+    for a, b in sorted(set(edges)):
+        after.setdefault(a, []).append(b)
+
+    def walk(path):
+        if path[-1] not in after:
+            out.append(path)
+        elif len(path) <= most_edges:
+            for b in after[path[-1]]:
+                if b not in path:
+                    walk([*path, b])
+
+    walk([start])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_paths_to_leaves_of_cyclic_graphs_are_those_of_brute_force(spark, seed):
+    r = random.Random(seed)
+    edges = [(a, b) for a in range(9) for b in range(11) if a != b and r.random() < 0.3]
+    out = graph.paths_to_leaves(frame(spark, edges), starts(spark, 0, 1, 10), 6, most=4)
+    want = [(s, p) for s in (0, 1, 10) for p in all_simple_paths(edges, s, 6)[:4]]
+    assert sorted((x["start"], list(x["path"])) for x in out.collect()) == sorted(want)
+
+
+def test_the_only_leaf_behind_a_crowd(spark):
+    crowd = range(1, 60)
+    edges = [(0, k) for k in crowd] + [(k, 0) for k in crowd] + [(a, b) for a in crowd for b in crowd if a != b] + [(59, 500)]
+    out = graph.paths_to_leaves(frame(spark, edges), starts(spark, 0), 3, most=5)
+    assert sorted(list(x["path"]) for x in out.collect()) == [[0, k, 59, 500] for k in range(1, 6)]
+    assert [list(x["path"]) for x in graph.paths_to_leaves(frame(spark, edges), starts(spark, 0), 2, most=5).collect()] == [[0, 59, 500]]
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_search_from_both_ends_agrees_with_the_search_from_one(spark, directed):
+    r = random.Random(7)
+    edges = frame(spark, [(r.randrange(40), r.randrange(40)) for _ in range(55)])
+    whole = {x["id"]: (x["length"], list(x["path"])) for x in graph.shortest_paths(edges, starts(spark, 3), 6, directed).collect()}
+    for end in r.sample(range(40), 4):
+        found = [(x["start"], x["id"], x["length"], list(x["path"])) for x in graph.shortest_path(edges, starts(spark, 3), starts(spark, end), 6, directed).collect()]
+        assert found == ([(3, end, *whole[end])] if end in whole else [])
+    assert graph.shortest_path(edges, starts(spark, 3), starts(spark, 3)).first()["length"] == 0
+    assert graph.shortest_path(edges, starts(spark, 3), starts(spark, 999)).count() == 0

@@ -115,7 +115,7 @@ class Engine:
 
     def path(self, start, end, max_depth: int = 10, directed: bool = False) -> DataFrame:
         """The shortest path between two nodes."""
-        return graph.shortest_paths(self.edges, self._ids([start]), max_depth, directed).where(F.col("id") == end)
+        return graph.shortest_path(self.edges, self._ids([start]), self._ids([end]), max_depth, directed)
 
     def flow(self, start: str, end: str, max_depth: int = 5) -> DataFrame:
         """The shortest paths between symbols of two names, and the names along them."""
@@ -187,11 +187,11 @@ class Engine:
         """What is around the chunks most like a vector, or with most of some terms."""
         return retrieval.hybrid_traversal(self._chunks(), self._asked(vector), self.edges, top, depth, types, terms)
 
-    def retrieve(self, question: str, vector: Sequence[float], anchors: Sequence[str] = (), current_file: str | None = None, stack: str | None = None) -> DataFrame:
-        """Ranked chunks for a question, within the token budget."""
+    def retrieve(self, question: str, vector: Sequence[float], anchors: Sequence[str] = (), current_file: str | None = None, stack: str | None = None, progress: retrieval.Progress | None = None) -> DataFrame:
+        """Ranked chunks for a question, within the token budget; ``progress`` is told of each step."""
         if self.links is None:
             raise ValueError("this engine has no links from chunks to nodes")
-        return retrieval.retrieve(question, self._asked(vector), self._chunks(), self.links, self.nodes, self.edges, self.settings, anchors=anchors, current_file=current_file, stack=stack)
+        return retrieval.retrieve(question, self._asked(vector), self._chunks(), self.links, self.nodes, self.edges, self.settings, anchors=anchors, current_file=current_file, stack=stack, progress=progress)
 
     def packets(self, ids: Sequence) -> DataFrame:
         """Texts of context of some symbols."""

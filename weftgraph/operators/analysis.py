@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators import graph
+from weftgraph.sources.tables import written
+
 #: Patterns of entry points, on lower-cased file paths and names.
 HTTP_FILES = r"(routes?|views?|api|endpoints?|handlers?|controllers?)\.py$"
 CLI_FILES = r"(cli|__main__|main|commands?)\.py$"
@@ -97,6 +100,21 @@ def step_type(name: Column, file_path: Column, doc: Column) -> Column:
     return F.when(any_of(name, PERSIST) | any_of(path, PERSIST) | any_of(doc, PERSIST), "persist").when(any_of(name, RETURN) | any_of(doc, RETURN), "return").otherwise("process")
 
 
+def data_flow(nodes: DataFrame, edges: DataFrame, entries: DataFrame, max_depth: int) -> DataFrame:
+    """entry, position, id, name, depth, step, truncated: what each entry (id) calls, in the order of discovery.
+
+    Each symbol is a step once, at its depth of search, and those of a depth go by id; the entry
+    itself is step 0 of type entry, others are told by ``step_type`` of name, file_path and doc. A
+    flow is truncated if it reaches ``max_depth`` (at least 1), as more may follow.
+    """
+    most = max(1, max_depth)
+    found = graph.shortest_paths(edges, entries.select("id").distinct(), most, directed=True).select(F.col("start").alias("entry"), "id", F.col("length").alias("depth"))
+    deep = Window.partitionBy("entry")
+    placed = found.withColumns({"position": (F.row_number().over(deep.orderBy("depth", "id")) - 1).cast("long"), "truncated": F.max("depth").over(deep) >= most})
+    known = nodes.select("id", "name", step_type(F.col("name"), F.col("file_path"), F.col("doc")).alias("kind"))
+    return placed.join(known, "id").select("entry", "position", "id", "name", "depth", F.when(F.col("depth") == 0, "entry").otherwise(F.col("kind")).alias("step"), "truncated")
+
+
 def question_class(text: Column) -> tuple[Column, Column]:
     """(clarity, type) of a question."""
     low = F.lower(text)
@@ -134,16 +152,69 @@ def agent_confidence(has_context: Column, results: Column, summaries: Column, ne
     return F.when(has_context, F.least(F.lit(1.0), score)).otherwise(F.lit(0.5))
 
 
-def related_pairs(items: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Pairs a < b of items that share evidence (item, term): a, b, n and confidence min(0.7 + 0.1 n, 1).
+def related_pairs(items: DataFrame, evidence: DataFrame, least: int = 1) -> DataFrame:
+    """Pairs a < b of items that share at least ``least`` terms of evidence (item, term): a, b, n and confidence min(0.7 + 0.1 n, 1).
 
-    Pairs come from the shared terms, so items without a common term never meet.
+    Pairs come from shared terms, so items without a common term never meet. With ``least``
+    over 1 each item is looked up by its rarest terms alone, all but ``least`` - 1 of them:
+    two items that share ``least`` terms share one of these. So a term that most items have
+    makes no pairs by itself, and is only counted for the pairs that rarer terms have found.
     """
-    left = evidence.select(F.col("item").alias("a"), "term").distinct()
-    right = evidence.select(F.col("item").alias("b"), "term").distinct()
-    found = left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    terms = evidence.where("item IS NOT NULL AND term IS NOT NULL").select("item", "term").distinct()
     known = items.select(F.col("item").alias("a"))
-    return found.join(known, "a", "left_semi").withColumn("confidence", F.least(F.lit(1.0), 0.7 + 0.1 * F.col("n")))
+    confidence = F.least(F.lit(1.0), 0.7 + 0.1 * F.col("n"))
+    if least <= 1:
+        found = terms.select(F.col("item").alias("a"), "term").join(terms.select(F.col("item").alias("b"), "term"), "term").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        return found.join(known, "a", "left_semi").withColumn("confidence", confidence)
+
+    often = terms.groupBy("term").agg(F.count(F.lit(1)).alias("often"))
+    ranked = terms.join(often, "term").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("often", "term"))).alias("by_rarity"))
+    sets = written(ranked.select("item", F.col("by_rarity.term").alias("terms")).where(F.size("terms") >= least))
+    rare = sets.select("item", F.explode(F.slice("terms", F.lit(1), F.size("terms") - (least - 1))).alias("term"))
+    met = rare.select(F.col("item").alias("a"), "term").join(rare.select(F.col("item").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
+    both = met.join(sets.select(F.col("item").alias("a"), F.col("terms").alias("of_a")), "a").join(sets.select(F.col("item").alias("b"), F.col("terms").alias("of_b")), "b")
+    found = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("n")).where(F.col("n") >= least)
+    return found.join(known, "a", "left_semi").withColumn("confidence", confidence)
+
+
+#: Words of evidence that tell how two repositories are joined; the first kind with one counts.
+RELATION_WORDS = {"grpc": ("proto", "grpc"), "rest": ("openapi", "swagger", "http", "rest", "api")}
+
+
+def relation_kind(evidence: Column) -> Column:
+    """grpc, rest or dependency, by the words in an array of evidence."""
+    text = F.lower(F.array_join(evidence, " "))
+    kind = F.lit("dependency")
+    for name, words in reversed(RELATION_WORDS.items()):
+        hit = F.lit(False)
+        for word in words:
+            hit = hit | text.contains(word)
+        kind = F.when(hit, name).otherwise(kind)
+    return kind
+
+
+def contract_gaps(relations: DataFrame, contracts: DataFrame) -> DataFrame:
+    """source, target, kind, gap and severity of rest and grpc relations (source, target, kind) of which only one side has contracts (repo, title).
+
+    A source with contracts whose target has none lacks ``no_consumer_contracts`` (medium), the
+    other way round ``no_provider_contracts`` (high).
+    """
+    having = contracts.where("title IS NOT NULL").select("repo").distinct()
+    rows = relations.where(F.col("kind").isin("rest", "grpc"))
+    for side in ("source", "target"):
+        rows = rows.join(having.select(F.col("repo").alias(side), F.lit(True).alias(f"{side}_has")), side, "left")
+    source, target = F.coalesce("source_has", F.lit(False)), F.coalesce("target_has", F.lit(False))
+    gap = F.when(source & ~target, "no_consumer_contracts").when(target & ~source, "no_provider_contracts")
+    severity = F.when(source, "medium").otherwise("high")
+    return rows.where(source != target).select("source", "target", "kind", gap.alias("gap"), severity.alias("severity"))
+
+
+def dependency_issues(relations: DataFrame, risks: DataFrame, most: int = 3) -> DataFrame:
+    """upstream, downstream, risk_id, severity: of each relation (source, target) the first ``most`` critical or high risks (repo, risk_id, severity) of its source."""
+    place = F.row_number().over(Window.partitionBy("repo").orderBy("risk_id", "severity"))
+    worst = risks.where(F.lower("severity").isin("critical", "high")).withColumn("place", place).where(F.col("place") <= most).drop("place")
+    pairs = relations.select(F.col("source").alias("upstream"), F.col("target").alias("downstream")).distinct()
+    return pairs.join(worst.withColumnRenamed("repo", "upstream"), "upstream").select("upstream", "downstream", "risk_id", "severity")
 
 
 def top_of_type(entries: DataFrame, kind: str, order: Sequence[str], most: int = 10) -> DataFrame:

@@ -113,27 +113,81 @@ def trails(edges: DataFrame, starts: DataFrame, min_length: int, max_length: int
     return out
 
 
-def paths_to_leaves(edges: DataFrame, starts: DataFrame, max_length: int, most: int = 100) -> DataFrame:
-    """start, path, length of the first ``most`` simple paths of each start that end in a node
-    without outgoing edges, in the order of their ids.
+def shortest_path(edges: DataFrame, start: DataFrame, end: DataFrame, max_depth: int = 10, directed: bool = False) -> DataFrame:
+    """start, id, length and path of the shortest path from one node (id) to another, as ``shortest_paths`` gives it; no row, if there is none.
 
-    Of each start only the first ``most`` paths, finished or not, go on to the next step. On
-    acyclic edges, where every path ends in a leaf, these have all that is wanted among them;
-    with cycles a start may get fewer.
+    Searches from both ends, each time on from the end with fewer nodes at its rim, until the
+    rims meet; so two balls of half the radius are seen, and not one of the whole.
     """
-    walked = written(edges.select("src", "dst").distinct())
-    leaves = written(walked.select(F.col("dst").alias("end")).unionByName(starts.select(F.col("id").alias("end"))).distinct().join(walked.select(F.col("src").alias("end")).distinct(), "end", "left_anti"))
-    first = F.row_number().over(Window.partitionBy("start").orderBy("path"))
-    now = written(starts.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array("id").alias("path")).distinct().join(leaves.withColumn("done", F.lit(True)), "end", "left").withColumn("done", F.coalesce("done", F.lit(False))))
-    for _ in range(max_length):
-        step = now.where("NOT done").join(walked, F.col("end") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        step = step.select("start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path")).join(leaves.withColumn("done", F.lit(True)), "end", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-        again = written(now.where("done").unionByName(step).withColumn("place", first).where(F.col("place") <= most).drop("place"))
-        dropped(now)
+    walked = written(oriented(edges, "outgoing" if directed else "both").select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    ahead = [written(start.select("id", F.array("id").alias("path")).limit(1))]
+    behind = [written(end.select("id").limit(1))]
+    sizes = [1, 1]
+
+    def unseen(step: DataFrame, levels: list[DataFrame]) -> DataFrame:
+        for level in levels[-2:] if not directed else levels:  # undirected: a neighbour is at most one level nearer
+            step = step.join(level.select("id"), "id", "left_anti")
+        return step
+
+    def onwards(rows: DataFrame) -> DataFrame:
+        """The ends of edges from ``rows``, each with the path by its smallest parent."""
+        step = rows.join(walked, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "path", F.col("src").alias("parent"))
+        return step.groupBy("id").agg(F.min_by("path", "parent").alias("path"))
+
+    def joined(rows: DataFrame) -> DataFrame:
+        return rows.select("id", F.concat("path", F.array("id")).alias("path"))
+
+    met = ahead[-1].join(behind[-1], "id", "left_semi")
+    while met.isEmpty():
+        if len(ahead) + len(behind) - 2 >= max_depth or 0 in sizes:
+            return ahead[0].where("false").select(F.col("id").alias("start"), "id", F.lit(0).alias("length"), "path")
+        if sizes[0] <= sizes[1]:
+            ahead.append(written(joined(unseen(onwards(ahead[-1]), ahead))))
+            sizes[0] = ahead[-1].count()
+        else:
+            back = behind[-1].join(walked, F.col("id") == F.col("dst")).select(F.col("src").alias("id")).distinct()
+            behind.append(written(unseen(back, behind)))
+            sizes[1] = behind[-1].count()
+        met = ahead[-1].join(behind[-1], "id", "left_semi")
+    for level in behind[-2::-1]:
+        met = joined(onwards(met).join(level, "id", "left_semi"))
+    out = written(met)
+    dropped(walked, *ahead, *behind)
+    return out.select(F.get("path", F.lit(0)).alias("start"), "id", (F.size("path") - 1).alias("length"), "path")
+
+
+def paths_to_leaves(edges: DataFrame, starts: DataFrame, max_length: int, most: int = 100) -> DataFrame:
+    """start, path, length of the first ``most`` simple paths of each start, of up to ``max_length`` edges, that end
+    in a node without outgoing edges, in the order of their ids.
+
+    A search from the leaves tells how many edges each node is away from one, so a path that
+    can't end in time is dropped at once. Of each start the paths that come first go on; the
+    others wait, until as many finished ones come before them as are wanted. So nothing is
+    lost, with cycles or without; how many rounds that takes depends on how many paths run
+    into themselves.
+    """
+    walked = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    ids = starts.where("id IS NOT NULL").select("id").distinct()
+    leaves = written(walked.select(F.col("dst").alias("id")).unionByName(ids).distinct().join(walked.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
+    left = written(traverse(walked, leaves, max_length, "incoming")[0].select(F.col("id").alias("end"), F.col("depth").alias("left")))
+    now = written(ids.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array("id").alias("path")).join(left, "end").select("start", "end", "path", (F.col("left") == 0).alias("done")))
+    place = F.row_number().over(Window.partitionBy("start").orderBy("path"))
+    while True:
+        finished = now.where("done").withColumn("place", place).where(F.col("place") <= most).drop("place")
+        bars = finished.groupBy("start").agg(F.when(F.count(F.lit(1)) >= most, F.max("path")).alias("bar"))
+        waiting = now.where("NOT done").join(bars, "start", "left").where("bar IS NULL OR path < bar").drop("bar")
+        first = written(waiting.withColumn("place", place).where(F.col("place") <= 4 * most).drop("place"))
+        if first.isEmpty():
+            out = written(finished.select("start", "path", (F.size("path") - 1).alias("length")))
+            dropped(walked, leaves, left, now, first)
+            return out
+        cuts = first.groupBy("start").agg(F.max("path").alias("cut"))
+        rest = waiting.join(cuts, "start").where("path > cut").drop("cut")
+        step = first.join(walked, F.col("end") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        step = step.select("start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path")).join(left, "end").where(F.size("path") - 1 + F.col("left") <= max_length)
+        again = written(finished.unionByName(rest).unionByName(step.select("start", "end", "path", (F.col("left") == 0).alias("done"))))
+        dropped(now, first)
         now = again
-        if now.where("NOT done").isEmpty():
-            break
-    return now.where("done").select("start", "path", (F.size("path") - 1).alias("length"))
 
 
 def longest_trail(edges: DataFrame, most: int) -> tuple[int, bool]:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, fields, replace
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import vectors
 from weftgraph.operators import graph
 from weftgraph.operators.state import running_total
+from weftgraph.sources.tables import written
 
 #: Words that are no search terms.
 STOP_WORDS = ("the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "function", "class", "method", "module", "file", "code")
@@ -144,25 +146,29 @@ def fitting(ranked: DataFrame, budget: int, order: Sequence[Column]) -> DataFram
     """First fit: in order, a row stays if its ``tokens`` still fit; the first always stays.
 
     Of rows with t tokens only the first budget / t can stay, whatever comes between, and
-    rows without tokens all stay. So the fold runs over at most budget * (1 + ln budget)
-    places and token counts, however many rows there are. ``order`` must be total.
+    rows without tokens all stay. So one task goes through at most budget * (1 + ln budget)
+    rows, however many there are. ``order`` must be total.
     """
     rows = ranked.withColumn("cost", F.coalesce(F.col("tokens").cast("long"), F.lit(0)))
     first = rows.orderBy(*order).limit(1)
     place = F.row_number().over(Window.partitionBy("cost").orderBy(*order))
     # no more than the budget of any cost, which lets the window drop rows before the shuffle
     able = rows.where(F.col("cost").between(1, budget)).withColumn("place", place).where(F.col("place") <= budget).where(F.col("place") * F.col("cost") <= budget).drop("place")
-    costly = first.where(F.col("cost") > budget)
-    listed = able.unionByName(costly).withColumn("place", F.row_number().over(Window.orderBy(*order)))
-    folded = listed.agg(F.array_sort(F.collect_list(F.struct("place", "cost"))).alias("rows"))
-    kept = F.aggregate(
-        "rows",
-        F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<int>").alias("kept")),
-        lambda now, r: F.when((r["place"] == 1) | (now["total"] + r["cost"] <= budget), F.struct((now["total"] + r["cost"]).alias("total"), F.concat(now["kept"], F.array(r["place"])).alias("kept"))).otherwise(now),
-        lambda now: now["kept"],
-    )
-    fitting_ones = listed.join(folded.select(F.explode(kept).alias("place")), "place", "left_semi").drop("place")
-    return fitting_ones.unionByName(rows.where("cost = 0")).drop("cost")
+    listed = able.unionByName(first.where(F.col("cost") > budget))
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, begun = 0, False
+        for batch in batches:
+            kept = []
+            for cost in batch.column("cost").to_pylist():
+                fits = not begun or total + cost <= budget
+                total, begun = total + cost * fits, True
+                kept.append(fits)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema.fields)
+    folded = listed.repartition(1).sortWithinPartitions(*order).mapInArrow(fold, kinds)
+    return folded.unionByName(rows.where("cost = 0")).drop("cost")
 
 
 def prefix_fitting(ranked: DataFrame, budget: int, order: Sequence[str], group: str) -> DataFrame:
@@ -276,7 +282,33 @@ def hybrid_traversal(chunks: DataFrame, query: DataFrame, edges: DataFrame, k: i
     return found
 
 
-def retrieve(question: str, query: DataFrame, chunks: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, settings: Settings, *, anchors: Sequence[str] = (), current_file: str | None = None, stack: str | None = None) -> DataFrame:
+#: The steps of a retrieval, in order, and the one step of a question about a domain.
+RETRIEVAL_STEPS = ("vector_search", "anchor_expansion", "graph_expansion", "location_scoring", "ranking_results", "building_context")
+DOMAIN_STEP = "domain_retrieval"
+
+
+class Progress:
+    """Runs each step of a retrieval, counts its rows while they are written, and tells ``report`` (step, number, of, rows)."""
+
+    def __init__(self, report: Callable[[str, int, int, int], None] | None = None) -> None:
+        self.report, self.steps = report, []
+
+    def step(self, name: str, df: DataFrame, number: int | None = None, of: int = len(RETRIEVAL_STEPS)) -> DataFrame:
+        number = RETRIEVAL_STEPS.index(name) + 1 if number is None else number
+        seen = Observation(name)
+        out = written(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+        self.steps.append((name, number, of, seen.get["rows"]))
+        if self.report:
+            self.report(*self.steps[-1])
+        return out
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """step, number, of, percent, rows: what was done so far."""
+        told = spark.createDataFrame(self.steps, "step string, number int, of int, rows long")
+        return told.select("step", "number", "of", (100.0 * F.col("number") / F.col("of")).alias("percent"), "rows")
+
+
+def retrieve(question: str, query: DataFrame, chunks: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, settings: Settings, *, anchors: Sequence[str] = (), current_file: str | None = None, stack: str | None = None, progress: Progress | None = None) -> DataFrame:
     """From a question to ranked chunks within the token budget: chunk_id, file_path, tokens, final, distance, anchor.
 
     ``query`` holds the question's vector (embedding). A question about a domain takes the
@@ -284,19 +316,22 @@ def retrieve(question: str, query: DataFrame, chunks: DataFrame, links: DataFram
     files, of frames of an error ``stack`` and of symbols that the question names; chunks of
     symbols around theirs; a bonus for the current file and folder; and the first fit of
     the ranked ones. ``chunks``: chunk_id, file_path, start_line, end_line, content,
-    embedding; ``links``: chunk_id, id.
+    embedding; ``links``: chunk_id, id. With ``progress`` each step is run and told as it is
+    done; without, nothing runs but the search of the graph until the result is used.
     """
     settings = settings.checked()
+    told = progress.step if progress else lambda name, df: df
     spark = chunks.sparkSession
     asked = spark.range(1).select(F.lit(question).alias("q"))
     domain, names = asked.select(asked_domain(F.col("q")), names_in(F.col("q"))).first()  # one row
     plain = chunks.select("chunk_id", "file_path", "start_line", "end_line", F.floor(F.length("content") / 4).cast("long").alias("tokens"))
     if domain and not (inside := plain.where(F.concat(F.lit("/"), F.lower("file_path")).contains(f"/{domain}/"))).isEmpty():
         rows = inside.withColumns({"final": F.lit(1.0), "distance": F.lit(-1), "anchor": F.lit(False)})
-        return fitting(rows.select("chunk_id", "file_path", "tokens", "final", "distance", "anchor"), settings.max_context_tokens, [F.col("file_path"), F.col("chunk_id")])
+        fit = fitting(rows.select("chunk_id", "file_path", "tokens", "final", "distance", "anchor"), settings.max_context_tokens, [F.col("file_path"), F.col("chunk_id")])
+        return progress.step(DOMAIN_STEP, fit, 1, 1) if progress else fit
 
     best = similar(chunks, query, settings.top_k_vector, settings.similarity_function).select("chunk_id", "score", F.lit(False).alias("anchor"))
-    parts = [best]
+    parts = [best := told(RETRIEVAL_STEPS[0], best)]
     wanted = nodes.where(F.col("name").isin(*names)) if names else nodes.where("false")
     by_name = links.join(wanted.select("id"), "id", "left_semi").select("chunk_id")
     pinned = by_name.unionByName(plain.where(F.col("file_path").isin(*anchors)).select("chunk_id")) if anchors else by_name
@@ -304,15 +339,16 @@ def retrieve(question: str, query: DataFrame, chunks: DataFrame, links: DataFram
         at = spark.range(1).select(F.inline(frames(F.lit(stack)))).select(F.col("file").alias("file_path"), "line")
         pinned = pinned.unionByName(chunks_of_frames(plain.drop("tokens"), at).select("chunk_id"))
     parts.append(pinned.distinct().withColumns({"score": F.lit(0.5), "anchor": F.lit(True)}))
-    rows = merged(*parts)
+    rows = told(RETRIEVAL_STEPS[1], merged(*parts))
 
     starts = links.join(rows.select("chunk_id"), "chunk_id", "left_semi").select("id").distinct()
     near, _ = graph.traverse(edges, starts, settings.graph_expansion_hops, "both", row_cap=settings.max_expansion_nodes)
     distance = near.join(links, "id").groupBy("chunk_id").agg(F.min("depth").alias("distance"))
     rows = rows.join(distance, "chunk_id", "full_outer").withColumns({"score": F.coalesce("score", F.lit(0.0)), "anchor": F.coalesce("anchor", F.lit(False)), "distance": F.coalesce("distance", F.lit(-1))})
-    rows = rows.join(plain, "chunk_id")
+    rows = told(RETRIEVAL_STEPS[2], rows.join(plain, "chunk_id"))
     final = final_score(settings, F.col("score"), F.col("distance"), F.col("anchor"))
     if current_file:
         final = final + location_bonus(settings, F.col("file_path"), current_file)
-    rows = rows.select("chunk_id", "file_path", "tokens", (final if settings.enable_ranking else F.col("score")).alias("final"), "distance", "anchor")
-    return fitting(rows, settings.max_context_tokens, [F.desc("final"), F.col("chunk_id")])
+    rows = told(RETRIEVAL_STEPS[3], rows.withColumn("final", final if settings.enable_ranking else F.col("score")))
+    rows = told(RETRIEVAL_STEPS[4], rows.select("chunk_id", "file_path", "tokens", "final", "distance", "anchor").orderBy(F.desc("final"), "chunk_id") if progress else rows.select("chunk_id", "file_path", "tokens", "final", "distance", "anchor"))
+    return told(RETRIEVAL_STEPS[5], fitting(rows, settings.max_context_tokens, [F.desc("final"), F.col("chunk_id")]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,19 +17,47 @@ def upserted(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence
     return both.withColumn("rank", rank).where("rank = 1").drop("rank", "age")
 
 
-def running_total(rows: DataFrame, key: str, order: Sequence[str], value: Column, name: str) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``value`` up to each row of its key, in ``order``.
+def _running(rows: DataFrame, key: str, order: Sequence[str], value: Column, name: str, of: Callable[[str], Column], before: bool = False) -> DataFrame:
+    """``rows`` with ``name``: ``of`` the values up to each row of its key, in ``order``; with ``before`` without the row's own.
 
     The rows are dealt to ranges of key and order, so a key with many rows is many groups:
-    sums of whole ranges first, then sums inside each.
+    whole ranges first, then inside each.
     """
     ranged = written(rows.withColumn(name, value).repartitionByRange(key, *order).withColumn("in_range", F.spark_partition_id()))
-    sums = ranged.groupBy(key, "in_range").agg(F.sum(name).alias("held"))
+    held = ranged.groupBy(key, "in_range").agg(of(name).alias("held"))
     earlier = Window.partitionBy(key).orderBy("in_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col(key).alias("of_key"), F.col("in_range").alias("of_range"), F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(key, "in_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = held.select(F.col(key).alias("of_key"), F.col("in_range").alias("of_range"), of("held").over(earlier).alias("offset"))
+    inside = Window.partitionBy(key, "in_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     joined = ranged.join(offsets, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("in_range") == F.col("of_range")))
-    return joined.withColumn(name, F.col("offset") + F.sum(name).over(inside)).drop("of_key", "of_range", "in_range", "offset")
+    return joined.withColumn("inside", of(name).over(inside)).drop("of_key", "of_range", "in_range", name)
+
+
+def running_total(rows: DataFrame, key: str, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` up to each row of its key, in ``order``, however many rows a key has."""
+    out = _running(rows, key, order, value, name, F.sum)
+    return out.withColumn(name, F.coalesce("offset", F.lit(0)) + F.col("inside")).drop("offset", "inside")
+
+
+def running_greatest(rows: DataFrame, key: str, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the greatest ``value`` of the rows of its key before each, in ``order``; null for the first."""
+    return _running(rows, key, order, value, name, F.max, before=True).withColumn(name, F.greatest("offset", "inside")).drop("offset", "inside")
+
+
+def uncovered(bounds: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """key, first, last: what ``ranges`` (key, first, last; they may overlap) leave of ``bounds`` (key, first, last; one for each key).
+
+    A sweep by first with the greatest end so far, in ranges of key and first, so a key with
+    many ranges is many groups. Ranges may reach over the bounds; those that end before they
+    begin, or have a null, cover nothing; keys without bounds are left out.
+    """
+    low, high = F.col("low"), F.col("high")
+    within = bounds.select(key, F.col("first").alias("low"), F.col("last").alias("high"))
+    good = ranges.where("first <= last").select(key, "first", "last").join(within, key).where((F.col("last") >= low) & (F.col("first") <= high))
+    swept = written(running_greatest(good, key, ["first", "last"], F.col("last"), "reached"))
+    between = swept.select(key, F.coalesce(F.greatest(F.col("reached") + 1, low), low).alias("first"), (F.col("first") - 1).alias("last"))
+    ends = swept.groupBy(key).agg(F.max("last").alias("reached"))
+    after = within.join(ends, key, "left").select(key, F.coalesce(F.greatest(F.col("reached") + 1, low), low).alias("first"), high.alias("last"))
+    return between.unionByName(after).where("first <= last")
 
 
 def larger(a: Column, b: Column) -> Column:

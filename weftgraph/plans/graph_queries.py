@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import graph
 from weftgraph.sources import derived
+from weftgraph.sources.tables import table
 
 from .registry import query
 
@@ -181,6 +182,23 @@ def t8_shortest_path_lengths(spark, sf_dir):
     return graph.shortest_paths(derived.calls(spark, sf_dir), start, 5).select("id", "length")
 
 
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem WHERE l_orderkey % 4 = 0), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), z AS (SELECT min(src) AS a, max(src) AS b FROM e), r AS (SELECT a AS id, 0 AS depth FROM z UNION SELECT u.dst, r.depth + 1 FROM r JOIN u ON u.src = r.id WHERE r.depth < 8), d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id), p AS (SELECT b AS id, CAST(b AS VARCHAR) AS path, (SELECT depth FROM d WHERE id = b) AS depth FROM z WHERE b IN (SELECT id FROM d) UNION ALL SELECT src, src || '>' || path, depth FROM (SELECT u.src, p.path, p.depth - 1 AS depth, row_number() OVER (ORDER BY u.src) AS n FROM p JOIN u ON u.dst = p.id JOIN d ON d.id = u.src AND d.depth = p.depth - 1) WHERE n = 1) SELECT (SELECT b FROM z) AS id, CAST((SELECT depth FROM d WHERE id = (SELECT b FROM z)) AS INTEGER) AS length, path FROM p WHERE depth = 0")
+def t8_two_sided_path(spark, sf_dir):
+    """The shortest path between two parts over their suppliers, searched from both; of equally short ones that of the smallest ids from the end."""
+    edges = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct()
+    first, last = (edges.agg(of("src").alias("id")) for of in (F.min, F.max))
+    found = graph.shortest_path(edges, first, last, 8)
+    return found.select("id", "length", F.array_join("path", ">").alias("path"))
+
+
+@query("WITH RECURSIVE c AS (SELECT src, dst FROM g_calls WHERE src % 40 < 8 AND dst % 40 < 8 AND src % 40 <> 3), r AS (SELECT id AS start, id, [id] AS path FROM g_symbols WHERE id % 40 = 1 UNION ALL SELECT r.start, c.dst, list_append(r.path, c.dst) FROM r JOIN c ON c.src = r.id WHERE len(r.path) <= 5 AND NOT list_contains(r.path, c.dst)) SELECT start, array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS length FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY path) AS n FROM r WHERE id NOT IN (SELECT src FROM c)) WHERE n <= 7")
+def t10_t22_cyclic_paths(spark, sf_dir):
+    """The first paths to leaves in a call graph with cycles, from many symbols."""
+    calls = derived.calls(spark, sf_dir).where("src % 40 < 8 AND dst % 40 < 8 AND src % 40 <> 3")
+    found = graph.paths_to_leaves(calls, derived.symbols(spark, sf_dir).where("id % 40 = 1").select("id"), 5, 7)
+    return found.select("start", F.array_join("path", ">").alias("path"), "length")
+
+
 @query("WITH RECURSIVE d AS (SELECT src, dst FROM g_calls_dag), r AS (SELECT id AS start, id, CAST(id AS VARCHAR) AS path, 0 AS length FROM g_symbols WHERE name = 'red plate' UNION ALL SELECT r.start, d.dst, r.path || '>' || d.dst, r.length + 1 FROM r JOIN d ON d.src = r.id WHERE r.length < 12) SELECT start, path, CAST(length AS INTEGER) AS length FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY [CAST(x AS BIGINT) FOR x IN string_split(path, '>')]) AS n FROM r WHERE id NOT IN (SELECT src FROM d)) WHERE n <= 100")
 def t10_paths_to_leaves(spark, sf_dir):
     """The first hundred simple paths from each start to leaves of the acyclic call graph."""
