@@ -562,6 +562,21 @@ def test_url_model_on_unseen_hosts(spark):
     assert urls.train(urls.labelled_urls(spark).where("label = 0"))[0] == 0.0
 
 
+def test_hosts_and_paths_that_the_model_has_not_seen(spark):
+    """Every fourth word and path is held out: their hosts and paths are judged by what resembles them."""
+    rows = urls.labelled_rows()
+    kept, out = [r for r in rows if r[2] % 4 != 1], [r for r in rows if r[2] % 4 == 1]
+    model = urls.train(spark.createDataFrame([(u, y) for u, y, _ in kept], "url string, label int"))
+    judged = urls.judge(spark.createDataFrame([(k, r[0]) for k, r in enumerate(out)], "page_id long, url string"), model, ()).collect()
+    shares = {}
+    for x in judged:
+        url, label, _ = out[x["page_id"]]
+        kind = "good" if not label else "host" if any(w in x["host"] for w in urls.UNWANTED) else "path"
+        shares.setdefault(kind, []).append(x["verdict"] == "block")
+    assert {k: sum(v) / len(v) for k, v in shares.items() if k != "good"} == pytest.approx({"host": 0.7, "path": 0.7}, abs=0.15)
+    assert sum(shares["good"]) / len(shares["good"]) < 0.03
+
+
 def test_url_scores_are_those_of_brute_force(spark):
     bias, weights = model = urls.train(urls.labelled_urls(spark), slots=256, rounds=5)
     links = ["http://Ab.example.net/x/1?q", "https://casino.example.org", "x", None, "http://é漢.org/ü#f"]

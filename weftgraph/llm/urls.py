@@ -7,6 +7,7 @@ import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,16 +48,43 @@ network security hardware robotics statistics opinion magazine radio television
 PATHS = ("", "index.html", "about/", "article/{n}", "en/{n}", "de/{n}.html", "fr/{n}/", "es/{n}?page=2", "2021/05/{n}", "p?id={n}", "blog/{n}#top", "category/{n}/item")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: url, label (1: to be blocked)."""
+#: Paths of the labelled table that are to be blocked whatever the host: what they lead to, where they send on, and machine-made runs.
+UNWANTED_PATHS = (
+    "casino/{n}", "play/slots/{n}", "free-spins/bonus-{n}", "xxx/videos/{n}.html", "adult/gallery-{n}", "hot-singles/{n}", "buy-cheap-pills/{n}", "viagra-online.php?id={n}",
+    "redirect?url={n}", "redir.php?to={n}", "out/click/{n}", "go.php?u={n}", "track/click?id={n}", "adclick/{n}", "popunder/{n}.js", "banner/ads/{n}",
+    "download/crack-{n}.exe", "keygen/{n}.zip", "warez/full-{n}.rar", "torrent/{n}.magnet", "win-prize/claim-{n}", "free-gift/claim?c={n}", "wp-login/verify-account-{n}", "secure-update/login.php?s={n}",
+    "{n}{n}{n}{n}/", "x/{n}{n}{n}.html", "t/{n}{n}{n}{n}{n}", "aff?sid={n}{n}{n}", "loan-offers/{n}", "crypto-doubler/{n}", "forex-signals/{n}", "sms/prizewinner-{n}",
+)
+
+
+def labelled_rows() -> list[tuple[str, int, int]]:
+    """url, label (1: to be blocked) and the number of the word or path that it is made of.
+
+    Unwanted names with ordinary paths, ordinary names with unwanted paths, and ordinary names with ordinary paths.
+    """
     rows, tops = [], ("com", "net", "org")
     for label, names in ((1, UNWANTED), (0, WANTED)):
         for k, name in enumerate(names):
             mate = names[(7 * k + 3) % len(names)]
             for j, host in enumerate((name, f"www.{name}-{mate}", f"{('m', 'blog', 'shop')[k % 3]}.{mate}{name}")):
                 path = PATHS[(k + 5 * j) % len(PATHS)].format(n=137 * k + 31 * j + 2)
-                rows.append((f"{('http', 'https')[j % 2]}://{host}.example.{tops[(k + j) % 3]}/{path}", label))
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {y})" for u, y in rows) + " AS t(url, label)")
+                rows.append((f"{('http', 'https')[j % 2]}://{host}.example.{tops[(k + j) % 3]}/{path}", label, k))
+    for k, form in enumerate(UNWANTED_PATHS):
+        for j in range(6):
+            name = WANTED[(11 * k + 29 * j) % len(WANTED)]
+            host = (name, f"www.{name}", f"blog.{name}")[j % 3]
+            rows.append((f"{('http', 'https')[j % 2]}://{host}.example.{tops[(k + j) % 3]}/{form.format(n=7919 * (k + 1) * (j + 2) % 9973)}", 1, k))
+    for k, name in enumerate(WANTED):
+        for j in range(4):  # the same names and numbers on ordinary paths
+            form = PATHS[(k + 3 * j + 1) % len(PATHS)]
+            host = (name, f"www.{name}", f"blog.{name}", f"m.{name}")[j]
+            rows.append((f"{('http', 'https')[j % 2]}://{host}.example.{tops[(k + j) % 3]}/{form.format(n=7919 * (k + 1) * (j + 2) % 9973)}", 0, k))
+    return rows
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The small labelled table: url, label (1: to be blocked)."""
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {y})" for u, y, _ in labelled_rows()) + " AS t(url, label)")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -100,20 +128,20 @@ def train(labelled: DataFrame, *, lengths: Sequence[int] = (3, 4), slots: int =
     """
     host, path = parts(F.col("url"))
     rows = labelled.where("label IS NOT NULL").orderBy("url", "label").limit(most_rows).select(grams(host, path, lengths, slots).alias("slots"), F.col("label").cast("double")).collect()
-    weights, bias = [0.0] * slots, 0.0
+    weights, bias = np.zeros(slots), 0.0
     if len({y for _, y in rows}) < 2:
-        return bias, weights
+        return bias, weights.tolist()
     share = sum(y for _, y in rows) / len(rows)
+    counted = [(*np.unique(np.array(at, int), return_counts=True), 1 / math.sqrt(len(at) or 1), y) for at, y in rows]
     for k in range(rounds):
         step = rate / (1 + 0.1 * k)
-        for at, y in rows:
-            unit = 1 / math.sqrt(len(at) or 1)
-            slope = (1 / (1 + math.exp(-max(-30.0, min(30.0, bias + unit * sum(weights[i] for i in at)))))) - y
+        for at, n, unit, y in counted:
+            margin = bias + unit * float(weights[at] @ n)
+            slope = 1 / (1 + math.exp(-max(-30.0, min(30.0, margin)))) - y
             slope *= block_share / share if y else (1 - block_share) / (1 - share)
             bias -= step * slope * 0.1
-            for i in at:
-                weights[i] -= step * (slope * unit + decay * weights[i])
-    return bias, [round(w, 6) for w in weights]
+            weights[at] -= step * n * (slope * unit + decay * weights[at])
+    return bias, np.round(weights, 6).tolist()
 
 
 def judge(pages: DataFrame, model: tuple[float, list[float]], rules: Sequence[Rule] = RULES, *, lengths: Sequence[int] = (3, 4)) -> DataFrame:
