@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from weftgraph.engine import Engine, guarded
 from weftgraph.operators import code, index, retrieval, views
 from weftgraph.operators.retrieval import Settings
+from weftgraph.operators.text_index import TextIndex
+from weftgraph.operators.vector_index import VectorIndex
 
 SOURCE = '''import os
 from . import util
@@ -212,3 +214,17 @@ def test_progress_of_a_retrieval(spark, indexed):
     domain = retrieval.Progress()
     engine.retrieve("explain the web module", [0.0, 1.0], progress=domain)
     assert [s[:3] for s in domain.steps] == [(retrieval.DOMAIN_STEP, 1, 1)]
+
+
+def test_searches_through_indexes(spark, indexed, tmp_path):
+    engine = Engine.of_files(indexed, Settings(top_k_vector=5))
+    place = F.dense_rank().over(Window.orderBy("chunk_id"))
+    engine.chunks = engine.chunks.withColumn("embedding", F.array(F.sin(place), F.cos(place)))
+    scan = engine.call("search", vector=[0.3, 1.0], top=3)
+    both = engine.call("fused", question="where is load_all and fetch_items", vector=[0.3, 1.0], top=4)
+    plain = [(r["chunk_id"], round(r["score"], 9)) for r in scan.collect()], [(r["chunk_id"], round(r["score"], 9)) for r in both.orderBy("rank").collect()]
+    engine.vectors = VectorIndex.create(spark, str(tmp_path / "v"), engine.chunks.select("chunk_id", "embedding"))
+    engine.words = TextIndex.create(spark, str(tmp_path / "t"), "chunk_id", "string", buckets=4)
+    engine.words.update(engine.chunks, "content")
+    again = engine.call("search", vector=[0.3, 1.0], top=3), engine.call("fused", question="where is load_all and fetch_items", vector=[0.3, 1.0], top=4)
+    assert ([(r["chunk_id"], round(r["score"], 9)) for r in again[0].collect()], [(r["chunk_id"], round(r["score"], 9)) for r in again[1].orderBy("rank").collect()]) == plain

@@ -9,8 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import analysis, graph, guard, index, retrieval, views
+from weftgraph.operators import analysis, graph, guard, index, retrieval, vector_index, views
 from weftgraph.operators.retrieval import Settings
+from weftgraph.operators.text_index import TextIndex
+from weftgraph.operators.vector_index import VectorIndex
 
 MOST_ROWS = 50
 
@@ -31,11 +33,14 @@ class Engine:
     settings: Settings = field(default_factory=Settings)
     tools: dict[str, Callable[..., DataFrame]] = field(default_factory=dict)
     links: DataFrame | None = None
+    #: Indexes of the chunks' vectors (key chunk_id) and texts; without them a search goes through all chunks.
+    vectors: VectorIndex | None = None
+    words: TextIndex | None = None
 
     def __post_init__(self) -> None:
         self.settings = self.settings.checked()
         for f in (
-            self.node, self.find, self.neighbours, self.reachable, self.path, self.hotspots, self.references, self.statistics, self.search, self.packets, self.files,
+            self.node, self.find, self.neighbours, self.reachable, self.path, self.hotspots, self.references, self.statistics, self.search, self.fused, self.packets, self.files,
             self.snippet, self.symbol_details, self.trace, self.flow, self.unified, self.traverse_hybrid, self.retrieve, self.view, self.entry_points, self.architecture, self.analysis, self.query,
         ):
             self.register(f)
@@ -176,9 +181,23 @@ class Engine:
         return out[0].unionByName(out[1]).unionByName(out[2])
 
     def search(self, vector: Sequence[float], top: int | None = None) -> DataFrame:
-        """The chunks most like a vector."""
+        """The chunks most like a vector; with an index, among its nearest cells."""
+        if self.vectors is not None:
+            asked = self._asked(vector).withColumn("query_id", F.lit(0).cast("long"))
+            found = self.vectors.search(asked, top or self.settings.top_k_vector).select("chunk_id", "score")
+            return self._chunks().join(found, "chunk_id").orderBy(F.desc("score"), "chunk_id")
         return retrieval.similar(self._chunks(), self._asked(vector), top or self.settings.top_k_vector)
 
+    def fused(self, question: str, vector: Sequence[float], top: int = 10) -> DataFrame:
+        """The best chunks by vector and by the words of a question, each list in shares of its best."""
+        near = self.search(vector, top).select("chunk_id", "score")
+        terms = self._chunks().sparkSession.range(1).select(retrieval.search_terms(F.lit(question), 20)).first()[0]
+        if self.words is not None:
+            said = self.words.search(terms).withColumnRenamed(self.words.key, "chunk_id")
+        else:
+            said = retrieval.lexical_scores(self._chunks(), terms, "content", "chunk_id")
+        return vector_index.fused(top, near, said.orderBy(F.desc("score"), "chunk_id").limit(top))
+
     def unified(self, vector: Sequence[float], top: int = 10, related: bool = True, documentation: bool = True) -> DataFrame:
         """Code chunks with their symbol and relations, and documentation chunks."""
         return retrieval.unified(self._chunks(), self._asked(vector), self.nodes, self.edges, top, related=related, documentation=documentation)

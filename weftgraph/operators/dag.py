@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.sources.tables import dropped, written
 
+from .state import running_total
+
 
 def levels(tasks: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(task, level) by repeatedly taking the tasks whose needs are all done, and the needs
@@ -74,9 +76,8 @@ def dirty(phases: DataFrame, cascade: DataFrame, changed: DataFrame) -> DataFram
 
 
 def within_budget(calls: DataFrame, key: str, order: str, most_calls: int, most_tokens: int) -> DataFrame:
-    """``calls`` (tokens) with left_calls, left_tokens after each, and allowed."""
-    from pyspark.sql import Window
-
-    running = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    left_calls, left_tokens = most_calls - F.count(F.lit(1)).over(running), most_tokens - F.sum("tokens").over(running)
-    return calls.withColumns({"left_calls": left_calls, "left_tokens": left_tokens}).withColumn("allowed", (F.col("left_calls") >= 0) & (F.col("left_tokens") >= 0))
+    """``calls`` (tokens) with left_calls, left_tokens after each, and allowed. A key with many calls is many ranges."""
+    used = running_total(calls, key, [order], F.lit(1), "used_calls")
+    used = running_total(used, key, [order], F.col("tokens"), "used_tokens")
+    left = used.withColumns({"left_calls": most_calls - F.col("used_calls"), "left_tokens": most_tokens - F.col("used_tokens")}).drop("used_calls", "used_tokens")
+    return left.withColumn("allowed", (F.col("left_calls") >= 0) & (F.col("left_tokens") >= 0))

@@ -282,6 +282,33 @@ def hybrid_traversal(chunks: DataFrame, query: DataFrame, edges: DataFrame, k: i
     return found
 
 
+def search_packets(chunks: DataFrame, query: DataFrame, symbols: DataFrame, edges: DataFrame, k: int, hops: int = 2, preview: int = 500) -> DataFrame:
+    """chunk_id, score, preview and related of the k nearest chunks: the beginning of the text, and the names (sorted, distinct) of all
+    symbols up to ``hops`` edges away from the chunk's own in either direction."""
+    best = written(similar(chunks, query, k).select("chunk_id", "score", F.substring("content", 1, preview).alias("preview")))
+    starts = best.select(F.col("chunk_id").alias("id")).join(symbols, "id", "left_semi")
+    near = graph.shortest_paths(edges, starts, hops).where("length > 0").select(F.col("start").alias("chunk_id"), "id")
+    names = near.join(symbols.select("id", "name"), "id").groupBy("chunk_id").agg(F.array_sort(F.collect_set("name")).alias("related"))
+    return best.join(names, "chunk_id", "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
+
+
+def hits_with_neighbours(chunks: DataFrame, query: DataFrame, symbols: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """chunk_id, first and second: for each of the k nearest chunks the ids one edge and two edges away, sorted."""
+    best = written(similar(chunks, query, k).select("chunk_id"))
+    starts = best.select(F.col("chunk_id").alias("id")).join(symbols, "id", "left_semi")
+    near = graph.shortest_paths(edges, starts, 2)
+    lists = [F.array_sort(F.collect_list(F.when(F.col("length") == n, F.col("id")))).alias(name) for n, name in ((1, "first"), (2, "second"))]
+    found = near.groupBy(F.col("start").alias("chunk_id")).agg(*lists)
+    none = F.array().cast(found.schema["first"].dataType)
+    return best.join(found, "chunk_id", "left").select("chunk_id", F.coalesce("first", none).alias("first"), F.coalesce("second", none).alias("second"))
+
+
+def context_graph(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """The edges among all that the start symbols (id) reach in up to ``hops`` edges."""
+    reached, _ = graph.traverse(edges, starts, hops)
+    return graph.induced(edges, reached)
+
+
 #: The steps of a retrieval, in order, and the one step of a question about a domain.
 RETRIEVAL_STEPS = ("vector_search", "anchor_expansion", "graph_expansion", "location_scoring", "ranking_results", "building_context")
 DOMAIN_STEP = "domain_retrieval"

@@ -159,9 +159,10 @@ def duplicates(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def islands(rows: DataFrame, group: str, number: str) -> DataFrame:
-    """Runs of consecutive numbers: group, first, last."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(number))
-    runs = rows.select(group, number).distinct().withColumn("run", F.col(number) - place)
+    """Runs of consecutive numbers: group, first, last. A group with many numbers is many ranges."""
+    before = running_greatest(rows.select(group, number).distinct(), group, [number], F.col(number), "before")
+    begins = F.when(F.col(number) == F.col("before") + 1, 0).otherwise(1)
+    runs = running_total(before.withColumn("begins", begins).drop("before"), group, [number], F.col("begins"), "run")
     return runs.groupBy(group, "run").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("run")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import vector_index
+from weftgraph.operators import retrieval, vector_index
 from weftgraph.operators.text_index import TextIndex
 from weftgraph.operators.vector_index import VectorIndex
 from weftgraph.sources import derived
@@ -102,3 +102,31 @@ def w14_older_version(spark, sf_dir):
     store.upsert(orders.withColumn("value", F.lit("later")))
     store.delete_where(F.col("id") % 2 == 0)
     return store.read(wanted)
+
+
+HITS = f"h AS (SELECT c.chunk_id, c.content, {COSINE.format(a='c.embedding', b='q.embedding')} AS score FROM g_chunks c JOIN embeddings q ON q.vec_id = 0 ORDER BY score DESC, chunk_id LIMIT 12), u AS (SELECT src, dst FROM g_edges UNION SELECT dst, src FROM g_edges), r AS (SELECT chunk_id AS start, chunk_id AS id, 0 AS depth FROM h WHERE chunk_id IN (SELECT id FROM g_symbols) UNION SELECT r.start, u.dst, r.depth + 1 FROM r JOIN u ON u.src = r.id WHERE r.depth < 2), n AS (SELECT start, id, min(depth) AS depth FROM r GROUP BY start, id)"
+
+
+@query(f"WITH RECURSIVE {HITS} SELECT h.chunk_id, round(h.score, 6) AS score, left(h.content, 500) AS preview, coalesce((SELECT string_agg(DISTINCT s.name, ',' ORDER BY s.name) FROM n JOIN g_symbols s ON s.id = n.id WHERE n.start = h.chunk_id AND n.depth > 0), '') AS related FROM h")
+def v8_search_packets(spark, sf_dir):
+    """V8: hits with the beginning of their text and the names of all that is around them."""
+    asked = questions(spark, sf_dir).where("query_id = 0")
+    found = retrieval.search_packets(derived.chunks(spark, sf_dir), asked, derived.symbols(spark, sf_dir), derived.edges(spark, sf_dir), 12)
+    return found.select("chunk_id", F.round("score", 6).alias("score"), "preview", F.array_join("related", ",").alias("related"))
+
+
+@query(f"WITH RECURSIVE {HITS} SELECT h.chunk_id, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM n WHERE n.start = h.chunk_id AND n.depth = 1), '') AS first, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM n WHERE n.start = h.chunk_id AND n.depth = 2), '') AS second FROM h")
+def v9_hits_with_neighbours(spark, sf_dir):
+    """V9: hits with what is one edge and two edges away."""
+    asked = questions(spark, sf_dir).where("query_id = 0")
+    found = retrieval.hits_with_neighbours(derived.chunks(spark, sf_dir), asked, derived.symbols(spark, sf_dir), derived.edges(spark, sf_dir), 12)
+    return found.select("chunk_id", F.array_join("first", ",").alias("first"), F.array_join("second", ",").alias("second"))
+
+
+@query("WITH RECURSIVE r AS (SELECT id, 0 AS depth FROM g_symbols WHERE regexp_matches(name, '(^| )(ring|plate)( |$)') AND id % 20 < 3 UNION SELECT e.dst, r.depth + 1 FROM r JOIN g_edges e ON e.src = r.id WHERE r.depth < 2) SELECT src, dst, edge_type FROM g_edges WHERE src IN (SELECT id FROM r) AND dst IN (SELECT id FROM r)")
+def r18_context_graph(spark, sf_dir):
+    """The graph of what the start symbols of a question reach."""
+    symbols = derived.symbols(spark, sf_dir).where("id % 20 < 3").select("id", "name")
+    words = F.split("name", " ")
+    starts = retrieval.start_symbols(*(symbols.where(F.array_contains(words, w)) for w in ("ring", "plate"))).select("id")
+    return retrieval.context_graph(derived.edges(spark, sf_dir), starts, 2)

@@ -11,6 +11,8 @@ from weftgraph.sources.derived import with_views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: The same SQL without the definitions of the ``g_`` views that it names.
+ON_VIEWS: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -21,7 +23,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"{f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = with_views(sql)
+            SQL[f.__name__], ON_VIEWS[f.__name__] = with_views(sql), sql
         return f
 
     return register
