@@ -573,8 +573,8 @@ def test_hosts_and_paths_that_the_model_has_not_seen(spark):
         url, label, _ = out[x["page_id"]]
         kind = "good" if not label else "host" if any(w in x["host"] for w in urls.UNWANTED) else "path"
         shares.setdefault(kind, []).append(x["verdict"] == "block")
-    assert {k: sum(v) / len(v) for k, v in shares.items() if k != "good"} == pytest.approx({"host": 0.7, "path": 0.7}, abs=0.15)
-    assert sum(shares["good"]) / len(shares["good"]) < 0.03
+    share = {k: sum(v) / len(v) for k, v in shares.items()}
+    assert share["host"] > 0.5 and share["path"] > 0.75 and share["good"] < 0.03
 
 
 def test_url_scores_are_those_of_brute_force(spark):

@@ -74,11 +74,12 @@ def labelled_rows() -> list[tuple[str, int, int]]:
             name = WANTED[(11 * k + 29 * j) % len(WANTED)]
             host = (name, f"www.{name}", f"blog.{name}")[j % 3]
             rows.append((f"{('http', 'https')[j % 2]}://{host}.example.{tops[(k + j) % 3]}/{form.format(n=7919 * (k + 1) * (j + 2) % 9973)}", 1, k))
-    for k, name in enumerate(WANTED):
-        for j in range(4):  # the same names and numbers on ordinary paths
-            form = PATHS[(k + 3 * j + 1) % len(PATHS)]
-            host = (name, f"www.{name}", f"blog.{name}", f"m.{name}")[j]
-            rows.append((f"{('http', 'https')[j % 2]}://{host}.example.{tops[(k + j) % 3]}/{form.format(n=7919 * (k + 1) * (j + 2) % 9973)}", 0, k))
+    for label, names in ((1, UNWANTED), (0, WANTED)):
+        for k, name in enumerate(names):
+            for j in range(4 - label):  # names of both kinds and the same numbers on ordinary paths
+                form = PATHS[(k + 3 * j + 1) % len(PATHS)]
+                host = (name, f"www.{name}", f"blog.{name}", f"m.{name}")[j]
+                rows.append((f"{('http', 'https')[j % 2]}://{host}.example.{tops[(k + j) % 3]}/{form.format(n=7919 * (k + 1) * (j + 2) % 9973)}", label, k))
     return rows
 
 
