@@ -99,3 +99,72 @@ def classes(nodes: DataFrame, folder: str = "") -> DataFrame:
 def chunk_ids(chunks: DataFrame, repo_id: str) -> DataFrame:
     """The ids of a repository's chunks."""
     return chunks.where(F.col("repo_id") == repo_id).select("chunk_id")
+
+
+def matching(rows: DataFrame, **equal) -> DataFrame:
+    """Rows whose columns have these values; None asks for null, a list for one of several."""
+    for column, value in equal.items():
+        of = F.col(column)
+        rows = rows.where(of.isNull() if value is None else of.isin(*value) if isinstance(value, (list, tuple, set)) else of == value)
+    return rows
+
+
+def not_in_states(rows: DataFrame, column: str, states: Sequence[str]) -> DataFrame:
+    """Rows in none of these states; a null state is none of them."""
+    return rows.where(F.col(column).isNull() | ~F.col(column).isin(*states))
+
+
+def chunks_of_file(chunks: DataFrame, file: Column, path: str, order: Sequence[str]) -> DataFrame:
+    """A file's chunks in order."""
+    return chunks.where(file == path).orderBy(*order)
+
+
+def lines_between(text: Column, first: int, last: int) -> Column:
+    """Lines first to last (from 1, both included) of a text, as many of them as it has."""
+    return F.array_join(F.slice(F.split(text, "\n"), first, last - first + 1), "\n")
+
+
+def first_of_hash(rows: DataFrame, content: str, key: str) -> DataFrame:
+    """content_hash, ``key`` and copies: of rows with the same content the first key, and how many there are."""
+    return rows.groupBy(F.sha2(content, 256).alias("content_hash")).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
+
+
+def symbol_links(symbols: DataFrame) -> DataFrame:
+    """file_path, name, target (the first id) and n: what a chunk that names a file and a symbol is linked with."""
+    return symbols.groupBy("file_path", "name").agg(F.min("id").alias("target"), F.count(F.lit(1)).alias("n"))
+
+
+def average_confidence(rows: DataFrame, group: str, value: str, otherwise: float = 0.5) -> DataFrame:
+    """group and confidence: the mean to three places, ``otherwise`` where nothing has a value."""
+    return rows.groupBy(group).agg(F.round(F.coalesce(F.avg(value), F.lit(otherwise)), 3).alias("confidence"))
+
+
+def cross_cutting(rows: DataFrame, category: str, repo: str, least: int = 2) -> DataFrame:
+    """category, n and sources of those that are found in at least ``least`` repositories."""
+    return rows.groupBy(category).agg(F.count_distinct(repo).alias("n"), F.array_join(F.array_sort(F.collect_set(repo)), ",").alias("sources")).where(F.col("n") >= least)
+
+
+def edge_groups(edges: DataFrame) -> DataFrame:
+    """edge_type with its numbers of sources, targets and edges."""
+    return edges.groupBy("edge_type").agg(F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"), F.count(F.lit(1)).alias("edges"))
+
+
+def first_of_each(rows: DataFrame, group: str, order: Sequence[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each group."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("place_in_group", place).where(F.col("place_in_group") <= most).drop("place_in_group")
+
+
+def undefined_references(references: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
+    """Distinct references to what isn't known."""
+    return state.without(references.select(key).distinct(), known, [key])
+
+
+def sufficiency(found: Column, enough: int = 5) -> Column:
+    """Whether there is enough context: sufficient, sparse or none."""
+    return F.when(found >= enough, "sufficient").when(found > 0, "sparse").otherwise("none")
+
+
+def by_link(rows: DataFrame, sources: DataFrame, link: Column, groups: Sequence[Column], name: str) -> DataFrame:
+    """How many rows each source is linked with, by groups."""
+    return rows.join(sources, link).groupBy(*groups).agg(F.count(F.lit(1)).alias(name))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators import dag, graph, resolve, state
+from weftgraph.operators import dag, graph, records, resolve, state
 from weftgraph.sources import derived
 from weftgraph.sources.tables import table
 
@@ -72,7 +71,7 @@ def w14_failed_retries(spark, sf_dir):
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")
 def i3_w13_w17_first_of_hash(spark, sf_dir):
     """By content hash the first row stays."""
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return records.first_of_hash(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 @query("SELECT l_orderkey AS a, l_linenumber AS b, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
@@ -128,32 +127,31 @@ def a9_checkpoint_counts(spark, sf_dir):
 @query("SELECT source, round(coalesce(avg(quality), 0.5), 3) AS confidence FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def a13_average_confidence(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.groupBy("source").agg(F.round(F.coalesce(F.avg("quality"), F.lit(0.5)), 3).alias("confidence"))
+    return records.average_confidence(rows, "source", "quality")
 
 
 @query("SELECT lang, count(DISTINCT source) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents WHERE length(text) > 5000 GROUP BY lang HAVING count(DISTINCT source) >= 2")
 def a14_cross_cutting(spark, sf_dir):
     """Categories found in at least two repositories."""
     rows = table(spark, sf_dir, "documents").where(F.length("text") > 5000)
-    return rows.groupBy("lang").agg(F.count_distinct("source").alias("n"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")).where("n >= 2")
+    return records.cross_cutting(rows, "lang", "source")
 
 
 @query("SELECT edge_type, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets, count(*) AS edges FROM g_edges GROUP BY edge_type")
 def a16_a17_edge_groups(spark, sf_dir):
-    return derived.edges(spark, sf_dir).groupBy("edge_type").agg(F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"), F.count(F.lit(1)).alias("edges"))
+    return records.edge_groups(derived.edges(spark, sf_dir))
 
 
 @query("SELECT DISTINCT l_partkey + 500 AS id FROM lineitem WHERE l_partkey + 500 NOT IN (SELECT p_partkey FROM part)")
 def a21_undefined_references(spark, sf_dir):
     refs = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 500).alias("id")).distinct()
-    return state.without(refs, nodes(spark, sf_dir), ["id"])
+    return records.undefined_references(refs, nodes(spark, sf_dir))
 
 
 @query("SELECT source, lang, min(doc_id) AS first FROM (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) AS n FROM documents) WHERE n <= 3 GROUP BY source, lang")
 def i13_first_of_each(spark, sf_dir):
     """The first three of each repository."""
-    place = F.row_number().over(Window.partitionBy("source").orderBy("lang", "doc_id"))
-    rows = table(spark, sf_dir, "documents").select("source", "lang", "doc_id").withColumn("n", place).where("n <= 3")
+    rows = records.first_of_each(table(spark, sf_dir, "documents").select("source", "lang", "doc_id"), "source", ["lang", "doc_id"], 3)
     return rows.groupBy("source", "lang").agg(F.min("doc_id").alias("first"))
 
 

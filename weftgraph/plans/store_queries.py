@@ -212,3 +212,9 @@ def j5_without_related(spark, sf_dir):
     path = F.when(F.col("language") == "en", "a.md").otherwise("a.py")
     found = retrieval.unified(derived.chunks(spark, sf_dir).withColumn("file_path", path), asked, derived.symbols(spark, sf_dir), derived.edges(spark, sf_dir), 15, least_score=-1.0, related=False, documentation=False)
     return found.select("chunk_id", "symbol", F.size("related").alias("related"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE source = 'src2' AND lang IN ('de', 'fr')")
+def s16_metadata_scan(spark, sf_dir):
+    """Documents by their attributes."""
+    return records.matching(table(spark, sf_dir, "documents"), source="src2", lang=["de", "fr"]).select("doc_id", "n_chars")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars
-from weftgraph.operators import analysis, graph, state, views
+from weftgraph.operators import analysis, graph, records, state, views
 from weftgraph.sources import derived
 from weftgraph.sources.tables import table
 from weftgraph.streaming import progress
@@ -31,7 +30,7 @@ TYPED = "n AS (SELECT 's' || id AS id, name AS label, 'function' AS node_type FR
 @query("SELECT doc_id, lang FROM documents WHERE source = 'src1' ORDER BY doc_id")
 def f3_chunks_of_file(spark, sf_dir):
     """Chunks of one file in order."""
-    return table(spark, sf_dir, "documents").where("source = 'src1'").select("doc_id", "lang").orderBy("doc_id")
+    return records.chunks_of_file(table(spark, sf_dir, "documents"), F.col("source"), "src1", ["doc_id"]).select("doc_id", "lang")
 
 
 @query("SELECT c.chunk_id FROM g_chunks c LEFT JOIN g_symbols s ON s.id = c.chunk_id WHERE s.name = 'red plate' OR c.chunk_id IN (SELECT e.src FROM g_calls e JOIN g_symbols t ON t.id = e.dst WHERE t.name = 'red plate')")
@@ -49,14 +48,14 @@ def f18_snippets(spark, sf_dir):
     """lines 2 to 4, clamped to the file."""
     lines = F.split("text", "\n")
     rows = table(spark, sf_dir, "documents").where(F.size(lines) >= 2)
-    return rows.select("doc_id", F.array_join(F.slice(lines, 2, 3), "\n").alias("snippet"))
+    return rows.select("doc_id", records.lines_between(F.col("text"), 2, 4).alias("snippet"))
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50")
 def f21_f22_pages_of_rows(spark, sf_dir):
     """Optional filters, order, and one page."""
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
-    return rows.orderBy(F.desc("o_orderdate"), "o_orderkey").offset(50).limit(25).select("o_orderkey", "o_orderdate")
+    rows = records.matching(table(spark, sf_dir, "orders"), o_orderstatus="F", o_orderpriority=["1-URGENT"])
+    return records.page(rows, [F.desc("o_orderdate"), F.col("o_orderkey")], 2, 25).select("o_orderkey", "o_orderdate")
 
 
 @query("SELECT doc_id FROM documents WHERE (lang = 'en' AND source <> 'src0') OR (lang = 'de' AND n_chars > 4000)")
@@ -69,7 +68,7 @@ def f23_f27_combined_filters(spark, sf_dir):
 @query("SELECT file_path, name, min(id) AS target, count(*) AS n FROM g_symbols GROUP BY file_path, name")
 def j16_symbol_chunk_links(spark, sf_dir):
     """By file and name the first symbol."""
-    return derived.symbols(spark, sf_dir).groupBy("file_path", "name").agg(F.min("id").alias("target"), F.count(F.lit(1)).alias("n"))
+    return records.symbol_links(derived.symbols(spark, sf_dir))
 
 
 @query("WITH u AS (SELECT src, dst FROM g_calls UNION SELECT dst, src FROM g_calls), s AS (SELECT min(id) AS id FROM g_symbols WHERE name = 'red plate') SELECT u.dst AS target, CAST(p.place AS INTEGER) AS place, n.name FROM u JOIN s ON s.id = u.src, LATERAL (SELECT unnest([0, 1]) AS place, unnest([u.src, u.dst]) AS id) p JOIN g_symbols n ON n.id = p.id")
@@ -96,8 +95,7 @@ def t16_g3_call_chain(spark, sf_dir):
 
 @query("SELECT src, dst, edge_type FROM (SELECT *, row_number() OVER (PARTITION BY edge_type ORDER BY src, dst) AS n FROM g_edges) WHERE n <= 2000")
 def t18_edges_per_type(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("edge_type").orderBy("src", "dst"))
-    return derived.edges(spark, sf_dir).withColumn("n", place).where("n <= 2000").drop("n")
+    return records.first_of_each(derived.edges(spark, sf_dir), "edge_type", ["src", "dst"], 2000)
 
 
 @query("WITH RECURSIVE r AS (SELECT CAST(id AS VARCHAR) AS path, id AS last, 0 AS length FROM g_symbols WHERE name = 'red plate' UNION ALL SELECT r.path || '>' || d.dst, d.dst, r.length + 1 FROM r JOIN g_calls_dag d ON d.src = r.last WHERE r.length < 6) SELECT path, CAST(length AS INTEGER) AS length FROM r WHERE length >= 2 ORDER BY length DESC, path LIMIT 5")
@@ -153,7 +151,7 @@ def l5_narrative(spark, sf_dir):
 @query("SELECT source, CASE WHEN count(*) FILTER (length(text) > 6000) >= 5 THEN 'sufficient' WHEN count(*) FILTER (length(text) > 6000) > 0 THEN 'sparse' ELSE 'none' END AS context FROM documents GROUP BY source")
 def r23_sufficiency(spark, sf_dir):
     n = F.count(F.when(F.length("text") > 6000, 1))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.when(n >= 5, "sufficient").when(n > 0, "sparse").otherwise("none").alias("context"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(records.sufficiency(n).alias("context"))
 
 
 @query("SELECT event_id, '{\"k\":\"' || json_extract_string(props, '$.k') || '\"}' AS json FROM events")
@@ -203,7 +201,8 @@ def ext_tumbling_windows(spark, sf_dir):
 @query("SELECT c_mktsegment AS segment, n_name AS nation, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_mktsegment, n_name")
 def j21_linked_sources(spark, sf_dir):
     """Documents by their linked source."""
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
+    customers, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return records.by_link(customers, nations, F.col("n_nationkey") == F.col("c_nationkey"), [F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation")], "customers")
 
 
 @query("SELECT a.source AS source, count(DISTINCT a.lang) AS languages, count(DISTINCT a.lang) = 4 AS complete FROM documents a GROUP BY a.source")
@@ -221,7 +220,7 @@ def l14_agent_confidence(spark, sf_dir):
 @query("SELECT user_id, count(*) AS n FROM events WHERE event_type NOT IN ('error', 'signup') GROUP BY user_id")
 def f26_f30_active(spark, sf_dir):
     """what is in none of the closed states."""
-    return table(spark, sf_dir, "events").where(~F.col("event_type").isin("error", "signup")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return records.not_in_states(table(spark, sf_dir, "events"), "event_type", ["error", "signup"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
