@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from .tables import dropped, written
+
 BUCKET = "bucket_number"
 
 
@@ -197,19 +199,27 @@ class Store:
         Only buckets with a new row, or an old one of the same key, are written again. ``notes``
         makes the new notes from the old ones, in the same step.
         """
+        now = self.version()
+        if batch and now.batches.get(batch[0], -1) >= batch[1]:
+            return now.number
+        schema = now.schema
+        place = F.row_number().over(Window.partitionBy(*self.key).orderBy(*order, F.to_json(F.struct(*schema.names))))
+        # made once, whatever it takes: the rows are read for their buckets, for their keys and for the parts
+        new = written(self._shaped(rows, schema).withColumn("place_in_key", place).where("place_in_key = 1").drop("place_in_key"))
+        touched_by_new = {b for (b,) in new.select(BUCKET).distinct().collect()}  # as many as there are buckets at most
+        keys = new.select(*(F.col(k).alias(f"new_{k}") for k in self.key))
+
         def make(now: Version):
-            new = self._shaped(rows, now.schema)
-            place = F.row_number().over(Window.partitionBy(*self.key).orderBy(*order, F.to_json(F.struct(*now.schema.names))))
-            new = new.withColumn("place_in_key", place).where("place_in_key = 1").drop("place_in_key")
-            touched = {b for (b,) in new.select(BUCKET).distinct().collect()}  # as many as there are buckets at most
-            if not touched:
+            if not touched_by_new:
                 return {}, notes(now.notes)
-            keys = new.select(*(F.col(k).alias(f"new_{k}") for k in self.key))
-            old, touched = self._old(now, keys, touched)
+            old, touched = self._old(now, keys, touched_by_new)
             made = self._written(old.join(keys, self._same(keys), "left_anti").unionByName(new), now.schema)
             return {b: made.get(b, []) for b in touched}, notes(now.notes)
 
-        return self._change(make, batch)
+        try:
+            return self._change(make, batch)
+        finally:
+            dropped(new)
 
     def delete(self, keys: DataFrame, *, batch: tuple[str, int] | None = None) -> int:
         """Takes away the rows with these keys."""
