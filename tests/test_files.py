@@ -1,5 +1,8 @@
 """Folders of files, scripts, and chunks of texts."""
 
+import random
+import re
+
 from weftgraph.operators import code
 from weftgraph.sources import files
 
@@ -60,3 +63,48 @@ def test_text_chunks(spark):
     for path, text in rows:
         lines = {n for r in out if r["file_path"] == path for n in range(r["start_line"], r["end_line"] + 1)}
         assert all(k + 1 in lines for k, line in enumerate(text.split("\n")) if line.strip())
+
+
+def split_by_hand(content, budget):
+    """(first line, last line, text) of the pieces, counted from 0."""
+    limit = max(1, int(0.95 * budget))
+    lines = content.split("\n")
+    if len(content) // 4 <= budget:
+        return [(0, len(lines) - 1, content)]
+    cuts = [0, *(k for k, line in enumerate(lines) if k and re.match(r"\s*(?:(?:if|elif|else|for|while|try|except|finally|with|match|case|def|class)\b|async def\b)", line)), len(lines)]
+    parts = []
+    for a, b in zip(cuts, cuts[1:]):
+        if parts and len("\n".join(lines[parts[-1][0] : b])) // 4 <= limit:
+            parts[-1] = (parts[-1][0], b)
+        else:
+            parts.append((a, b))
+    out = []
+    for a, b in parts:
+        if len("\n".join(lines[a:b])) // 4 <= limit:
+            out.append((a, b - 1, "\n".join(lines[a:b])))
+            continue
+        start = a
+        for k in range(a, b):
+            if len(lines[k]) > 4 * limit:
+                out += [(start, k - 1, "\n".join(lines[start:k]))] * (start < k)
+                out += [(k, k, lines[k][i : i + 4 * limit]) for i in range(0, len(lines[k]), 4 * limit)]
+                start = k + 1
+            elif start < k and len("\n".join(lines[start : k + 1])) // 4 > limit:
+                out.append((start, k - 1, "\n".join(lines[start:k])))
+                start = k
+        out += [(start, b - 1, "\n".join(lines[start:b]))] * (start < b)
+    return out
+
+
+def test_long_chunks_are_split_at_control_flow(spark):
+    r = random.Random(5)
+    heads = ["if x:", "  for a in b:", "    return 1", "plain", "iffy = 1", "  async def f():", "\telse:", "", "w" * 90, "y" * 200]
+    rows = [(f"{k}.py", 5, 99, f"s{k}", "\n".join(r.choice(heads) + "z" * r.randint(0, 9) for _ in range(r.randint(1, 40)))) for k in range(40)]
+    rows += [rows[0], ("none.py", 1, 1, "n", None), ("empty.py", 1, 1, "e", ""), ("line.py", 1, 1, "l", "q" * 500), ("blank.py", 1, 400, "b", "\n" * 399)]
+    out = code.fitted_chunks(spark.createDataFrame(rows, "file_path string, start_line int, end_line int, symbol string, content string"), 20).collect()
+    want = [(path, first + a, first + b, name if not k else None, piece) for path, first, _, name, text in dict.fromkeys(rows) if text is not None for k, (a, b, piece) in enumerate(split_by_hand(text, 20))]
+    assert all(len(x[4]) // 4 <= 20 for x in want)
+    got = sorted(((x["file_path"], x["start_line"], x["end_line"], x["symbol"], x["content"]) for x in out), key=repr)
+    kept = {p for p, _, _, _, t in rows if t is not None and len(t) // 4 <= 20}
+    assert [x for x in got if x[0] not in kept] == sorted((x for x in want if x[0] not in kept), key=repr)
+    assert {x[0] for x in got} == {x[0] for x in rows if x[4] is not None}

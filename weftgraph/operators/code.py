@@ -97,8 +97,9 @@ def code_chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """One chunk for each method and top-level function, and for each run of other non-blank lines:
     file_path, start_line, end_line, symbol, content, chunk_id."""
     lines = files.select("file_path", F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
-    # a function inside a function is part of it
-    spans = symbols.where(F.col("kind").isin("function", "method")).select("file_path", "name", "start_line", "end_line")
+    # a function inside a function is part of it; of those that begin on one line the longest counts
+    spans = symbols.where(F.col("kind").isin("function", "method")).groupBy("file_path", "start_line").agg(F.max_by("name", F.struct("end_line", "name")).alias("name"), F.max("end_line").alias("end_line"))
+    spans = spans.select("file_path", "name", "start_line", "end_line")
     outer = spans.alias("o").select("file_path", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
     spans = spans.join(outer, (spans["file_path"] == outer["file_path"]) & (F.col("a") <= F.col("start_line")) & (F.col("b") >= F.col("end_line")) & ((F.col("a") < F.col("start_line")) | (F.col("b") > F.col("end_line"))), "left_anti")
     held = lines.join(spans, (lines["file_path"] == spans["file_path"]) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left").select(lines["file_path"], "line", "text", "name", "start_line")
@@ -109,6 +110,52 @@ def code_chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return chunks.select("file_path", F.col("first").alias("start_line"), F.col("last").alias("end_line"), "symbol", "content", chunk_id(F.col("file_path"), F.col("first"), F.col("last"), F.col("content")).alias("chunk_id"))
 
 
+#: Lines at which an over-long function may be split.
+FLOW = r"^\s*((if|elif|else|for|while|try|except|finally|with|match|case|def|class)\b|async def\b)"
+#: Fixed value: the share of the budget that a piece of a split chunk may use.
+FILL = 0.95
+
+
+def fitted_chunks(chunks: DataFrame, budget: int) -> DataFrame:
+    """``chunks`` (file_path, start_line, end_line, symbol, content) with at most ``budget`` tokens each.
+
+    A larger one is split before lines that begin with a word of control flow or a definition;
+    consecutive segments are packed while they use at most ``FILL`` of the budget together, with
+    the line breaks between them. A segment that alone is larger is packed by lines, and a line
+    that is larger is cut into pieces. Only a chunk's first piece keeps its symbol. Null contents
+    are dropped; of equal rows that are split one counts. A token is four characters, as in ``text.tokens``.
+    """
+    from .text import packed, tokens
+
+    columns = ["file_path", "start_line", "end_line", "symbol", "content"]
+    limit = max(1, int(FILL * budget))
+    # n characters and their line breaks are floor((n - 1) / 4) tokens, if each line counts one more than its length
+    room, longest = 4 * limit + 4, 4 * limit
+    small = chunks.where(tokens(F.col("content")) <= budget).select(*columns)
+    large = chunks.where(tokens(F.col("content")) > budget).withColumn("chunk", F.struct("file_path", "start_line", "end_line", F.sha1(F.col("content").cast("binary")).alias("digest")))
+    named = large.select("chunk", "symbol").dropDuplicates(["chunk"])
+    rows = large.dropDuplicates(["chunk"]).select("chunk", F.posexplode(F.split("content", "\n")).alias("at", "text"))
+    before = Window.partitionBy("chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("segment", F.sum(((F.col("at") > 0) & F.col("text").rlike(FLOW)).cast("int")).over(before))
+
+    segments = rows.groupBy("chunk", "segment").agg(F.sum(F.length("text") + 1).alias("tokens"))
+    grouped = packed(segments, "chunk", "segment", room, "part").select("chunk", "segment", "part", F.when(F.col("tokens") > room, F.col("segment")).alias("alone"))
+    placed = rows.join(grouped, ["chunk", "segment"])
+    whole = placed.where("alone IS NULL").select("chunk", "part", F.lit(0).alias("lesser"), "at", F.lit(0).alias("piece"), "text")
+
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / longest)).cast("int")), lambda k: F.substring("text", k * longest + 1, F.lit(longest)))
+    units = placed.where("alone IS NOT NULL").select("chunk", "part", "at", (F.length("text") > longest).alias("cut"), F.posexplode(pieces).alias("piece", "text"))
+    units = units.withColumn("tokens", F.when(F.col("cut"), F.lit(room)).otherwise(F.length("text") + 1)).withColumn("place", F.struct("at", "piece")).withColumn("unit", F.struct("chunk", "part"))
+    byline = packed(units.drop("chunk", "part"), "unit", "place", room, "lesser").select("unit.chunk", "unit.part", "lesser", "place.at", "place.piece", "text")
+
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece", "text"))), lambda x: x["text"]), "\n")
+    made = whole.unionByName(byline).groupBy("chunk", "part", "lesser").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.min(F.struct("at", "piece")).alias("first"), text.alias("content"))
+    opens = (F.col("first.at") == 0) & (F.col("first.piece") == 0)
+    first = F.col("chunk.start_line")
+    made = made.join(named, "chunk").select(F.col("chunk.file_path").alias("file_path"), (first + F.col("low")).alias("start_line"), (first + F.col("high")).alias("end_line"), F.when(opens, F.col("symbol")).alias("symbol"), "content")
+    return small.unionByName(made)
+
+
 def chunk_id(path: Column, first: Column, last: Column, content: Column) -> Column:
     return F.concat(path, F.lit(":"), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(":"), F.substring(F.sha1(content.cast("binary")), 1, 10))
 

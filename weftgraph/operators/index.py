@@ -61,11 +61,12 @@ def symbols(files: DataFrame) -> DataFrame:
 
 
 def chunks_of(files: DataFrame, found: DataFrame, budget: int) -> DataFrame:
-    """Chunks of indexed files without a graph being written: Python by symbols, other files as texts."""
-    python = files.where("language = 'python'")
-    spans = found.join(python.select("file_path").distinct(), "file_path", "left_semi")
-    parts = code.code_chunks(python, spans).select("file_path", "start_line", "end_line", "symbol", "content")
-    texts = code.text_chunks(files.where("language <> 'python'"), budget).select("file_path", "start_line", "end_line", F.lit(None).cast("string").alias("symbol"), "content")
+    """Chunks of indexed files without a graph being written: code by symbols, those over the budget
+    split at control flow, other files as texts."""
+    read = F.col("language").isin("python", *SCRIPTS)
+    spans = found.join(files.where(read).select("file_path").distinct(), "file_path", "left_semi")
+    parts = code.fitted_chunks(code.code_chunks(files.where(read), spans), budget)
+    texts = code.text_chunks(files.where(~F.coalesce(read, F.lit(False))), budget).select("file_path", "start_line", "end_line", F.lit(None).cast("string").alias("symbol"), "content")
     every = parts.unionByName(texts)
     return every.select(code.chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("content")).alias("chunk_id"), *every.columns)
 

@@ -52,9 +52,9 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return parts.where(F.trim("content") != "").select(key, "place", "start_line", (F.col("start_line") + F.col("height") - 1).cast("int").alias("end_line"), "content")
 
 
-def packed(parts: DataFrame, key: str, place: str, budget: int) -> DataFrame:
+def packed(parts: DataFrame, key: str, place: str, budget: int, name: str = "chunk") -> DataFrame:
     """Greedy packing of consecutive parts into chunks of at most ``budget`` tokens (a part that is
-    larger is a chunk of its own): ``parts`` with chunk (from 0). A text is one fold."""
+    larger is a chunk of its own): ``parts`` with the chunk (from 0) as ``name``. A text is one fold."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), F.col("tokens").cast("long").alias("tokens"))))
     # the fold carries counters, and grows its array by one for a chunk only
     start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("used"), F.array(F.lit(0)).alias("cuts"))
@@ -65,8 +65,8 @@ def packed(parts: DataFrame, key: str, place: str, budget: int) -> DataFrame:
         return F.struct((now["at"] + 1).alias("at"), used.alias("used"), F.when(over, F.concat(now["cuts"], F.array(now["at"]))).otherwise(now["cuts"]).alias("cuts"))
 
     listed = parts.groupBy(key).agg(rows.alias("rows")).withColumn("cuts", F.aggregate("rows", start, step, lambda now: now["cuts"]))
-    ends = F.transform("cuts", lambda first, k: F.struct(k.alias("chunk"), F.slice(F.col("rows.place"), first + 1, F.coalesce(F.get("cuts", k + 1), F.size("rows")) - first).alias("places")))
-    chunked = listed.select(key, F.inline(ends)).select(key, F.explode("places").alias(place), "chunk")
+    ends = F.transform("cuts", lambda first, k: F.struct(k.alias(name), F.slice(F.col("rows.place"), first + 1, F.coalesce(F.get("cuts", k + 1), F.size("rows")) - first).alias("places")))
+    chunked = listed.select(key, F.inline(ends)).select(key, F.explode("places").alias(place), name)
     return parts.join(chunked, [key, place])
 
 

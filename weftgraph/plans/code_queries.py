@@ -93,6 +93,30 @@ def c1_code_chunks(spark, sf_dir):
     return code.code_chunks(files, code.python_symbols(files)).select("chunk_id", "symbol")
 
 
+LONG = """WITH RECURSIVE s AS (SELECT p_partkey AS id, p_size AS n FROM part),
+g AS (SELECT id, 0 AS k, 'def f' || id || '(a):' AS t FROM s UNION ALL SELECT id, k, '    if a == ' || k || ':' || chr(10) || '        ' || repeat('x', CASE WHEN k % 11 = 10 THEN 300 ELSE 1 + (k * 7) % 40 END) FROM (SELECT id, unnest(range(1, n + 1)) AS k FROM s)),
+w AS (SELECT id, floor((sum(length(t) + 1) - 1) / 4) <= 50 AS fits FROM g GROUP BY id),
+c AS (SELECT id, k, t, CASE WHEN fits THEN 0 ELSE length(t) + 1 END AS cost FROM g JOIN w USING (id)),
+r AS (SELECT id, k, cost AS used, 0 AS part FROM c WHERE k = 0 UNION ALL SELECT c.id, c.k, CASE WHEN r.used + c.cost > 192 THEN c.cost ELSE r.used + c.cost END, CASE WHEN r.used + c.cost > 192 THEN r.part + 1 ELSE r.part END FROM r JOIN c ON c.id = r.id AND c.k = r.k + 1),
+o AS (SELECT id, part, min(k) AS a, max(k) AS b, max(cost) > 192 AS alone, string_agg(t, chr(10) ORDER BY k) AS t FROM r JOIN c USING (id, k) GROUP BY id, part),
+e AS (SELECT id, a = 0 AS opens, CASE WHEN a = 0 THEN 1 ELSE 2 * a END AS first, 2 * b + 1 AS last, t FROM o WHERE NOT alone
+UNION ALL SELECT id, false, 2 * a, 2 * a, split_part(t, chr(10), 1) FROM o WHERE alone
+UNION ALL SELECT id, false, 2 * a + 1, 2 * a + 1, substring(split_part(t, chr(10), 2), x, 188) FROM o, (SELECT unnest([1, 189]) AS x) WHERE alone)
+SELECT 'f' || id || '.py' AS file_path, CAST(first AS INTEGER) AS start_line, CAST(last AS INTEGER) AS end_line, CASE WHEN opens THEN 'f' || id END AS symbol, sha256(t) AS digest FROM e"""
+
+
+@query(LONG)
+def c7_split_functions(spark, sf_dir):
+    """Functions over the budget are split at control flow; what is still too large by lines, and such lines in pieces."""
+    k = F.col("k")
+    body = F.concat(F.lit("\n    if a == "), k.cast("string"), F.lit(":\n        "), F.expr("repeat('x', CASE WHEN k % 11 = 10 THEN 300 ELSE 1 + (k * 7) % 40 END)"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.explode(F.expr("sequence(1, p_size)")).alias("k")).withColumn("body", body)
+    rows = rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "body"))), lambda x: x["body"]), "").alias("body"))
+    files = rows.select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("file_path"), F.concat(F.lit("def f"), "id", F.lit("(a):"), "body").alias("content"))
+    out = code.fitted_chunks(code.code_chunks(files, code.python_symbols(files)), 50)
+    return out.select("file_path", "start_line", "end_line", "symbol", F.sha2("content", 256).alias("digest"))
+
+
 @query(f"WITH {CHUNKS} SELECT c.file_path, count(*) AS chunks FROM c JOIN (SELECT DISTINCT file_path, size FROM s) f USING (file_path) WHERE size % 2 = 0 GROUP BY c.file_path")
 def w29_regenerated_chunks(spark, sf_dir):
     """Chunks of the files that are marked as indexed, made again without a graph."""

@@ -139,7 +139,7 @@ def c6_paragraphs(spark, sf_dir):
 
 @query("WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, floor(length(unnest(string_split(text, chr(10)))) / 4) AS tokens FROM documents), r AS (SELECT doc_id, line, tokens AS used, 0 AS chunk FROM l WHERE line = 1 UNION ALL SELECT l.doc_id, l.line, CASE WHEN r.used > 0 AND r.used + l.tokens > 200 THEN l.tokens ELSE r.used + l.tokens END, CASE WHEN r.used > 0 AND r.used + l.tokens > 200 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN l ON l.doc_id = r.doc_id AND l.line = r.line + 1) SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(min(line) AS INTEGER) AS first_line, count(*) AS lines FROM r GROUP BY doc_id, chunk")
 def c8_c9_packed_lines(spark, sf_dir):
-    """Greedy packing of lines into chunks of at most 200 tokens."""
+    """Greedy packing of lines into chunks of at most 200 tokens."""
     rows = text.lines(docs(spark, sf_dir), "doc_id", "text").withColumn("tokens", text.tokens(F.col("content")))
     out = text.packed(rows.select("doc_id", "line", "tokens"), "doc_id", "line", 200)
     return out.groupBy("doc_id", "chunk").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("lines"))
