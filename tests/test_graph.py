@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.operators import dag, graph, resolve
 
@@ -96,6 +97,37 @@ def test_peeling_finds_cycles(spark, name):
     assert all(level[a] > level[b] for a, b in pairs if a in level)
 
 
+def levels_by_hand(tasks, pairs):
+    needs = {t: {d for s, d in pairs if s == t and d in tasks} for t in tasks}
+    level = {}
+    while fresh := [t for t in tasks if t not in level and needs[t] <= level.keys()]:
+        level |= {t: 1 + max((level[d] for d in needs[t]), default=-1) for t in fresh}
+    return level, {(t, d) for t in tasks for d in needs[t] if d not in level}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_levels_of_long_chains(spark, monkeypatch, seed):
+    """Chains that meet, side ways into them, cycles, and tasks that wait for a cycle."""
+    r = random.Random(seed)
+    monkeypatch.setattr(dag, "PATIENCE", 1 + seed % 2)
+    tasks = list(range(90))
+    pairs = [(k, k - 1) for k in range(1, 90) if k % 30] + [(a, b) for a, b in (sorted(r.sample(tasks, 2), reverse=True) for _ in range(3 * seed))]
+    if seed == 3:
+        pairs += [(60, 63), (5, 999), (7, 7)]
+    r.shuffle(tasks)
+    done, left = dag.levels(spark.createDataFrame([(t,) for t in tasks], "task long"), spark.createDataFrame(pairs, "task long, dep long"))
+    level, undone = levels_by_hand(tasks, pairs)
+    assert {x["task"]: x["level"] for x in done.collect()} == level and done.count() == len(level)
+    assert {tuple(x) for x in left.select("task", "dep").collect()} == undone
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    n, made = 3000, []
+    monkeypatch.setattr(dag, "written", lambda df, f=dag.written: made.append(1) or f(df))
+    done, left = dag.levels(spark.range(n).select(F.col("id").alias("task")), spark.range(1, n).select(F.col("id").alias("task"), (F.col("id") - 1).alias("dep")))
+    assert done.where("task = level").count() == n and left.isEmpty() and len(made) < 80
+
+
 def test_ready_and_stalled(spark):
     tasks = spark.createDataFrame([(1, False), (2, True), (3, False)], "task long, finished boolean")
     needs = spark.createDataFrame([(1, 2), (3, 1)], "task long, dep long")

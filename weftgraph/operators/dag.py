@@ -10,29 +10,82 @@ from weftgraph.sources.tables import dropped, written
 from .state import running_total
 
 
+#: So many rounds of ``levels`` pass before chains are first contracted; each contraction doubles the wait for the next.
+PATIENCE = 16
+
+
+def _contracted(edges: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``edges`` (task, dep, step) and ``left`` (task, n, low) without tasks that wait for one other only, and these:
+    (task, anchor, step, low), whose level is the greater of low and the anchor's level + step.
+
+    Each of them points to what it waits for; pointers double until they lead to tasks that wait for several
+    others, so a chain of n takes log n rounds. Pointers that never do are on a cycle, or lead to one; those stay.
+    """
+    open_edges = edges.join(left.select("task"), "task", "left_semi").join(left.select(F.col("task").alias("dep")), "dep", "left_semi")
+    single = open_edges.join(left.where("n = 1").select("task", "low"), "task")
+    pointers = written(single.select("task", F.col("dep").alias("anchor"), "step", "low"))
+    rounds = max(1, pointers.count()).bit_length()
+    for _ in range(rounds):
+        ahead = pointers.select(F.col("task").alias("anchor"), F.col("anchor").alias("next"), F.col("step").alias("more"), F.col("low").alias("bar"))
+        moved = pointers.join(ahead, "anchor", "left")
+        low = F.greatest("low", F.col("bar") + F.col("step"))  # greatest ignores nulls
+        now = written(moved.select("task", F.coalesce("next", "anchor").alias("anchor"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"), low.alias("low"), F.col("next").isNotNull().alias("moved")))
+        dropped(pointers)
+        pointers = now
+        if now.where("moved").isEmpty():
+            break
+    settled = written(pointers.join(pointers.select(F.col("task").alias("anchor")), "anchor", "left_anti").select("task", "anchor", "step", "low"))
+    dropped(pointers)
+    # what remains waits for the anchors of what it waited for
+    rest = open_edges.join(settled.select("task"), "task", "left_anti")
+    ahead = settled.select(F.col("task").alias("dep"), "anchor", F.col("step").alias("more"), F.col("low").alias("bar"))
+    rest = written(rest.join(ahead, "dep", "left").select("task", F.coalesce("anchor", "dep").alias("dep"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"), (F.col("bar") + F.col("step")).alias("bar")))
+    joined = written(rest.groupBy("task", "dep").agg(F.max("step").alias("step")))
+    lows = rest.groupBy("task").agg(F.max("bar").alias("bar"), F.countDistinct("dep").alias("needs"))
+    fewer = written(left.join(settled.select("task"), "task", "left_anti").join(lows, "task", "left").select("task", F.coalesce("needs", F.lit(0)).alias("n"), F.greatest("low", "bar").alias("low")))
+    dropped(rest)
+    return joined, fewer, settled
+
+
 def levels(tasks: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(task, level) by repeatedly taking the tasks whose needs are all done, and the needs
     (task, dep) that remain, which is empty exactly if there is no cycle. Needs of unknown tasks
     are left out.
 
-    Each task keeps the number of needs that are left, which its needs lower as they are done;
-    the edges are written once and only read by what was done last.
+    Each task keeps the number of needs that are left and the level that those done put it at
+    least on; the edges are written once and only read by what was done last. Where tasks are
+    left after ``PATIENCE`` rounds, chains of tasks with one need left each are contracted, so
+    a long chain isn't a round for each of its tasks.
     """
     known = tasks.select("task").distinct()
-    edges = written(needs.select("task", "dep").distinct().join(known, "task", "left_semi").join(known.withColumnRenamed("task", "dep"), "dep", "left_semi").select("task", "dep"))
-    left = written(known.join(edges.groupBy("task").agg(F.count(F.lit(1)).alias("left")), "task", "left").select("task", F.coalesce("left", F.lit(0)).alias("left")))
-    done, level = None, 0
+    every = written(needs.select("task", "dep").distinct().join(known, "task", "left_semi").join(known.withColumnRenamed("task", "dep"), "dep", "left_semi").select("task", "dep", F.lit(1).cast("long").alias("step")))
+    edges = every
+    left = written(known.join(every.groupBy("task").agg(F.count(F.lit(1)).alias("n")), "task", "left").select("task", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).cast("long").alias("low")))
+    done, chains, waited, wait = None, [], 0, PATIENCE
     while True:
-        free = written(left.where("left = 0").select("task", F.lit(level).alias("level")))
+        free = written(left.where("n = 0").select("task", F.col("low").alias("level")))
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
-        fewer = edges.join(free.select(F.col("task").alias("dep")), "dep").groupBy("task").agg(F.count(F.lit(1)).alias("fewer"))
-        now = written(left.where("left > 0").join(fewer, "task", "left").select("task", (F.col("left") - F.coalesce("fewer", F.lit(0))).alias("left")))
+        ahead = edges.join(free.select(F.col("task").alias("dep"), "level"), "dep")
+        fewer = ahead.groupBy("task").agg(F.count(F.lit(1)).alias("fewer"), F.max(F.col("level") + F.col("step")).alias("bar"))
+        now = written(left.where("n > 0").join(fewer, "task", "left").select("task", (F.col("n") - F.coalesce("fewer", F.lit(0))).alias("n"), F.greatest("low", "bar").alias("low")))
         dropped(left)
-        left, level = now, level + 1
-    remaining = edges.join(left.select(F.col("task").alias("dep")), "dep", "left_semi").select("task", "dep")
-    return (done if done is not None else free), remaining
+        left, waited = now, waited + 1
+        if waited >= wait and not left.isEmpty():
+            before, old = edges, left
+            edges, left, settled = _contracted(before, old)
+            dropped(old, None if before is every else before)
+            chains.append(settled)
+            waited, wait = 0, 2 * wait
+    done = free if done is None else done
+    for settled in reversed(chains):
+        ends = settled.join(done.select(F.col("task").alias("anchor"), "level"), "anchor")
+        done = written(done.unionByName(ends.select("task", F.greatest("low", F.col("level") + F.col("step")).alias("level"))))
+    undone = known.join(done.select("task"), "task", "left_anti") if chains else left
+    dropped(*chains)
+    remaining = every.join(undone.select(F.col("task").alias("dep")), "dep", "left_semi").select("task", "dep")
+    return done.withColumn("level", F.col("level").cast("int")), remaining
 
 
 def problems(tasks: DataFrame, needs: DataFrame) -> DataFrame:
