@@ -52,6 +52,14 @@ def test_tools(engine):
     assert list(engine.call("path", start=1, end=3, directed=True).first()["path"]) == [1, 2, 3]
     assert {r["id"] for r in engine.call("references", name="save").collect()} == {1}
     assert engine.call("search", vector=[1, 0], top=1).first()["chunk_id"] == 1
+    files = engine.nodes.select(F.concat(F.lit("file:"), "file_path").alias("id"), F.col("file_path").alias("name"), F.lit("file").alias("kind"), "file_path")
+    imports = engine.nodes.sparkSession.createDataFrame([("file:a/x.py", "file:b/z.py", "IMPORTS"), ("file:a/y.py", "file:a/x.py", "IMPORTS"), ("file:a/x.py", "file:a/y.py", "CONTAINS")], "src string, dst string, edge_type string")
+    related = Engine(files, imports)
+    assert {tuple(r) for r in related.call("related_files", file_path="a/x.py").collect()} == {("b/z.py", "imports"), ("a/y.py", "imported_by")}
+    assert [r["file_path"] for r in related.call("related_files", file_path="a/x.py", relation="imports").collect()] == ["b/z.py"]
+    assert related.call("related_files", file_path="none.py").isEmpty()
+    with pytest.raises(ValueError):
+        related.call("related_files", file_path="a/x.py", relation="odd")
     assert "Calls: save" in engine.call("packets", ids=[1]).first()["text"]
     assert {(r["key"], r["value"]) for r in engine.call("statistics").where("metric = 'edges'").collect()} == {("CALLS", 2), ("EXTENDS", 1)}
     with pytest.raises(KeyError):

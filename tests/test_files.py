@@ -3,7 +3,9 @@
 import random
 import re
 
-from weftgraph.operators import code
+from pyspark.sql import functions as F
+
+from weftgraph.operators import code, text
 from weftgraph.sources import files
 
 SCRIPT = """import { a } from './a';
@@ -60,9 +62,24 @@ def test_text_chunks(spark):
         assert r["content"].strip() in texts[r["file_path"]] and len(r["content"]) // 4 <= 80
         assert "\n".join(texts[r["file_path"]].split("\n")[r["start_line"] - 1 : r["end_line"]]).strip() == r["content"].strip()
     assert sum(r["file_path"] == "a.md" for r in out) == 2 and sum(r["file_path"] == "b.yaml" for r in out) == 2
-    for path, text in rows:
+    for path, content in rows:
         lines = {n for r in out if r["file_path"] == path for n in range(r["start_line"], r["end_line"] + 1)}
-        assert all(k + 1 in lines for k, line in enumerate(text.split("\n")) if line.strip())
+        assert all(k + 1 in lines for k, line in enumerate(content.split("\n")) if line.strip())
+
+
+def test_documents_from_sections(spark):
+    sections = [("d", "b_x", "see {{ref:a}}, {{ref:nope}}, {{ref:later}} {{ref:a}}"), ("d", "z", "{{ref:b_x}}"), ("d", "a", "A"), ("d", "late", None), (None, "b_x", "{{ref:a}}"), ("e", "a", "1"), ("e", "a", "2")]
+    template = [("d", "a", 2, "First", 1), ("d", "b_x", 1, None, None), ("d", "later", 3, None, 2), (None, "a", 1, "T", 3), ("d", "a", 9, "Other", 4)]
+    out = text.assembled(spark.createDataFrame(sections, "document string, section string, content string"), spark.createDataFrame(template, "document string, section string, place int, title string, level int"))
+    got = {(r["document"], r["position"]): (r["section"], r["entry"], r["content"]) for r in out.collect()}
+    assert got == {
+        ("d", 1): ("b_x", "- [B X](#b-x)", "## B X\n\nsee [A](#a), {{ref:nope}}, [Later](#later) [A](#a)\n"),
+        ("d", 2): ("a", "- [First](#a)", "# First\n\nA\n"),
+        ("d", 3): ("z", "- [Z](#z)", "## Z\n\n[B X](#b-x)\n"),
+        (None, 1): ("b_x", "- [B X](#b-x)", "## B X\n\n[A](#a)\n"),
+        ("e", 1): ("a", "- [A](#a)", "## A\n\n2\n"),
+    }
+    assert text.assembled(spark.createDataFrame([], "document string, section string, content string"), out.select("document", "section", F.lit(1).alias("place"), "title", "level")).isEmpty()
 
 
 def split_by_hand(content, budget):

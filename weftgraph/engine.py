@@ -40,7 +40,7 @@ class Engine:
     def __post_init__(self) -> None:
         self.settings = self.settings.checked()
         for f in (
-            self.node, self.find, self.neighbours, self.reachable, self.path, self.hotspots, self.references, self.statistics, self.search, self.fused, self.packets, self.files,
+            self.node, self.find, self.related_files, self.neighbours, self.reachable, self.path, self.hotspots, self.references, self.statistics, self.search, self.fused, self.packets, self.files,
             self.snippet, self.symbol_details, self.trace, self.flow, self.unified, self.traverse_hybrid, self.retrieve, self.view, self.entry_points, self.architecture, self.analysis, self.query,
         ):
             self.register(f)
@@ -109,6 +109,20 @@ class Engine:
         """Chunks of a file that touch some lines, in order."""
         return self._chunks().where((F.col("file_path") == file_path) & (F.col("end_line") >= first) & (F.col("start_line") <= last)).orderBy("start_line")
 
+    def related_files(self, file_path: str, relation: str = "all", most: int = 50) -> DataFrame:
+        """file_path and relation (``imports``, ``imported_by``): the first files of each that a file is related to, sorted."""
+        ways = {"imports": ("src", "dst"), "imported_by": ("dst", "src")}
+        if relation != "all" and relation not in ways:
+            raise ValueError(f"unknown relation {relation!r}")
+        files = self.nodes.where("kind = 'file'").select("id", "file_path")
+        start, linked = files.where(F.col("file_path") == file_path).select("id"), self.edges.where("edge_type = 'IMPORTS'")
+        found = []
+        for way in ways if relation == "all" else (relation,):
+            near, far = ways[way]
+            ids = linked.join(start.withColumnRenamed("id", near), near, "left_semi").select(F.col(far).alias("id"))
+            found.append(files.join(ids, "id", "left_semi").select("file_path", F.lit(way).alias("relation")).orderBy("file_path").limit(most))
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
     def neighbours(self, ids: Sequence, direction: str = "outgoing", types: Sequence[str] | None = None) -> DataFrame:
         """Neighbours of some nodes."""
         return graph.neighbours(self.nodes, self.edges, self._ids(ids), direction, types)

@@ -91,6 +91,13 @@ def rendered(items: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     return rows.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
 
 
+def story_totals(stories: DataFrame, must: str = "must_have") -> DataFrame:
+    """phase, stories, points and must of ``stories`` (phase, points, priority): how many there are, their points, and how
+    many have the priority ``must``; null points are none, and stories without a phase are a row of their own."""
+    needed = F.count(F.when(F.col("priority") == must, 1))
+    return stories.groupBy("phase").agg(F.count(F.lit(1)).alias("stories"), F.coalesce(F.sum("points"), F.lit(0)).alias("points"), needed.alias("must"))
+
+
 def classes(nodes: DataFrame, folder: str = "") -> DataFrame:
     """Nodes of kind class below a folder."""
     return nodes.where((F.col("kind") == "class") & F.col("file_path").startswith(folder))

@@ -144,6 +144,43 @@ def cross_references(text: Column, sections: Sequence[str]) -> Column:
     return text
 
 
+def titled(section: Column) -> Column:
+    """The title of a section that has none: its id in words with capitals."""
+    return F.initcap(F.replace(section, F.lit("_"), F.lit(" ")))
+
+
+def assembled(sections: DataFrame, template: DataFrame) -> DataFrame:
+    """document, position (from 1), section, title, level, entry and content: documents put together from ``sections``
+    (document, section, content), as ``template`` (document, section, place, title, level) orders them.
+
+    Sections of the template come in the order of place, others last by id, at level 2. ``entry``
+    is the line of the table of contents; ``content`` has its heading, and ``{{ref:id}}`` of a
+    section or template row of the same document is a link; others stay. Sections without content
+    are left out; of several with one id the greatest content counts, and of several template rows
+    the first. A null document is a document; its sections meet its template. Rows stay rows, so a
+    document of many sections is many tasks; ``document, position`` is the order to write them in.
+    """
+    from .state import running_total
+
+    own = sections.where("content IS NOT NULL AND section IS NOT NULL").groupBy("document", "section").agg(F.max("content").alias("body"))
+    plan = template.where("section IS NOT NULL").groupBy("document", "section").agg(F.min(F.struct("place", "title", "level")).alias("plan"))
+    plan = plan.select(F.col("document").alias("of_document"), F.col("section").alias("of_section"), "plan")
+    marked = own.select("document", "section", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"(?U)\{\{ref:(\w+)\}\}"), F.lit(1)))).alias("ref"))
+    known = own.select("document", "section").unionByName(plan.select(F.col("of_document").alias("document"), F.col("of_section").alias("section"))).select(F.col("document").alias("of_document"), F.col("section").alias("of_section"))
+    refs = marked.join(known, F.col("document").eqNullSafe(F.col("of_document")) & (F.col("ref") == F.col("of_section")), "left_semi")
+    refs = refs.groupBy("document", "section").agg(F.collect_set("ref").alias("refs")).select(F.col("document").alias("ref_document"), F.col("section").alias("ref_section"), "refs")
+
+    rows = own.join(plan, F.col("document").eqNullSafe(F.col("of_document")) & (F.col("section") == F.col("of_section")), "left").join(refs, F.col("document").eqNullSafe(F.col("ref_document")) & (F.col("section") == F.col("ref_section")), "left")
+    link = lambda s: F.concat(F.lit("["), titled(s), F.lit("](#"), F.replace(s, F.lit("_"), F.lit("-")), F.lit(")"))
+    body = F.aggregate(F.coalesce("refs", F.array().cast("array<string>")), F.col("body"), lambda t, s: F.replace(t, F.concat(F.lit("{{ref:"), s, F.lit("}}")), link(s)))
+    title, level = F.coalesce("plan.title", titled(F.col("section"))), F.coalesce("plan.level", F.lit(2))
+    entry = F.concat(F.lit("- ["), title, F.lit("](#"), F.replace("section", F.lit("_"), F.lit("-")), F.lit(")"))
+    content = F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title, F.lit("\n\n"), body, F.lit("\n"))
+    rows = rows.select("document", "section", title.alias("title"), level.alias("level"), entry.alias("entry"), content.alias("content"), F.col("plan").isNull().alias("extra"), F.col("plan.place").alias("place"))
+    placed = running_total(rows, "document", ["extra", "place", "section"], F.lit(1), "position")
+    return placed.select("document", F.col("position").cast("long").alias("position"), "section", "title", "level", "entry", "content")
+
+
 def findings(text: Column) -> Column:
     """(summary, insights, confidence, sources) of a report in Markdown; empty or 0.5 where missing."""
 

@@ -31,6 +31,16 @@ def t22_call_chains_by_part(spark, sf_dir):
     return graph.traced(derived.symbols(spark, sf_dir), calls, "D PLA", "incoming", 2).select(F.array_join("path", ">").alias("path"))
 
 
+@query("WITH d AS (SELECT x, count(*) AS n FROM (SELECT src AS x FROM g_imports UNION ALL SELECT dst FROM g_imports) GROUP BY x), f AS (SELECT x FROM d ORDER BY n DESC, x LIMIT 1) SELECT * FROM (SELECT dst AS file_path, 'imports' AS relation FROM g_imports JOIN f ON src = x ORDER BY 1 LIMIT 50) UNION ALL SELECT * FROM (SELECT src, 'imported_by' FROM g_imports JOIN f ON dst = x ORDER BY 1 LIMIT 50)")
+def u3_related_files(spark, sf_dir):
+    """What the file with most imports both ways imports, and what imports it."""
+    imports = derived.imports(spark, sf_dir)
+    ends = imports.select(F.col("src").alias("x")).unionByName(imports.select(F.col("dst").alias("x")))
+    first = ends.groupBy("x").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "x").first()
+    nodes = derived.files(spark, sf_dir).select(F.col("file_path").alias("id"), F.col("file_path").alias("name"), F.lit("file").alias("kind"), "file_path")
+    return Engine(nodes, imports.withColumn("edge_type", F.lit("IMPORTS"))).call("related_files", file_path=first[0] if first else "")
+
+
 @query("WITH e AS (SELECT src, dst, edge_type FROM g_edges), s AS (SELECT id FROM g_symbols WHERE name = 'red plate'), a AS (SELECT s.id AS start, e.* FROM s JOIN e ON e.src = s.id) SELECT start, dst AS end, 1 AS length, edge_type AS relations FROM a UNION ALL SELECT a.start, e.dst, 2, a.edge_type || ',' || e.edge_type FROM a JOIN e ON e.src = a.dst WHERE NOT (e.src = a.src AND e.dst = a.dst AND e.edge_type = a.edge_type)".replace("AS end,", 'AS "end",'))
 def t14_typed_trails(spark, sf_dir):
     """Walks of up to two typed edges, with their types in order."""

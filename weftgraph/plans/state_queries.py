@@ -256,8 +256,9 @@ def d11_budgets(spark, sf_dir):
 
 @query("SELECT o_orderstatus AS phase, count(*) AS stories, CAST(sum(o_custkey) AS BIGINT) AS points, count(*) FILTER (o_orderpriority = '1-URGENT') AS must FROM orders GROUP BY o_orderstatus")
 def d15_story_totals(spark, sf_dir):
-    """Totals by phase."""
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("phase")).agg(F.count(F.lit(1)).alias("stories"), F.sum("o_custkey").alias("points"), F.count(F.when(F.col("o_orderpriority") == "1-URGENT", 1)).alias("must"))
+    """Totals by phase."""
+    stories = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("phase"), F.col("o_custkey").alias("points"), F.col("o_orderpriority").alias("priority"))
+    return records.story_totals(stories, "1-URGENT")
 
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events")

@@ -179,6 +179,28 @@ def c14_extractive_summary(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.summary(F.col("text")).alias("summary"))
 
 
+ASSEMBLED = """WITH s AS (SELECT source AS document, 'doc_' || doc_id AS section, doc_id, 'In ' || lang || ': {{ref:summary}}, {{ref:doc_' || (doc_id + 1) || '}} and {{ref:none}}.' AS body FROM documents),
+t AS (SELECT source AS document, 'doc_' || doc_id AS section, -doc_id AS place, CASE WHEN n_chars % 2 = 0 THEN 'Number ' || doc_id END AS title, CAST(n_chars % 4 + 1 AS INTEGER) AS level FROM documents WHERE lang = 'en'),
+j AS (SELECT s.*, t.place, coalesce(t.title, 'Doc ' || s.doc_id) AS title, coalesce(t.level, 2) AS level, EXISTS (SELECT 1 FROM documents d WHERE d.source = s.document AND d.doc_id = s.doc_id + 1) AS linked FROM s LEFT JOIN t USING (document, section))
+SELECT document, row_number() OVER (PARTITION BY document ORDER BY place IS NULL, place, section) AS position, section, level, '- [' || title || '](#doc-' || doc_id || ')' AS entry,
+repeat('#', level) || ' ' || title || chr(10) || chr(10) || CASE WHEN linked THEN replace(replace(body, '{{ref:summary}}', '[Summary](#summary)'), '{{ref:doc_' || (doc_id + 1) || '}}', '[Doc ' || (doc_id + 1) || '](#doc-' || (doc_id + 1) || ')') ELSE replace(body, '{{ref:summary}}', '[Summary](#summary)') END || chr(10) AS content FROM j"""
+
+
+@query(ASSEMBLED)
+def c15_assembled(spark, sf_dir):
+    """Documents put together from sections: in the template's order, others last, with entries and links."""
+    number = F.col("doc_id").cast("string")
+    section = F.concat(F.lit("doc_"), number)
+    after = (F.col("doc_id") + 1).cast("string")
+    body = F.concat(F.lit("In "), "lang", F.lit(": {{ref:summary}}, {{ref:doc_"), after, F.lit("}} and {{ref:none}}."))
+    rows = docs(spark, sf_dir)
+    title = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("Number "), number))
+    template = rows.where("lang = 'en'").select(F.col("source").alias("document"), section.alias("section"), (-F.col("doc_id")).alias("place"), title.alias("title"), (F.col("n_chars") % 4 + 1).cast("int").alias("level"))
+    absent = rows.select(F.col("source").alias("document"), F.lit("summary").alias("section"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("string").alias("title"), F.lit(1).alias("level")).distinct()
+    out = text.assembled(rows.select(F.col("source").alias("document"), section.alias("section"), body.alias("content")), template.unionByName(absent))
+    return out.select("document", "position", "section", "level", "entry", "content")
+
+
 @query("SELECT source, doc_id, doc_id || ':' || lang AS entry FROM documents ORDER BY source, doc_id")
 def c15_contents(spark, sf_dir):
     """The entries of each collection, in order."""
