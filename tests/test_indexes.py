@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftgraph.operators import retrieval
 from weftgraph.operators.text_index import TextIndex
-from weftgraph.operators.vector_index import VectorIndex, fused, recall
+from weftgraph.operators.vector_index import ROWS, VectorIndex, _open_pairs, fused, recall, sliced
 
 SCHEMA = "chunk_id long, language string, embedding array<double>"
 
@@ -104,3 +105,21 @@ def test_fusion_takes_the_best_share(spark):
     b = spark.createDataFrame([(3, 0.5), (2, 0.4), (4, 0.1)], "chunk_id long, score double")
     assert [(x["chunk_id"], x["score"], x["rank"]) for x in fused(3, a, b).orderBy("rank").collect()] == [(1, 1.0, 1), (3, 1.0, 2), (2, 0.8, 3)]
     assert [(x["chunk_id"], round(x["score"], 6)) for x in fused(2, a, b, how="sum", weights=[0.5, 1]).orderBy("rank").collect()] == [(3, 1.125), (2, 1.05)]
+
+
+def test_few_pairs_are_open_before_a_bar_is_known():
+    """The first rows of a task meet no bar; they still don't all become exact pairs."""
+    random_ = np.random.default_rng(3)
+    x, q, k = random_.normal(size=(3000, 12)), random_.normal(size=(40, 12)), 5
+    step = np.abs(x).max(axis=1) / 127
+    codes = np.rint(x / step[:, None]).astype(np.int8)
+    rows = pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(step)], ["code", "step"])
+    parts = list(sliced([rows]))
+    assert max(p.num_rows for p in parts) == ROWS and sum(p.num_rows for p in parts) == 3000
+    own = [n if n < 40 else -1 for n in range(3000)]
+    row, one = _open_pairs(rows, x, q, np.ones((3000, 40), bool), own, np.full(40, -np.inf), k)
+    score = x @ q.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(q, axis=1)
+    score[np.arange(40), np.arange(40)] = -np.inf
+    assert len(row) < 40 * 60 and not any(r == o for r, o in zip(row, one))
+    for o in range(40):
+        assert set(np.argsort(-score[:, o])[:k]) <= set(row[one == o])

@@ -21,8 +21,8 @@ from weftgraph.sources.tables import dropped, written
 
 #: Rows that centroids are fitted on, at most; cells, at most; rounds of fitting.
 SAMPLE, MOST_CELLS, FITTING_ROUNDS = 20_000, 4096, 10
-#: So many questions go to the executors at a time.
-QUESTIONS = 2048
+#: So many questions go to the executors at a time, and so many rows meet them at a time: what a task holds has a bound.
+QUESTIONS, ROWS = 2048, 1024
 
 
 def usable(vector: Column, dim: int | None = None) -> Column:
@@ -55,6 +55,34 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``ROWS`` at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _open_pairs(batch: pa.RecordBatch, x: np.ndarray, q: np.ndarray, asked: np.ndarray, own: list[int] | None, bar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, question) whose score can be among the k best of the question.
+
+    A pair is out if what its code allows at most is below ``bar``, or below what k others of these rows have at least.
+    """
+    step, norm, size = batch.column("step").to_numpy(), np.sqrt((x * x).sum(axis=1)), np.linalg.norm(q, axis=1)
+    codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(x.shape).astype(np.float64)
+    about = (codes @ q.T) * (step / norm)[:, None] / size
+    error = (0.5 * step / norm)[:, None] * (np.abs(q).sum(axis=1) / size) * (1 + 1e-9) + 1e-9
+    open_ = asked & (about + error >= bar)
+    if own is not None:
+        mine = np.array(own)
+        rows = np.flatnonzero(mine >= 0)
+        open_[rows, mine[rows]] = False
+    many = np.flatnonzero(open_.sum(axis=0) > k)
+    if len(many):
+        least = np.where(open_[:, many], about[:, many] - error[:, many], -np.inf)
+        open_[:, many] &= about[:, many] + error[:, many] >= np.partition(least, -k, axis=0)[-k]
+    return np.nonzero(open_)
+
+
 class VectorIndex:
     """``VectorIndex.create`` makes one from a table, ``VectorIndex(spark, path)`` opens it."""
 
@@ -92,7 +120,7 @@ class VectorIndex:
         good = rows.where(usable(F.col(vector), dim) & F.col(self.key).isNotNull())
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 x = _vectors(batch.column(vector), dim)
                 # scaled first, so that squares stay within the range of doubles
                 cell = (_unit(x / np.abs(x).max(axis=1, keepdims=True)) @ centroids.T).argmax(axis=1)
@@ -152,34 +180,26 @@ class VectorIndex:
             np.put_along_axis(asked, np.argpartition(-near, probes - 1, axis=1)[:, :probes], True, axis=1)
         rows = self.store.read(buckets=np.flatnonzero(asked.any(axis=0)).tolist())
         rows = rows if where is None else rows.where(where)
-        sums, size = np.abs(q).sum(axis=1), np.linalg.norm(q, axis=1)
+        size = np.linalg.norm(q, axis=1)
+
+        place_of = {i: n for n, i in enumerate(ids.to_pylist())} if others else {}
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             who, what, score = np.zeros(0, np.int64), [], np.zeros(0)
             bar = np.full(len(q), -np.inf)  # what the k-th best of this task has
-            for batch in batches:
-                cells = batch.column("cell").to_numpy()
-                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(-1, dim).astype(np.float64)
-                step, x = batch.column("step").to_numpy(), None
+            for batch in sliced(batches):
+                cells, names = batch.column("cell").to_numpy(), batch.column(key)
                 x = _vectors(batch.column(vector), dim)
-                norm = np.sqrt((x * x).sum(axis=1))
-                about = (codes @ q.T) * (step / norm)[:, None] / size
-                error = (0.5 * step / norm)[:, None] * (sums / size) * (1 + 1e-9) + 1e-9
-                open_ = asked[:, cells].T & (about + error >= bar)
-                row, one = np.nonzero(open_)
+                row, one = _open_pairs(batch, x, q, asked[:, cells].T, [place_of.get(i, -1) for i in names.to_pylist()] if others else None, bar, k)
                 if not len(row):
                     continue
-                total = np.zeros(len(row))
+                norm, total = np.sqrt((x * x).sum(axis=1)), np.zeros(len(row))
                 for d in range(dim):  # component by component: the sum has one defined order
                     total += x[row, d] * q[one, d]
-                exact = total / (norm[row] * size[one])
-                names = batch.column(key).take(pa.array(row))
-                if others:
-                    keep = np.flatnonzero(np.asarray(names) != np.asarray(ids)[one])
-                    names, one, exact = names.take(pa.array(keep)), one[keep], exact[keep]
-                who, score = np.concatenate((who, one)), np.concatenate((score, exact))
+                names = names.take(pa.array(row))
+                who, score = np.concatenate((who, one)), np.concatenate((score, total / (norm[row] * size[one])))
                 what = pa.concat_arrays([what, names]) if len(what) else names
-                place = pa.compute.rank(what).to_numpy() if len(what) else np.zeros(0)
+                place = pa.compute.rank(what).to_numpy()
                 order = np.lexsort((place, -score, who))
                 who, score, what = who[order], score[order], what.take(pa.array(order))
                 begins = np.flatnonzero(np.diff(who, prepend=-1))

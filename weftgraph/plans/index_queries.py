@@ -9,7 +9,7 @@ from weftgraph.operators.text_index import TextIndex
 from weftgraph.operators.vector_index import VectorIndex
 from weftgraph.sources import derived
 from weftgraph.sources.store import Store
-from weftgraph.sources.tables import fresh_path, table
+from weftgraph.sources.tables import fresh_path, table, written
 
 from .registry import query
 
@@ -50,6 +50,7 @@ def v11_probed_search(spark, sf_dir):
     index = VectorIndex.create(spark, fresh_path(spark), rows(spark, sf_dir))
     asked = questions(spark, sf_dir)
     exact, some = (index.search(asked, 10, probes=p, others=True) for p in (None, max(8, len(index.centroids) * 3 // 4)))
+    some = written(some)  # it is read twice
     reached = vector_index.recall(some, exact) >= 0.9
     return some.agg(F.count_distinct("query_id").alias("questions"), F.count(F.lit(1)).alias("answers")).withColumn("recall_of_nine_tenths", F.lit(reached))
 
