@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .files import mapped, spread
 from .scripts import script_imports, script_relations, script_symbols
 
 __all__ = ["UNPARSED", "chunk_id", "code_chunks", "python_relations", "python_symbols", "script_imports", "script_relations", "script_symbols", "text_chunks"]
 
 SYMBOLS = "file_path string, name string, kind string, parent string, start_line int, end_line int, visibility string, bases array<string>, decorators array<string>, parameters array<string>, is_async boolean, complexity int, doc string"
 RELATIONS = "file_path string, source string, relation string, target string, line int"
+CHUNKS = "file_path string, start_line int, end_line int, symbol string, content string"
 _DEFINED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 _DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.BoolOp, ast.IfExp, ast.comprehension)
 
@@ -61,13 +63,11 @@ UNPARSED = "unparsed"
 _TOO_MUCH = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 
-def _parsed(rows: pd.DataFrame, work: Callable[[str, ast.AST], list[dict]], failed: Callable[[str, str], list[dict]]) -> Iterator[dict]:
-    for path, text in zip(rows["file_path"], rows["content"], strict=True):
-        try:  # a file that is nested too deeply may fail in any step
-            out = work(path, ast.parse(text or ""))
-        except _TOO_MUCH as why:
-            out = failed(path, type(why).__name__)
-        yield from out
+def _parsed(path: str, text: str | None, work: Callable[[str, ast.AST], Iterable[dict]], failed: Callable[[str, str], list[dict]]) -> list[dict]:
+    try:  # a file that is nested too deeply may fail in any step
+        return list(work(path, ast.parse(text or "")))
+    except _TOO_MUCH as why:
+        return failed(path, type(why).__name__)
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
@@ -75,45 +75,56 @@ def python_symbols(files: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in SYMBOLS.split(", ")]
     empty: dict = dict.fromkeys(names) | {"kind": UNPARSED, "bases": [], "decorators": [], "parameters": [], "is_async": False}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = _parsed(rows, lambda p, tree: [_symbol(p, node, parent) for node, parent in _definitions(tree)], lambda p, why: [empty | {"file_path": p, "doc": why}])
-            yield pd.DataFrame(list(found), columns=names).astype({"start_line": "Int32", "end_line": "Int32", "complexity": "Int32"})
+    def work(path: str, text: str | None) -> list[dict]:
+        return _parsed(path, text, lambda p, tree: (_symbol(p, node, parent) for node, parent in _definitions(tree)), lambda p, why: [empty | {"file_path": p, "doc": why}])
 
-    return files.select("file_path", "content").mapInPandas(run, SYMBOLS)
+    return mapped(spread(files.select("file_path", "content"), "file_path", "content"), work, SYMBOLS)
 
 
 def python_relations(files: DataFrame) -> DataFrame:
     """Imports, calls, base classes and decorators of ``files`` (file_path, content)."""
+    return mapped(spread(files.select("file_path", "content"), "file_path", "content"), lambda path, text: _parsed(path, text, _relations, lambda p, why: []), RELATIONS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame(list(_parsed(rows, lambda p, tree: list(_relations(p, tree)), lambda p, why: [])), columns=["file_path", "source", "relation", "target", "line"])
 
-    return files.select("file_path", "content").mapInPandas(run, RELATIONS)
+def _runs(path: str, text: str | None, spans: list[dict] | None) -> Iterator[dict]:
+    """The lines of each span, and each run of lines that are in none."""
+    lines = text.split("\n") if text is not None else []
+    ends: dict[int, tuple[int, str]] = {}  # of spans that begin on one line the longest counts
+    for s in spans or ():
+        ends[s["start_line"]] = max(ends.get(s["start_line"], (0, "")), (s["end_line"], s["name"]))
+
+    def row(first: int, last: int, name: str | None) -> dict:
+        return {"file_path": path, "start_line": first, "end_line": last, "symbol": name, "content": "\n".join(lines[first - 1 : last])}
+
+    free = 1  # the first line behind all spans so far
+    for first, (last, name) in sorted(ends.items()):
+        if last < free:  # inside another one
+            continue
+        if free < first and free <= len(lines):
+            yield row(free, min(first - 1, len(lines)), None)
+        if first <= len(lines):
+            yield row(first, min(last, len(lines)), name)
+        free = last + 1
+    if free <= len(lines):
+        yield row(free, len(lines), None)
 
 
 def code_chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """One chunk for each method and top-level function, and for each run of other non-blank lines:
     file_path, start_line, end_line, symbol, content, chunk_id."""
-    lines = files.select("file_path", F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
-    # a function inside a function is part of it; of those that begin on one line the longest counts
-    spans = symbols.where(F.col("kind").isin("function", "method")).groupBy("file_path", "start_line").agg(F.max_by("name", F.struct("end_line", "name")).alias("name"), F.max("end_line").alias("end_line"))
-    spans = spans.select("file_path", "name", "start_line", "end_line")
-    outer = spans.alias("o").select("file_path", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    spans = spans.join(outer, (spans["file_path"] == outer["file_path"]) & (F.col("a") <= F.col("start_line")) & (F.col("b") >= F.col("end_line")) & ((F.col("a") < F.col("start_line")) | (F.col("b") > F.col("end_line"))), "left_anti")
-    held = lines.join(spans, (lines["file_path"] == spans["file_path"]) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left").select(lines["file_path"], "line", "text", "name", "start_line")
-    held = held.withColumn("run", F.when(F.col("start_line").isNull(), F.col("line") - F.row_number().over(Window.partitionBy("file_path", F.col("start_line").isNull()).orderBy("line"))))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    chunks = held.groupBy("file_path", "start_line", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.max("name").alias("symbol"), text.alias("content"))
+    spans = symbols.where(F.col("kind").isin("function", "method") & F.col("end_line").isNotNull())
+    spans = spans.groupBy("file_path").agg(F.collect_list(F.struct("start_line", "end_line", "name")).alias("spans"))
+    held = spread(files.select("file_path", "content"), "file_path").join(spans, "file_path", "left").select("file_path", "content", "spans")
+    chunks = mapped(held, _runs, CHUNKS)
     chunks = chunks.where(F.trim(F.regexp_replace("content", r"\s+", " ")) != "")
-    return chunks.select("file_path", F.col("first").alias("start_line"), F.col("last").alias("end_line"), "symbol", "content", chunk_id(F.col("file_path"), F.col("first"), F.col("last"), F.col("content")).alias("chunk_id"))
+    return chunks.select("file_path", "start_line", "end_line", "symbol", "content", chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("content")).alias("chunk_id"))
 
 
 #: Lines at which an over-long function may be split.
-FLOW = r"^\s*((if|elif|else|for|while|try|except|finally|with|match|case|def|class)\b|async def\b)"
+FLOW = r"^[ \t\n\x0b\f\r]*((if|elif|else|for|while|try|except|finally|with|match|case|def|class)\b|async def\b)"
 #: Fixed value: the share of the budget that a piece of a split chunk may use.
 FILL = 0.95
+_FLOW = re.compile(FLOW)
 
 
 def fitted_chunks(chunks: DataFrame, budget: int) -> DataFrame:
@@ -125,35 +136,47 @@ def fitted_chunks(chunks: DataFrame, budget: int) -> DataFrame:
     that is larger is cut into pieces. Only a chunk's first piece keeps its symbol. Null contents
     are dropped; of equal rows that are split one counts. A token is four characters, as in ``text.tokens``.
     """
-    from .text import packed, tokens
+    kind = chunks.schema["start_line"].dataType.simpleString()
+    equal = ["file_path", "start_line", "end_line", "content"]
+    one = chunks.where("content IS NOT NULL").groupBy(*equal).agg(F.sort_array(F.collect_list(F.struct("symbol")), asc=False).alias("symbols"))
+
+    def work(path: str, first: int, last: int, content: str, symbols: list[dict]) -> Iterator[dict]:
+        if len(content) // 4 <= budget:
+            yield from ({"file_path": path, "start_line": first, "end_line": last, "symbol": s["symbol"], "content": content} for s in symbols)
+            return
+        for low, high, opens, text in _pieces(content, max(1, int(FILL * budget))):
+            yield {"file_path": path, "start_line": first + low, "end_line": first + high, "symbol": symbols[0]["symbol"] if opens else None, "content": text}
+
+    return mapped(one, work, f"file_path string, start_line {kind}, end_line {kind}, symbol string, content string")
+
+
+def _packed(sizes: Iterable[int], room: int) -> Iterator[tuple[int, int]]:
+    """First and last place of consecutive parts that have room together; one that is larger is alone."""
+    first = used = k = 0
+    for k, size in enumerate(sizes):
+        if used and used + size > room:
+            yield first, k - 1
+            first, used = k, 0
+        used += size
+    yield first, k
+
 
-    columns = ["file_path", "start_line", "end_line", "symbol", "content"]
-    limit = max(1, int(FILL * budget))
+def _pieces(content: str, limit: int) -> Iterator[tuple[int, int, bool, str]]:
+    """First and last line (from 0) of each piece, whether it is the first, and its text."""
     # n characters and their line breaks are floor((n - 1) / 4) tokens, if each line counts one more than its length
     room, longest = 4 * limit + 4, 4 * limit
-    small = chunks.where(tokens(F.col("content")) <= budget).select(*columns)
-    large = chunks.where(tokens(F.col("content")) > budget).withColumn("chunk", F.struct("file_path", "start_line", "end_line", F.sha1(F.col("content").cast("binary")).alias("digest")))
-    named = large.select("chunk", "symbol").dropDuplicates(["chunk"])
-    rows = large.dropDuplicates(["chunk"]).select("chunk", F.posexplode(F.split("content", "\n")).alias("at", "text"))
-    before = Window.partitionBy("chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("segment", F.sum(((F.col("at") > 0) & F.col("text").rlike(FLOW)).cast("int")).over(before))
-
-    segments = rows.groupBy("chunk", "segment").agg(F.sum(F.length("text") + 1).alias("tokens"))
-    grouped = packed(segments, "chunk", "segment", room, "part").select("chunk", "segment", "part", F.when(F.col("tokens") > room, F.col("segment")).alias("alone"))
-    placed = rows.join(grouped, ["chunk", "segment"])
-    whole = placed.where("alone IS NULL").select("chunk", "part", F.lit(0).alias("lesser"), "at", F.lit(0).alias("piece"), "text")
-
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / longest)).cast("int")), lambda k: F.substring("text", k * longest + 1, F.lit(longest)))
-    units = placed.where("alone IS NOT NULL").select("chunk", "part", "at", (F.length("text") > longest).alias("cut"), F.posexplode(pieces).alias("piece", "text"))
-    units = units.withColumn("tokens", F.when(F.col("cut"), F.lit(room)).otherwise(F.length("text") + 1)).withColumn("place", F.struct("at", "piece")).withColumn("unit", F.struct("chunk", "part"))
-    byline = packed(units.drop("chunk", "part"), "unit", "place", room, "lesser").select("unit.chunk", "unit.part", "lesser", "place.at", "place.piece", "text")
-
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece", "text"))), lambda x: x["text"]), "\n")
-    made = whole.unionByName(byline).groupBy("chunk", "part", "lesser").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.min(F.struct("at", "piece")).alias("first"), text.alias("content"))
-    opens = (F.col("first.at") == 0) & (F.col("first.piece") == 0)
-    first = F.col("chunk.start_line")
-    made = made.join(named, "chunk").select(F.col("chunk.file_path").alias("file_path"), (first + F.col("low")).alias("start_line"), (first + F.col("high")).alias("end_line"), F.when(opens, F.col("symbol")).alias("symbol"), "content")
-    return small.unionByName(made)
+    lines = content.split("\n")
+    begins = [k for k, text in enumerate(lines) if k == 0 or _FLOW.match(text)]
+    segments = list(zip(begins, [*begins[1:], len(lines)], strict=True))
+    sizes = [sum(len(text) + 1 for text in lines[a:b]) for a, b in segments]
+    for i, j in _packed(sizes, room):
+        a, b = segments[i][0], segments[j][1]
+        if sizes[i] <= room:
+            yield a, b - 1, a == 0, "\n".join(lines[a:b])
+            continue
+        units = [(k, at, lines[k][at : at + longest]) for k in range(a, b) for at in range(0, max(1, len(lines[k])), longest)]
+        for x, y in _packed([room if len(lines[k]) > longest else len(text) + 1 for k, _, text in units], room):
+            yield units[x][0], units[y][0], units[x][:2] == (0, 0), "\n".join(text for _, _, text in units[x : y + 1])
 
 
 def chunk_id(path: Column, first: Column, last: Column, content: Column) -> Column:

@@ -108,10 +108,9 @@ SELECT 'f' || id || '.py' AS file_path, CAST(first AS INTEGER) AS start_line, CA
 @query(LONG)
 def c7_split_functions(spark, sf_dir):
     """Functions over the budget are split at control flow; what is still too large by lines, and such lines in pieces."""
-    k = F.col("k")
-    body = F.concat(F.lit("\n    if a == "), k.cast("string"), F.lit(":\n        "), F.expr("repeat('x', CASE WHEN k % 11 = 10 THEN 300 ELSE 1 + (k * 7) % 40 END)"))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.explode(F.expr("sequence(1, p_size)")).alias("k")).withColumn("body", body)
-    rows = rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "body"))), lambda x: x["body"]), "").alias("body"))
+    part = lambda k: F.concat(F.lit("\n    if a == "), k.cast("string"), F.lit(":\n        "), F.repeat(F.lit("x"), F.when(k % 11 == 10, 300).otherwise(1 + (k * 7) % 40)))
+    body = F.array_join(F.transform(F.sequence(F.lit(1), "p_size"), part), "")
+    rows = table(spark, sf_dir, "part").where("p_size IS NOT NULL").select(F.col("p_partkey").cast("string").alias("id"), body.alias("body"))
     files = rows.select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("file_path"), F.concat(F.lit("def f"), "id", F.lit("(a):"), "body").alias("content"))
     out = code.fitted_chunks(code.code_chunks(files, code.python_symbols(files)), 50)
     return out.select("file_path", "start_line", "end_line", "symbol", F.sha2("content", 256).alias("digest"))
