@@ -1,8 +1,9 @@
 """What tasks hold and what is shuffled when files are many or long."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from weftgraph.operators import code
+from weftgraph.operators import code, text
 from weftgraph.operators.files import CHARACTERS, ROWS, in_batches
 
 FILES = "file_path string, content string"
@@ -34,3 +35,12 @@ def test_chunks_are_made_without_rows_of_lines(spark):
     of_a = [r for r in rows if r[0] == "a.py"]
     assert "\n".join(r[4] for r in of_a if r[1] <= r[2]).replace("\n", "") == content.replace("\n", "")
     assert sum(r[3] == "f" for r in of_a) == 1 and max(len(r[4]) // 4 for r in of_a) <= 50
+
+
+def test_a_summary_splits_a_text_once(spark):
+    df = spark.createDataFrame([(1, "Short."), (2, None), (3, " " * 120), (4, "One. Two. " + "Plain words go here. " * 20 + "The api stays. " + "More. " * 9)], "id int, text string")
+    out = df.select("id", text.summary(F.col("text")).alias("s"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    got = {r["id"]: r["s"] for r in out.collect()}
+    assert got[1] == "Short." and got[2] is None and got[3] == " " * 120
+    assert got[4] == "One. Two. " + "Plain words go here. " * 10 + "The api stays."

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,21 +103,31 @@ def summary(text: Column) -> Column:
     Sentences end at ``.``, ``!`` or ``?`` before white space, and at blank lines. Of the
     others, those go that come last, until the rest fits.
     """
+    # what is used twice is bound first: Spark would make it again for each use, and in a fold for each sentence
+    def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
     split = F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+|\n\n+"), lambda s: F.trim(s)), lambda s: s != "")
-    room = F.floor(F.length(text) * SHARE)
-    marked = F.transform(split, lambda s, i: F.struct(s.alias("s"), (i < LEADING).alias("leads"), s.rlike(KEY_PATTERN).alias("key")))
-    must = F.aggregate(marked, F.lit(-1), lambda n, x: F.when(x["leads"] | x["key"], n + F.length(x["s"]) + 1).otherwise(n))
-    # the fold tells at which place the first of the others is that doesn't fit
-    start = F.struct(must.alias("used"), F.lit(0).alias("at"), F.lit(2**31 - 1).alias("cut"))
-
-    def step(now: Column, x: Column) -> Column:
-        other = ~(x["leads"] | x["key"])
-        used = F.when(other, now["used"] + F.length(x["s"]) + 1).otherwise(now["used"])
-        return F.struct(used.alias("used"), (now["at"] + 1).alias("at"), F.when(other & (used > room), F.least(now["cut"], now["at"])).otherwise(now["cut"]).alias("cut"))
-
-    cut = F.aggregate(marked, start, step, lambda now: now["cut"])
-    short = F.get(F.transform(F.array(F.struct(marked.alias("all"), cut.alias("cut"))), lambda v: F.array_join(F.transform(F.filter(v["all"], lambda x, i: x["leads"] | x["key"] | (i < v["cut"])), lambda x: x["s"]), " ")), F.lit(0))
-    return F.when(text.isNull() | (F.length(text) < SHORT) | (F.size(split) == 0), text).otherwise(short)
+    marked = F.transform(split, lambda s, i: F.struct(s.alias("s"), ((i < LEADING) | s.rlike(KEY_PATTERN)).alias("stays"), (F.length(s) + 1).alias("n")))
+
+    def cut(v: Column) -> Column:
+        """At which place the first of the others is that doesn't fit."""
+
+        def step(now: Column, x: Column) -> Column:
+            used = now["used"] + F.when(x["stays"], 0).otherwise(x["n"])
+            late = ~x["stays"] & (used > v["room"])
+            return F.struct(used.alias("used"), (now["at"] + 1).alias("at"), F.when(late, F.least(now["cut"], now["at"])).otherwise(now["cut"]).alias("cut"))
+
+        must = F.aggregate(v["all"], F.lit(-1), lambda n, x: n + F.when(x["stays"], x["n"]).otherwise(0))
+        return F.aggregate(v["all"], F.struct(must.alias("used"), F.lit(0).alias("at"), F.lit(2**31 - 1).alias("cut")), step, lambda now: now["cut"])
+
+    def joined(v: Column) -> Column:
+        left = F.transform(F.filter(v["all"], lambda x, i: x["stays"] | (i < v["cut"])), lambda x: x["s"])
+        return F.when(F.size(v["all"]) == 0, text).otherwise(F.array_join(left, " "))
+
+    given = F.struct(marked.alias("all"), F.floor(F.length(text) * SHARE).alias("room"))
+    short = bound(given, lambda v: bound(F.struct(v["all"].alias("all"), cut(v).alias("cut")), joined))
+    return F.when(text.isNull() | (F.length(text) < SHORT), text).otherwise(short)
 
 
 def naming_style(text: Column) -> Column:
