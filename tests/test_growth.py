@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from weftgraph.operators import code, text
+from weftgraph.operators import code, text, text_index
 from weftgraph.operators.files import CHARACTERS, ROWS, in_batches
 
 FILES = "file_path string, content string"
@@ -44,3 +44,18 @@ def test_a_summary_splits_a_text_once(spark):
     got = {r["id"]: r["s"] for r in out.collect()}
     assert got[1] == "Short." and got[2] is None and got[3] == " " * 120
     assert got[4] == "One. Two. " + "Plain words go here. " * 10 + "The api stays."
+
+
+def test_terms_are_counted_a_few_documents_at_a_time(spark, tmp_path, monkeypatch):
+    docs = [{"doc_id": k, "length": k % 5, "words": [f"w{(k * j) % 3}" for j in range(k % 5)]} for k in range(1000)]
+    made = list(text_index.counted_terms([pa.RecordBatch.from_pylist(docs)], "doc_id"))
+    assert len(made) == 1000 // text_index.DOCUMENTS
+    got = {(r["doc_id"], r["term"]): (r["n"], r["length"]) for b in made for r in b.to_pylist()}
+    assert got == {(d["doc_id"], w): (d["words"].count(w), d["length"]) for d in docs for w in d["words"]}
+
+    index = text_index.TextIndex.create(spark, str(tmp_path / "t"), buckets=2)
+    plans = []
+    append = index.postings.append
+    monkeypatch.setattr(index.postings, "append", lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or append(rows))
+    index.update(spark.createDataFrame([(1, "a b a"), (2, None)], "doc_id long, text string"), "text")
+    assert "Aggregate" not in plans[0] and sorted(r["n"] for r in index.postings.read().collect()) == [1, 2]

@@ -9,8 +9,11 @@ buckets of its terms alone, and drops postings of documents that are marked. ``c
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from weftgraph.sources.tables import dropped, written
 
 #: Fixed value: one word of a text, after lower-casing.
 TERM = "([a-z0-9_]+)"
+#: So many documents' terms are counted at a time.
+DOCUMENTS = 200
 #: Parameters of the BM25 measure.
 SATURATION, LENGTH_SHARE = 1.2, 0.75
 
@@ -27,6 +32,25 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(1))
 
 
+def counted_terms(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """key, length, term and n of each term of each row (key, length, words).
+
+    A row is a whole document, so nothing has to be kept or met beyond it.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, DOCUMENTS):
+            part = batch.slice(at, DOCUMENTS)
+            words = part.column("words")
+            terms = words.flatten().dictionary_encode()
+            if not len(terms):
+                continue
+            row = np.repeat(np.arange(len(words)), pa.compute.list_value_length(words).to_numpy())
+            held, n = np.unique(row * len(terms.dictionary) + terms.indices.to_numpy(), return_counts=True)
+            row, term = (pa.array(x) for x in np.divmod(held, len(terms.dictionary)))
+            columns = [part.column(key).take(row), part.column("length").take(row), terms.dictionary.take(term), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "length", "term", "n"])
+
+
 class TextIndex:
     """``TextIndex.create`` makes an empty one, ``TextIndex(spark, path)`` opens it."""
 
@@ -50,7 +74,8 @@ class TextIndex:
         words = terms_of(F.coalesce(F.col(text), F.lit("")))
         one = rows.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(F.max(text).alias(text))
         new = written(one.select(self.key, words.alias("words")).withColumn("length", F.size("words")))
-        counted = new.select(self.key, "length", F.explode("words").alias("term")).groupBy(self.key, "length", "term").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        kind, key = new.schema[self.key].dataType.simpleString(), self.key
+        counted = new.select(key, "length", "words").mapInArrow(lambda batches: counted_terms(batches, key), f"`{key}` {kind}, length int, term string, n int")
         self.postings.append(counted.withColumns({"generation": F.lit(generation), "part": self._part(F.col("term"))}))
         touched = new.select(self.key) if removed is None else new.select(self.key).unionByName(removed.select(self.key)).distinct()
         gone = self.documents.read().where("alive").join(touched, self.key, "left_semi").withColumn("alive", F.lit(False))
