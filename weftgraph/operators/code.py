@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .files import mapped, spread
 from .scripts import script_imports, script_relations, script_symbols
 
-__all__ = ["UNPARSED", "chunk_id", "code_chunks", "python_relations", "python_symbols", "script_imports", "script_relations", "script_symbols", "text_chunks"]
+__all__ = ["UNPARSED", "chunk_id", "code_chunks", "python_contents", "python_relations", "python_symbols", "script_imports", "script_relations", "script_symbols", "text_chunks"]
 
 SYMBOLS = "file_path string, name string, kind string, parent string, start_line int, end_line int, visibility string, bases array<string>, decorators array<string>, parameters array<string>, is_async boolean, complexity int, doc string"
 RELATIONS = "file_path string, source string, relation string, target string, line int"
@@ -21,41 +22,94 @@ _DEFINED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 _DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.BoolOp, ast.IfExp, ast.comprehension)
 
 
-def _definitions(node: ast.AST, parent: str | None = None) -> Iterator[tuple[ast.AST, str | None]]:
-    for child in ast.iter_child_nodes(node):
-        if isinstance(child, _DEFINED):
-            yield child, parent
-            yield from _definitions(child, child.name)
-        else:
-            yield from _definitions(child, parent)
-
-
-def _symbol(path: str, node, parent: str | None) -> dict:
-    is_class = isinstance(node, ast.ClassDef)
-    params = [] if is_class else [a.arg for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs] if a.arg not in ("self", "cls")]
-    private = node.name.startswith("__") and not node.name.endswith("__")
-    return {
-        "file_path": path, "name": node.name, "kind": "class" if is_class else "method" if parent else "function", "parent": parent,
-        "start_line": min([node.lineno, *(d.lineno for d in node.decorator_list)]), "end_line": node.end_lineno,
-        "visibility": "private" if private else "protected" if node.name.startswith("_") and not node.name.startswith("__") else "public",
-        "bases": [ast.unparse(b) for b in node.bases] if is_class else [], "decorators": [ast.unparse(d) for d in node.decorator_list], "parameters": params,
-        "is_async": isinstance(node, ast.AsyncFunctionDef), "complexity": 1 + sum(isinstance(x, _DECISIONS) for x in ast.walk(node)), "doc": ast.get_docstring(node),
-    }
-
-
-def _relations(path: str, tree: ast.AST) -> Iterator[dict]:
+#: Nodes with nothing below that counts.
+_LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)
+
+
+class _Found(NamedTuple):
+    """What one walk over a file finds. Definitions are named by their places in the list, -1 is the file; one stands behind the one it is in."""
+
+    definitions: list[ast.AST]
+    around: list[int]
+    decisions: list[int]
+    calls: list[tuple[int, ast.Call]]
+    imports: list[ast.Import | ast.ImportFrom]
+
+
+def _found(tree: ast.AST) -> _Found:
+    out = _Found([], [], [], [], [])
+    open_: list[tuple[ast.AST, int]] = [(tree, -1)]
+    while open_:
+        node, own = open_.pop()
+        for field in node._fields:
+            value = getattr(node, field, None)
+            for x in value if isinstance(value, list) else (value,):
+                if not isinstance(x, ast.AST) or isinstance(x, _LEAVES):
+                    continue
+                inside = own
+                if isinstance(x, _DEFINED):
+                    inside = len(out.definitions)
+                    out.definitions.append(x)
+                    out.around.append(own)
+                    out.decisions.append(0)
+                elif isinstance(x, ast.Call):
+                    out.calls.append((own, x))
+                elif isinstance(x, _DECISIONS):
+                    if own >= 0:
+                        out.decisions[own] += 1
+                elif isinstance(x, (ast.Import, ast.ImportFrom)):
+                    out.imports.append(x)
+                open_.append((x, inside))
+    for k in range(len(out.definitions) - 1, -1, -1):
+        if (outer := out.around[k]) >= 0:
+            out.decisions[outer] += out.decisions[k]
+    return out
+
+
+def _source(node: ast.AST) -> str:
+    """What ``ast.unparse`` gives, which takes long for names."""
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute) and isinstance(node.value, (ast.Name, ast.Attribute)):
+        return f"{_source(node.value)}.{node.attr}"
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and not node.keywords and all(isinstance(a, ast.Name) or (isinstance(a, ast.Constant) and type(a.value) is int) for a in node.args):
+        return f"{node.func.id}({', '.join(a.id if isinstance(a, ast.Name) else repr(a.value) for a in node.args)})"
+    return ast.unparse(node)
+
+
+def _symbols(path: str, found: _Found) -> Iterator[dict]:
+    for node, outer, decisions in zip(found.definitions, found.around, found.decisions, strict=True):
+        parent = found.definitions[outer].name if outer >= 0 else None
+        is_class = isinstance(node, ast.ClassDef)
+        params = [] if is_class else [a.arg for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs] if a.arg not in ("self", "cls")]
+        private = node.name.startswith("__") and not node.name.endswith("__")
+        yield {
+            "file_path": path, "name": node.name, "kind": "class" if is_class else "method" if parent else "function", "parent": parent,
+            "start_line": min([node.lineno, *(d.lineno for d in node.decorator_list)]), "end_line": node.end_lineno,
+            "visibility": "private" if private else "protected" if node.name.startswith("_") and not node.name.startswith("__") else "public",
+            "bases": [_source(b) for b in node.bases] if is_class else [], "decorators": [_source(d) for d in node.decorator_list], "parameters": params,
+            "is_async": isinstance(node, ast.AsyncFunctionDef), "complexity": 1 + decisions, "doc": ast.get_docstring(node),
+        }
+
+
+def _relations(path: str, found: _Found) -> Iterator[dict]:
     row = lambda source, relation, target, line: {"file_path": path, "source": source, "relation": relation, "target": target, "line": line}
-    for x in ast.walk(tree):
+    for x in found.imports:
         if isinstance(x, ast.Import):
             yield from (row(None, "IMPORTS", a.name, x.lineno) for a in x.names)
-        elif isinstance(x, ast.ImportFrom):
+        else:
             yield row(None, "IMPORTS", "." * x.level + (x.module or ""), x.lineno)
-    for node, _ in _definitions(tree):
+    for node in found.definitions:
         if isinstance(node, ast.ClassDef):
-            yield from (row(node.name, "EXTENDS", ast.unparse(b), node.lineno) for b in node.bases)
-        else:
-            yield from (row(node.name, "CALLS", ast.unparse(c.func).rpartition(".")[2], c.lineno) for c in ast.walk(node) if isinstance(c, ast.Call))
-        yield from (row(ast.unparse(d).partition("(")[0], "DECORATES", node.name, d.lineno) for d in node.decorator_list)
+            yield from (row(node.name, "EXTENDS", _source(b), node.lineno) for b in node.bases)
+        yield from (row(_source(d).partition("(")[0], "DECORATES", node.name, d.lineno) for d in node.decorator_list)
+    for own, call in found.calls:
+        name = call.func.attr if isinstance(call.func, ast.Attribute) else _source(call.func).rpartition(".")[2]
+        while own >= 0:  # a call is one of each function around it
+            node = found.definitions[own]
+            if not isinstance(node, ast.ClassDef):
+                yield row(node.name, "CALLS", name, call.lineno)
+            own = found.around[own]
 
 
 #: Kind of the one row of a file that can't be parsed; its doc says why.
@@ -63,27 +117,46 @@ UNPARSED = "unparsed"
 _TOO_MUCH = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 
-def _parsed(path: str, text: str | None, work: Callable[[str, ast.AST], Iterable[dict]], failed: Callable[[str, str], list[dict]]) -> list[dict]:
-    try:  # a file that is nested too deeply may fail in any step
-        return list(work(path, ast.parse(text or "")))
+_EMPTY: dict = dict.fromkeys(c.split()[0] for c in SYMBOLS.split(", ")) | {"kind": UNPARSED, "bases": [], "decorators": [], "parameters": [], "is_async": False}
+
+
+def _no_symbols(path: str, why: str) -> list[dict]:
+    return [_EMPTY | {"file_path": path, "doc": why}]
+
+
+def _parsed(path: str, text: str | None, *works: tuple[Callable[[str, _Found], Iterable[dict]], Callable[[str, str], list[dict]]]) -> list[dict]:
+    """What each of ``works`` gives, or what its other function gives if that is too much; the text is parsed once."""
+    try:
+        found = _found(ast.parse(text or ""))
     except _TOO_MUCH as why:
-        return failed(path, type(why).__name__)
+        return [row for _, failed in works for row in failed(path, type(why).__name__)]
+    out: list[dict] = []
+    for work, failed in works:
+        try:  # a file that is nested too deeply may fail in any step
+            out += list(work(path, found))
+        except _TOO_MUCH as why:
+            out += failed(path, type(why).__name__)
+    return out
 
 
-def python_symbols(files: DataFrame) -> DataFrame:
-    """Classes, functions and methods of ``files`` (file_path, content); for a file that can't be parsed one row of kind ``UNPARSED``."""
-    names = [c.split()[0] for c in SYMBOLS.split(", ")]
-    empty: dict = dict.fromkeys(names) | {"kind": UNPARSED, "bases": [], "decorators": [], "parameters": [], "is_async": False}
+def _read(files: DataFrame, schema: str, *works: tuple[Callable, Callable]) -> DataFrame:
+    return mapped(spread(files.select("file_path", "content"), "file_path", "content"), lambda path, text: _parsed(path, text, *works), schema)
 
-    def work(path: str, text: str | None) -> list[dict]:
-        return _parsed(path, text, lambda p, tree: (_symbol(p, node, parent) for node, parent in _definitions(tree)), lambda p, why: [empty | {"file_path": p, "doc": why}])
 
-    return mapped(spread(files.select("file_path", "content"), "file_path", "content"), work, SYMBOLS)
+def python_symbols(files: DataFrame) -> DataFrame:
+    """Classes, functions and methods of ``files`` (file_path, content); for a file that can't be parsed one row of kind ``UNPARSED``."""
+    return _read(files, SYMBOLS, (_symbols, _no_symbols))
 
 
 def python_relations(files: DataFrame) -> DataFrame:
     """Imports, calls, base classes and decorators of ``files`` (file_path, content)."""
-    return mapped(spread(files.select("file_path", "content"), "file_path", "content"), lambda path, text: _parsed(path, text, _relations, lambda p, why: []), RELATIONS)
+    return _read(files, RELATIONS, (_relations, lambda path, why: []))
+
+
+def python_contents(files: DataFrame) -> DataFrame:
+    """The rows of ``python_symbols``, whose relation is null, and those of ``python_relations``, whose kind is null: each file is parsed once."""
+    both = ", ".join([SYMBOLS, *(c for c in RELATIONS.split(", ") if not c.startswith("file_path "))])
+    return _read(files, both, (_symbols, _no_symbols), (_relations, lambda path, why: []))
 
 
 def _runs(path: str, text: str | None, spans: list[dict] | None) -> Iterator[dict]:

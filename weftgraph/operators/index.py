@@ -50,9 +50,13 @@ def symbol_id(path: Column, name: Column, kind: Column, line: Column) -> Column:
     return F.concat_ws(":", path, name, kind, line.cast("string"))
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """id, name, kind, file_path, start_line, end_line, parent, summary of all symbols of ``files``."""
-    python = code.python_symbols(files.where("language = 'python'")).where(F.col("kind") != code.UNPARSED)
+def symbols(files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """id, name, kind, file_path, start_line, end_line, parent, summary of all symbols of ``files``.
+
+    ``contents``: what ``code.python_contents`` gives for them, if that has been read.
+    """
+    python = code.python_symbols(files.where("language = 'python'")) if contents is None else contents
+    python = python.where(F.col("kind") != code.UNPARSED)  # a relation's is null
     scripts = code.script_symbols(files.where(F.col("language").isin(*SCRIPTS)))
     both = python.select("file_path", "name", "kind", "parent", "start_line", "end_line", "doc", F.array_join("parameters", ", ").alias("said"))
     both = both.unionByName(scripts.select("file_path", "name", "kind", "parent", "start_line", "end_line", F.lit(None).cast("string").alias("doc"), F.array_join(F.concat("bases", "interfaces"), ", ").alias("said")))
@@ -65,7 +69,10 @@ def chunks_of(files: DataFrame, found: DataFrame, budget: int) -> DataFrame:
     split at control flow, other files as texts."""
     read = F.col("language").isin("python", *SCRIPTS)
     spans = found.join(files.where(read).select("file_path").distinct(), "file_path", "left_semi")
-    parts = code.fitted_chunks(code.code_chunks(files.where(read), spans), budget)
+    made = written(code.code_chunks(files.where(read), spans)).drop("chunk_id")
+    large = F.floor(F.length("content") / 4) > budget
+    # most fit, and go to no task that would split them
+    parts = made.where(~large).unionByName(code.fitted_chunks(made.where(large), budget))
     texts = code.text_chunks(files.where(~F.coalesce(read, F.lit(False))), budget).select("file_path", "start_line", "end_line", F.lit(None).cast("string").alias("symbol"), "content")
     every = parts.unionByName(texts)
     return every.select(code.chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("content")).alias("chunk_id"), *every.columns)
@@ -73,8 +80,9 @@ def chunks_of(files: DataFrame, found: DataFrame, budget: int) -> DataFrame:
 
 def _read(rows: DataFrame, budget: int) -> _Read:
     python, scripts = rows.where("language = 'python'"), rows.where(F.col("language").isin(*SCRIPTS))
-    found = written(symbols(rows))
-    relations = written(code.python_relations(python))
+    contents = written(code.python_contents(python))
+    found = written(symbols(rows, contents))
+    relations = contents.where("relation IS NOT NULL")
     of_scripts = written(code.script_relations(scripts))
 
     named = found.select("file_path", F.col("name").alias("source"), F.col("id").alias("src"))
