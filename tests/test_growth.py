@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import code, text, text_index
 from weftgraph.operators.files import CHARACTERS, ROWS, in_batches
+from weftgraph.plans import code_queries
 
 FILES = "file_path string, content string"
 
@@ -24,6 +25,11 @@ def test_a_small_table_is_many_tasks(spark):
         assert read(files).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
 
+def test_texts_of_scripts_are_made_in_many_tasks(spark):
+    for files in (code_queries.script_files, code_queries.nested_files):
+        assert files(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_chunks_are_made_without_rows_of_lines(spark):
     content = "a = 1\n\ndef f(x):\n" + "".join(f"    if x == {k}:\n        {'y' * (k % 7 * 40 + 1)}\n" for k in range(30)) + "b = 2"
     files = spark.createDataFrame([("a.py", content), ("b.py", None), ("c.py", "x = 1"), ("c.py", "x = 1")], FILES)

@@ -80,3 +80,20 @@ def test_brackets_match():
     pair = scripts.matched(found)
     text = ["".join(t.text for t in found[k : p + 1]) for k, p in enumerate(pair) if p > k]
     assert text[0].startswith("(b[c]") and text[0].endswith("})") and text[1] == "[c]" and len(text) == 4
+
+
+def test_a_plain_stretch_is_read_at_once(monkeypatch):
+    class Reader:
+        calls = 0
+
+        def __getattr__(self, name):
+            Reader.calls += 1
+            return getattr(token, name)
+
+    token = scripts.TOKEN
+    monkeypatch.setattr(scripts, "TOKEN", Reader())
+    code = 'a.b({x: "}", y: \'`\'}); // `\n/* / ` */ f(1.5 => c)\n' * 200
+    found = scripts.tokens(code + "`x${ {y: `z${w}`} }\n`/2\n" + code)
+    assert len(found) == 400 * 21 + 15 and Reader.calls <= 8
+    assert [t.text for t in found if t.text[:1] in "`}" and t.kind == "text"] == ["`x", "`z", "}`", "}\n`"]
+    assert found[-1].last == 802 and sum(t.text == "b" for t in found) == 400

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars
 from weftgraph.operators import code, index, resolve, retrieval
+from weftgraph.operators.files import spread
 from weftgraph.sources.tables import table
 
 from .registry import query
@@ -66,7 +67,7 @@ def python_files(spark, sf_dir):
 
 
 def script_files(spark, sf_dir):
-    rows = parts(spark, sf_dir)
+    rows = spread(parts(spark, sf_dir), "id")  # texts are long to make, too
     return rows.select(F.concat(F.lit("web/"), F.col("id").cast("string"), F.lit(".ts")).alias("file_path"), filled(SCRIPT, id=F.col("id"), size=F.col("size")).alias("content"))
 
 
@@ -165,7 +166,7 @@ const add{id} = a => b => plus{id}(a, b),
 
 
 def nested_files(spark, sf_dir):
-    rows = parts(spark, sf_dir)
+    rows = spread(parts(spark, sf_dir), "id")
     return rows.select(F.concat(F.lit("web/n"), F.col("id").cast("string"), F.lit(".ts")).alias("file_path"), filled(NESTED, id=F.col("id"), size=F.col("size")).alias("content"))
 
 
