@@ -1,6 +1,7 @@
 """How often and how far a source file is read."""
 
 import ast
+import gc
 
 from weftgraph.operators import code, index
 
@@ -54,3 +55,16 @@ def test_chunks_that_fit_are_not_dealt_anew(spark):
     assert {r["file_path"] for r in rows} == {"a.py", "b.py"} and max(len(r["content"]) // 4 for r in rows) <= 50
     assert "\n".join(r["content"] for r in sorted(rows, key=lambda r: r["start_line"]) if r["file_path"] == "a.py").rstrip("\n") == long.rstrip("\n")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_no_garbage_is_sought_in_a_tree():
+    text, seen = "def f(a):\n    return [g(x) for x in a if x]\n" * 2000, []
+    watch = lambda phase, info: seen.append(phase)
+    gc.callbacks.append(watch)
+    try:
+        rows = code._parsed("a.py", text, (code._symbols, code._no_symbols))
+        bad = code._parsed("a.py", "def (", (code._symbols, code._no_symbols))
+        during = len(seen)
+    finally:
+        gc.callbacks.remove(watch)
+    assert during == 0 and gc.isenabled() and len(rows) == 2000 and bad[0]["kind"] == code.UNPARSED

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
@@ -126,17 +127,23 @@ def _no_symbols(path: str, why: str) -> list[dict]:
 
 def _parsed(path: str, text: str | None, *works: tuple[Callable[[str, _Found], Iterable[dict]], Callable[[str, str], list[dict]]]) -> list[dict]:
     """What each of ``works`` gives, or what its other function gives if that is too much; the text is parsed once."""
+    collects = gc.isenabled()
+    gc.disable()  # a tree has no cycles, and going through it again and again takes longer the longer the file
     try:
-        found = _found(ast.parse(text or ""))
-    except _TOO_MUCH as why:
-        return [row for _, failed in works for row in failed(path, type(why).__name__)]
-    out: list[dict] = []
-    for work, failed in works:
-        try:  # a file that is nested too deeply may fail in any step
-            out += list(work(path, found))
+        try:
+            found = _found(ast.parse(text or ""))
         except _TOO_MUCH as why:
-            out += failed(path, type(why).__name__)
-    return out
+            return [row for _, failed in works for row in failed(path, type(why).__name__)]
+        out: list[dict] = []
+        for work, failed in works:
+            try:  # a file that is nested too deeply may fail in any step
+                out += list(work(path, found))
+            except _TOO_MUCH as why:
+                out += failed(path, type(why).__name__)
+        return out
+    finally:
+        if collects:
+            gc.enable()
 
 
 def _read(files: DataFrame, schema: str, *works: tuple[Callable, Callable]) -> DataFrame:
