@@ -1,5 +1,6 @@
 """The scanner of scripts: what is code and what only looks like it, spans, nesting and relations."""
 
+import gc
 import random
 
 from weftgraph.operators import scripts
@@ -97,3 +98,22 @@ def test_a_plain_stretch_is_read_at_once(monkeypatch):
     assert len(found) == 400 * 21 + 15 and Reader.calls <= 8
     assert [t.text for t in found if t.text[:1] in "`}" and t.kind == "text"] == ["`x", "`z", "}`", "}\n`"]
     assert found[-1].last == 802 and sum(t.text == "b" for t in found) == 400
+
+
+def test_names_and_marks_are_no_objects():
+    code = 'a.b({x: "}", y: 1.5}, c => d); // e\n' * 500
+    gc.collect()
+    before = len(gc.get_objects())
+    scanner = scripts.Scanner(code)
+    held = len(gc.get_objects()) - before
+    assert len(scanner.pair) == 500 * 19 and held <= 2 * 500 + 100  # those of texts and numbers
+    assert len(list(scanner.walk(names=True))) == 500 * 6 and not list(scanner.walk(names=False))
+
+
+def test_lines_and_kinds_of_odd_tokens():
+    found = scripts.tokens("#x # \u00e9a \u0663\n\n/* \n */ 'p\\\nq' \"${ `r\n${s}${t}` ?? ...u?.v // w\n/x\"/g / 2")
+    assert [(t.kind[0], t.text, t.first, t.last) for t in found] == [
+        ("n", "#x", 1, 1), ("m", "#", 1, 1), ("m", "\u00e9", 1, 1), ("n", "a", 1, 1), ("n", "\u0663", 1, 1), ("t", "'p\\\nq'", 4, 5), ("m", '"', 5, 5), ("n", "$", 5, 5), ("m", "{", 5, 5),
+        ("t", "`r\n", 5, 6), ("m", "{", 6, 6), ("n", "s", 6, 6), ("m", "}", 6, 6), ("t", "}", 6, 6), ("m", "{", 6, 6), ("n", "t", 6, 6), ("m", "}", 6, 6), ("t", "}`", 6, 6),
+        ("m", "??", 6, 6), ("m", "...", 6, 6), ("n", "u", 6, 6), ("m", "?.", 6, 6), ("n", "v", 6, 6), ("m", "/", 7, 7), ("n", "x", 7, 7), ("m", '"', 7, 7), ("r", "/g /", 7, 7), ("n", "2", 7, 7),
+    ]
